@@ -18,15 +18,19 @@ from veilspark.llm import common as C
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words that the rolling hash covers; chunks have 2 ** BORDER_BITS words on average, and MAX_WORDS at most.
-WINDOW, BORDER_BITS, MAX_WORDS = 4, 5, 256
+WINDOW, BORDER_BITS, MAX_WORDS = 4, 6, 512
 #: A task's dictionaries are emptied beyond so many characters or words, which costs encoding again, never a result.
-CACHE_CHARS, CACHE_WORDS = 6_000_000, 200_000
+CACHE_CHARS, CACHE_WORDS = 6_000_000, 400_000
 
 #: A piece is a word with the white space before it; all white space that Python and the tokenizer both call so.
 _PIECE = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 _GAP = re.compile(r"[ \t\n]+")
 
 
+#: A worker's coder lasts from task to task.
+_CODERS: dict[str, ChunkCoder] = {}
+
+
 def tokenizer_path(name: str = TOKENIZER, folder: str | None = None) -> str:
     """folder: where the vocabulary files are; that of the installed package if not given."""
     if folder:
@@ -140,6 +144,12 @@ class ChunkCoder:
             yield b"".join([x for x, _ in done]), " ".join([x for y, x in done if y])
 
 
+def coder_for(path: str) -> ChunkCoder:
+    if path not in _CODERS:
+        _CODERS[path] = ChunkCoder(path)
+    return _CODERS[path]
+
+
 def encode(docs: DataFrame, path: str | None = None, rows_at_once: int = 256) -> DataFrame:
     """docs with n_tokens, ids (little-endian unsigned 32-bit integers, one after the other) and decoded added;
     columns of docs that have these names are replaced. path: the vocabulary file, which every executor can read.
@@ -152,7 +162,7 @@ def encode(docs: DataFrame, path: str | None = None, rows_at_once: int = 256) ->
     names = docs.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = ChunkCoder(path)
+        coder = coder_for(path)
         for pdf in batches:
             for i in range(0, len(pdf), rows_at_once):
                 part = pdf.iloc[i : i + rows_at_once]
