@@ -25,6 +25,7 @@ SMALL = 48
 TOGETHER = 1_500_000
 
 _U = np.uint64
+np.seterr(over="ignore")
 _MIX1, _MIX2, _ODD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 

@@ -8,7 +8,8 @@ from veilspark.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from veilspark.llm.html_extract import op1_html
 from veilspark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from veilspark.llm.mixing import op10_mixing
+from veilspark.llm.near_dedup import op5_near_dedup
 from veilspark.llm.quality import op8_quality
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_line_dedup, op4_bpe, op6_exact_dedup, op8_quality, op9_ann, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_html, op2_line_dedup, op4_bpe, op5_near_dedup, op6_exact_dedup, op8_quality, op9_ann, op10_mixing)}
 ORACLES = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
