@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: The ASCII white space of the contracts, as a set of characters and as a class.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -82,3 +86,20 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, hot: Column, how: str =
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def map_text(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], dict[str, list]]], keep: list[str] | None = None, rows_at_once: int = 256) -> DataFrame:
+    """df's columns (or ``keep`` of them), unchanged, with ``fields`` computed from a text column, null as empty text.
+    ``make`` is called once a task; what it returns gets up to ``rows_at_once`` texts and gives a list for each field."""
+    keep = df.columns if keep is None else keep
+    names = [*keep, *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(i, rows_at_once)
+                got = work([x or "" for x in part.column(column).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(got[f.name], k) for f, k in zip(fields, kinds, strict=True))], names)
+
+    return df.mapInArrow(run, T.StructType([*(df.schema[k] for k in keep), *fields]))
