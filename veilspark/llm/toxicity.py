@@ -46,7 +46,8 @@ _SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·~]{1,3}[^\W_]){2,}(?![^\W_])
 _ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 _EDGE = " \t\n\r\x0b\x0c.,;:?()[]{}<>\"'`“”„«»…/\\=&"
 _STRAIGHT = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\Z")
-_RUN = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1\1|(?:(.)\2){3}")
+_WIDE = re.compile(r"(?<=\S)[ ]{2,}(?=\S)")
 
 _CODES = 64
 
@@ -152,6 +153,10 @@ class Restorer:
 
     def spaced(self, span: str) -> tuple[str, float]:
         """A span of single characters: the word they spell, unless they are likelier to stand apart."""
+        if len(words := _WIDE.split(span)) > 1 and all(len(w) > 1 for w in words):  # wider gaps part words
+            done = [self.spaced(w) for w in words]
+            best = max(done, key=lambda d: d[1])
+            return (" ".join(w for w, _ in done), 0.0) if not best[1] else best
         letters = "".join(c for c in span if c.isalnum() or c in LEET)
         word = decode(self.model, letters)
         weight = word_weight(self.model, word)
