@@ -19,8 +19,8 @@ from veilspark.llm import common as C
 TOKENIZER = "word_bpe_49k.json"
 #: Words that the rolling hash covers; chunks have 2 ** BORDER_BITS words on average, and MAX_WORDS at most.
 WINDOW, BORDER_BITS, MAX_WORDS = 4, 6, 512
-#: A task's dictionaries are emptied beyond so many characters or words, which costs encoding again, never a result.
-CACHE_CHARS, CACHE_WORDS = 6_000_000, 400_000
+#: A task's dictionary of chunks is emptied beyond so many characters, that of words renewed beyond so many, which costs encoding again, never a result.
+CACHE_CHARS, CACHE_WORDS = 6_000_000, 250_000
 
 #: A piece is a word with the white space before it; all white space that Python and the tokenizer both call so.
 _PIECE = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
@@ -50,8 +50,12 @@ class ChunkCoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.tokens = [self.tok.decode([i], skip_special_tokens=False) for i in range(size)]
+        self.is_end = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.chunks: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}  # until the dictionary was last full
         self.joins: dict[tuple[str, str], bool] = {}
         self.chars = self.encoded = self.reused = self.repaired = 0
 
@@ -88,8 +92,6 @@ class ChunkCoder:
         new = [x for x in dict.fromkeys(chunks) if x not in self.chunks]
         self.encoded += len(new)
         self.reused += len(chunks) - len(new)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
         words, cut = self.words, [_GAP.split(x) for x in new]
         self.learn({w for ws in cut for w in ws})
         for x, ws in zip(new, cut, strict=True):
@@ -98,7 +100,27 @@ class ChunkCoder:
             self.chars += len(x) + 100
 
     def learn(self, words: set[str]) -> None:
-        missing = [w for w in words if w not in self.words]
+        """Words of letters alone go through the tokenizer as one text, as each ends with the one token that marks an
+        end; the others go one by one."""
+        missing = []
+        for w in words.difference(self.words):
+            if known := self.older.get(w):
+                self.words[w] = known
+            else:
+                missing.append(w)
+        plain = [w for w in missing if w.isalpha()]
+        for i in range(0, len(plain), 512):
+            own = plain[i : i + 512]
+            ids = self._ids([" ".join(own)])[0]
+            ends = np.flatnonzero(self.is_end[ids]) + 1 if ids else ()
+            if len(ends) != len(own) or ends[-1] != len(ids):
+                missing += own
+                continue
+            raw, tokens, at = np.array(ids, "<u4").tobytes(), [self.tokens[x] for x in ids], 0
+            for w, end in zip(own, ends.tolist(), strict=True):
+                self.words[w] = raw[4 * at : 4 * end], " ".join(tokens[at:end])
+                at = end
+        missing = [w for w in missing if w not in self.words]
         for w, ids in zip(missing, self._ids(missing), strict=True):
             self.words[w] = np.array(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)
 
@@ -119,6 +141,8 @@ class ChunkCoder:
 
     def code(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text its ids as little-endian unsigned 32-bit integers, and the decoded text."""
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
         if self.chars > CACHE_CHARS:
             self.chunks.clear()
             self.joins.clear()
