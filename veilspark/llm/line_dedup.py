@@ -3,15 +3,35 @@ and adds its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm import common as C
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends, A-Z lower-cased."""
-    return C.lower_ascii(F.btrim(line, F.lit(C.SPACE_CHARS)))
+def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """docs: doc_id, text (not null). doc_id, t (md5 of the text), pos and h (md5 of the key) of the lines whose key
+    has at least min_chars code points. A key is the line without white space at both ends, A-Z lower-cased."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                t = md5(text.encode()).digest()
+                for pos, line in enumerate(text.split("\n")):
+                    if len(line) >= min_chars and len(line := line.strip(C.SPACE_CHARS)) >= min_chars:
+                        out.append((doc_id, t, pos, md5(line.encode().lower()).digest()))
+            yield pd.DataFrame(out, columns=["doc_id", "t", "pos", "h"]).astype({"doc_id": "Int64"})
+
+    return docs.mapInPandas(run, "doc_id long, t binary, pos int, h binary")
+
+
+def md5(data: bytes):
+    return hashlib.md5(data, usedforsecurity=False)
 
 
 def _summed(runs: DataFrame) -> DataFrame:
@@ -35,6 +55,7 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         """keys: h, n_docs, max_doc, n_lines; one row a hash."""
+        keys = self.scratch.put(keys, "keys")  # else Spark moves the joins below the aggregate, to all lines of a hash
         known, new = self.rows(), F.lit(self.batches)
         if known is None:
             run = keys.withColumn("batch", new)
@@ -63,7 +84,7 @@ class LineRuns:
 def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text added (columns of docs that have these names are replaced).
 
-    A text is split at \\n. Lines whose key (line_key) has at least min_chars code points and is in at least min_docs
+    A text is split at \\n. Lines whose key (keyed_lines) has at least min_chars code points and is in at least min_docs
     documents stay in the largest doc_id that holds it and are dropped elsewhere.
 
     Null or empty text: one empty line, kept. Null doc_id: all such rows count as one document below every id, so
@@ -75,12 +96,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, b
     docs = docs.drop("n_lines", "n_dropped", "kept_text")
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    line = F.col("line")
-    lines = (
-        source.select("doc_id", F.unhex(F.md5("text")).alias("t"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-        .filter(F.char_length(line) >= min_chars).select("doc_id", "t", "pos", line_key(line).alias("key")).filter(F.char_length("key") >= min_chars)
-        .select(F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("part"), "doc_id", "t", "pos", F.unhex(F.md5("key")).alias("h"))
-    )
+    lines = keyed_lines(source, min_chars).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
     lines = scratch.put(lines, "lines", ("part",))
     runs = LineRuns(scratch)
     for i in range(batches):
