@@ -6,10 +6,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,29 +173,29 @@ def coder_for(path: str) -> ChunkCoder:
     return _CODERS[path]
 
 
-def encode(docs: DataFrame, path: str | None = None, rows_at_once: int = 256) -> DataFrame:
-    """docs with n_tokens, ids (little-endian unsigned 32-bit integers, one after the other) and decoded added;
-    columns of docs that have these names are replaced. path: the vocabulary file, which every executor can read.
+def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with n_tokens, ids (little-endian unsigned 32-bit integers, one after the other)
+    and decoded added; columns of docs that have these names are replaced. path: the vocabulary file, which every
+    executor can read.
 
     Null or empty text: no ids, empty decoded text. Special tokens' strings in a text become their ids, as the
     library has it. Repeated rows give the same ids. An empty table gives no rows.
     """
     docs = docs.drop("n_tokens", "ids", "decoded")
     path = path or tokenizer_path()
-    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str]], dict[str, list]]:
         coder = coder_for(path)
-        for pdf in batches:
-            for i in range(0, len(pdf), rows_at_once):
-                part = pdf.iloc[i : i + rows_at_once]
-                coded = list(coder.code([x if isinstance(x, str) else "" for x in part["text"]]))
-                yield pd.DataFrame({n: part[n].array for n in names} | {"n_tokens": [len(x) // 4 for x, _ in coded], "ids": [x for x, _ in coded], "decoded": [x for _, x in coded]})
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
-    return docs.mapInPandas(run, schema)
+        def run(texts: list[str]) -> dict[str, list]:
+            coded = list(coder.code(texts))
+            return {"n_tokens": [len(x) // 4 for x, _ in coded], "ids": [x for x, _ in coded], "decoded": [x for _, x in coded]}
+
+        return run
+
+    return C.map_text(docs, "text", [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())], make, keep)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = encode(C.table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -8,10 +8,9 @@ import html
 import math
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,14 +246,15 @@ def extract(pages: DataFrame) -> DataFrame:
     rows: the same text. An empty table gives no rows; other columns are left out.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [main_text(h) if isinstance(h, str) else "" for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].array, "url": pdf["url"].array, "text": texts, "n_chars": [len(x) for x in texts]})
+    def make() -> Callable[[list[str]], dict[str, list]]:
+        def run(pages: list[str]) -> dict[str, list]:
+            texts = [main_text(h) for h in pages]
+            return {"text": texts, "n_chars": [len(x) for x in texts]}
 
-    kinds = [f if f.name != "page_id" else T.StructField("page_id", T.LongType()) for f in pages.select("page_id", "url").schema.fields]
-    schema = T.StructType([*kinds, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInPandas(run, schema)
+        return run
+
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return C.map_text(pages, "html", [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())], make, ["page_id", "url"])
 
 
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:

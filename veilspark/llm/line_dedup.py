@@ -6,7 +6,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +17,23 @@ def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """docs: doc_id, text (not null). doc_id, t (md5 of the text), pos and h (md5 of the key) of the lines whose key
     has at least min_chars code points. A key is the line without white space at both ends, A-Z lower-cased."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                t = md5(text.encode()).digest()
-                for pos, line in enumerate(text.split("\n")):
-                    if len(line) >= min_chars and len(line := line.strip(C.SPACE_CHARS)) >= min_chars:
-                        out.append((doc_id, t, pos, md5(line.encode().lower()).digest()))
-            yield pd.DataFrame(out, columns=["doc_id", "t", "pos", "h"]).astype({"doc_id": "Int64"})
-
-    return docs.mapInPandas(run, "doc_id long, t binary, pos int, h binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows, ts, places, keys = [], [], [], []
+                for row, text in enumerate(part.column("text").to_pylist()):
+                    t = md5(text.encode()).digest()
+                    for pos, line in enumerate(text.split("\n")):
+                        if len(line) >= min_chars and len(line := line.strip(C.SPACE_CHARS)) >= min_chars:
+                            rows.append(row)
+                            ts.append(t)
+                            places.append(pos)
+                            keys.append(md5(line.encode().lower()).digest())
+                ids = part.column("doc_id").take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(ts, pa.binary()), pa.array(places, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "t", "pos", "h"])
+
+    return docs.mapInArrow(run, "doc_id long, t binary, pos int, h binary")
 
 
 def md5(data: bytes):

@@ -10,8 +10,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.llm import common as C
 
@@ -118,11 +120,8 @@ def fit_link(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, floa
 
 
 def document_statistics(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "x": [statistics(t if isinstance(t, str) else "") for t in pdf["text"]]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, x array<double>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return C.map_text(docs, "text", [T.StructField("x", T.ArrayType(T.DoubleType()))], lambda: lambda texts: {"x": [statistics(t) for t in texts]}, ["doc_id"])
 
 
 def train(spark: SparkSession, stats: DataFrame, labels: DataFrame) -> Discriminant:
@@ -175,13 +174,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     stats = C.Scratch(spark, "quality").put(document_statistics(docs), "statistics")
     model = train(spark, stats, labels.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("y").cast("int").alias("y")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                p = model.probability(np.array(pdf["x"].tolist()))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "score": p, "predicted": (p >= threshold).astype("int32")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = model.probability(batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return stats.mapInPandas(run, "doc_id long, score double, predicted int")
+    return stats.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
