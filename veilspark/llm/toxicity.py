@@ -8,7 +8,7 @@ import heapq
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -220,7 +220,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, pull: float = 0.5) -> np.ndarray:
 
 def char_trigrams(docs: DataFrame) -> np.ndarray:
     """Smoothed log probabilities of a character after two, over every word of all documents (64 ** 3 numbers)."""
-    table = np.full(65536, 63, np.uint32)
+    table = np.full(65536, 63, np.int32)
     for i in range(65536):
         table[i] = char_code(chr(i).lower()[0])
 
@@ -229,12 +229,13 @@ def char_trigrams(docs: DataFrame) -> np.ndarray:
 
         total = np.zeros(_CODES**3, np.int64)
         for batch in batches:
-            text = " " + " ".join(x for x in batch.column(0).to_pylist() if x) + " "
-            points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-            codes = table[np.minimum(points, 65535)]
-            # a word's first letter follows two borders, whatever the word before
-            before = np.where(codes[1:-1] == 0, 0, codes[:-2])
-            total += np.bincount(before * 4096 + codes[1:-1] * 64 + codes[2:], minlength=len(total))
+            for i in range(0, batch.num_rows, 64):
+                text = " " + " ".join(x for x in batch.column(0).slice(i, 64).to_pylist() if x) + " "
+                points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+                codes = table[np.minimum(points, 65535)]
+                # a word's first letter follows two borders, whatever the word before
+                before = np.where(codes[1:-1] == 0, np.int32(0), codes[:-2])
+                total += np.bincount(before * 4096 + codes[1:-1] * 64 + codes[2:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["i", "n"])
 
@@ -275,12 +276,19 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     own = scratch.put(own.dropDuplicates(["alike", "y"]).select("text", "y"), "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = Counter(), Counter()
+        sums: Counter = Counter()
+
+        def rows() -> pd.DataFrame:
+            got = [(w, n if y else 0, 0 if y else n) for (w, y), n in sums.items()]
+            return pd.DataFrame(got, columns=["w", "n1", "n0"]).astype({"n1": "int64", "n0": "int64"})
+
         for pdf in batches:
             for t, y in zip(pdf["text"], pdf["y"], strict=True):
-                sums[y].update(_entries(t))
-        yield pd.DataFrame([(w, k, sums[0][w]) for w, k in sums[1].items()], columns=["w", "n1", "n0"])
-        yield pd.DataFrame([(w, 0, k) for w, k in sums[0].items() if w not in sums[1]], columns=["w", "n1", "n0"])
+                sums.update((w, y) for w in _entries(t))
+                if len(sums) > REMEMBERED:
+                    yield rows()
+                    sums.clear()
+        yield rows()
 
     have = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = have.get(0, 0), have.get(1, 0)
@@ -297,7 +305,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     model = Model(char_trigrams(docs), lexicon, prefixes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def look() -> callable:
+    def look() -> Callable:
         restorer = Restorer(shared.value)
         return lambda ts: {"x": [features(restorer.hits(t)) for t in ts]}
 
@@ -308,8 +316,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (0 to 1, probability of label 1) and predicted added; columns of docs with these names are
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns in keep) with score (0 to 1, probability of label 1) and predicted added; columns of docs with these names are
     replaced. labels: doc_id, y; rows with null in either are left out, of several labels of an id the higher counts.
 
     Null or empty text: no hit, and the score of a text without hits. Null doc_id: scored, never trained on.
@@ -319,7 +327,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
-    def score() -> callable:
+    def score() -> Callable:
         model = shared.value
         restorer = Restorer(model)
 
@@ -330,7 +338,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
         return run
 
-    return C.map_text(docs, "text", [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], score)
+    return C.map_text(docs, "text", [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], score, keep)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -339,5 +347,5 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score_toxicity(docs, training_labels(C.table(spark, sf_dir, "labels")))
+    out = score_toxicity(docs, training_labels(C.table(spark, sf_dir, "labels")), keep=["doc_id"])
     return out.select("doc_id", (C.id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
