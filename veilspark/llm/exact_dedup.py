@@ -35,10 +35,12 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def ingest(self, batch: DataFrame) -> None:
+    def ingest(self, batch: DataFrame, scratch: C.Scratch) -> None:
         """batch: doc_id, digest. Appends the digests that the index lacks, each with the smallest doc_id of the
         batch (null only if it has no other); one already there keeps its id."""
         first = batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        # written, else Spark moves the anti-join below the aggregate, to all rows of a digest
+        first = scratch.put(first, f"batch-{uuid.uuid4().hex}")
         fresh = first.hint("merge").join(self.rows().select("digest"), "digest", "left_anti")
         fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.format("parquet").mode("append").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         self.spark.catalog.refreshTable(self.name)
@@ -62,7 +64,7 @@ def exact_dedup(docs: DataFrame, batches: int = 2, buckets: int | None = None) -
     index = DigestIndex(spark, scratch.path("index"), buckets)
     last = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("inf")))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        index.ingest(rows.filter((last > low if low is not None else F.lit(True)) & (last <= high if high is not None else F.lit(True))))
+        index.ingest(rows.filter((last > low if low is not None else F.lit(True)) & (last <= high if high is not None else F.lit(True))), scratch)
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = scratch.put(sizes.hint("merge").join(index.rows(), "digest"), "groups")
     n = rows.count()
