@@ -80,8 +80,8 @@ def imputation_quality(df: DataFrame, columns: Sequence[str], mask: Column | Non
     """column, n_masked, rmse, r2 of mean imputation on held-out cells: each column's mean is over the cells that
     aren't masked, and r2 is against the mean of those that are; columns of fewer than ``least`` masked cells are left out."""
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))
-    held = mask if mask is not None else masked(7, share, F.col(key), F.col("c.column"))
-    long = df.select("*", F.explode(cells).alias("c")).select(F.col("c.column").alias("column"), F.col("c.v").alias("v"), held.alias("held")).filter("v IS NOT NULL")
+    held = mask if mask is not None else masked(7, share, F.col(key), F.col("_cell.column"))
+    long = df.select("*", F.explode(cells).alias("_cell")).select(F.col("_cell.column").alias("column"), F.col("_cell.v").alias("v"), held.alias("held")).filter("v IS NOT NULL")
     means = long.groupBy("column").agg(F.avg(F.when(~F.col("held"), F.col("v"))).alias("guess"), F.avg(F.when(F.col("held"), F.col("v"))).alias("own"))
     errors = long.filter("held").join(F.broadcast(means), "column")  # one row a column
     out = errors.groupBy("column").agg(F.count(F.lit(1)).alias("n_masked"), F.sum(F.pow(F.col("v") - F.col("guess"), 2)).alias("e"), F.sum(F.pow(F.col("v") - F.col("own"), 2)).alias("t"))
