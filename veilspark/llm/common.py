@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -51,6 +51,12 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
         return self.get(name, df)
 
+    def put_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Also the number of rows, which is counted as they are written."""
+        seen = Observation()
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 

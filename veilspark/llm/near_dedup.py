@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ from veilspark.llm.components import components
 
 #: A pair at the threshold shares no band with a probability of at most MISS; at most so many bands are used.
 MISS, MOST_BANDS = 1e-6, 48
-#: Buckets of more members are refined before their other pairs are looked at.
-SMALL = 48
 #: Characters of text that are sketched together.
 TOGETHER = 1_500_000
 
@@ -160,77 +159,107 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 class _Linker:
     """Finds the links between sets and keeps the components they give so far."""
 
-    def __init__(self, scratch: C.Scratch, texts: DataFrame, sizes: DataFrame, words: int, percent: int) -> None:
-        self.scratch, self.texts, self.sizes, self.words, self.percent = scratch, texts, sizes, words, percent
+    def __init__(self, scratch: C.Scratch, words: int, percent: int) -> None:
+        self.scratch, self.words, self.percent, self.made = scratch, words, percent, 0
         self.edges: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
         self.of: DataFrame | None = None
-        self.made = 0
 
-    def put(self, df: DataFrame, what: str) -> DataFrame:
+    def put(self, df: DataFrame, what: str) -> tuple[DataFrame, int]:
+        """The written table and its rows."""
         self.made += 1
-        return self.scratch.put(df, f"{what}-{self.made}")
-
-    def test(self, pairs: DataFrame) -> DataFrame:
-        """Verifies pairs (a < b, one row each) that were not verified before; returns their similarity."""
-        for old in self.tested:
-            pairs = pairs.join(old.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
-        pairs = self.put(pairs, "pairs")
-        need = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-        texts = self.texts.join(need.hint("merge"), "rep", "left_semi")
-        texts = self.put(texts, "texts")
-        done = self.put(verify(pairs, texts, self.words), "tested")
-        self.tested.append(done)
-        new = done.filter(F.col("both") * 100 >= F.col("every") * self.percent).select("a", "b")
-        self.edges.append(new)
+        return self.scratch.put_counted(df, f"{what}-{self.made}")
+
+    def test(self, pairs: DataFrame, texts: DataFrame) -> DataFrame | None:
+        """Verifies pairs (a < b, one row each) and links those that are near; None if there are none."""
+        pairs, n = self.put(pairs, "pairs")
+        if not n:
+            return None
+        done, _ = self.put(verify(pairs, texts, self.words), "tested")
+        self.edges.append(done.filter(F.col("both") * 100 >= F.col("every") * self.percent).select("a", "b"))
         self.made += 1
         self.of = components(self.scratch, C.union_all(self.edges), f"components-{self.made}")
         return done
 
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """rows: rep and more; adds its component so far."""
-        own = self.of.select(F.col("node").alias("rep"), "component").hint("merge")
-        return rows.join(own, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-    def comparable(self, x: str, y: str):
-        """Sets whose sizes differ too much can't be linked."""
-        return (F.least(x, y) * 100 >= F.greatest(x, y) * self.percent)
-
-    def link(self, members: DataFrame, deeper: DataFrame | None) -> None:
-        """members: key, rep, n. deeper: rep, keys, by which large mixed buckets are refined (None: all pairs that are
-        left are tested). First each bucket's smallest member meets all others, which settles groups of copies of any
-        size with one pair a member. A bucket whose members then lie in several components is looked at again: its
-        pairs between components, but for those the triangle inequality rules out by their distances to the centre."""
+    def labelled(self, rows: DataFrame, rep: str = "rep", name: str = "component") -> DataFrame:
+        """rows with the component of ``rep`` so far."""
+        if self.of is None:
+            return rows.withColumn(name, F.col(rep))
+        own = self.of.select(F.col("node").alias(rep), F.col("component").alias(name)).hint("merge")
+        return rows.join(own, rep, "left").withColumn(name, F.coalesce(name, rep))
+
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """Those of the buckets that hold several components."""
+        keys = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("key")
+        return rows.join(keys.hint("merge"), "key", "left_semi")
+
+    def link(self, members: DataFrame, texts: DataFrame) -> None:
+        """members: key (of a bucket), rep, n. texts: rep, text.
+
+        First each bucket's smallest member meets all others, which settles most groups of copies of any size with
+        one pair a member and bucket. Buckets whose members then lie in several components go on. Of each member x, u
+        counts the shingles that no other member of these buckets has. The member p with the least u, which edits
+        changed least, is the bucket's pivot and meets all others, which gives d(x), the size of the symmetric
+        difference of x and p. As x's own shingles aren't in y, at most d(x) - u(x) elements of x's difference are in
+        y's, so the difference of x and y has at least d(y) - d(x) + 2 u(x) elements, and likewise the other way
+        round; but a link allows only (100 - percent) / (100 + percent) of the sum of their sizes. So no link is lost
+        if only those pairs between components are verified that these bounds allow. They hardly allow any, and the
+        greatest d - 2 u of a bucket tells beforehand which members can have one."""
         centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        centres = self.put(centres.select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), "m"), "centres")
-        met = members.select("key", F.col("rep"), "n").join(centres.hint("merge"), "key")
-        met = self.put(met, "met")
-        pairs = met.filter((F.col("rep") != F.col("a")) & self.comparable("n", "na")).select("a", F.col("rep").alias("b"))
-        self.test(pairs.groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
-        seen = C.union_all([t.select("a", F.col("b").alias("rep"), (1 - F.col("both") / F.col("every")).alias("far")) for t in self.tested])
-        owned = self.put(self.labelled(met), "owned")
-        mixed = owned.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("key")
-        left = owned.join(mixed.hint("merge"), "key", "left_semi")
-        # unknown distance to the centre: the sizes ruled the pair out, it may still link with others
-        left = left.join(seen.hint("merge"), ["a", "rep"], "left").withColumn("far", F.when(F.col("rep") == F.col("a"), 0.0).otherwise(F.col("far")))
-        left = self.put(left.select("key", "rep", "n", "m", "component", "far"), "left")
-        reach = 1 - self.percent / 100
-        large = F.col("m") > SMALL if deeper is not None else F.lit(False)
-        x = left.filter(~large).select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("far").alias("fa"))
-        y = left.filter(~large).select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("far").alias("fb"))
-        close = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= reach + 1e-9, F.lit(True))
-        cross = x.join(y.hint("merge"), "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("fa").isNull() | (F.col("fa") > 0)) & (F.col("fb").isNull() | (F.col("fb") > 0)) & close & self.comparable("na", "nb"))
-        cross = cross.select("a", "b").distinct()
-        if not left.filter(~large).isEmpty():
-            self.test(cross)
-        big = left.filter(large)
-        if deeper is not None and not big.isEmpty():
-            # those linked with the centre can only link with members at most twice the reach away from it
-            grey = big.filter(F.col("far").isNull() | ((F.col("far") > reach) & (F.col("far") <= 2 * reach))).groupBy("key").agg(F.min(F.coalesce("far", F.lit(0.0))).alias("least"))
-            big = big.join(grey.hint("merge"), "key", "left").filter(F.col("far").isNull() | (F.col("far") > reach) | ((F.col("far") > 0) & (F.col("far") >= F.col("least") - reach - 1e-9)))
-            finer = big.select("key", "rep", "n").join(deeper.hint("merge"), "rep").select(F.explode("keys").alias("other"), "key", "rep", "n").filter(F.col("other") != F.col("key"))
-            finer = finer.select(F.xxhash64("key", "other").alias("key"), "rep", "n")
-            self.link(self.put(finer, "finer"), None)
+        met = members.join(centres.select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na")).hint("merge"), "key")
+        met, n = self.put(met, "met")
+        if not n:
+            return
+        texts, _ = self.put(texts.join(met.select("rep").distinct().hint("merge"), "rep", "left_semi"), "texts")
+        close = F.least("n", "na") * 100 >= F.greatest("n", "na") * self.percent
+        self.test(met.filter((F.col("rep") != F.col("a")) & close).select("a", F.col("rep").alias("b")).distinct(), texts)
+
+        left, n = self.put(self.mixed(self.labelled(met.select("key", "rep", "n"))).select("key", "rep", "n"), "mixed")
+        if not n:
+            return
+        own = own_shingles(texts.join(left.select("rep").distinct().hint("merge"), "rep", "left_semi"), self.words)
+        left = left.join(own.hint("merge"), "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+        left, _ = self.put(left, "own")
+        pivots = left.groupBy("key").agg(F.min(F.struct("u", "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("np"))
+        left, _ = self.put(left.join(pivots.hint("merge"), "key").withColumns({"a": F.least("p", "rep"), "b": F.greatest("p", "rep")}), "pivots")
+        done = self.test(left.filter("a <> b").select("a", "b").distinct(), texts)
+        left = self.mixed(self.labelled(left)).join(done.hint("merge"), ["a", "b"])
+        lost, gained = F.col("np") - F.col("both"), F.col("n") - F.col("both") - F.col("u")
+        left = left.select("key", "rep", "n", "u", (F.col("every") - F.col("both")).alias("d"), lost.alias("lost"), gained.alias("gained"), "p", "component")
+        left, n = self.put(self.labelled(left, "p", "centre"), "far")
+        if not n:
+            return
+        less, more = 100 - self.percent, 100 + self.percent
+        most = left.groupBy("key").agg(F.max(F.col("d") - 2 * F.col("u")).alias("most"))
+        hope = (F.col("component") != F.col("centre")) & ((F.col("d") - F.col("most")) * more * self.percent <= less * more * F.col("n"))
+        keys = left.groupBy("rep").agg(F.collect_set("key").alias("keys"))  # a set is in one bucket a band
+        left, _ = self.put(left.join(keys.hint("merge"), "rep"), "left")
+        few = left.join(most.hint("merge"), "key").filter(hope)
+        few, n = self.put(few.select("key", *(F.col(c).alias(f"{c}_y") for c in ("rep", "n", "u", "d", "lost", "gained", "component", "keys"))), "few")
+        if not n:
+            return
+        d, dy = F.col("d"), F.col("d_y")
+        shared = F.least(F.least("lost", "lost_y") + F.least("gained", "gained_y"), d - F.col("u"), dy - F.col("u_y"))
+        allowed = (F.col("component_y") != F.col("component")) & (F.greatest(d + dy - 2 * shared, F.col("u") + F.col("u_y")) * more <= less * (F.col("n") + F.col("n_y")))
+        # a pair is in several buckets; the first that both have stands for all
+        once = F.array_min(F.array_intersect("keys", "keys_y")) == left["key"]
+        pairs = left.join(few.hint("merge"), (left["key"] == few["key"]) & allowed & once).select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"))
+        self.test(pairs.distinct(), texts)
+
+
+def own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """rep, u: how many shingles of a set no other of these sets has (absent: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                sets = shingle_sets(part.column("text").to_pylist(), words)
+                reps = np.repeat(part.column("rep").to_numpy(), [len(s) for s in sets])
+                if len(reps):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(reps)], ["s", "rep"])
+
+    once = texts.select("rep", "text").mapInArrow(run, "s long, rep long").groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).filter("rep = other")
+    return once.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -253,8 +282,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = rows.select(F.col("doc_id").alias("rep"), "digest", "n", "keys").join(sets.select("rep", "digest").hint("merge"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
     reps = scratch.put(reps.select("rep", "n", "keys"), "reps")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).filter("rep IS NOT NULL")
-    linker = _Linker(scratch, texts, sets, words, percent)
-    linker.link(reps.select(F.explode("keys").alias("key"), "rep", "n"), reps.select("rep", "keys"))
+    linker = _Linker(scratch, words, percent)
+    linker.link(reps.select(F.explode("keys").alias("key"), "rep", "n"), texts)
     labelled = scratch.put(linker.labelled(sets.select("digest", "rep", "copies")), "labelled").select("digest", "component", "copies")
     n = rows.count()
     slim = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
