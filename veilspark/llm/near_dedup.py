@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.llm import common as C
 from veilspark.llm.components import components
@@ -120,17 +121,21 @@ def sketch_documents(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, digest (of the set; null if it is empty), keys (of its bands)."""
     bands, per = bands_for(percent)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for a, b in _groups(texts):
-                sets = shingle_sets(texts[a:b], words)
-                full = [s for s in sets if len(s)]
-                keys = iter(band_keys(sketches(full, bands * per), bands, per) if full else [])
-                rows = [(len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), next(keys)) if len(s) else (0, None, None) for s in sets]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].array, "n": [r[0] for r in rows], "digest": [r[1] for r in rows], "keys": [r[2] for r in rows]})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, digest binary, keys array<long>")
+    def run(texts: list[str]) -> dict[str, list]:
+        out: dict[str, list] = {"n": [], "digest": [], "keys": []}
+        for a, b in _groups(texts):
+            sets = shingle_sets(texts[a:b], words)
+            full = [s for s in sets if len(s)]
+            keys = iter(band_keys(sketches(full, bands * per), bands, per) if full else [])
+            for s in sets:
+                out["n"].append(len(s))
+                out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                out["keys"].append(next(keys) if len(s) else None)
+        return out
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    fields = [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    return C.map_text(docs, "text", fields, lambda: run, ["doc_id"], rows_at_once=1000)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
