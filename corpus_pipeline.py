@@ -33,7 +33,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (little-endian unsigned 32-bit integers) and decoded of each document of the mix."""
-    return bpe.encode(docs).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded")
+    return bpe.encode(docs, keep=["doc_id", "lang", "source"]).select("doc_id", "lang", "source", "n_tokens", "ids", "decoded")
 
 
 STAGES = [
