@@ -5,7 +5,6 @@ chi-square test says that what is left can hardly be nearer."""
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -91,12 +90,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SH
     once. Fewer than k candidates: all of them. Empty tables give no rows; other columns are left out.
     """
 
-    def valid(df: DataFrame, prefix: str) -> DataFrame:
+    def valid(df: DataFrame) -> DataFrame:
         e = F.col("embedding").cast("array<double>")
         sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(e, lambda x: x != 0)
         return df.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("id"), e.alias("v"), F.size(e).alias("d"))
 
-    base, asked = valid(vectors, "b"), valid(queries, "q").dropDuplicates(["id"])
+    base, asked = valid(vectors), valid(queries).dropDuplicates(["id"])
     shards, blocks = max(1, math.ceil(base.count() / shard)), max(1, math.ceil(asked.count() / BLOCK))
     places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     base = base.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("block", places(blocks))

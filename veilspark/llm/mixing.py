@@ -4,7 +4,6 @@ token constraints; the exponentially tilted document rates are then rounded into
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
