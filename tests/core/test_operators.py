@@ -1,7 +1,6 @@
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from veilspark.config import Thresholds
 from veilspark.operators import disclosure, formats, groups, profile, temporal
