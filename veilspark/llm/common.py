@@ -60,11 +60,21 @@ class Scratch:
     def get(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(self.path(name))
 
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads."""
+        path, fs = self._files()
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, name), True)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but those that the result is read from."""
+        path, fs = self._files()
+        if fs.exists(path):
+            self.drop(*(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName() not in names))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

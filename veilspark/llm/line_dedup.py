@@ -109,6 +109,7 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, b
         by_doc = lines.filter(F.col("part") == i).groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
         runs.add(by_doc.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"), F.sum("n").alias("n_lines")))
     common = scratch.put(runs.totals().filter(F.col("n_docs") >= min_docs).select("h", "max_doc", "n_lines"), "common")
+    scratch.keep("lines", "common")
     n = lines.count()
     found = C.join_hot(lines.select("doc_id", "t", "pos", "h"), common, "h", F.col("n_lines") >= C.HOT_SHARE * n, "inner")
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("max_doc"))).groupBy(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).agg(F.collect_set("pos").alias("gone"))

@@ -127,6 +127,7 @@ def allocate(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, steps: int =
     key = F.concat_ws(":", "size", "skey")
     parts = F.ceil(F.col("n") / RANKED_TOGETHER)
     plan = scratch.put(plan.select(key.alias("k"), "source_size", "target", "n", F.expr("all_copies div n").alias("each"), F.expr("all_copies % n").alias("more"), parts.alias("parts")), "plan")
+    scratch.keep("rows", "plan")
     n = rows.count()
     rows = C.join_hot(rows.withColumn("k", key), plan, "k", F.col("n") >= C.HOT_SHARE * n, "inner").withColumn("part", F.pmod("h", "parts"))
     before = rows.groupBy("k", "part").agg(F.count(F.lit(1)).alias("here"))

@@ -290,6 +290,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linker = _Linker(scratch, words, percent)
     linker.link(reps.select(F.explode("keys").alias("key"), "rep", "n"), texts)
     labelled = scratch.put(linker.labelled(sets.select("digest", "rep", "copies")), "labelled").select("digest", "component", "copies")
+    scratch.keep("sketches", "labelled")
     n = rows.count()
     slim = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     found = C.join_hot(slim.filter("digest IS NOT NULL"), labelled, "digest", F.col("copies") >= C.HOT_SHARE * n, "inner").select("doc_id", "n", "component")

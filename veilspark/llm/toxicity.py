@@ -313,6 +313,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     if n0 and n1:
         x, y = np.array([r.x for r in seen for _ in range(r.n)]), np.array([r.y for r in seen for _ in range(r.n)])
         model.weights = fit_logistic(x, y)
+    scratch.drop("labelled")
     return model
 
 
