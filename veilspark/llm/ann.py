@@ -95,6 +95,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard: int = SH
         sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < math.inf)) & F.exists(e, lambda x: x != 0)
         return df.filter(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("vec_id").cast("long").alias("id"), e.alias("v"), F.size(e).alias("d"))
 
+    C.importable(vectors.sparkSession)
     base, asked = valid(vectors), valid(queries).dropDuplicates(["id"])
     shards, blocks = max(1, math.ceil(base.count() / shard)), max(1, math.ceil(asked.count() / BLOCK))
     places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

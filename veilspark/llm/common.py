@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,6 +23,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 1 / 1000
 
 _own: str | None = None
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers that start in another folder find this package; where they do anyway, it changes nothing."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, paths)])
+
+
 class Scratch:
     """Tables of one run in the shared folder. A written table cuts lineage and outlives any executor."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        importable(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -78,6 +89,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -107,6 +119,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 def map_text(df: DataFrame, column: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], dict[str, list]]], keep: list[str] | None = None, rows_at_once: int = 256) -> DataFrame:
     """df's columns (or ``keep`` of them), unchanged, with ``fields`` computed from a text column, null as empty text.
     ``make`` is called once a task; what it returns gets up to ``rows_at_once`` texts and gives a list for each field."""
+    importable(df.sparkSession)
     keep = df.columns if keep is None else keep
     names = [*keep, *(f.name for f in fields)]
 
