@@ -17,16 +17,25 @@ from veilspark.functions.names import is_sensitive_name
 
 #: Share of distinct values above which a column identifies; rows and share that make a column one of dates.
 NEAR_UNIQUE, DATE_ROWS, DATE_SHARE = 0.9, 200, 0.6
+#: Bytes above which a value may be counted by its digest.
+LONG = 64
 
 
 def is_numeric(field: T.StructField) -> bool:
     return isinstance(field.dataType, (T.NumericType, T.BooleanType))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """column, value (text), count; null is a value."""
+def value_counts(df: DataFrame, columns: Sequence[str] | None = None, digests: bool = False) -> DataFrame:
+    """column, value (text), count; null is a value. digests: long values are counted by their SHA-256, which is
+    enough for cardinalities and keeps whole texts out of the shuffle."""
     names = list(columns or df.columns)
-    cells = F.array(*(F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in names))
+
+    def text(name: str) -> Column:
+        c = F.col(f"`{name}`").cast("string")
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        return F.when(F.octet_length(c) > LONG, F.concat(F.lit("sha256:"), F.sha2(c, 256))).otherwise(c) if digests and is_text else c
+
+    cells = F.array(*(F.struct(F.lit(n).alias("column"), text(n).alias("value")) for n in names))
     return df.select(F.explode(cells).alias("c")).select("c.column", "c.value").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -68,7 +68,7 @@ for _t in _TABLES:
         SELECT col AS "column", count(*) AS n, round(CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / count(*), 2) AS pct_missing,
                count(DISTINCT v) AS cardinality FROM u GROUP BY col""",
         f"col_summary_{_t}",
-    )(lambda spark, sf, t=_t: profile.column_summary(profile.value_counts(table(spark, sf, t), _TABLES[t])))
+    )(lambda spark, sf, t=_t: profile.column_summary(profile.value_counts(table(spark, sf, t), _TABLES[t], digests=True)))
 
 for _n, (_t, _c) in _NUMBERS.items():
     _query(
@@ -113,7 +113,7 @@ def cardinality_cap(spark, sf):
 def near_unique_flags(spark, sf):
     out = None
     for t, cs in (("customer", ("c_name", "c_mktsegment")), ("part", ("p_name", "p_brand")), ("documents", ("text", "lang"))):
-        one = profile.near_unique(profile.column_summary(profile.value_counts(table(spark, sf, t), cs))).withColumn("column", F.concat(F.lit(f"{t}."), "column"))
+        one = profile.near_unique(profile.column_summary(profile.value_counts(table(spark, sf, t), cs, digests=True))).withColumn("column", F.concat(F.lit(f"{t}."), "column"))
         out = one if out is None else out.unionByName(one)
     return out
 
