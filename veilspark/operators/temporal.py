@@ -106,12 +106,14 @@ def clipped_histogram(values: DataFrame, thresholds: Thresholds = DEFAULTS) -> D
     # one row a metric, so these may be broadcast
     ends = rows.groupBy("metric").agg(F.percentile("value", F.array(F.lit(LOW), F.lit(HIGH))).alias("q"), F.count(F.lit(1)).alias("n"))
     ends = ends.filter((F.col("n") >= 2) & (F.col("q")[1] > F.col("q")[0])).select("metric", F.col("q")[0].alias("p_low"), F.col("q")[1].alias("p_high"))
+    ends = ends.withColumn("edges", N.nice_edges(F.col("p_low"), F.col("p_high")))
     inside = rows.join(F.broadcast(ends), "metric").filter(F.col("value").between(F.col("p_low"), F.col("p_high")))
-    grid = inside.groupBy("metric").agg(F.min("value").alias("a"), F.max("value").alias("b"), F.first("p_low").alias("l"), F.first("p_high").alias("h")).filter("a < b")
-    grid = grid.select("metric", N.nice_edges(F.col("l"), F.col("h")).alias("edges"))
-    binned = inside.join(F.broadcast(grid), "metric").groupBy("metric", "edges", N.bin_of(F.col("edges"), F.col("value")).alias("i"))
-    counts = binned.agg(F.count(F.lit(1)).alias("count"), F.countDistinct("sid").alias("n_subjects"))
-    counts = counts.filter((F.col("count") >= thresholds.bin_min_count) & (F.col("n_subjects") >= thresholds.k))
+    binned = inside.groupBy("metric", "edges", N.bin_of(F.col("edges"), F.col("value")).alias("i"))
+    counts = binned.agg(F.count(F.lit(1)).alias("count"), F.countDistinct("sid").alias("n_subjects"), F.min("value").alias("a"), F.max("value").alias("b"))
+    # one value alone in a metric would be pinned by its bin; a metric has few bins
+    every = Window.partitionBy("metric")
+    counts = counts.withColumn("spread", F.max("b").over(every) > F.min("a").over(every))
+    counts = counts.filter(F.col("spread") & (F.col("count") >= thresholds.bin_min_count) & (F.col("n_subjects") >= thresholds.k))
     return counts.select("metric", F.round(F.get("edges", F.col("i")), 4).alias("lo"), F.round(F.get("edges", F.col("i") + 1), 4).alias("hi"), "count", "n_subjects")
 
 
