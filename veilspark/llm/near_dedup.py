@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -174,16 +174,22 @@ class _Linker:
         self.made += 1
         return self.scratch.put_counted(df, f"{what}-{self.made}")
 
-    def test(self, pairs: DataFrame, texts: DataFrame) -> DataFrame | None:
-        """Verifies pairs (a < b, one row each) and links those that are near; None if there are none."""
+    def test(self, pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, int]:
+        """Verifies pairs (a < b, one row each): their similarity (None if there are no pairs), and how many link."""
         pairs, n = self.put(pairs, "pairs")
         if not n:
-            return None
-        done, _ = self.put(verify(pairs, texts, self.words), "tested")
-        self.edges.append(done.filter(F.col("both") * 100 >= F.col("every") * self.percent).select("a", "b"))
+            return None, 0
         self.made += 1
-        self.of = components(self.scratch, C.union_all(self.edges), f"components-{self.made}")
-        return done
+        seen, near = Observation(), F.col("both") * 100 >= F.col("every") * self.percent
+        done = self.scratch.put(verify(pairs, texts, self.words).withColumn("near", near).observe(seen, F.count_if("near").alias("n")), f"tested-{self.made}")
+        self.edges.append(done.filter("near").select("a", "b"))
+        return done, seen.get["n"]
+
+    def connect(self) -> None:
+        """Components of all links found so far."""
+        if self.edges:
+            self.made += 1
+            self.of = components(self.scratch, C.union_all(self.edges), f"components-{self.made}")
 
     def labelled(self, rows: DataFrame, rep: str = "rep", name: str = "component") -> DataFrame:
         """rows with the component of ``rep`` so far."""
@@ -201,14 +207,15 @@ class _Linker:
         """members: key (of a bucket), rep, n. texts: rep, text.
 
         First each bucket's smallest member meets all others, which settles most groups of copies of any size with
-        one pair a member and bucket. Buckets whose members then lie in several components go on. Of each member x, u
+        one pair a member and bucket. Buckets with members that aren't linked with it go on. Of each member x, u
         counts the shingles that no other member of these buckets has. The member p with the least u, which edits
         changed least, is the bucket's pivot and meets all others, which gives d(x), the size of the symmetric
         difference of x and p. As x's own shingles aren't in y, at most d(x) - u(x) elements of x's difference are in
-        y's, so the difference of x and y has at least d(y) - d(x) + 2 u(x) elements, and likewise the other way
-        round; but a link allows only (100 - percent) / (100 + percent) of the sum of their sizes. So no link is lost
-        if only those pairs between components are verified that these bounds allow. They hardly allow any, and the
-        greatest d - 2 u of a bucket tells beforehand which members can have one."""
+        y's; and what both lost of p is at most what either lost, what both gained at most what either gained but for
+        its own. This bounds the part s that the differences share, and x and y differ in d(x) + d(y) - 2 s elements
+        or more; but a link allows only (100 - percent) / (100 + percent) of the sum of their sizes. So no link is
+        lost if only those pairs between components are verified that the bound allows. The greatest d - 2 u of a
+        bucket tells beforehand which members can be in one."""
         centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
         met = members.join(centres.select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na")).hint("merge"), "key")
         met, n = self.put(met, "met")
@@ -216,17 +223,22 @@ class _Linker:
             return
         texts, _ = self.put(texts.join(met.select("rep").distinct().hint("merge"), "rep", "left_semi"), "texts")
         close = F.least("n", "na") * 100 >= F.greatest("n", "na") * self.percent
-        self.test(met.filter((F.col("rep") != F.col("a")) & close).select("a", F.col("rep").alias("b")).distinct(), texts)
-
-        left, n = self.put(self.mixed(self.labelled(met.select("key", "rep", "n"))).select("key", "rep", "n"), "mixed")
+        done, _ = self.test(met.filter((F.col("rep") != F.col("a")) & close).select("a", F.col("rep").alias("b")).distinct(), texts)
+        left = met.withColumn("near", F.col("rep") == F.col("a"))
+        if done is not None:
+            direct = done.filter("near").select("a", F.col("b").alias("rep"), F.lit(True).alias("linked"))
+            left = met.join(direct.hint("merge"), ["a", "rep"], "left").withColumn("near", F.col("linked") | (F.col("rep") == F.col("a")))
+        apart = left.groupBy("key").agg(F.count_if(F.coalesce("near", F.lit(False))).alias("k"), F.count(F.lit(1)).alias("m")).filter("k < m").select("key")
+        left, n = self.put(left.join(apart.hint("merge"), "key", "left_semi").select("key", "rep", "n"), "apart")
         if not n:
-            return
+            return self.connect()
         own = own_shingles(texts.join(left.select("rep").distinct().hint("merge"), "rep", "left_semi"), self.words)
         left = left.join(own.hint("merge"), "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
         left, _ = self.put(left, "own")
         pivots = left.groupBy("key").agg(F.min(F.struct("u", "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("np"))
         left, _ = self.put(left.join(pivots.hint("merge"), "key").withColumns({"a": F.least("p", "rep"), "b": F.greatest("p", "rep")}), "pivots")
-        done = self.test(left.filter("a <> b").select("a", "b").distinct(), texts)
+        done, _ = self.test(left.filter("a <> b").select("a", "b").distinct(), texts)
+        self.connect()
         left = self.mixed(self.labelled(left)).join(done.hint("merge"), ["a", "b"])
         lost, gained = F.col("np") - F.col("both"), F.col("n") - F.col("both") - F.col("u")
         left = left.select("key", "rep", "n", "u", (F.col("every") - F.col("both")).alias("d"), lost.alias("lost"), gained.alias("gained"), "p", "component")
@@ -248,7 +260,8 @@ class _Linker:
         # a pair is in several buckets; the first that both have stands for all
         once = F.array_min(F.array_intersect("keys", "keys_y")) == left["key"]
         pairs = left.join(few.hint("merge"), (left["key"] == few["key"]) & allowed & once).select(F.least("rep", "rep_y").alias("a"), F.greatest("rep", "rep_y").alias("b"))
-        self.test(pairs.distinct(), texts)
+        if self.test(pairs.distinct(), texts)[1]:
+            self.connect()
 
 
 def own_shingles(texts: DataFrame, words: int) -> DataFrame:
@@ -280,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     spark = docs.sparkSession
     scratch = C.Scratch(spark, "near-dedup")
-    rows = scratch.put(sketch_documents(docs, words, percent), "sketches")
+    rows, n = scratch.put_counted(sketch_documents(docs, words, percent), "sketches")
     whole = rows.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     sets = scratch.put(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "sets")
     # the rows that stand for the sets, with their band keys
@@ -291,7 +304,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     linker.link(reps.select(F.explode("keys").alias("key"), "rep", "n"), texts)
     labelled = scratch.put(linker.labelled(sets.select("digest", "rep", "copies")), "labelled").select("digest", "component", "copies")
     scratch.keep("sketches", "labelled")
-    n = rows.count()
     slim = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     found = C.join_hot(slim.filter("digest IS NOT NULL"), labelled, "digest", F.col("copies") >= C.HOT_SHARE * n, "inner").select("doc_id", "n", "component")
     out = found.unionByName(slim.filter("digest IS NULL").select("doc_id", "n", F.col("doc_id").alias("component")))
