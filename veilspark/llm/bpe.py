@@ -19,7 +19,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words that the rolling hash covers; chunks have 2 ** BORDER_BITS words on average, and MAX_WORDS at most.
 WINDOW, BORDER_BITS, MAX_WORDS = 4, 6, 512
 #: A task's dictionary of chunks is emptied beyond so many characters, that of words renewed beyond so many, which costs encoding again, never a result.
-CACHE_CHARS, CACHE_WORDS = 6_000_000, 250_000
+CACHE_CHARS, CACHE_WORDS = 6_000_000, 400_000
 
 #: A piece is a word with the white space before it; all white space that Python and the tokenizer both call so.
 _PIECE = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
@@ -66,7 +66,7 @@ class ChunkCoder:
         n = len(pieces)
         if n <= WINDOW:
             return [text] if text else []
-        own = np.fromiter((hash(x) for x in pieces), np.int64, n).view(np.uint64)
+        own = np.fromiter(map(hash, pieces), np.int64, n).view(np.uint64)
         rolled = own.copy()
         for k in range(1, WINDOW):
             rolled[k:] += own[:-k] * np.uint64(0x9E3779B97F4A7C15 ** (k + 1) % 2**64)
@@ -91,11 +91,12 @@ class ChunkCoder:
         new = [x for x in dict.fromkeys(chunks) if x not in self.chunks]
         self.encoded += len(new)
         self.reused += len(chunks) - len(new)
-        words, cut = self.words, [_GAP.split(x) for x in new]
-        self.learn({w for ws in cut for w in ws})
+        cut = [_GAP.split(x) for x in new]
+        self.learn(set().union(*cut))
+        words = self.words
         for x, ws in zip(new, cut, strict=True):
-            found = [words[w] for w in ws]
-            self.chunks[x] = b"".join([i for i, _ in found]), " ".join([t for _, t in found if t])
+            ids, texts = zip(*map(words.__getitem__, ws), strict=True)
+            self.chunks[x] = b"".join(ids), " ".join(filter(None, texts))
             self.chars += len(x) + 100
 
     def learn(self, words: set[str]) -> None:
