@@ -7,7 +7,7 @@ from tests.llm.helpers import documents, odd
 from veilspark.llm import bpe
 
 CODER = bpe.ChunkCoder(bpe.tokenizer_path())
-HARD = ["", "a", "  a  b\n\nc ", "x<|endoftext|>y z <|startoftext|>", "́ á á", "a b\r\n c\x0b\x0cd", "ΣΑΣ ΟΔΟΣ İ " * 40, "ab" * 3000 + " " + "c" * 5000 + "  \t\n " * 30 + "don't 's 'd ", "ẞ Ω Å"]
+HARD = ["", "a b \r\n c \x0b d \u2003 e", "a", "  a  b\n\nc ", "x<|endoftext|>y z <|startoftext|>", "́ á á", "a b\r\n c\x0b\x0cd", "ΣΑΣ ΟΔΟΣ İ " * 40, "ab" * 3000 + " " + "c" * 5000 + "  \t\n " * 30 + "don't 's 'd ", "ẞ Ω Å"]
 
 
 def exact(text):
