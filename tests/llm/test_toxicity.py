@@ -39,6 +39,19 @@ def test_hidden_words(trained, hidden):
     assert any(w in found for w in (*BAD, "worthles")), found
 
 
+@pytest.mark.parametrize(("hidden", "word"), [("10$3r", "loser"), ("5(um", "scum"), ("$tuup1d", "stupid"), ("1d107", "idiot"), ("1053r", "loser"), ("5tuup1d", "stupid"), ("stuupid", "stupid"), ("iddiot", "idiot"), ("idiioott", "idiot"), ("s" * 40 + "c" * 40 + "um", "scum")])
+def test_words_of_few_letters_doubled_letters_or_great_length(trained, hidden, word):
+    found = X.Restorer(trained[2]).hits(f"bara leti {hidden} moke")
+    assert word in found, found
+
+
+def test_words_of_signs_only():
+    model = X.Model(np.full(X._CODES**3, -3.0), {"ass": 4.0}, {})
+    for hidden in ("@$$", "a$$", "@55", "(@$$)", "455!"):
+        assert X.Restorer(model).hits(f"so {hidden} it") == {"ass": 4.0}, hidden
+    assert X.Restorer(model).hits("192.168.0.1 2024-01-02 $$$ 10,000 55") == {}
+
+
 @pytest.mark.parametrize("clean", ["bara leti moke 192.168.0.1 2024-01-02", "a b c bara", "mail me@example.com, 3rd 10th b2b", "moke!!! *** $$$ leti%%% ###", ""])
 def test_clean_texts(trained, clean):
     assert X.Restorer(trained[2]).hits(clean) == {}

@@ -28,7 +28,7 @@ LEXICON, LEAST_DOCS, LEAST_DOCS_PREFIX = 20_000, 4, 8
 LEAST_WEIGHT = 2.0
 #: Lengths of the beginnings of words that are entries too, for inflected and compound forms.
 PREFIXES = (4, 5, 6)
-#: Paths that a lattice state keeps, and letters of a token beyond which no lattice is made.
+#: Paths that a lattice state keeps, and most letters of one word in a span of single characters.
 PATHS, LONGEST = 4, 64
 #: Distinct words whose weights a task remembers.
 REMEMBERED = 300_000
@@ -47,6 +47,8 @@ _ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 _EDGE = " \t\n\r\x0b\x0c.,;:?()[]{}<>\"'`“”„«»…/\\=&"
 _STRAIGHT = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\Z")
 _RUN = re.compile(r"(.)\1\1|(?:(.)\2){3}")
+#: A doubled letter, and a longer run of what can't stand for a letter each.
+_TWICE, _LONG_RUN = re.compile(r"([^\W\d_])\1"), re.compile(r"([^*#%])\1{2,}")
 _WIDE = re.compile(r"(?<=\S)[ ]{2,}(?=\S)")
 
 _CODES = 64
@@ -67,6 +69,11 @@ class Model:
     prefixes: dict[str, float]
     #: Logistic weights of features(), the last for 1.
     weights: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.5, 0.5, -4.0]))
+    #: Every beginning of an entry: the nodes of a trie.
+    stems: set[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.stems = {w[:i] for w in (*self.lexicon, *self.prefixes) for i in range(len(w) + 1)}
 
 
 def word_weight(model: Model, word: str) -> float:
@@ -87,18 +94,77 @@ def core(token: str) -> str:
     return token[:end] if len(tail) > 1 or tail in "!|*.,-_~%#&+" else token
 
 
-def decode(model: Model, token: str) -> str:
+def whole(token: str) -> list[str]:
+    """The token with the signs at its ends that may stand for letters, where it has some."""
+    bare = token.strip(_EDGE)
+    out = [bare] if bare and bare[-1] in LEET and not bare[-1].isdigit() else []
+    if "(" in token and ")" not in token and (open_ := token.strip(_EDGE.replace("(", ""))) != bare:
+        out.append(open_)
+    return out
+
+
+def choices(c: str, last: str) -> tuple[list[tuple[str, float]], float | None]:
+    """What a character after ``last`` may stand for, with costs, and the cost of leaving it out, if it may be."""
+    said = [(c, 0.0 if c.isalpha() else AS_ITSELF)]
+    said += [(x, AS_LETTER) for x in LEET.get(c, "")]
+    if c in _WILD:
+        said += [(x, FILLED) for x in _VOWELS]
+    return said, REPEATED if c == last and (c.isalpha() or c in LEET) else LEFT_OUT if c in _DROPPED or c in _WILD else None
+
+
+def readings(model: Model, token: str, start: int = 0, most: int | None = None) -> list[tuple[int, float, str]]:
+    """All lexicon words that the token from ``start`` on can stand for: where they end, their log probabilities, and
+    they. The search runs along the trie of the entries, so none is left out; of the rest of a word that begins with an
+    entry, the likeliest reading counts."""
+    logs, stems, prefixes = model.trigrams, model.stems, model.prefixes
+    inside: dict[str, tuple[float, int, int]] = {"": (0.0, 0, 0)}
+    after: dict[tuple[str, int, int], tuple[float, str]] = {}
+    out, last = [], ""
+    for j in range(start, len(token) if most is None else min(len(token), start + most)):
+        c = token[j]
+        said, skip = choices(c, last)
+        last = c
+        new: dict[str, tuple[float, int, int]] = {}
+        rest: dict[tuple[str, int, int], tuple[float, str]] = {}
+        for w, (s, a, b) in inside.items():
+            for x, cost in said:
+                to = w + x
+                begun = w in prefixes
+                if begun or to in stems:
+                    code = char_code(x)
+                    step = s + logs[a * 4096 + b * 64 + code] - cost
+                    if to in stems and (to not in new or new[to][0] < step):
+                        new[to] = (step, b, code)
+                    if begun and ((w, b, code) not in rest or rest[w, b, code][0] < step):
+                        rest[w, b, code] = (step, to)
+            if skip is not None and (w not in new or new[w][0] < s - skip):
+                new[w] = (s - skip, a, b)
+        for (e, a, b), (s, w) in after.items():
+            for x, cost in said:
+                code = char_code(x)
+                step = s + logs[a * 4096 + b * 64 + code] - cost
+                if (e, b, code) not in rest or rest[e, b, code][0] < step:
+                    rest[e, b, code] = (step, w + x)
+            if skip is not None and ((e, a, b) not in rest or rest[e, a, b][0] < s - skip):
+                rest[e, a, b] = (s - skip, w)
+        inside, after = new, rest
+        if not inside and not after:
+            break
+        if most is not None or j + 1 == len(token):
+            out += [(j + 1, s + logs[a * 4096 + b * 64], w) for w, (s, a, b) in inside.items() if w in model.lexicon]
+            out += [(j + 1, s + logs[a * 4096 + b * 64], w) for (_, a, b), (s, w) in after.items()]
+    return out
+
+
+def decode(model: Model, token: str, known: list[tuple[int, float, str]] | None = None) -> str:
     """The likeliest word behind a token: a Viterbi search over what its characters may stand for, with the last two
-    letters as state and the best PATHS paths of each, then the best of all with what the lexicon adds."""
+    letters as state and the best PATHS paths of each, then the best of these and of all lexicon readings, which gain
+    KNOWN."""
     logs = model.trigrams
     beams: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
     last = ""
     for c in token:
-        said = [(c, 0.0 if c.isalpha() else AS_ITSELF)]
-        said += [(x, AS_LETTER) for x in LEET.get(c, "")]
-        if c in _WILD:
-            said += [(x, FILLED) for x in _VOWELS]
-        skip = REPEATED if c == last and c.isalpha() else LEFT_OUT if c in _DROPPED or c in _WILD else None
+        said, skip = choices(c, last)
         last = c
         new: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), paths in beams.items():
@@ -113,6 +179,7 @@ def decode(model: Model, token: str) -> str:
         if len(beams) > 200:
             beams = dict(heapq.nlargest(200, beams.items(), key=lambda kv: kv[1][0]))
     ends = [(s + logs[a * 4096 + b * 64] + (KNOWN if word_weight(model, w) else 0.0), w) for (a, b), v in beams.items() for s, w in v]
+    ends += [(s + KNOWN, w) for _, s, w in (readings(model, token) if known is None else known)]
     return max(ends)[1] if ends else token
 
 
@@ -136,20 +203,29 @@ class Restorer:
     def word(self, token: str) -> tuple[str, float]:
         """The token's restored word, and its weight."""
         w = core(token)
-        if not w:
-            return w, 0.0
-        if (weight := word_weight(self.model, w)) or len(w) > LONGEST:
+        if w and (weight := word_weight(self.model, w)):
             return w, weight
         if "-" in w or "'" in w:
             parts = [p for p in re.split(r"[-'’]", w) if len(p) > 2]
             best = max(((word_weight(self.model, p), p) for p in parts), default=(0.0, w))
             if best[0]:
                 return best[1], best[0]
+        for x in dict.fromkeys((w, *whole(token))):
+            if x and (not _STRAIGHT.match(x) or _TWICE.search(x)):
+                x = _LONG_RUN.sub(r"\1\1", x)
+                if known := readings(self.model, x):
+                    new = decode(self.model, x, known)
+                    if weight := word_weight(self.model, new):
+                        return new, weight
+        return w, 0.0
+
+    def unknown(self, token: str) -> str:
+        """The likeliest reading of a token that hides no lexicon word; numbers and plain words stay."""
+        w = core(token)
         letters = sum(c.isalpha() for c in w)
-        if (_STRAIGHT.match(w) and not _RUN.search(w)) or letters < 2 or (letters < len(w) / 3):
-            return w, 0.0
-        w = decode(self.model, w)
-        return w, word_weight(self.model, w)
+        if len(w) > LONGEST or (_STRAIGHT.match(w) and not _RUN.search(w)) or letters < 2 or letters < len(w) / 3:
+            return w
+        return decode(self.model, w, [])
 
     def spaced(self, span: str) -> tuple[str, float]:
         """A span of single characters: the word they spell, unless they are likelier to stand apart."""
@@ -171,7 +247,11 @@ class Restorer:
 
         def one(m: re.Match) -> str:
             w = core(m[0])
-            new = self.word(m[0])[0]
+            new, weight = self.word(m[0])
+            if weight and w != new and word_weight(self.model, w) == 0 and (full := whole(m[0])):
+                w = max((x for x in (w, *full) if x), key=len)
+            elif not weight:
+                new = self.unknown(m[0])
             return m[0].replace(w, new, 1) if w and new != w else m[0]
 
         return re.sub(r"\S+", one, text)
