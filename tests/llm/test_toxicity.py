@@ -52,6 +52,11 @@ def test_words_of_signs_only():
     assert X.Restorer(model).hits("192.168.0.1 2024-01-02 $$$ 10,000 55") == {}
 
 
+@pytest.mark.parametrize(("hidden", "words"), [("s t u p ! d", ["stupid"]), ("$ t u p i d", ["stupid"]), ("you are a s t u p i d one", ["stupid"]), ("a l o s e r", ["loser"]), ("i d i o t s t u p i d", ["idiot", "stupid"]), ("1.d.1.0.t $.c.u.m", ["idiot", "scum"]), ("i d i o t", ["idiot"])])
+def test_spaced_words_with_signs_and_neighbours(trained, hidden, words):
+    assert set(X.Restorer(trained[2]).hits(f"bara leti {hidden} moke")) == set(words)
+
+
 @pytest.mark.parametrize("clean", ["bara leti moke 192.168.0.1 2024-01-02", "a b c bara", "mail me@example.com, 3rd 10th b2b", "moke!!! *** $$$ leti%%% ###", ""])
 def test_clean_texts(trained, clean):
     assert X.Restorer(trained[2]).hits(clean) == {}

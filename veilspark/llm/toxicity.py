@@ -42,7 +42,8 @@ AS_LETTER, AS_ITSELF, LEFT_OUT, REPEATED, FILLED = 0.5, 3.0, 1.5, 0.4, 2.5
 #: What a word of the lexicon gains over one that isn't.
 KNOWN = 9.0
 
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_*·~]{1,3}[^\W_]){2,}(?![^\W_])")
+_SINGLE = r"(?:[^\W_]|[@$!|+(€£¡¢§])"
+_SPACED = re.compile(rf"(?<![^\W_]){_SINGLE}(?:[ .\-_*·~]{{1,3}}{_SINGLE}){{2,}}(?![^\W_])")
 _ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 _EDGE = " \t\n\r\x0b\x0c.,;:?()[]{}<>\"'`“”„«»…/\\=&"
 _STRAIGHT = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*\Z")
@@ -183,15 +184,39 @@ def decode(model: Model, token: str, known: list[tuple[int, float, str]] | None
     return max(ends)[1] if ends else token
 
 
-def apart(model: Model, letters: str) -> float:
-    """Log probability of the letters as words of one letter each."""
-    codes = [char_code(c) for c in letters]
-    return sum(model.trigrams[c] + model.trigrams[c * 64] for c in codes)
-
-
-def joined(model: Model, letters: str) -> float:
-    codes = [0, 0, *(char_code(c) for c in letters), 0]
-    return sum(model.trigrams[a * 4096 + b * 64 + c] for a, b, c in zip(codes, codes[1:], codes[2:], strict=False))
+def segment(model: Model, letters: str) -> list[str]:
+    """The likeliest words behind single characters: a Viterbi search with the last two letters as state, in which a
+    border may follow any letter, and every lexicon reading is an edge between two borders that gains KNOWN."""
+    logs = model.trigrams
+    borders: list[tuple[float, tuple]] = [(-math.inf, ())] * (len(letters) + 1)
+    borders[0] = (0.0, ())
+    states: dict[tuple[int, int], tuple[float, str, tuple]] = {}
+    last = ""
+    for i, c in enumerate(letters):
+        at, words = borders[i]
+        for j, s, w in readings(model, letters, i, LONGEST):
+            if at + s + KNOWN > borders[j][0]:
+                borders[j] = (at + s + KNOWN, (words, w))
+        said, skip = choices(c, last)
+        last = c
+        new: dict[tuple[int, int], tuple[float, str, tuple]] = {}
+        for (a, b), (s, w, before) in [*states.items(), ((0, 0), (at, "", words))]:
+            for x, cost in said:
+                code = char_code(x)
+                step = s + logs[a * 4096 + b * 64 + code] - cost
+                if (b, code) not in new or new[b, code][0] < step:
+                    new[b, code] = (step, w + x, before)
+            if skip is not None and w and ((a, b) not in new or new[a, b][0] < s - skip):
+                new[a, b] = (s - skip, w, before)
+        states = new
+        for (a, b), (s, w, before) in states.items():
+            if s + logs[a * 4096 + b * 64] > borders[i + 1][0]:
+                borders[i + 1] = (s + logs[a * 4096 + b * 64], (before, w))
+    out, words = [], borders[-1][1]
+    while words:
+        words, w = words
+        out.append(w)
+    return out[::-1]
 
 
 class Restorer:
@@ -227,18 +252,15 @@ class Restorer:
             return w
         return decode(self.model, w, [])
 
-    def spaced(self, span: str) -> tuple[str, float]:
-        """A span of single characters: the word they spell, unless they are likelier to stand apart."""
+    def spaced(self, span: str) -> tuple[str, dict[str, float]]:
+        """A span of single characters: the words they spell, unless they are likelier to stand apart, and the weights
+        of those in the lexicon."""
         if len(words := _WIDE.split(span)) > 1 and all(len(w) > 1 for w in words):  # wider gaps part words
             done = [self.spaced(w) for w in words]
-            best = max(done, key=lambda d: d[1])
-            return (" ".join(w for w, _ in done), 0.0) if not best[1] else best
-        letters = "".join(c for c in span if c.isalnum() or c in LEET)
-        word = decode(self.model, letters)
-        weight = word_weight(self.model, word)
-        if weight or joined(self.model, word) > apart(self.model, letters):
-            return word, weight
-        return span, 0.0
+            return " ".join(w for w, _ in done), {k: v for _, found in done for k, v in found.items()}
+        words = segment(self.model, "".join(c for c in span if c.isalnum() or c in LEET))
+        found = {w: weight for w in words if (weight := word_weight(self.model, w))}
+        return (" ".join(words) if any(len(w) > 1 for w in words) else span), found
 
     def restore(self, text: str) -> str:
         """The lower-cased text with hidden words put in their place."""
@@ -272,9 +294,7 @@ class Restorer:
                 out[found[0]] = max(found[1], out.get(found[0], 0.0))
         if _SPACED.search(text):
             for m in _SPACED.finditer(text):
-                word, weight = self.spaced(m[0])
-                if weight:
-                    out[word] = weight
+                out.update(self.spaced(m[0])[1])
         return out
 
 
