@@ -74,6 +74,17 @@ def test_odd_rows_and_missing_labels(spark, trained):
     assert {r.predicted for r in none.collect()} == {0}
 
 
+def test_only_near_copies_share_a_key(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    by_key: dict = {}
+    for r in rows:
+        by_key.setdefault(X._alike(r.text or ""), []).append({*zip(w := (r.text or "").lower().split(), w[1:], w[2:])})
+    assert len(by_key) > 0.8 * len({r.text for r in rows})
+    for first, *others in by_key.values():
+        assert all(len(first & x) >= 0.3 * len(first | x) for x in others)
+    assert X._alike("a b c d") == X._alike("A b  c d") != X._alike("a b d c")
+
+
 def test_logistic_model_parts_two_classes():
     x = np.array([[0.0, 0, 0, 1]] * 50 + [[5.0, 3, 1, 1]] * 20)
     w = X.fit_logistic(x, np.array([0] * 50 + [1] * 20))

@@ -356,11 +356,15 @@ def _entries(text: str) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
 
 
-def _alike(text: str) -> int:
-    """The same for most near copies: two least hashes of a text's words."""
-    words = set(text.lower().split())
-    values = np.sort(pd.util.hash_array(np.array(list(words), object), categorize=False)) if words else np.zeros(1, np.uint64)
-    return int((values[0] ^ (values[min(1, len(values) - 1)] << np.uint64(1))).astype(np.int64))
+_MIXERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+
+
+def _alike(text: str) -> bytes:
+    """The same for many near copies only: four independent least hashes of a text's runs of three words."""
+    words = text.lower().split()
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    values = pd.util.hash_array(np.array(list(runs), object), categorize=False)
+    return b"".join((values * np.uint64(m) ^ (values * np.uint64(m) >> np.uint64(29))).min().tobytes() for m in _MIXERS)
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
@@ -372,8 +376,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     part = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1e6 * min(1.0, rows / max(n, 1)))
     few = F.broadcast(labels.filter(part))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").join(few, "doc_id")
-    own = C.map_text(own, "text", [T.StructField("alike", T.LongType())], lambda: lambda ts: {"alike": [_alike(t) for t in ts]})
-    own = scratch.put(own.dropDuplicates(["alike", "y"]).select("text", "y"), "labelled")
+    own = C.map_text(own, "text", [T.StructField("alike", T.BinaryType())], lambda: lambda ts: {"alike": [_alike(t) for t in ts]})
+    own = scratch.put(own.groupBy("alike", "y").agg(F.min(F.struct("doc_id", "text")).alias("least")).select("least.text", "y"), "labelled")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: Counter = Counter()
