@@ -58,6 +58,20 @@ def test_exchange_finds_alternating_classes():
     assert of[0] == of[1] != of[2] == of[3]
 
 
+def test_every_training_word_has_the_class_of_its_neighbours(spark, monkeypatch):
+    """Rare words of two kinds: each kind stands between words of its own, whatever the words' endings."""
+    from veilspark.llm import common as C
+
+    monkeypatch.setattr(B, "CLUSTERED", 4)
+    rows = [(i, " ".join(f"a{i % 2} x{i}{j}q b{i % 2}" if i % 2 else f"a{i % 2} y{i}{j}q b{i % 2}" for j in range(5))) for i in range(200)]
+    scratch = C.Scratch(spark, "test")
+    m, others = B.train_classes(documents(spark, rows), scratch, classes=8)
+    of = {r.word.decode(): r["class"] for r in others.collect()}
+    assert len(of) == 1000 and sum(r.c for r in others.collect()) == 1000
+    assert len({c for w, c in of.items() if w[0] == "x"}) == 1 == len({c for w, c in of.items() if w[0] == "y"}) and len(set(of.values())) == 2
+    assert B.grown(B.CLASSES, 8 * B.DISTINCT) == 2 * B.CLASSES and B.grown(B.CLUSTERED, 8 * B.DISTINCT) == 2 * B.CLUSTERED
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     out = B.score(docs, docs).collect()

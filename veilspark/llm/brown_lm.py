@@ -20,9 +20,11 @@ from veilspark.llm import common as C
 
 #: The end of a text, counted as a token; no word, as it holds white space.
 END = b" "
-#: Words of their own in the clustering, and buckets by ending (twice so many: with and without punctuation) that
-#: stand for all other words. The counts between them are at most (CLUSTERED + 2 * ENDINGS + 1) ** 2 numbers.
+#: Least number of words that are exchanged on the driver, buckets by ending (twice so many: with and without
+#: punctuation) that stand for all other words meanwhile and later for unseen ones, least number of classes, and sweeps.
+#: Exchanged words and classes grow with the cube root of the distinct words beyond DISTINCT.
 CLUSTERED, ENDINGS, CLASSES, SWEEPS = 2048, 256, 64, 4
+DISTINCT = 262_144
 #: Most frequent words whose counts every task holds; the others' are joined.
 HELD = 65_536
 #: Added to counts of words, and weight of the class's own frequency in a transition.
@@ -46,7 +48,7 @@ def bucket(word: bytes) -> int:
 
 @dataclass
 class Classes:
-    """A model in its bounded parts. Units are clustered words, then buckets, then the end of a text."""
+    """A model without the words that aren't held. Units are held words, then buckets, then the end of a text."""
 
     words: list[bytes]
     counts: np.ndarray
@@ -97,34 +99,156 @@ def count_words(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, bucket int, c long").groupBy("word", "bucket").agg(F.sum("c").alias("c"))
 
 
+def grown(least: int, distinct: int) -> int:
+    return round(least * max(1.0, distinct / DISTINCT) ** (1 / 3))
+
+
+def _sum(at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(at, return_inverse=True)
+    return keys, np.bincount(place, k, len(keys)).astype(np.int64)
+
+
 def count_pairs(train: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often a unit follows another, for those that do; before a text's first token stands an end."""
-    n = CLUSTERED + 2 * ENDINGS + 1
+    core = len(words)
+    n = core + 2 * ENDINGS + 1
     shared = train.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _places(shared.value)
-        sums = np.zeros(n * n, np.int32)
+        places, pairs, times, size = _places(shared.value), [], [], 0
         for batch in batches:
             if len(places) > AT_ONCE:
                 places = _places(shared.value)
             for i in range(0, batch.num_rows, 200):
-                flat: list[int] = [CLUSTERED + 2 * ENDINGS]
+                flat: list[int] = [n - 1]
                 for t in batch.column(0).slice(i, 200).to_pylist():
                     flat += map(places.__getitem__, tokens(t))
-                    flat.append(CLUSTERED + 2 * ENDINGS)
+                    flat.append(n - 1)
                 units = np.array(flat)
-                units = np.where(units < 0, CLUSTERED - 1 - units, units)
+                units = np.where(units < 0, core - 1 - units, units)
                 at, k = np.unique(units[:-1] * n + units[1:], return_counts=True)
-                sums[at] += k.astype(np.int32)
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], ["pair", "n"])
-
-    got = train.select("text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+                pairs.append(at)
+                times.append(k)
+                size += len(at)
+                if size > 3_000_000:
+                    at, k = _sum(np.concatenate(pairs), np.concatenate(times))
+                    pairs, times, size = [at], [k], len(at)
+                    if size > 1_500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(k, pa.int64())], ["pair", "n"])
+                        pairs, times, size = [], [], 0
+        if pairs:
+            at, k = _sum(np.concatenate(pairs), np.concatenate(times))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(k, pa.int64())], ["pair", "n"])
+
+    got = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, k = got.column("pair").to_numpy(), got.column("n").to_numpy().astype(float)
     return pair // n, pair % n, k
 
 
+class _Ids(dict):
+    """word: its place among the exchanged words, or -1 - its number among the others met."""
+
+    def __init__(self, words: list[bytes], bucket_class: np.ndarray) -> None:
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.others: list[bytes] = []
+        self.classes: list[int] = []
+        self.bucket_class = bucket_class
+
+    def __missing__(self, word: bytes) -> int:
+        self.others.append(word)
+        self.classes.append(int(self.bucket_class[bucket(word)]))
+        self[word] = at = -len(self.others)
+        return at
+
+
+def assign(train: DataFrame, words: list[bytes], of: np.ndarray, grid: np.ndarray) -> DataFrame:
+    """word, c, class of every word that wasn't exchanged: the class that raises the likelihood most, by the word's own
+    counts of the classes after and before it, which are summed up by word."""
+    classes = len(grid)
+    shared = train.sparkSession.sparkContext.broadcast((words, of, grid))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, of, _ = shared.value
+        core, core_class = len(words), of[: len(words)]
+        ids, keys, times = _Ids(words, of[core:-1]), [], []
+
+        def rows() -> pa.RecordBatch:
+            at, k = _sum(np.concatenate(keys), np.concatenate(times)) if keys else (np.zeros(0, np.int64),) * 2
+            own, first = np.unique(at // (2 * classes), return_index=True)
+            ends = pa.array(np.append(first, len(at)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (at % (2 * classes), k)]
+            return pa.RecordBatch.from_arrays([pa.array([ids.others[i] for i in own], pa.binary()), *lists], ["word", "code", "n"])
+
+        size = 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                flat: list[int | None] = [core]
+                for t in batch.column(0).slice(i, 200).to_pylist():
+                    flat += map(ids.__getitem__, tokens(t))
+                    flat.append(core)
+                at = np.array(flat)
+                known = np.append(core_class, of[-1])
+                met = np.array(ids.classes + [0])
+                kinds = np.where(at >= 0, known[np.maximum(at, 0)], met[np.where(at < 0, -1 - at, 0)])
+                where = np.flatnonzero(at < 0)
+                own = (-1 - at[where]) * (2 * classes)
+                key, k = np.unique(np.concatenate([own + kinds[where + 1], own + classes + kinds[where - 1]]), return_counts=True)
+                keys.append(key)
+                times.append(k)
+                size += len(key)
+                if size > 3_000_000 or len(ids.others) > AT_ONCE:
+                    yield rows()
+                    ids, keys, times, size = _Ids(words, of[core:-1]), [], [], 0
+        yield rows()
+
+    def f(x: np.ndarray) -> np.ndarray:
+        return x * np.log(np.maximum(x, 1.0))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = shared.value[2]
+        both = np.concatenate([grid.T, grid])
+        f_both, after, before = f(both), grid.sum(1), grid.sum(0)
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            word = t.column("word").to_pylist()
+            new = np.array([True, *(a != b for a, b in zip(word, word[1:], strict=False))])
+            of_row = np.cumsum(new) - 1
+            lengths = np.array([len(x) for x in t.column("n")])
+            code, n = (np.concatenate([x.flatten().to_numpy() for x in t.column(c).chunks]) for c in ("code", "n"))
+            key, n = _sum(np.repeat(of_row, lengths) * (2 * classes) + code, n)
+            own, code = key // (2 * classes), key % (2 * classes)
+            first = np.searchsorted(own, np.arange(of_row[-1] + 2))
+            best, c = np.zeros(len(first) - 1, np.int32), np.bincount(own, n * (code >= classes), len(first) - 1)
+            for i in range(0, len(best), 500):
+                j = min(i + 500, len(best))
+                part = slice(first[i], first[j])
+                gain = np.add.reduceat(f(both[code[part]] + n[part, None]) - f_both[code[part]], first[i:j] - first[i])
+                gain -= f(after + c[i:j, None]) + f(before + c[i:j, None]) - f(after) - f(before)
+                best[i:j] = np.argmax(gain[:, :-1], 1)
+            at = np.flatnonzero(new)
+            return pa.RecordBatch.from_arrays([pa.array([word[x] for x in at], pa.binary()), pa.array(c.astype(np.int64)), pa.array(best)], ["word", "c", "class"])
+
+        left: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if left is None else pa.concat_tables([left, t])
+            word, n = t.column("word"), t.num_rows
+            k = n - 1
+            while k and word[k - 1] == word[n - 1]:
+                k -= 1
+            left = t.slice(k)
+            if k:
+                yield done(t.slice(0, k))
+        if left is not None:
+            yield done(left)
+
+    met = train.select("text").mapInArrow(meet, "word binary, code array<int>, n array<int>")
+    return met.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int")
+
+
 def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: int, sweeps: int) -> np.ndarray:
     """Classes of the units by exchange: unit after unit moves to the class that raises the likelihood of the class
     bigrams most, given all others, until a sweep moves hardly any. The last unit keeps a class of its own."""
@@ -165,47 +289,60 @@ def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: i
     return of
 
 
-def train_classes(train: DataFrame, scratch: C.Scratch, classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[Classes, DataFrame]:
-    """The model, and all words' counts (word, bucket, c) as a table."""
+def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, sweeps: int = SWEEPS) -> tuple[Classes, DataFrame, DataFrame]:
+    """rows: doc_id, text, scored, trained. The model, the counts of words that weren't exchanged (word, c, class), and
+    all rows as sequences of classes."""
+    train = rows.filter("trained")
     vocabulary = scratch.put(count_words(train), "vocabulary")
     row = vocabulary.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
+    total, distinct = int(row.total or 0), int(row.distinct or 0)
+    classes = classes or grown(CLASSES, distinct)
     ends = vocabulary.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
     held = vocabulary.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(HELD - 1).select("word", "c").toArrow()
     words, counts = held.column("word").to_pylist(), held.column("c").to_numpy().astype(float)
-    units = CLUSTERED + 2 * ENDINGS + 1
-    a, b, k = count_pairs(train, words[:CLUSTERED])
-    of = exchange(a, b, k, units, classes, sweeps)
-    tokens_of, kinds_of = np.zeros(units), np.zeros(units)
-    n = min(CLUSTERED, len(words))
-    tokens_of[:n], kinds_of[:n] = counts[:n], 1
-    tokens_of[-1], kinds_of[-1] = ends, ends > 0
-    for r in vocabulary.filter(F.col("word") != F.lit(END)).groupBy("bucket").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
-        tokens_of[CLUSTERED + r.bucket], kinds_of[CLUSTERED + r.bucket] = r.c, r.n
-    for w, c in zip(words[:n], counts[:n], strict=True):
-        tokens_of[CLUSTERED + bucket(w)] -= c
-        kinds_of[CLUSTERED + bucket(w)] -= 1
-    in_class, kinds = np.bincount(of, tokens_of, classes), np.bincount(of, kinds_of, classes)
+    core = min(grown(CLUSTERED, distinct), len(words))
+    a, b, k = count_pairs(train, words[:core])
+    of = exchange(a, b, k, core + 2 * ENDINGS + 1, classes, sweeps)
     grid = np.bincount(of[a] * classes + of[b], k, classes * classes).reshape(classes, classes)
+    others = scratch.put(assign(train, words[:core], of, grid), "others")
+    next_held = others.orderBy(F.desc("c"), "word").limit(len(words) - core).select("word", "class").toArrow() if len(words) > core else None
+    class_of = dict(zip(words, of[:core].tolist(), strict=False))
+    if next_held is not None:
+        class_of.update(zip(next_held.column("word").to_pylist(), next_held.column("class").to_pylist(), strict=True))
+    in_class, kinds = np.bincount(of[:core], counts[:core], classes), np.bincount(of[:core], minlength=classes).astype(float)
+    in_class[of[-1]] += ends
+    kinds[of[-1]] += ends > 0
+    for r in others.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        in_class[r["class"]] += r.c
+        kinds[r["class"]] += r.n
+    of_unit = np.array([*(class_of[w] for w in words), *of[core:]])
+    model = Classes([*words, END], np.append(counts, ends), total, distinct, of_unit, np.zeros((classes, classes)), np.log10(in_class + ADDED * (kinds + 1)))
+    sequences = scratch.put(_sequences(rows, model, others, scratch), "sequences")
+    scratch.drop("held", "vocabulary")
+    grid = _transitions(sequences.filter("trained"), int(of[-1]), classes)
     own = (in_class + 1) / (in_class + 1).sum()
-    transitions = np.log10((grid + TRANSITION_PRIOR * own) / (grid.sum(1, keepdims=True) + TRANSITION_PRIOR))
-    below = np.log10(in_class + ADDED * (kinds + 1))
-    return Classes([*words, END], np.append(counts, ends), int(row.total or 0), int(row.distinct or 0), of, transitions, below), vocabulary
+    model.transitions = np.log10((grid + TRANSITION_PRIOR * own) / (grid.sum(1, keepdims=True) + TRANSITION_PRIOR))
+    return model, others, sequences
+
+
+def train_classes(train: DataFrame, scratch: C.Scratch, classes: int | None = None, sweeps: int = SWEEPS) -> tuple[Classes, DataFrame]:
+    """The model, and the counts and classes of all words that weren't exchanged (word, c, class) as a table."""
+    rows = train.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("scored"), F.lit(True).alias("trained"))
+    return _learn(rows, scratch, classes, sweeps)[:2]
 
 
 _HERE: dict[str, _Places] = {}
 
 
-def _score_held(docs: DataFrame, model: Classes) -> DataFrame:
-    """For each row what the held words give, and its other words with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _score_held(rows: DataFrame, model: Classes) -> DataFrame:
+    """For each row what the held words give, its classes, with -1 - i for its i-th other word, and those words with
+    their counts and the classes of their buckets."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        logs = np.log10(m.counts + ADDED)
-        held, end_unit = len(m.words), CLUSTERED + 2 * ENDINGS
-        unit_of = np.array([i if i < CLUSTERED and i < held - 1 else CLUSTERED + bucket(w) for i, w in enumerate(m.words)])
-        unit_of[-1] = end_unit
-        class_of, bucket_class = m.of_unit[unit_of], m.of_unit[CLUSTERED : CLUSTERED + 2 * ENDINGS]
+        logs, held = np.log10(m.counts + ADDED), len(m.words)
+        class_of, bucket_class = np.append(m.of_unit[: held - 1], m.of_unit[-1]), m.of_unit[held - 1 : -1]
         if m.key not in _HERE:
             _HERE.clear()
             _HERE[m.key] = _places(m.words)
@@ -216,57 +353,114 @@ def _score_held(docs: DataFrame, model: Classes) -> DataFrame:
                 if len(_HERE[m.key]) > AT_ONCE:
                     _HERE[m.key] = _places(m.words)
                 places = _HERE[m.key]
-                out: dict[str, list] = {x: [] for x in ("rid", "n_tokens", "n_held", "logs", "path", "rare", "times")}
+                out: dict[str, list] = {x: [] for x in ("rid", "n_tokens", "n_held", "logs", "path", "rare", "times", "instead")}
                 for t in part.column("text").to_pylist():
                     words = tokens(t)
                     at = np.array([*map(places.__getitem__, words), held - 1])
                     known = at >= 0
                     safe = np.where(known, at, 0)
-                    classes = np.where(known, class_of[safe], bucket_class[np.where(known, 0, -1 - at)])
-                    before = np.empty_like(classes)
-                    before[0], before[1:] = m.of_unit[end_unit], classes[:-1]
-                    others = Counter([words[j] for j in np.flatnonzero(~known)])
+                    path = class_of[safe]
+                    others: dict[bytes, int] = {}
+                    where = np.flatnonzero(~known)
+                    nth = np.array([others.setdefault(words[j], len(others)) for j in where], np.int64)
+                    path[where] = -1 - nth
                     seen = known & (m.counts[safe] > 0)
-                    for name, value in (("rid", task << 40 | row), ("n_tokens", len(at)), ("n_held", int(seen.sum())), ("logs", float(logs[safe[known]].sum())), ("path", float((m.transitions[before, classes] - m.below[classes]).sum())), ("rare", list(others)), ("times", list(others.values()))):
+                    for name, value in (("rid", task << 40 | row), ("n_tokens", len(at)), ("n_held", int(seen.sum())), ("logs", float(logs[safe[known]].sum())), ("path", path), ("rare", list(others)), ("times", np.bincount(nth, minlength=len(others))), ("instead", [bucket_class[-1 - places[w]] for w in others])):
                         out[name].append(value)
                     row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(out[x], kind) for x, kind in zip(out, kinds, strict=True))], ["doc_id", *out])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "scored", "trained")), *(pa.array(out[x], kind) for x, kind in zip(out, kinds, strict=True))], ["doc_id", "scored", "trained", *out])
+
+    return rows.mapInArrow(run, "doc_id long, scored boolean, trained boolean, rid long, n_tokens long, n_held long, logs double, path array<int>, rare array<binary>, times array<long>, instead array<int>")
+
+
+def _sequences(rows: DataFrame, model: Classes, others: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """Each row's classes and what its words' own counts give. A text's words that aren't held meet theirs in a join,
+    once for each text and word, and are gathered by text."""
+    held = scratch.put(_score_held(rows, model), "held")
+    rare = held.select("rid", F.posexplode(F.arrays_zip("rare", "times", "instead")).alias("i", "x")).select("rid", "i", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.instead").alias("instead"))
+    if len(model.counts) >= HELD:
+        others = others.filter(F.col("c") <= int(model.counts[-2]))
+    c = F.coalesce("c", F.lit(0))
+    met = rare.join(others.hint("merge"), "word", "left").select("rid", "i", F.coalesce("class", "instead").alias("class"), (F.col("times") * F.log10(c + ADDED)).alias("part"), F.when(c > 0, F.col("times")).otherwise(0).alias("k"))
+    sums = met.groupBy("rid").agg(F.sum("part").alias("part"), F.sum("k").alias("k"), F.collect_list("i").alias("nth"), F.collect_list("class").alias("classes"))
+    full = held.drop("rare", "times", "instead").join(sums.hint("merge"), "rid", "left")
 
-    return docs.mapInArrow(run, "doc_id long, rid long, n_tokens long, n_held long, logs double, path double, rare array<binary>, times array<long>")
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for path, nth, classes in zip(*(batch.column(x) for x in ("path", "nth", "classes")), strict=True):
+                at = np.array(path.values.to_numpy())
+                if nth.is_valid:
+                    own = np.empty(len(nth), np.int32)
+                    own[nth.values.to_numpy()] = classes.values.to_numpy()
+                    at[at < 0] = own[-1 - at[at < 0]]
+                paths.append(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "scored", "trained", "n_tokens", "n_known", "logs")), pa.array(paths, pa.list_(pa.int32()))], ["doc_id", "scored", "trained", "n_tokens", "n_known", "logs", "path"])
+
+    full = full.select("doc_id", "scored", "trained", "n_tokens", (F.col("n_held") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("part", F.lit(0.0))).alias("logs"), "path", "nth", "classes")
+    return full.mapInArrow(fill, "doc_id long, scored boolean, trained boolean, n_tokens long, n_known long, logs double, path array<int>")
+
+
+def _steps(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, those before them (an end before each text's first), and where texts begin."""
+    now = column.flatten().to_numpy()
+    first = np.asarray(column.offsets)[:-1] - np.asarray(column.offsets)[0]
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[first] = end
+    return now, before, first
+
+
+def _transitions(sequences: DataFrame, end: int, classes: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                now, before, _ = _steps(batch.column(0), end)
+                total += np.bincount(before.astype(np.int64) * classes + now, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["pair", "n"])
+
+    got = sequences.select("path").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    return np.bincount(got.column("pair").to_numpy(), got.column("n").to_numpy(), classes * classes).reshape(classes, classes)
+
+
+def _score(rows: DataFrame) -> DataFrame:
+    scratch = C.Scratch(rows.sparkSession, "brown-lm")
+    model, _, sequences = _learn(rows, scratch)
+    scratch.drop("others")
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                now, before, first = _steps(batch.column("path"), m.of_unit[-1])
+                path = np.add.reduceat(m.transitions[before, now] - m.below[now], first)
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "n_tokens", "n_known", "logs")), pa.array(path)], ["doc_id", "n_tokens", "n_known", "logs", "path"])
+
+    out = sequences.filter("scored").select("doc_id", "n_tokens", "n_known", "logs", "path").mapInArrow(run, "doc_id long, n_tokens long, n_known long, logs double, path double")
+    return out.select(
+        "doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(model.base_below)).alias("base_score"), (F.col("logs") + F.col("path")).alias("score"),
+    )
 
 
 def score(docs: DataFrame, train: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score (of a unigram model with ADDED) and
     score, both log10 probabilities of the text and its end. train: text.
 
-    The counts of the most frequent words go to every task; a text's other words meet theirs in a join, once for each
-    text and word, and their part of the score is summed up by text.
-
     Null, empty or white-space text: one token, the end. Null doc_id: scored like any row. Repeated rows: each its
     score. Without training rows every word is unknown and each probability 1 in base_score. An empty table gives no
     rows; other columns are left out.
     """
-    spark = docs.sparkSession
-    scratch = C.Scratch(spark, "brown-lm")
-    model, vocabulary = train_classes(train, scratch)
-    held = scratch.put(_score_held(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model), "held")
-    rare = held.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    least = int(model.counts[-2]) if len(model.counts) >= HELD else None
-    others = vocabulary.select("word", "c") if least is None else vocabulary.filter(F.col("c") <= least).select("word", "c")
-    c = F.coalesce("c", F.lit(0))
-    met = rare.join(others.hint("merge"), "word", "left").select("rid", (F.col("times") * F.log10(c + ADDED)).alias("part"), F.when(c > 0, F.col("times")).otherwise(0).alias("k"))
-    sums = met.groupBy("rid").agg(F.sum("part").alias("part"), F.sum("k").alias("k"))
-    out = held.drop("rare", "times").join(sums.hint("merge"), "rid", "left")
-    logs = F.col("logs") + F.coalesce("part", F.lit(0.0))
-    return out.select(
-        "doc_id", "n_tokens", (F.col("n_held") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * F.lit(model.base_below)).alias("base_score"), (logs + F.col("path")).alias("score"),
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("scored"), F.lit(False).alias("trained"))
+    return _score(rows.unionByName(train.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("scored"), F.lit(True).alias("trained"))))
 
 
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = C.id_remainder(F.col("doc_id"), 10) == 0
-    out = score(docs, docs.filter(~held_out))
+    out = _score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(True).alias("scored"), (~held_out).alias("trained")))
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
