@@ -1,7 +1,10 @@
 import itertools
 import random
+import time
 
-from veilspark.llm.html_extract import extract, main_text, min_cut
+import pytest
+
+from veilspark.llm.html_extract import blocks_of, content_costs, extract, main_text, min_cut
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy now.</div>
@@ -23,6 +26,62 @@ def test_short_blocks_of_the_article_stay():
     assert main_text("<article><h1>A</h1><p>B</p><p>C.</p></article>") == "A\n\nB\n\nC."
 
 
+LONG = "A sentence of some length that says a thing or two about what it is for. " * 3
+
+
+def by_sign(costs, edges):
+    """The classifier alone, without the graph."""
+    return [c > 0 for c in costs]
+
+
+SOUP = f"<body><div class=top><a href=/>Home</a> <a href=/n>News</a></div><div><h2>A title</h2><p>{LONG}</p><p>Yes.</p><p>{LONG}</p><p>No</p><p>{LONG}</p></div><div><div><a href=/x>More on this</a></div></div></body>"
+LINES = f"<main><p>{LONG}</p><ul><li>one</li><li>two</li></ul><div>Or</div><p>{LONG}</p></main><div>Not this</div>"
+
+
+@pytest.mark.parametrize(("page", "has", "lacks"), [(SOUP, ["Yes.", "No", "A title"], ["Home", "More on"]), (LINES, ["one", "two", "Or"], ["Not this"]), ("<article><p>Of.</p></article>", ["Of."], [])])
+def test_the_cut_corrects_the_classifier(page, has, lacks):
+    text, alone = main_text(page), main_text(page, by_sign)
+    assert all(x in text.split("\n\n") for x in has) and not any(x in text for x in lacks)
+    assert any(x not in alone.split("\n\n") for x in has)  # the classifier by itself loses some
+
+
+def test_the_cut_drops_what_the_classifier_would_keep():
+    links = "<div><a href=/a>A link to elsewhere</a></div>" * 3
+    page = f"<body>{links}<div>Some words that stand among links, and little else do they.</div>{links}</body>"
+    assert main_text(page, by_sign) and main_text(page) == ""
+
+
+def test_the_cut_matters_on_the_table(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert sum(main_text(h) != main_text(h, by_sign) for h in pages if h) > len(pages) / 4
+
+
+def test_attributes_go_by_their_names():
+    page = f'<article><p title="a hidden gem">{LONG}</p><p aria-hidden="false">{LONG}</p><p data-id="comment-1">{LONG}</p><p hidden>{LONG}</p><p style="display: none">{LONG}</p></article>'
+    assert len(main_text(page).split("\n\n")) == 3
+    assert len(blocks_of('<div class="a" id=\'x\' title="> <p>"><p>One</p></div>')[0]) == 1
+
+
+def test_names_are_graded():
+    for name in ("related", "notice", "header", "widget", "reply"):
+        assert LONG.strip() in main_text(f"<article><p>{LONG}</p><p class={name}>{LONG}</p><p>{LONG}</p></article>").split("\n\n")[1:]
+    for name in ("notice", "cookie-notice", "sidebar", "comments", "reply"):
+        assert main_text(f"<article><p>{LONG}</p></article><div class={name}><div>Some short words of it.</div></div>") == " ".join(LONG.split())
+    assert "Reader" not in main_text(f"<article><p>{LONG}</p><section class=comments>{f'<div><p>Reader: {LONG}</p></div>' * 12}</section></article>")
+
+
+@pytest.mark.parametrize("piece", ["<p ", "<p '", '<p "a=\'', "<div>", "<b>", "<script>", "<!--", "<td>x", "</i><b>", "<a href=x>y</a>. <p>", "&amp;<", "<div></section>"])
+def test_long_broken_pages_take_linear_time(piece):
+    page = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - start < 15
+
+
+def test_costs_are_graded():
+    assert all(abs(c) < 15 for c in content_costs(blocks_of(PAGE)[0]))
+
+
 def test_broken_markup():
     assert main_text("<main>plain < text & more") == "plain < text & more"
     assert main_text("<article><p>open <b>never <i>closed") == "open never closed"

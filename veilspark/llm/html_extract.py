@@ -1,14 +1,14 @@
 """HTML extraction by minimum-cut labelling: a classifier's costs are the capacities from a block to the terminals,
-adjacent blocks and blocks close in the DOM are joined by smoothness edges, and the minimum cut of that graph parts
-content from boilerplate."""
+adjacent blocks are joined by smoothness edges that weaken with their distance in the DOM, blocks of one article hang
+on that article's own node, and the minimum cut of this graph parts content from boilerplate."""
 
 from __future__ import annotations
 
 import html
 import math
 import re
-from collections import deque
-from collections.abc import Callable
+from collections import Counter, deque
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,37 +17,48 @@ from pyspark.sql import types as T
 
 from veilspark.llm import common as C
 
-#: Smoothness between neighbours in page order, and between a block and the one before it in its container.
-ADJACENT, SIBLING = 0.4, 0.8
-#: Cost of labelling a block against its surroundings: regions that are never content, and the article.
-NEVER, ARTICLE = 20.0, 6.0
+#: Smoothness between neighbours in page order, between a block and the one before it in its container, and between a
+#: block and the node of its article.
+ADJACENT, SIBLING, MEMBER = 1.0, 0.5, 2.5
+#: How much weaker an edge is across the border of a region.
+ACROSS = 0.3
+#: What speaks for the node of an article, and of a container that is named like one; as much again for every BLOCKS blocks in it.
+ARTICLE, NAMED, BLOCKS = 3.0, 1.0, 3
+#: What speaks against all that lies in a region: by its tag or a telling name, by a weaker name, by one on a text's own element.
+REGION, WEAK, WEAK_TEXT, HIDDEN = 5.0, 3.0, 1.5, 8.0
+#: Characters of a block that speak neither way, and how far a block's length counts.
+NEUTRAL, SHORTEST, LONGEST = 40.0, -2.0, 2.5
 
-_RAW = r"script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|title"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*/>|<({_RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)",
-    re.S | re.I,
-)
+# fixed values: what HTML calls elements of text alone, blocks, and elements without content
+_RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_NEVER_TAGS = frozenset("nav footer aside form head button dialog menu search".split())
-_ATTR = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NEVER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|footer|header|masthead|cookies?|consent|gdpr|notice|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|breadcrumbs?|pagination|pager|popup|modal|overlay|widget|toolbar|skip\w*|copyright|complementary|contentinfo|navigation|alert)(?=$|[\s_-])",
-    re.I,
-)
-_GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_TEXTS = _HEADINGS | frozenset("p pre blockquote li dd dt td th figcaption caption span b i em strong a".split())
+_REGIONS = frozenset("nav footer aside form head button dialog menu search".split())
+# fixed values: words of classes, ids and roles
+_TELLING = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors sidebar nav navbar navigation menu footer cookie cookies consent gdpr comment comments disqus breadcrumb breadcrumbs pagination newsletter popup modal overlay complementary contentinfo dialog search form".split())
+_WEAKER = frozenset("related notice header masthead widget reply replies respond share sharing social recommended recommendations recommend promo banner toolbar subscribe signup login alert skip copyright pager".split())
+_GOOD = frozenset("article content post entry story main body text".split())
+
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_STOP = re.compile(r"[>\"']")
+_WORD = re.compile(r"[a-z0-9]+")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
-    #: Whether it or one above is never content, or lies in an article; how many lie above; its parent's place.
-    never: bool
-    article: bool
+    #: What speaks against all that lies in it, the article or named container it lies in, how many elements lie above, and its parent's place.
+    against: float
+    member: int
     depth: int
     up: int
+    #: What speaks for it, if it is an article or a container named like one.
+    own: float = 0.0
 
 
 @dataclass(slots=True)
@@ -56,14 +67,94 @@ class Block:
     tag: str
     node: int
     linked: int
-    never: bool
-    article: bool
+    against: float
+    member: int
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
+    """("", text, False) for text and (tag, attributes, closing) for a tag; comments, declarations and elements
+    of raw text are left out. Each character is looked at a fixed number of times, however broken the markup: where a
+    quote never ends, quotes mean nothing from there on; what begins like a tag but never ends is left out."""
+    at, n, quotes = 0, len(page), True
+    while at < n:
+        open_ = page.find("<", at)
+        if open_ < 0:
+            open_ = n
+        if open_ > at:
+            yield "", page[at:open_], False
+        if open_ + 1 >= n:
+            if open_ < n:
+                yield "", "<", False
+            return
+        c = page[open_ + 1]
+        if page.startswith("<!--", open_):
+            end = page.find("-->", open_ + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        closing = c == "/"
+        name = _NAME.match(page, open_ + 1 + closing)
+        if not name:
+            if c in "!?/":
+                end = page.find(">", open_)
+                at = end + 1 if end >= 0 else n
+            else:
+                yield "", "<", False
+                at = open_ + 1
+            continue
+        end = _tag_end(page, name.end()) if quotes else page.find(">", name.end())
+        if end < 0 and quotes:
+            quotes, end = False, page.find(">", name.end())
+        if end < 0:
+            return
+        tag, said = name[0].lower(), page[name.end() : end]
+        at = end + 1
+        if tag in _RAW:
+            if not closing and not said.endswith("/"):
+                close = _CLOSE[tag].search(page, at)
+                at = close.end() if close else n
+            continue
+        yield tag, said, closing
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag's > is, or -1; one between quotes is none."""
+    while m := _STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            return -1
+    return -1
+
+
+def evidence(tag: str, said: str) -> tuple[float, float]:
+    """What an element's tag, class, id and role speak against and for what lies in it."""
+    against, good = (REGION if tag in _REGIONS else WEAK if tag == "header" else 0.0), ARTICLE if tag in ("article", "main") else 0.0
+    if not said or tag in ("html", "body"):
+        return against, good
+    weak = WEAK_TEXT if tag in _TEXTS else WEAK
+    for name, *values in _ATTR.findall(said):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name == "hidden" or name == "style" and _NOT_SHOWN.search(value):
+            against = max(against, HIDDEN)
+        elif name in ("class", "id", "role"):
+            words = _WORD.findall(value.lower())
+            if not _TELLING.isdisjoint(words):
+                against = max(against, REGION)
+            elif not _WEAKER.isdisjoint(words):
+                against = max(against, weak)
+            elif not _GOOD.isdisjoint(words) and tag not in _TEXTS:
+                good = max(good, NAMED)
+    return against, good
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
     """The page's text blocks in order. Any block-level tag ends a block; other tags don't, and <br> is white space."""
-    nodes = [Node("", False, False, 0, 0)]
+    nodes = [Node("", 0.0, 0, 0, 0)]
     stack, out, words, linked, in_link = [0], [], [], 0, 0
+    opened: Counter = Counter()  # block elements on the stack
+    inline: Counter = Counter()  # other elements above the last of them
+    block_at = [0]
 
     def flush() -> None:
         nonlocal linked
@@ -74,92 +165,89 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                at = next((i for i in reversed(stack) if nodes[i].tag in _BLOCK), 0)
                 top = nodes[stack[-1]]
-                out.append(Block(text, nodes[at].tag, at, min(linked, len(text)), top.never, top.article))
+                out.append(Block(text, nodes[block_at[-1]].tag, block_at[-1], min(linked, len(text)), top.against, top.member))
         linked = 0
 
-    for m in _TOKEN.finditer(page):
-        said = m[6]
-        if said is not None:
+    def pop() -> str:
+        tag = nodes[stack.pop()].tag
+        if tag in _BLOCK:
+            opened[tag] -= 1
+            block_at.pop()
+        else:
+            inline[tag] -= 1
+        return tag
+
+    for tag, said, closing in tokens(page):
+        if not tag:
             words.append(said)
             if in_link:
                 linked += len(said)
             continue
-        name = m[4]
-        if name is None:
-            continue
-        tag = name.lower()
         if tag == "br":
             words.append(" ")
             continue
-        if tag in _BLOCK:
+        block = tag in _BLOCK
+        if block:
             flush()
-        if m[3]:
+        if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in _BLOCK and nodes[stack[k]].tag in _BLOCK:
-                    break
+            if (opened if block else inline)[tag] > 0:
+                while pop() != tag:
+                    pass
             continue
-        if tag in _VOID or m[5].endswith("/"):
+        if tag in _VOID or said.endswith("/"):
             continue
         if tag == "a":
             in_link += 1
-        elif tag in _BLOCK:  # an open paragraph or inline element ends where a block begins
+        elif block:  # an open paragraph or inline element ends where a block begins
             in_link = 0
             while len(stack) > 1 and ((top := nodes[stack[-1]].tag) == "p" or top not in _BLOCK or top == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-                stack.pop()
+                pop()
         up = nodes[stack[-1]]
-        never, article = up.never, up.article
-        if not never:
-            if tag in _NEVER_TAGS or (tag == "header" and not article):
-                never = True
-            elif tag in ("article", "main"):
-                article = True
-            if m[5] and not never and tag not in ("html", "body"):
-                for k, *v in _ATTR.findall(m[5]):
-                    v = v[0] or v[1] or v[2]
-                    k = k.lower()
-                    if k == "hidden" or k == "style" and _HIDDEN.search(v) or k != "style" and _NEVER_NAMES.search(v):
-                        never = tag not in ("article", "main")
-                    elif k in ("class", "id", "role") and tag in _BLOCK and _GOOD_NAMES.search(v):
-                        article = True
-        nodes.append(Node(tag, never, article, up.depth + 1, stack[-1]))
+        against, good = evidence(tag, said)
+        if tag == "header" and up.member and against == WEAK or good == ARTICLE and against < HIDDEN:
+            against = 0.0  # a header is an article's own; an article's kind says more than its name
+        node = Node(tag, max(up.against, against), up.member, up.depth + 1, stack[-1], good)
+        nodes.append(node)
+        if against >= WEAK:
+            node.member = 0  # a region of its own
+        elif good and (good == ARTICLE or not up.member):
+            node.member = len(nodes) - 1
         stack.append(len(nodes) - 1)
+        if block:
+            opened[tag] += 1
+            block_at.append(len(nodes) - 1)
+        else:
+            inline[tag] += 1
     flush()
     return out, nodes
 
 
-def content_costs(blocks: list[Block], any_article: bool) -> list[float]:
-    """For each block, what boilerplate costs less what content does: over 0, the classifier holds it for content."""
+def content_costs(blocks: list[Block]) -> list[float]:
+    """For each block, what labelling it boilerplate costs less what labelling it content does: over 0, the classifier
+    by itself holds it for content. Length, tag, punctuation, links, and what its regions speak against it."""
     out = []
     for b in blocks:
-        if b.never:
-            out.append(-NEVER)
-            continue
         n = len(b.text)
-        if any_article:
-            u = ARTICLE if b.article else -ARTICLE / 2
-        else:
-            u = min(3.0, math.log(n / 30.0)) if b.tag not in _HEADINGS else 0.3
-            u += 1.0 if b.tag in ("p", "pre", "blockquote") else 0.0
-            u += 0.5 if b.text[-1] in ".!?…:" else -0.3
-        u -= 4.0 * b.linked / n * (1.0 if not (any_article and b.article) else 0.3)
-        if n < 120 and ("©" in b.text or "all rights reserved" in b.text.lower()):
+        u = 0.3 if b.tag in _HEADINGS else max(SHORTEST, min(LONGEST, math.log(n / NEUTRAL)))
+        u += 0.7 if b.tag in ("p", "pre", "blockquote") else 0.0
+        u += 0.3 if b.text[-1] in ".!?…:" else -0.3
+        u -= 4.0 * b.linked / n + b.against
+        if not b.member and n < 120 and ("©" in b.text or "all rights reserved" in b.text.lower()):
             u -= 3.0
         out.append(u)
     return out
 
 
-def smoothness(blocks: list[Block], nodes: list[Node]) -> dict[tuple[int, int], float]:
-    """Edges between adjacent blocks, weaker with their distance in the DOM, and between a block and the last one of
-    its container."""
+def smoothness(blocks: list[Block], nodes: list[Node]) -> tuple[dict[tuple[int, int], float], list[float]]:
+    """Edges between adjacent blocks, between a block and the last one of its container, and between a block and the
+    node of its article; and what speaks for those nodes, which are numbered after the blocks."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    held: Counter = Counter()
     for i, b in enumerate(blocks):
         if i:
             a, z, steps = blocks[i - 1].node, b.node, 0
@@ -169,81 +257,104 @@ def smoothness(blocks: list[Block], nodes: list[Node]) -> dict[tuple[int, int],
                     a = nodes[a].up
                 else:
                     z = nodes[z].up
-            edges[i - 1, i] = ADJACENT * 2 / (1 + steps)
+            edges[i - 1, i] = ADJACENT * 2 / (1 + steps) * (1.0 if blocks[i - 1].against == b.against else ACROSS)
         up = nodes[b.node].up
         if (j := last.get(up)) is not None:
-            edges[j, i] = edges.get((j, i), 0.0) + SIBLING
+            edges[j, i] = edges.get((j, i), 0.0) + SIBLING * (1.0 if blocks[j].against == b.against else ACROSS)
         last[up] = i
-    return edges
+        if b.member:
+            edges[i, len(blocks) + articles.setdefault(b.member, len(articles))] = MEMBER
+            held[b.member] += 1
+    return edges, [nodes[m].own * (1 + held[m] / BLOCKS) for m in articles]
 
 
 def min_cut(costs: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Labels (true: content) of least total cost. A block whose own cost exceeds all its edges has its label in any
+    """Labels (true: content) of least total cost. A node whose own cost exceeds all its edges has its label in any
     minimum cut, so it is settled first and its edges go to its neighbours' terminals; what remains goes through
-    maximum flow (shortest augmenting paths)."""
+    maximum flow (by phases of shortest paths)."""
     n = len(costs)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for (i, j), w in edges.items():
         near[i][j] = near[i].get(j, 0.0) + w
         near[j][i] = near[j].get(i, 0.0) + w
-    costs, label = list(costs), [None] * n
+    costs, label, open_ = list(costs), [None] * n, [sum(x.values()) for x in near]
     todo = list(range(n))
     while todo:
         i = todo.pop()
-        if label[i] is None and abs(costs[i]) >= sum(near[i].values()):
+        if label[i] is None and abs(costs[i]) >= open_[i] - 1e-12:
             label[i] = costs[i] > 0
             for j, w in near[i].items():
                 costs[j] += w if label[i] else -w
+                open_[j] -= w
                 del near[j][i]
-                todo.append(j)
+                if label[j] is None:
+                    todo.append(j)
             near[i] = {}
     rest = [i for i in range(n) if label[i] is None]
     if rest:
-        s, t = n, n + 1
-        cap: dict[int, dict[int, float]] = {i: dict(near[i]) for i in rest}
-        cap[s], cap[t] = {}, {}
-        for i in rest:
-            a, b = (s, i) if costs[i] > 0 else (i, t)
-            cap[a][b] = cap[a].get(b, 0.0) + abs(costs[i])
-            cap[b].setdefault(a, 0.0)
-        while True:
-            before, queue = {s: s}, deque([s])
-            while queue and t not in before:
-                i = queue.popleft()
-                for j, c in cap[i].items():
-                    if c > 1e-9 and j not in before:
-                        before[j] = i
-                        queue.append(j)
-            if t not in before:
-                break
-            path, j = [], t
-            while j != s:
-                path.append((before[j], j))
-                j = before[j]
-            flow = min(cap[i][j] for i, j in path)
-            for i, j in path:
-                cap[i][j] -= flow
-                cap[j][i] = cap[j].get(i, 0.0) + flow
+        reached = _source_side(rest, costs, near)
         for i in rest:
-            label[i] = i in before
+            label[i] = i in reached
     return label
 
 
-def main_text(page: str) -> str:
+def _source_side(rest: list[int], costs: list[float], near: list[dict[int, float]]) -> set[int]:
+    """What the source still reaches once no more flow passes from the nodes with a cost over 0 to the others."""
+    cap = {i: dict(near[i]) for i in rest}
+    give = {i: costs[i] for i in rest if costs[i] > 0}
+    take = {i: -costs[i] for i in rest if costs[i] < 0}
+    while True:
+        level = {i: 0 for i, c in give.items() if c > 1e-9}
+        queue, found = deque(level), False
+        while queue:
+            i = queue.popleft()
+            found = found or take.get(i, 0.0) > 1e-9
+            for j, c in cap[i].items():
+                if c > 1e-9 and j not in level:
+                    level[j] = level[i] + 1
+                    queue.append(j)
+        if not found:
+            return set(level)
+        arcs = {i: iter(list(cap[i])) for i in level}
+        for s in [i for i, d in level.items() if d == 0]:
+            path = [s]
+            while path and give[s] > 1e-9:
+                i = path[-1]
+                if take.get(i, 0.0) > 1e-9:
+                    flow = min(give[s], take[i], *(cap[a][b] for a, b in zip(path, path[1:], strict=False)))
+                    give[s] -= flow
+                    take[i] -= flow
+                    for a, b in zip(path, path[1:], strict=False):
+                        cap[a][b] -= flow
+                        cap[b][a] += flow
+                    k = next((k for k, (a, b) in enumerate(zip(path, path[1:], strict=False)) if cap[a][b] <= 1e-9), None)
+                    if k is not None:
+                        del path[k + 1 :]
+                    continue
+                for j in arcs[i]:
+                    if cap[i][j] > 1e-9 and level.get(j, -1) == level[i] + 1:
+                        path.append(j)
+                        break
+                else:
+                    path.pop()
+
+
+def main_text(page: str, cut: Callable[[list[float], dict[tuple[int, int], float]], list[bool]] = min_cut) -> str:
     """The blocks labelled content, in page order, joined by an empty line."""
     blocks, nodes = blocks_of(page)
     if not blocks:
         return ""
-    costs = content_costs(blocks, any(b.article and not b.never for b in blocks))
-    return "\n\n".join(b.text for b, keep in zip(blocks, min_cut(costs, smoothness(blocks, nodes)), strict=True) if keep)
+    edges, articles = smoothness(blocks, nodes)
+    return "\n\n".join(b.text for b, keep in zip(blocks, cut(content_costs(blocks) + articles, edges), strict=False) if keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row of pages.
 
     Null or empty html, or one without content: empty text. Null page_id or url are passed on. Broken markup: an
-    unclosed element ends where its parent does or the next of its kind begins; what is no tag is text. Repeated
-    rows: the same text. An empty table gives no rows; other columns are left out.
+    unclosed element ends where its parent does or the next of its kind begins; what is no tag is text; a tag that
+    never ends is left out with all after it. Very long pages take time in proportion to their length. Repeated rows:
+    the same text. An empty table gives no rows; other columns are left out.
     """
 
     def make() -> Callable[[list[str]], dict[str, list]]:
