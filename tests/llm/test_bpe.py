@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -32,6 +34,34 @@ def test_chunks_cover_the_text_and_are_shared():
     assert "".join(a) == "intro one two " + passage and len(set(a) & set(b)) >= 3
 
 
+PIECES = ["don't", "<|endoftext|>", "<|", "|>", "endoftext", "###", "...", " ", " ", " ", "\n", "é", "́", "a", "b12", "x'", "'s", "$", "İ", " the ", "<|startoftext|>", "한", "q" * 30]
+
+
+def pieced(seed, n):
+    rng = random.Random(seed)
+    return "".join(rng.choice(PIECES) for _ in range(n))
+
+
+def test_borders_cut_words_and_are_repaired():
+    """Without its repair the coder gives other ids, at the borders that it sets itself."""
+    coder, texts = bpe.ChunkCoder(bpe.tokenizer_path()), [pieced(i, 2000) for i in range(40)]
+    assert list(coder.code(texts)) == [exact(t) for t in texts]
+    assert coder.repaired > 100 and coder.checked > 500
+    plain = bpe.ChunkCoder(bpe.tokenizer_path())
+    cut = [plain.cut(t) for t in texts]
+    plain.fill([x for chunks in cut for x in chunks])
+    joined = [b"".join(plain.chunks[x][0] for x in chunks) for chunks in cut]
+    assert sum(a != exact(t)[0] for a, t in zip(joined, texts, strict=True)) > 20
+    assert any(a[-1:].strip() and b[:1].strip() for chunks in cut for a, b in zip(chunks, chunks[1:], strict=False))
+
+
+@pytest.mark.parametrize("text", ["x" * 20_000 + " y", "é. " * 9000, "a.b," * 9000, " " * 30_000, "." * 30_000 + " a"])
+def test_long_texts_are_cut_at_white_space_only_where_there_is_some(text):
+    chunks = bpe.ChunkCoder.cut(text)
+    assert "".join(chunks) == text and all(set(x) & set(" \t\n") for x in chunks[:-1])
+    assert list(CODER.code([text])) == [exact(text)]
+
+
 def test_full_dictionaries_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_CHARS", 10)
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)

@@ -1,6 +1,6 @@
-"""BPE encoding and decoding with reuse of content-defined chunks: a rolling hash over a text's words sets the chunk
-borders, so passages that documents share fall into the same chunks; each chunk is encoded once, and where two chunks
-meet, the join is re-encoded until it agrees with both sides."""
+"""BPE encoding and decoding with reuse of content-defined chunks: a rolling hash over a text's characters sets the
+chunk borders, so passages that documents share fall into the same chunks; each chunk is encoded once, and where two
+chunks meet, what the border cuts is encoded again, until it agrees with both sides."""
 
 from __future__ import annotations
 
@@ -16,14 +16,17 @@ from pyspark.sql import types as T
 from veilspark.llm import common as C
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words that the rolling hash covers; chunks have 2 ** BORDER_BITS words on average, and MAX_WORDS at most.
-WINDOW, BORDER_BITS, MAX_WORDS = 4, 6, 512
+#: Characters that the rolling hash covers; chunks have about 2 ** BORDER_BITS places where a border may be, and are cut beyond MAX_CHARS.
+WINDOW, BORDER_BITS, MAX_CHARS = 8, 7, 8192
 #: A task's dictionary of chunks is emptied beyond so many characters, that of words renewed beyond so many, which costs encoding again, never a result.
 CACHE_CHARS, CACHE_WORDS = 6_000_000, 400_000
 
 #: A piece is a word with the white space before it; all white space that Python and the tokenizer both call so.
 _PIECE = re.compile(r"[ \t\n]*[^ \t\n]+|[ \t\n]+")
 _GAP = re.compile(r"[ \t\n]+")
+_FACTORS = [0x9E3779B97F4A7C15 ** (k + 1) % 2**64 for k in range(WINDOW)]
+_LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
+_IS_GAP = np.array([chr(i) in " \t\n" for i in range(0x10000)])
 
 
 #: A worker's coder lasts from task to task.
@@ -56,30 +59,39 @@ class ChunkCoder:
         self.words: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}  # until the dictionary was last full
         self.joins: dict[tuple[str, str], bool] = {}
-        self.chars = self.encoded = self.reused = self.repaired = 0
+        self.chars = self.encoded = self.reused = self.checked = self.repaired = 0
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """The chunks, which joined give the text. A border depends on the WINDOW words before it alone, unless a
-        chunk reaches MAX_WORDS."""
-        pieces = _PIECE.findall(text)
-        n = len(pieces)
+        """The chunks, which joined give the text. A border depends on the WINDOW characters before it and the one
+        after it, unless a chunk reaches MAX_CHARS. It may be anywhere but between two letters, so it may cut words,
+        runs of signs and special tokens. No chunk but a text's last is without white space, so what lies between the
+        white space on both sides of a border is in the two chunks that meet there."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(points)
         if n <= WINDOW:
             return [text] if text else []
-        own = np.fromiter(map(hash, pieces), np.int64, n).view(np.uint64)
-        rolled = own.copy()
+        rolled = points[WINDOW - 1 :] * np.uint64(_FACTORS[0])
         for k in range(1, WINDOW):
-            rolled[k:] += own[:-k] * np.uint64(0x9E3779B97F4A7C15 ** (k + 1) % 2**64)
+            rolled += points[WINDOW - 1 - k : n - k] * np.uint64(_FACTORS[k])
         rolled ^= rolled >> np.uint64(29)
-        ends = np.flatnonzero((rolled * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BORDER_BITS) == 0) + 1
-        out, at = [], 0
+        ends = np.flatnonzero((rolled * np.uint64(_FACTORS[1])) >> np.uint64(64 - BORDER_BITS) == 0) + WINDOW
+        small = np.minimum(points, 0xFFFF).astype(np.int64)
+        ends = ends[ends < n]
+        ends = ends[~(_LETTER[small[ends - 1]] & _LETTER[small[ends]])]
+        gaps = np.cumsum(_IS_GAP[small])
+        out, at, seen = [], 0, 0
         for end in [*ends.tolist(), n]:
-            while end - at > MAX_WORDS:
-                out.append("".join(pieces[at : at + MAX_WORDS]))
-                at += MAX_WORDS
-            if end > at:
-                out.append("".join(pieces[at:end]))
-                at = end
+            while end - at > MAX_CHARS:
+                if (cut := at + MAX_CHARS) < n and gaps[cut - 1] == seen:  # no white space yet
+                    cut = int(np.searchsorted(gaps, seen, "right")) + 1
+                if cut >= end:
+                    break
+                out.append(text[at:cut])
+                at, seen = cut, gaps[cut - 1]
+            if end > at and (end == n or gaps[end - 1] > seen):
+                out.append(text[at:end])
+                at, seen = end, gaps[end - 1]
         return out
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -125,12 +137,14 @@ class ChunkCoder:
             self.words[w] = np.array(ids, "<u4").tobytes(), self.tok.decode(ids, skip_special_tokens=False)
 
     def check(self, cut: list[list[str]]) -> None:
-        """Encodes what lies across each new join: the last word of a chunk, and the next chunk's white space and
-        first word. As no token spans white space, those who agree there agree everywhere."""
+        """Encodes what lies across each new join, the end of a chunk and the beginning of the next one up to white
+        space on either side, and holds it against both. As no token spans white space, those who agree there agree
+        everywhere."""
         new = list({k for chunks in cut for k in map(self._join, chunks, chunks[1:]) if k not in self.joins})
         self.learn({x.strip(" \t\n") for pair in new for x in pair})
         for key, ids in zip(new, self._ids([a + b for a, b in new]), strict=True):
             self.joins[key] = np.array(ids, "<u4").tobytes() == b"".join(self.words[x.strip(" \t\n")][0] for x in key)
+            self.checked += 1
 
     @staticmethod
     def _join(left: str, right: str) -> tuple[str, str]:
