@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import BIG, documents, odd
 from veilspark.llm import common as C
@@ -30,14 +31,35 @@ def test_hot_group(spark):
 
 
 def test_index_lasts_and_keeps_the_first(spark):
-    from pyspark.sql import functions as F
-
     scratch = C.Scratch(spark, "test-index")
     rows = lambda x: documents(spark, x).select("doc_id", digest(F.col("text")).alias("digest"))
-    DigestIndex(spark, scratch.path("index"), 4).ingest(rows([(5, "a"), (4, "b")]), scratch)
+    first = DigestIndex(spark, scratch.path("index"), 4)
+    first.ingest(rows([(5, "a"), (4, "b")]), scratch)
+    first.close()
     again = DigestIndex(spark, scratch.path("index"), 4)
     again.ingest(rows([(1, "a"), (2, "c")]), scratch)
     assert sorted(r.keep_id for r in again.rows().collect()) == [2, 4, 5]
+    again.close()
+
+
+def test_an_index_keeps_its_number_of_buckets(spark):
+    scratch = C.Scratch(spark, "test-buckets")
+    rows = documents(spark, [(i, f"text {i}") for i in range(200)]).select("doc_id", digest(F.col("text")).alias("digest"))
+    for buckets in (4, 8):
+        index = DigestIndex(spark, scratch.path("index"), buckets)
+        index.ingest(rows, scratch)
+        assert index.buckets == 4 and index.rows().count() == 200
+        index.close()
+
+
+def test_a_later_run_opens_the_index_again(spark):
+    path = C.Scratch(spark, "test-reopened").path("index")
+    first = {r.doc_id: r.kept for r in exact_dedup(documents(spark, [(10, "a"), (11, "b"), (12, "a")]), index=path, buckets=3).collect()}
+    assert first == {10: True, 11: True, 12: False}
+    for _ in range(2):  # a repeated run changes nothing
+        later = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup(documents(spark, [(1, "a"), (2, "c"), (3, " c"), (4, "c")]), index=path, buckets=5).collect()}
+        assert later == {1: (10, False), 2: (2, True), 3: (3, True), 4: (2, False)}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
 
 
 def test_sql_agrees(spark):

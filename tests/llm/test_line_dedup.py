@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import BIG, by_id, documents, odd
 from veilspark.llm import common as C
@@ -43,14 +44,41 @@ def test_odd_rows_and_empty_table(spark):
     assert drop_common_lines(documents(spark, [])).count() == 0
 
 
+def keys(spark, i):
+    return spark.createDataFrame([(bytes([k]), 1, 9 - i, 2) for k in range(i, i + 3)], "h binary, n_docs long, max_doc long, n_lines long")
+
+
 def test_runs_compact_and_tell_new_hashes(spark):
-    runs = LineRuns(C.Scratch(spark, "test-runs"))
+    runs = LineRuns(C.Scratch(spark, "test-runs"), fan_in=3)
     for i in range(4):
-        keys = [(bytes([k]), 1, i, 1) for k in range(i, i + 3)]
-        runs.add(spark.createDataFrame(keys, "h binary, n_docs long, max_doc long, n_lines long"))
-    assert {k: len(v) for k, v in runs.levels.items() if v} == {2: 1}
-    got = {r.h[0]: (r.n_docs, r.max_doc, r.batch) for r in runs.totals().collect()}
-    assert got == {0: (1, 0, 0), 1: (2, 1, 0), 2: (3, 2, 0), 3: (3, 3, 1), 4: (2, 3, 2), 5: (1, 3, 3)}
+        runs.add(keys(spark, i))
+    assert {k: len(v) for k, v in runs.levels.items() if v} == {1: 1, 0: 1}
+    assert [r.h[0] for r in runs.new(keys(spark, 4)).collect()] == [6]
+    rows = [(r.h[0], r.holder) for x in runs.names() for r in spark.table(x).collect()]
+    assert sorted(x for x, holder in rows if holder is not None) == [0, 1, 2, 3, 4, 5]  # each once
+    got = {r.h[0]: (r.n_docs, r.holder, r.n_lines) for r in runs.totals().collect()}
+    assert got == {0: (1, 9, 2), 1: (2, 9, 4), 2: (3, 9, 6), 3: (3, 8, 6), 4: (2, 7, 4), 5: (1, 6, 2)}
+    plan = runs.totals()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_a_plain_write_in_place_of_the_anti_join_is_wrong(spark, monkeypatch):
+    rows = [(i, f"{LONG}\nand some other line of document {i}") for i in range(40)]
+    good = by_id(drop_common_lines(documents(spark, rows)), "n_dropped")
+    assert good[39] == (0,) and all(good[i] == (1,) for i in range(39))
+    monkeypatch.setattr(LineRuns, "new", lambda self, keys: keys.filter("false") if self.names() == [] else keys)
+    assert by_id(drop_common_lines(documents(spark, rows)), "n_dropped") != good
+
+
+def test_clashing_names(spark):
+    docs = documents(spark, [(i, LONG) for i in range(6)])
+    for c in ("gone", "gone_key", "gone_id", "gone_t", "key", "row", "h", "t", "part", "a.b"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    out = drop_common_lines(docs).collect()
+    assert all(r[c] == "kept" for r in out for c in ("gone", "gone_key", "gone_id", "gone_t", "key", "row", "h", "t", "part", "a.b"))
+    assert sum(r.n_dropped for r in out) == 5
 
 
 def test_sql_agrees(spark):

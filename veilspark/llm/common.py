@@ -62,10 +62,10 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path(name))
         return self.get(name, df)
 
-    def put_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    def put_counted(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
         """Also the number of rows, which is counted as they are written."""
         seen = Observation()
-        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        out = self.put(df.observe(seen, F.count(F.lit(1)).alias("n")), name, partition_by)
         return out, seen.get["n"]
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
@@ -88,6 +88,20 @@ class Scratch:
             self.drop(*(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName() not in names))
 
 
+def stored_number(spark: SparkSession, path: str, what: str, number: int) -> int:
+    """The number that was stored beside the table at path as an empty file's name, or else this one, stored now. Spark
+    leaves out files whose names begin like this one."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(folder)
+    for s in fs.listStatus(folder):
+        if (name := s.getPath().getName()).startswith(f"_{what}_"):
+            return int(name.rsplit("_", 1)[1])
+    fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"_{what}_{number}"), False).close()
+    return number
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
