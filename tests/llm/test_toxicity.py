@@ -1,7 +1,11 @@
+import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, odd
 from veilspark.llm import toxicity as X
@@ -26,6 +30,107 @@ def trained(spark):
     return docs, labels, X.learn(docs, labels)
 
 
+def best_of_all(model, token):
+    """By trying every reading: the likeliest logarithm, without the lexicon."""
+    logs, best = model.trigrams, -np.inf
+    options, last = [], ""
+    for c in token:
+        said, skip = model.channel.choices(c, last)
+        options.append([*said, *([("", skip)] if skip is not None else [])])
+        last = c
+    for path in itertools.product(*options):
+        s, a, b = 0.0, 0, 0
+        for x, cost in path:
+            s -= cost
+            if x:
+                s, a, b = s + logs[a * 4096 + b * 64 + X.char_code(x)], b, X.char_code(x)
+        best = max(best, s + logs[a * 4096 + b * 64])
+    return best
+
+
+def test_the_search_is_exact(trained):
+    learned, rng = trained[2], random.Random(11)
+    model = X.Model(learned.trigrams, {}, {}, learned.channel)
+    for _ in range(150):
+        token = "".join(rng.choice("abeilnort0134$!*.") for _ in range(rng.randint(1, 6)))
+        word = X.decode(model, token, [])
+        states, last = {(0, 0): (0.0, None, None)}, ""
+        for c in token:
+            states, last = X._step_plain(model.trigrams, states, *model.channel.choices(c, last)), c
+        got, path = max(((s + model.trigrams[a * 4096 + b * 64], p) for (a, b), (s, p, _) in states.items()), key=lambda x: x[0])
+        assert abs(got - best_of_all(model, token)) < 1e-9 and X._spell(path) == word
+
+
+@pytest.mark.parametrize("hidden", ["d*sg*st*ng", "*d**t", "1d10t", "$tup1d"])
+def test_no_lexicon_reading_is_lost(hidden):
+    model = X.Model(np.random.default_rng(1).normal(-4, 2, X._CODES**3), {w: 4.0 for w in ("disgusting", "idiot", "stupid")}, {})
+    assert any(w in model.lexicon for _, w in X.readings(model, hidden))
+
+
+@pytest.mark.parametrize("span", ["1 2 3 4 5 6 7 8 9 0 ", "a b ", "5 . 3 "])
+def test_long_spans_take_linear_time(trained, span):
+    restorer, took = X.Restorer(trained[2]), []
+    for n in (2_000, 16_000):
+        start = time.perf_counter()
+        restorer.hits(span * (n // len(span)))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+def test_long_tokens_are_decoded(trained):
+    assert "idiot" in X.Restorer(trained[2]).hits("1d1" + "0" * 100_000 + "t" * 9)
+
+
+def test_alignment():
+    channel = X.Channel()
+    assert X.align(channel, "1d10t", "idiot") == [("1", "i"), ("d", "d"), ("1", "i"), ("0", "o"), ("t", "t")]
+    assert X.align(channel, "s.cc*m", "scum") == [("s", "s"), ("", "left out"), ("c", "c"), ("", "repeated"), ("", "filled"), ("m", "m")]
+    assert X.align(channel, "xyz", "idiot") == []
+
+
+def test_the_channel_is_learned(spark, trained):
+    """Signs that hide letters often become cheap, the others stay as they began."""
+    docs, labels, plain = trained
+    assert plain.channel.cost("1", "i") == pytest.approx(X.AS_LETTER)
+    rows = [(r.doc_id, " ".join(w.replace("i", "!", 1) if w in BAD and r.doc_id % 2 else w for w in r.text.split())) for r in docs.collect()]
+    model = X.learn(documents(spark, rows), labels)
+    assert model.channel.cost("!", "i") < X.AS_LETTER < model.channel.cost("1", "i")
+    assert model.channel.cost("", "filled") > X.FILLED > 0
+
+
+def hide(word, rng):
+    kind = rng.randrange(4)
+    if kind == 0:
+        leet = {"o": "0", "i": "1", "e": "3", "a": "@", "s": "$", "t": "7"}
+        return "".join(leet.get(c, c) for c in word)
+    if kind == 1:
+        return " ".join(word)
+    if kind == 2:
+        return "".join(c * rng.randint(2, 4) for c in word)
+    return ".".join(word)
+
+
+def hidden_in(spark, sf):
+    """The table's held-out labelled documents, with the words that tell toxic ones hidden in each."""
+    words = ("trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron")
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    rng = random.Random(7)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter(X.C.id_remainder(F.col("doc_id"), 3) == 1).orderBy("doc_id").collect()
+    made = [(r.doc_id + 10**9, re.sub(rf"\b({'|'.join(words)})\b", lambda m: hide(m[0].lower(), rng), r.text or "", flags=re.I), r.toxic) for r in rows]
+    return docs.select("doc_id", "text"), X.training_labels(labels), spark.createDataFrame(made, "doc_id long, text string, toxic int")
+
+
+def test_hidden_words_are_found_through_the_lattice_alone(spark):
+    docs, labels, made = hidden_in(spark, "/root/testdata/sf0.1")
+    caught = {}
+    for lattice in (True, False):
+        scored = X.score_toxicity(docs.unionByName(made.select("doc_id", "text")), labels, lattice=lattice).join(made.select("doc_id", "toxic"), "doc_id").collect()
+        caught[lattice] = [sum(r.predicted for r in scored if r.toxic == y) for y in (1, 0)] + [sum(r.toxic for r in scored)]
+    print("caught, wrong, toxic with and without the lattice:", caught)
+    n = caught[True][2]
+    assert caught[True][0] > 0.8 * n and caught[False][0] < 0.5 * n and caught[True][1] < 15
+
+
 def test_scores(spark, trained):
     docs, labels, _ = trained
     held = labels.filter("doc_id % 3 <> 1")

@@ -4,7 +4,6 @@ logistic model learned from labels."""
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
@@ -28,8 +27,6 @@ LEXICON, LEAST_DOCS, LEAST_DOCS_PREFIX = 20_000, 4, 8
 LEAST_WEIGHT = 2.0
 #: Lengths of the beginnings of words that are entries too, for inflected and compound forms.
 PREFIXES = (4, 5, 6)
-#: Paths that a lattice state keeps, and most letters of one word in a span of single characters.
-PATHS, LONGEST = 4, 64
 #: Distinct words whose weights a task remembers.
 REMEMBERED = 300_000
 
@@ -37,8 +34,10 @@ REMEMBERED = 300_000
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "¢": "c", "§": "s"}
 _DROPPED, _WILD = ".-_*·~'^", "*#%"
 _VOWELS = "aeiou"
-#: Costs in nats: reading a sign as a letter, as itself, leaving out a sign or a repeated letter, filling in a letter.
+#: Costs in nats that learning starts from: reading a sign as a letter, as itself, leaving out a sign or a repeated
+#: letter, filling in a letter. They weigh as much as so many hidden words.
 AS_LETTER, AS_ITSELF, LEFT_OUT, REPEATED, FILLED = 0.5, 3.0, 1.5, 0.4, 2.5
+PRIOR_WORDS, LEAST_COST, MOST_COST = 50.0, 0.05, 5.0
 #: What a word of the lexicon gains over one that isn't.
 KNOWN = 9.0
 
@@ -62,12 +61,81 @@ def char_code(c: str) -> int:
     return 27 + ord(c) % 36 if c.isalpha() else 0 if c.isspace() else 63
 
 
+@dataclass
+class Channel:
+    """Costs of how hidden words are written: those of (sign, letter) for a sign that stands for a letter, and of the
+    other operations. Those that aren't in ``costs`` are what learning starts from."""
+
+    costs: dict[tuple[str, str], float] = field(default_factory=dict)
+    _made: dict[tuple[str, bool], tuple[list[tuple[str, float]], float | None]] = field(default_factory=dict, repr=False)
+
+    def cost(self, sign: str, what: str) -> float:
+        return self.costs.get((sign, what), _START.get(what, AS_LETTER))
+
+    def choices(self, c: str, last: str) -> tuple[list[tuple[str, float]], float | None]:
+        """What a character after ``last`` may stand for, with costs, and the cost of leaving it out, if it may be."""
+        key = (c, c == last)
+        if key not in self._made:
+            if len(self._made) > 10_000:
+                self._made.clear()
+            said = [(c, 0.0 if c.isalpha() else self.cost("", "itself"))]
+            said += [(x, self.cost(c, x)) for x in LEET.get(c, "")]
+            if c in _WILD:
+                said += [(x, self.cost("", "filled")) for x in _VOWELS]
+            skip = self.cost("", "repeated") if c == last and (c.isalpha() or c in LEET) else self.cost("", "left out") if c in _DROPPED or c in _WILD else None
+            self._made[key] = said, skip
+        return self._made[key]
+
+
+_START = {"itself": AS_ITSELF, "left out": LEFT_OUT, "repeated": REPEATED, "filled": FILLED}
+
+
+def align(channel: Channel, token: str, word: str) -> list[tuple[str, str]]:
+    """The cheapest way in which a token was made of a word, as (sign, letter) and ("", operation); plain letters as
+    (letter, letter). Empty if there is none."""
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    last = ""
+    for c in token:
+        said, skip = channel.choices(c, last)
+        new: dict[int, tuple[float, tuple | None]] = {}
+        for j, (s, ops) in best.items():
+            for x, cost in said:
+                if word[j : j + 1] == x and (j + 1 not in new or s + cost < new[j + 1][0]):
+                    op = (c, x) if c.isalpha() or x in LEET.get(c, "") else ("", "itself") if x == c else ("", "filled")
+                    new[j + 1] = s + cost, (ops, op)
+            if skip is not None and (j not in new or s + skip < new[j][0]):
+                new[j] = s + skip, (ops, ("", "repeated" if c == last and (c.isalpha() or c in LEET) else "left out"))
+        best, last = new, c
+    out, ops = [], best.get(len(word), (0.0, None))[1]
+    while ops:
+        ops, op = ops
+        out.append(op)
+    return out[::-1]
+
+
+def learned_channel(counts: dict[tuple[str, str], float], words: float) -> Channel:
+    """Costs by maximum a posteriori: how often letters of hidden words are written as a sign rather than plainly, and
+    how often each other operation is met in a hidden word, with the starting costs as PRIOR_WORDS words."""
+    costs = {}
+
+    def put(key: tuple[str, str], start: float, n: float, of: float) -> None:
+        costs[key] = min(MOST_COST, max(LEAST_COST, math.log((of + PRIOR_WORDS) / (n + PRIOR_WORDS * math.exp(-start)))))
+
+    for c, letters in LEET.items():
+        for x in letters:
+            put((c, x), AS_LETTER, counts.get((c, x), 0.0), counts.get((x, x), 0.0))
+    for what, start in _START.items():
+        put(("", what), start, counts.get(("", what), 0.0), words)
+    return Channel(costs)
+
+
 @dataclass
 class Model:
     #: Natural logarithms of P(c | a, b), by a * 4096 + b * 64 + c.
     trigrams: np.ndarray
     lexicon: dict[str, float]
     prefixes: dict[str, float]
+    channel: Channel = field(default_factory=Channel)
     #: Logistic weights of features(), the last for 1.
     weights: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.5, 0.5, -4.0]))
     #: Every beginning of an entry: the nodes of a trie.
@@ -104,126 +172,142 @@ def whole(token: str) -> list[str]:
     return out
 
 
-def choices(c: str, last: str) -> tuple[list[tuple[str, float]], float | None]:
-    """What a character after ``last`` may stand for, with costs, and the cost of leaving it out, if it may be."""
-    said = [(c, 0.0 if c.isalpha() else AS_ITSELF)]
-    said += [(x, AS_LETTER) for x in LEET.get(c, "")]
-    if c in _WILD:
-        said += [(x, FILLED) for x in _VOWELS]
-    return said, REPEATED if c == last and (c.isalpha() or c in LEET) else LEFT_OUT if c in _DROPPED or c in _WILD else None
-
-
-def readings(model: Model, token: str, start: int = 0, most: int | None = None) -> list[tuple[int, float, str]]:
-    """All lexicon words that the token from ``start`` on can stand for: where they end, their log probabilities, and
-    they. The search runs along the trie of the entries, so none is left out; of the rest of a word that begins with an
-    entry, the likeliest reading counts."""
-    logs, stems, prefixes = model.trigrams, model.stems, model.prefixes
-    inside: dict[str, tuple[float, int, int]] = {"": (0.0, 0, 0)}
-    after: dict[tuple[str, int, int], tuple[float, str]] = {}
-    out, last = [], ""
-    for j in range(start, len(token) if most is None else min(len(token), start + most)):
-        c = token[j]
-        said, skip = choices(c, last)
-        last = c
-        new: dict[str, tuple[float, int, int]] = {}
-        rest: dict[tuple[str, int, int], tuple[float, str]] = {}
-        for w, (s, a, b) in inside.items():
+def _spell(path: tuple | None) -> str:
+    """The characters of a path (path before, character)."""
+    out = []
+    while path:
+        path, x = path
+        out.append(x)
+    return "".join(reversed(out))
+
+
+_Plain = dict[tuple[int, int], tuple[float, tuple | None, tuple | None]]
+
+
+def _step_plain(logs: np.ndarray, states: _Plain, said: list[tuple[str, float]], skip: float | None) -> _Plain:
+    """One character of the search whose state is the last two letters: for each state the best path's logarithm,
+    its characters, and the words before it."""
+    new: _Plain = {}
+    for (a, b), (s, path, before) in states.items():
+        at = a * 4096 + b * 64
+        for x, cost in said:
+            code = char_code(x)
+            step = s + logs[at + code] - cost
+            if (old := new.get((b, code))) is None or old[0] < step:
+                new[b, code] = step, (path, x), before
+        if skip is not None and ((old := new.get((a, b))) is None or old[0] < s - skip):
+            new[a, b] = s - skip, path, before
+    return new
+
+
+class _Lexical:
+    """The same search along the trie of the lexicon's entries, so no entry is left out; of the rest of a word that
+    begins with an entry, the likeliest reading counts. Its states are the trie's nodes, and past an entry that may go
+    on, that entry and the last two letters, so a character takes no longer in a long text than in a short one."""
+
+    def __init__(self, model: Model) -> None:
+        self.logs, self.stems, self.prefixes, self.lexicon = model.trigrams, model.stems, model.prefixes, model.lexicon
+        self.inside: dict[str, tuple[float, int, int, tuple | None]] = {}
+        self.after: dict[tuple[str, int, int], tuple[float, tuple | None, tuple | None]] = {}
+
+    def begin(self, score: float, before: tuple | None) -> None:
+        if "" not in self.inside or self.inside[""][0] < score:
+            self.inside[""] = score, 0, 0, before
+
+    def step(self, said: list[tuple[str, float]], skip: float | None) -> None:
+        logs, stems, inside, after = self.logs, self.stems, {}, {}
+        for w, (s, a, b, before) in self.inside.items():
+            begun = w in self.prefixes
             for x, cost in said:
                 to = w + x
-                begun = w in prefixes
                 if begun or to in stems:
                     code = char_code(x)
                     step = s + logs[a * 4096 + b * 64 + code] - cost
-                    if to in stems and (to not in new or new[to][0] < step):
-                        new[to] = (step, b, code)
-                    if begun and ((w, b, code) not in rest or rest[w, b, code][0] < step):
-                        rest[w, b, code] = (step, to)
-            if skip is not None and (w not in new or new[w][0] < s - skip):
-                new[w] = (s - skip, a, b)
-        for (e, a, b), (s, w) in after.items():
+                    if to in stems and (to not in inside or inside[to][0] < step):
+                        inside[to] = step, b, code, before
+                    if begun and ((old := after.get((w, b, code))) is None or old[0] < step):
+                        after[w, b, code] = step, (None, x), before
+            if skip is not None and (w not in inside or inside[w][0] < s - skip):
+                inside[w] = s - skip, a, b, before
+        for (e, a, b), (s, path, before) in self.after.items():
             for x, cost in said:
                 code = char_code(x)
                 step = s + logs[a * 4096 + b * 64 + code] - cost
-                if (e, b, code) not in rest or rest[e, b, code][0] < step:
-                    rest[e, b, code] = (step, w + x)
-            if skip is not None and ((e, a, b) not in rest or rest[e, a, b][0] < s - skip):
-                rest[e, a, b] = (s - skip, w)
-        inside, after = new, rest
-        if not inside and not after:
-            break
-        if most is not None or j + 1 == len(token):
-            out += [(j + 1, s + logs[a * 4096 + b * 64], w) for w, (s, a, b) in inside.items() if w in model.lexicon]
-            out += [(j + 1, s + logs[a * 4096 + b * 64], w) for (_, a, b), (s, w) in after.items()]
-    return out
+                if (old := after.get((e, b, code))) is None or old[0] < step:
+                    after[e, b, code] = step, (path, x), before
+            if skip is not None and ((old := after.get((e, a, b))) is None or old[0] < s - skip):
+                after[e, a, b] = s - skip, path, before
+        self.inside, self.after = inside, after
+
+    def ends(self) -> Iterator[tuple[float, str, tuple | None, tuple | None]]:
+        """Words that may end here: logarithm, entry, the path past it, the words before."""
+        for w, (s, a, b, before) in self.inside.items():
+            if w in self.lexicon:
+                yield s + self.logs[a * 4096 + b * 64], w, None, before
+        for (e, a, b), (s, path, before) in self.after.items():
+            yield s + self.logs[a * 4096 + b * 64], e, path, before
+
+
+def readings(model: Model, token: str) -> list[tuple[float, str]]:
+    """All lexicon words that the token can stand for, with their log probabilities."""
+    search, last = _Lexical(model), ""
+    search.begin(0.0, None)
+    for c in token:
+        search.step(*model.channel.choices(c, last))
+        last = c
+        if not search.inside and not search.after:
+            return []
+    return [(s, w + _spell(path)) for s, w, path, _ in search.ends()]
 
 
-def decode(model: Model, token: str, known: list[tuple[int, float, str]] | None = None) -> str:
-    """The likeliest word behind a token: a Viterbi search over what its characters may stand for, with the last two
-    letters as state and the best PATHS paths of each, then the best of these and of all lexicon readings, which gain
-    KNOWN."""
-    logs = model.trigrams
-    beams: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    last = ""
+def decode(model: Model, token: str, known: list[tuple[float, str]] | None = None) -> str:
+    """The likeliest word behind a token: the exact Viterbi search over what its characters may stand for, with the
+    last two letters as state, and all lexicon readings, which gain KNOWN."""
+    states, last = {(0, 0): (0.0, None, None)}, ""
     for c in token:
-        said, skip = choices(c, last)
+        states = _step_plain(model.trigrams, states, *model.channel.choices(c, last))
         last = c
-        new: dict[tuple[int, int], list[tuple[float, str]]] = {}
-        for (a, b), paths in beams.items():
-            at = a * 4096 + b * 64
-            for x, cost in said:
-                code = char_code(x)
-                step = logs[at + code] - cost
-                new.setdefault((b, code), []).extend((s + step, w + x) for s, w in paths)
-            if skip is not None:
-                new.setdefault((a, b), []).extend((s - skip, w) for s, w in paths)
-        beams = {k: heapq.nlargest(PATHS, dict(((w, s), (s, w)) for s, w in v).values()) for k, v in new.items()}
-        if len(beams) > 200:
-            beams = dict(heapq.nlargest(200, beams.items(), key=lambda kv: kv[1][0]))
-    ends = [(s + logs[a * 4096 + b * 64] + (KNOWN if word_weight(model, w) else 0.0), w) for (a, b), v in beams.items() for s, w in v]
-    ends += [(s + KNOWN, w) for _, s, w in (readings(model, token) if known is None else known)]
+    plain = max(((s + model.trigrams[a * 4096 + b * 64], path) for (a, b), (s, path, _) in states.items()), key=lambda x: x[0], default=None)
+    ends = [(s + KNOWN, w) for s, w in (readings(model, token) if known is None else known)]
+    if plain:
+        ends.append((plain[0], _spell(plain[1])))
     return max(ends)[1] if ends else token
 
 
 def segment(model: Model, letters: str) -> list[str]:
-    """The likeliest words behind single characters: a Viterbi search with the last two letters as state, in which a
-    border may follow any letter, and every lexicon reading is an edge between two borders that gains KNOWN."""
+    """The likeliest words behind single characters: the same search, in which a border may follow any letter, and every
+    lexicon reading gains KNOWN."""
     logs = model.trigrams
-    borders: list[tuple[float, tuple]] = [(-math.inf, ())] * (len(letters) + 1)
-    borders[0] = (0.0, ())
-    states: dict[tuple[int, int], tuple[float, str, tuple]] = {}
-    last = ""
-    for i, c in enumerate(letters):
-        at, words = borders[i]
-        for j, s, w in readings(model, letters, i, LONGEST):
-            if at + s + KNOWN > borders[j][0]:
-                borders[j] = (at + s + KNOWN, (words, w))
-        said, skip = choices(c, last)
+    at, words = 0.0, None
+    states: _Plain = {}
+    lexical, last = _Lexical(model), ""
+    for c in letters:
+        said, skip = model.channel.choices(c, last)
         last = c
-        new: dict[tuple[int, int], tuple[float, str, tuple]] = {}
-        for (a, b), (s, w, before) in [*states.items(), ((0, 0), (at, "", words))]:
-            for x, cost in said:
-                code = char_code(x)
-                step = s + logs[a * 4096 + b * 64 + code] - cost
-                if (b, code) not in new or new[b, code][0] < step:
-                    new[b, code] = (step, w + x, before)
-            if skip is not None and w and ((a, b) not in new or new[a, b][0] < s - skip):
-                new[a, b] = (s - skip, w, before)
-        states = new
-        for (a, b), (s, w, before) in states.items():
-            if s + logs[a * 4096 + b * 64] > borders[i + 1][0]:
-                borders[i + 1] = (s + logs[a * 4096 + b * 64], (before, w))
-    out, words = [], borders[-1][1]
+        if words is not None or at == 0.0:
+            lexical.begin(at, words)
+            states[0, 0] = at, None, words
+        lexical.step(said, skip)
+        states = _step_plain(logs, states, said, skip)
+        at, words = -math.inf, None
+        for s, w, path, before in lexical.ends():
+            if s + KNOWN > at:
+                at, words = s + KNOWN, (before, (w, path))
+        for (a, b), (s, path, before) in states.items():
+            if s + logs[a * 4096 + b * 64] > at:
+                at, words = s + logs[a * 4096 + b * 64], (before, ("", path))
+    out = []
     while words:
-        words, w = words
-        out.append(w)
+        words, (w, path) = words
+        out.append(w + _spell(path))
     return out[::-1]
 
 
 class Restorer:
     """The toxic words of texts, restored where they are hidden."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.known = model, {}
+    def __init__(self, model: Model, lattice: bool = True) -> None:
+        self.model, self.known, self.lattice = model, {}, lattice
 
     def word(self, token: str) -> tuple[str, float]:
         """The token's restored word, and its weight."""
@@ -235,7 +319,7 @@ class Restorer:
             best = max(((word_weight(self.model, p), p) for p in parts), default=(0.0, w))
             if best[0]:
                 return best[1], best[0]
-        for x in dict.fromkeys((w, *whole(token))):
+        for x in dict.fromkeys((w, *whole(token))) if self.lattice else ():
             if x and (not _STRAIGHT.match(x) or _TWICE.search(x)):
                 x = _LONG_RUN.sub(r"\1\1", x)
                 if known := readings(self.model, x):
@@ -248,7 +332,7 @@ class Restorer:
         """The likeliest reading of a token that hides no lexicon word; numbers and plain words stay."""
         w = core(token)
         letters = sum(c.isalpha() for c in w)
-        if len(w) > LONGEST or (_STRAIGHT.match(w) and not _RUN.search(w)) or letters < 2 or letters < len(w) / 3:
+        if (_STRAIGHT.match(w) and not _RUN.search(w)) or letters < 2 or letters < len(w) / 3:
             return w
         return decode(self.model, w, [])
 
@@ -292,12 +376,26 @@ class Restorer:
                 found = known[w] = (word, weight) if weight else ()
             if found:
                 out[found[0]] = max(found[1], out.get(found[0], 0.0))
-        if _SPACED.search(text):
+        if self.lattice:
             for m in _SPACED.finditer(text):
                 out.update(self.spaced(m[0])[1])
         return out
 
 
+def hidden_words(restorer: Restorer, text: str) -> Counter:
+    """How the hidden words of a text are written: counts of align()'s operations, and of the words as ("", "words")."""
+    out: Counter = Counter()
+    for token in set(text.lower().split()):
+        word, weight = restorer.word(token)
+        if weight and word not in token:
+            for x in (core(token), *whole(token)):
+                if ops := align(restorer.model.channel, _LONG_RUN.sub(r"\1\1", x), word):
+                    out.update(ops)
+                    out["", "words"] += 1
+                    break
+    return out
+
+
 def features(hits: dict[str, float]) -> list[float]:
     top = sorted(hits.values(), reverse=True)
     return [top[0] if top else 0.0, top[1] if len(top) > 1 else 0.0, math.log1p(len(top)), 1.0]
@@ -367,9 +465,25 @@ def _alike(text: str) -> bytes:
     return b"".join((values * np.uint64(m) ^ (values * np.uint64(m) >> np.uint64(29))).min().tobytes() for m in _MIXERS)
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Model:
-    """labels: doc_id, y (0 or 1). About ``rows`` labelled documents, near copies once, give the lexicon and the
-    logistic model; the character model is over all documents."""
+def _fit_channel(own: DataFrame, model: Model) -> Channel:
+    """The channel by the words that toxic labelled texts (own: text, y) hide. The result is a few hundred counts."""
+    shared = own.sparkSession.sparkContext.broadcast(model)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        restorer, sums = Restorer(shared.value), Counter()
+        for pdf in batches:
+            for t in pdf["text"]:
+                sums.update(hidden_words(restorer, t))
+        yield pd.DataFrame([(*k, n) for k, n in sums.items()], columns=["sign", "what", "n"]).astype({"n": "int64"})
+
+    counted = own.filter("y = 1").select("text").mapInPandas(count, "sign string, what string, n long").groupBy("sign", "what").agg(F.sum("n").alias("n"))
+    counts = {(r.sign, r.what): float(r.n) for r in counted.collect()}
+    return learned_channel(counts, counts.get(("", "words"), 0.0))
+
+
+def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, lattice: bool = True) -> Model:
+    """labels: doc_id, y (0 or 1). About ``rows`` labelled documents, near copies once, give the lexicon, the channel
+    and the logistic model; the character model is over all documents."""
     scratch = C.Scratch(docs.sparkSession, "toxicity")
     labels = labels.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("y").cast("int").alias("y"))
     n = labels.count()
@@ -407,10 +521,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
         else:
             lexicon[r.w] = r.weight
     model = Model(char_trigrams(docs), lexicon, prefixes)
+    model.channel = _fit_channel(own, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def look() -> Callable:
-        restorer = Restorer(shared.value)
+        restorer = Restorer(shared.value, lattice)
         return lambda ts: {"x": [features(restorer.hits(t)) for t in ts]}
 
     seen = C.map_text(own, "text", [T.StructField("x", T.ArrayType(T.DoubleType()))], look, keep=["y"]).groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -421,20 +536,22 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Mode
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None, lattice: bool = True) -> DataFrame:
     """docs (or its columns in keep) with score (0 to 1, probability of label 1) and predicted added; columns of docs with these names are
     replaced. labels: doc_id, y; rows with null in either are left out, of several labels of an id the higher counts.
 
+    ``lattice`` off leaves hidden words hidden, to measure what restoring them is worth.
+
     Null or empty text: no hit, and the score of a text without hits. Null doc_id: scored, never trained on.
     Repeated rows: the same score. Without labels of both classes the lexicon is empty and every score is low. An
     empty table gives no rows.
     """
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, lattice=lattice))
 
     def score() -> Callable:
         model = shared.value
-        restorer = Restorer(model)
+        restorer = Restorer(model, lattice)
 
         def run(texts: list[str]) -> dict[str, list]:
             z = [float(np.dot(model.weights, features(restorer.hits(t)))) for t in texts]
