@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators import synthesis
-from veilspark.plans import assessment, dictionary, gate
+from veilspark.plans import assessment, audit, dictionary, gate
 from veilspark.sources import files
 
 DAY0 = datetime(2024, 3, 1)
@@ -61,6 +61,41 @@ def test_annotated_scan(spark, tree):
     assert files.parse_header(["# x", "", "# y: z"], False).names == [] and files.parse_header(["a\tb,c\td"], False).delimiter == "\t"
 
 
+def test_cells_with_line_breaks(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/notes.csv"
+    rows = [f'{i},"first {i}\n\nthird ""{i}"", and a comma",x{i}\n' if i % 3 == 0 else f"{i},plain {i},y\n" for i in range(200)]
+    write(path, "# a: b\nid,note,end\n" + "".join(rows))
+    got = {r.id: r for r in files.scan(spark, path).collect()}
+    assert len(got) == 200 and got["3"].note == 'first 3\n\nthird "3", and a comma' and got["3"].end == "x3" and got["4"].note == "plain 4"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:  # records run over the borders of splits
+        again = sorted((r.id, r.note, r.end) for r in files.scan(spark, path).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert again == sorted((r.id, r.note, r.end) for r in got.values())
+    write(f"{tmp_path}/odd.csv", 'id,note\n1,5" pipe\n2,x\n')
+    assert files.scan(spark, f"{tmp_path}/odd.csv").count() == 2
+
+
+def test_long_headers(spark, tmp_path):
+    write(f"{tmp_path}/long.csv", "".join(f"# line {i}\n" for i in range(5000)) + "# a: what\na,b\n1,2\n")
+    header = files.read_header(spark, f"{tmp_path}/long.csv")
+    assert header.names == ["a", "b"] and header.skip == 5002 and header.descriptions == {"a": "what"}
+    assert files.scan(spark, f"{tmp_path}/long.csv").count() == 1
+
+
+def test_hashes_in_blocks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    text = "some text\n" * 300_000
+    write(f"{tmp_path}/a.csv", text)
+    write(f"{tmp_path}/b.csv", "x")
+    want = {f"{tmp_path}/{n}": hashlib.sha256(t.encode()).hexdigest() for n, t in (("a.csv", text), ("b.csv", "x"))}
+    for limit in (files.ONE_CELL, 100):
+        monkeypatch.setattr(files, "ONE_CELL", limit)
+        assert {r.path: r.sha256 for r in files.file_hashes(spark, list(want)).collect()} == want
+
+
 def test_types(spark):
     df = spark.createDataFrame([("1", "1", "1.5", "true", "x", "1"), ("2", None, "nan", "False", "y", "2x")], "a string, b string, c string, d string, e string, f string")
     assert files.infer_types(df)[1] == {"a": "int64", "b": "float64", "c": "float64", "d": "bool", "e": "object", "f": "object"}
@@ -165,6 +200,67 @@ def test_sql_job_and_errors(gated):
     assert gated.submit("SELECT 1").status == "error"
 
 
+def test_what_was_checked_is_what_is_released(spark, gated, tmp_path):
+    """A source that grows each time it is read: the check's rows are the released ones, and it is read once."""
+    seen = str(tmp_path / "reads")
+    os.makedirs(seen)
+
+    def rows(batches):
+        import pandas as pd
+
+        for _ in batches:
+            n = len(os.listdir(seen))
+            write(f"{seen}/{n}", "")
+            yield pd.DataFrame({"v": range(5 if n == 0 else 100)})
+
+    def job(ctx):
+        return {"out.csv": ctx.spark.range(1).coalesce(1).mapInPandas(rows, "v long")}
+
+    result = gated.submit(job)
+    assert result.status == "released" and len(os.listdir(seen)) == 1
+    with open(result.outputs[0]) as f:
+        assert f.read() == "v\n0\n1\n2\n3\n4\n"
+    assert gated.pending() == [] and [n for n in os.listdir(gated.queue_dir) if not n.endswith(".crc")] == []
+
+
+REFUSED = [
+    "INSERT OVERWRITE DIRECTORY '/tmp/never-written' USING csv SELECT * FROM facts",
+    "CREATE TABLE t AS SELECT * FROM facts", "CREATE VIEW v AS SELECT 1", "DROP VIEW facts", "CACHE TABLE facts", "SET spark.sql.ansi.enabled=false", "SHOW TABLES", "DESCRIBE facts",
+    "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM parquet.`/root/testdata/sf0.001/nation.parquet`", "SELECT * FROM default.facts", "SELECT * FROM unknown_view",
+    "SELECT g FROM facts WHERE id IN (SELECT value FROM text.`/etc/hostname`)", "SELECT (SELECT max(value) FROM text.`/etc/hostname`) AS x",
+    "WITH c AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM c", "SELECT * FROM facts WHERE EXISTS (SELECT 1 FROM other)",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') AS x", "SELECT max(java_method('java.lang.System', 'lineSeparator')) AS x FROM facts",
+    "SELECT TRANSFORM (g) USING 'cat' AS (h) FROM facts", "EXPLAIN SELECT * FROM facts", "SELECT 1; SELECT 2", "FROM facts INSERT INTO other SELECT g",
+]
+
+
+@pytest.mark.parametrize("sql", REFUSED)
+def test_sql_is_one_query_over_views(gated, sql):
+    result = gated.submit(sql)
+    assert result.status == "error" and result.outputs == [] and gated.audit.entries()[-1]["verdict"] == "error"
+    assert not os.path.exists("/tmp/never-written") and gated.spark.table("facts").count() == 100
+
+
+@pytest.mark.parametrize("sql", [
+    "WITH c AS (SELECT g, count(*) AS n FROM facts GROUP BY g), d AS (SELECT * FROM c WHERE n > 5) SELECT * FROM d ORDER BY g LIMIT 3",
+    "SELECT f.g, sum(f.id) AS s, count(*) AS n FROM facts f JOIN (SELECT DISTINCT g FROM facts) x ON f.g = x.g GROUP BY f.g HAVING count(*) > 1",
+    "SELECT g, count(*) AS n FROM facts WHERE id > (SELECT avg(id) FROM facts) AND g IN (SELECT g FROM facts) GROUP BY g UNION ALL SELECT 9, 50",
+    "SELECT DISTINCT g, max(id) OVER (PARTITION BY g) AS top FROM facts", "SELECT * FROM VALUES (1, 2), (3, 4) AS t(a, b)",
+])
+def test_queries_that_are_run(gated, sql):
+    result = gated.submit(sql)
+    assert result.status == "released", result.message
+
+
+def test_tables_and_layers_by_name(spark, gated, tree):
+    gated.data_dir = tree
+    job = lambda ctx: {"n.csv": ctx.table("ring/processed/hr.csv").groupBy("flag").count(), "x.csv": ctx.table("facts").groupBy("g").count()}
+    assert gated.submit(job).status == "released"
+    assert gated.submit(lambda ctx: {"n.csv": ctx.table("../secret.csv")}).status == "error"
+    write(f"{gated.derived_dir}/scores/data.tsv", "public_client_id\tscore\na\t1.5\nb\t2.5\n")
+    assert gate.Context(spark, tree, gated.derived_dir).derived("scores").agg({"score": "sum"}).first()[0] == 4.0
+
+
 def test_timeouts(spark, gated):
     import time
 
@@ -187,7 +283,7 @@ def test_layers(spark, gated, tmp_path):
         ctx.write_layer(ctx.spark.range(40).selectExpr("concat('c', id) AS public_client_id", "id * 1.5D AS score"), {"w": [1]})
         return {}
 
-    assert gated.submit(job, layer_name="scores").status == "released" and os.listdir(gated.results_dir) == []
+    assert gated.submit(job, layer_name="scores").status == "released" and not os.path.exists(gated.results_dir)
     with open(f"{gated.derived_dir}/scores/MANIFEST.json") as f:
         manifest = json.load(f)
     assert manifest["n_persons"] == manifest["n_rows"] == 40 and len(manifest["data_hash"]) == 16
@@ -213,9 +309,11 @@ def test_layers_that_are_refused(spark, gated, name, sql):
 def test_no_store_no_layer(gated):
     gated.derived_dir = None
     gated.submit(lambda ctx: {}, layer_name="x")
-    assert gated.audit.entries()[-1]["reason"] == "no derived store configured"
+    assert gated.audit.entries()[-1] == gated.audit.entries()[-1] | {"verdict": "derivation_rejected", "reason": "there is no place for layers"}
 
 
-def test_audit_ids(tmp_path):
-    log = gate.AuditLog(str(tmp_path / "a.jsonl"))
+def test_audit_ids(spark, tmp_path):
+    log = audit.AuditLog(str(tmp_path / "a.jsonl"))
     assert log.entries() == [] and log.record({"b": 1, "a": 2}) == log.record({"a": 2, "b": 1}) and len(log.entries()) == 2
+    write(f"{tmp_path}/old.jsonl", '{"id": "x"}\n\n{"id": "y"}\n')
+    assert [e["id"] for e in audit.AuditLog(f"{tmp_path}/old.jsonl").entries()] == ["x", "y"]

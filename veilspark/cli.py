@@ -6,6 +6,7 @@ import argparse
 import sys
 
 from veilspark.session import get_session
+from veilspark.sources.store import Store
 
 
 def _gate(spark, a):
@@ -64,8 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         report = assess(spark, a.data_dir, a.out, a.report)
         print(f"reid_pass={report['reid_pass']} leaks={len(report['reid_leaks'])}")
     elif a.command == "submit":
-        with open(a.sql_file) as f:
-            result = _gate(spark, a).submit(f.read(), a.timeout, a.layer_name)
+        result = _gate(spark, a).submit(Store(spark).read(a.sql_file), a.timeout, a.layer_name)
         print(result.message)
         return int(result.status == "error")
     elif a.command == "review":
@@ -80,9 +80,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from veilspark.service import make_server
 
-        with open(a.token_file) as f:
-            token = f.read().strip()
-        make_server(_gate(spark, a), token, a.bind, a.port).serve_forever()
+        make_server(_gate(spark, a), Store(spark).read(a.token_file).strip(), a.bind, a.port).serve_forever()
     return 0
 
 

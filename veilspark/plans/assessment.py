@@ -4,7 +4,6 @@ subjects are behind it, and how far synthetic times lie from the real ones."""
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from veilspark.config import DEFAULTS, Thresholds
 from veilspark.functions.timestamps import format_of, parse_mixed
 from veilspark.operators import temporal
 from veilspark.sources import files as S
+from veilspark.sources.store import Store, join
 
 
 def block_subjects(events: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
@@ -48,8 +48,8 @@ def range_contained(real: DataFrame, made: DataFrame) -> DataFrame:
 
 def assess(spark: SparkSession, data_dir: str, out_dir: str, report_path: str | None = None, thresholds: Thresholds = DEFAULTS) -> dict:
     """Recomputes what is behind each element of out_dir's dictionary from the files, and writes the report."""
-    with open(os.path.join(out_dir, "dictionary.json")) as f:
-        dictionary = json.load(f)
+    store = Store(spark)
+    dictionary = json.loads(store.read(join(out_dir, "dictionary.json")))
     report: dict = {"k": thresholds.k, "diurnal_block_hours": thresholds.diurnal_block_hours, "files": {}, "reid_leaks": []}
     alone: DataFrame | None = None
     for found in S.discover(spark, data_dir):
@@ -100,8 +100,8 @@ def assess(spark: SparkSession, data_dir: str, out_dir: str, report_path: str |
                 if fresh:
                     fresh = spark.createDataFrame(fresh, "sid string")
                     alone = fresh if alone is None else alone.unionByName(fresh)
-                sample = os.path.join(out_dir, "synthetic_samples", found.relpath)
-                if os.path.exists(sample):
+                sample = join(out_dir, "synthetic_samples", found.relpath)
+                if store.exists(sample):
                     made = spark.read.csv(sample, header=True)
                     if name in made.columns:
                         c = F.col(f"`{name}`")
@@ -116,7 +116,5 @@ def assess(spark: SparkSession, data_dir: str, out_dir: str, report_path: str |
     report["sole_contributor_subjects"] = alone.distinct().count() if alone is not None else 0
     report["reid_pass"] = not report["reid_leaks"] and not report["sole_contributor_subjects"]
     if report_path:
-        os.makedirs(os.path.dirname(report_path) or ".", exist_ok=True)
-        with open(report_path, "w") as f:
-            json.dump(report, f, indent=2, default=str)
+        store.write(report_path, json.dumps(report, indent=2, default=str))
     return report

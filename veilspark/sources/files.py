@@ -6,10 +6,12 @@ reads will do. Rows are never read on the driver."""
 from __future__ import annotations
 
 import csv
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +24,10 @@ STAGES = ("raw", "processed")
 CODEBOOK_WORDS = ("questions", "response_options")
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
-#: Lines of a file that are looked at for its header.
-HEADER_LINES = 2_000
+#: Lines of a file that are looked at first for its header; as long as they are all comments, so many times more.
+HEADER_LINES, MORE = 2_000, 8
+#: Bytes up to which a file's hash is made from its content in one cell; larger files are read in blocks.
+ONE_CELL, HASH_BLOCK = 256 << 20, 1 << 20
 ORDINAL = "_ordinal"
 
 
@@ -97,8 +101,13 @@ def parse_header(lines: Sequence[str], tsv: bool) -> Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    lines = [r.value for r in spark.read.text(path).limit(HEADER_LINES).collect()]
-    return parse_header(lines, path.lower().endswith(".tsv"))
+    n = HEADER_LINES
+    while True:
+        lines = [r.value for r in spark.read.text(path).limit(n).collect()]
+        header = parse_header(lines, path.lower().endswith(".tsv"))
+        if header.names or len(lines) < n:
+            return header
+        n *= MORE
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -106,6 +115,29 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.monotonically_increasing_id().alias(ORDINAL))
 
 
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines of which a cell in quotes spans several become one record, with the first one's offset. Whether a line
+    begins inside quotes is the parity of the quotes before it: a split's own, and those of earlier splits, of which
+    there is one row each. Without such cells, or where quotes don't pair, lines are records."""
+    odd = F.regexp_count("value", F.lit('"')) % 2
+    found = lines.agg(F.sum(odd).alias("odd")).first()
+    if not found.odd or found.odd % 2:
+        return lines
+    split = F.shiftright(ORDINAL, 33)
+    rows = lines.select("value", ORDINAL, split.alias("split"), odd.alias("odd"))
+    before = Window.partitionBy("split").orderBy(ORDINAL).rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("split").orderBy(ORDINAL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    carried = rows.groupBy("split").agg(F.sum("odd").alias("own")).select("split", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("carried"))
+    inside = (F.coalesce(F.sum("odd").over(before), F.lit(0)) + F.col("carried")) % 2 == 1
+    rows = rows.join(F.broadcast(carried), "split").withColumn("begin", F.when(~inside, F.col(ORDINAL)))
+    rows = rows.withColumn("record", F.max("begin").over(so_far))
+    last = rows.groupBy("split").agg(F.max("begin").alias("own")).select("split", F.max("own").over(earlier).alias("open"))
+    rows = rows.join(F.broadcast(last), "split").withColumn("record", F.coalesce("record", "open"))
+    parts = F.sort_array(F.collect_list(F.struct(ORDINAL, "value")))
+    return rows.groupBy(F.col("record").alias(ORDINAL)).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("value")).select("value", ORDINAL)
+
+
 def scan(spark: SparkSession, path: str, header: Header | None = None) -> DataFrame:
     """The file's rows as text columns, missing values as null, with ORDINAL, which grows in the order of the lines.
     Only the header's own lines are skipped: later lines that begin with # are rows, and so are columns named so."""
@@ -114,12 +146,11 @@ def scan(spark: SparkSession, path: str, header: Header | None = None) -> DataFr
     if not header.names:
         return spark.createDataFrame([], schema.add(ORDINAL, T.LongType()))
     # a file's first lines are the first of its first split
-    rows = _lines(spark, path).filter((F.col(ORDINAL) >= header.skip) & (F.trim("value") != ""))
-    parsed = F.from_csv("value", F.lit(", ".join(f"`c{i}` STRING" for i in range(len(header.names)))), {"sep": header.delimiter, "mode": "PERMISSIVE"})
+    rows = _records(_lines(spark, path).filter(F.col(ORDINAL) >= header.skip)).filter(F.trim("value") != "")
+    parsed = F.from_csv("value", F.lit(", ".join(f"`c{i}` STRING" for i in range(len(header.names)))), {"sep": header.delimiter, "mode": "PERMISSIVE", "multiLine": "true", "escape": '"'})
     cells = rows.select(parsed.alias("r"), ORDINAL)
     value = lambda i: F.when(~F.col(f"r.c{i}").isin(*MISSING), F.col(f"r.c{i}"))
-    out = cells.select(*(value(i).alias(n, metadata=schema[n].metadata) for i, n in enumerate(header.names)), ORDINAL)
-    return out
+    return cells.select(*(value(i).alias(n, metadata=schema[n].metadata) for i, n in enumerate(header.names)), ORDINAL)
 
 
 def infer_types(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -167,9 +198,34 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, inferSchema=True)
 
 
+def bare_path(path: str) -> str:
+    """Without the scheme and host, so that paths from listings and readers compare."""
+    return "/" + re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", path).lstrip("/")
+
+
 def file_hashes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """path, bytes, sha256 of whole files (under 2 GB each)."""
-    return spark.read.format("binaryFile").load(list(paths)).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """path (bare), bytes, sha256 of whole files, or of all files in folders. A task reads a large file in blocks, so
+    none is held whole."""
+    found = spark.read.format("binaryFile").load(list(paths))
+    bare = F.concat(F.lit("/"), F.ltrim(F.regexp_replace("path", r"^[A-Za-z][\w+.-]*:(//[^/]*)?", ""), F.lit("/")))
+    small = found.filter(F.col("length") <= ONE_CELL).select(bare.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = found.filter(F.col("length") > ONE_CELL).select("path", "length")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for path, n in zip(pdf["path"], pdf["length"], strict=True):
+                system, at = fs.FileSystem.from_uri(re.sub(r"^file:/*", "file:///", path))
+                digest = hashlib.sha256()
+                with system.open_input_stream(at) as stream:
+                    while block := stream.read(HASH_BLOCK):
+                        digest.update(block)
+                out.append((bare_path(path), n, digest.hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "bytes", "sha256"])
+
+    return small.unionByName(large.mapInPandas(run, "path string, bytes long, sha256 string"))
 
 
 def timestamp_column(df: DataFrame, name: str, kind: str):

@@ -10,11 +10,12 @@ from veilspark.config import DEFAULTS, Thresholds
 
 
 def diurnal_stream(events: DataFrame, ts: str, subject: str, late: str = "1 hour", thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    """window_start, count, n_subjects of each block of hours that has enough subjects. The count of subjects is
-    approximate above some hundreds, as a stream can't count them exactly; the gate takes it with a margin of a tenth."""
+    """window_start, count, n_subjects of each block of hours that has enough subjects, once the watermark has passed
+    it (append mode). Subjects are counted exactly: first each one's events of a block, then a block's subjects."""
     block = F.window(ts, f"{thresholds.diurnal_block_hours} hours")
-    counts = events.withWatermark(ts, late).groupBy(block).agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct(subject, 0.02).alias("n_subjects"))
-    return counts.filter(F.col("n_subjects") >= F.ceil(F.lit(thresholds.k * 1.1))).select(F.col("window.start").alias("window_start"), "count", "n_subjects")
+    own = events.withWatermark(ts, late).filter(F.col(subject).isNotNull()).groupBy(block.alias("block"), F.col(subject).alias("subject")).agg(F.count(F.lit(1)).alias("n"))
+    counts = own.groupBy("block").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("n_subjects"))
+    return counts.filter(F.col("n_subjects") >= thresholds.k).select(F.col("block.start").alias("window_start"), "count", "n_subjects")
 
 
 def session_stream(events: DataFrame, ts: str, subject: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
