@@ -75,10 +75,6 @@ def test_scrub(spark, said, left):
     assert text.scrub_text(said) == left and one(spark, text.scrub(F.lit(said)))[0] == left
 
 
-def test_average_rank(spark):
-    df = spark.createDataFrame([(3.0,), (1.0,), (3.0,), (2.0,)], "v double")
-    assert sorted(r.r for r in df.select(numeric.average_rank(F.col("v")).alias("r")).collect()) == [1.0, 2.0, 3.5, 3.5]
-
 
 def test_uniforms_do_not_depend_on_partitions(spark):
     df = spark.range(500).withColumn("u", numeric.hashed_uniform(3, F.lit("c"), "id"))

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+import veilspark.plans.file_queries  # noqa: F401
 from veilspark.plans.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"

@@ -1,8 +1,8 @@
-"""Binning on round grids, finite tests, average ranks and hashed uniforms, as column expressions."""
+"""Binning on round grids, finite tests and hashed uniforms, as column expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bins that a range is cut into, about.
@@ -38,12 +38,6 @@ def bin_of(edges: Column, value: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value)) - 1
 
 
-def average_rank(value: Column, *partition: Column | str) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    order = Window.partitionBy(*partition).orderBy(value)
-    return F.rank().over(order) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, value)) - 1) / 2.0
-
-
 def hashed_uniform(seed: int, *keys: Column | str) -> Column:
     """A number in [0, 1) that depends on the seed and the keys alone, not on partitions or order."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.config import DEFAULTS, Thresholds
@@ -21,11 +21,11 @@ def format_counts(df: DataFrame, column: str, subject: str | None = None) -> Dat
 def disclosed_formats(counts: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """rank, dominant, template and the rest of the format, for the most frequent one (ties by template) and those
     others with at least k subjects. The dominant format is a device's, so it is free."""
-    rows = counts.select("format.*", "count", "n_subjects")
-    first = rows.agg(F.min(F.struct((-F.col("count")).alias("c"), "template")).alias("t")).select(F.col("t.template").alias("top"))
-    rows = rows.join(F.broadcast(first))  # one row
-    kept = rows.withColumn("dominant", F.col("template") == F.col("top")).filter(F.col("dominant") | (F.col("n_subjects") >= thresholds.k))
-    return kept.drop("top")
+    rows = counts.select("format.*", "count", "n_subjects")  # one row a shape of formats
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "template"))
+    top = F.first("template").over(Window.orderBy(F.desc("count"), "template"))
+    kept = rows.withColumns({"rank": place, "dominant": F.col("template") == top})
+    return kept.filter(F.col("dominant") | (F.col("n_subjects") >= thresholds.k)).drop("rank")
 
 
 def descriptor(rows: list) -> dict | None:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilspark.functions import numeric as N
+from veilspark.operators import order
 
 EFFECT_COLUMNS = ("beta", "effect")
 
@@ -29,9 +33,9 @@ def earliest_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def tertile_means(df: DataFrame, by: str, value: str, *ties: str) -> DataFrame:
-    """tertile, n, mean of value in thirds of the rows by ``by``; for per-subject layers, as the rank is over them all."""
-    third = F.ntile(3).over(Window.orderBy(by, *ties))
-    return df.select(third.alias("tertile"), F.col(value).alias("v")).groupBy("tertile").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    """tertile, n, mean of value in thirds of the rows by ``by`` and the ties (numbers without nulls)."""
+    rows = order.parts(df.select(by, *ties, F.col(value).alias("v")), 3, by, *ties, name="tertile")
+    return rows.groupBy("tertile").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
 
 
 def effects(df: DataFrame, name: str) -> DataFrame:
@@ -48,8 +52,7 @@ def reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     both = effects(left, "a").join(effects(right, "t"), "feature")
     same = F.coalesce((F.col("a") * F.signum("t") > 0), F.lit(False)).cast("double")
     rows = F.col("a").isNotNull() & F.col("t").isNotNull()
-    # ranks within all shared features: one row a feature
-    ranked = both.filter(rows).select(N.average_rank(F.col("a")).alias("ra"), N.average_rank(F.col("t")).alias("rt"))
+    ranked = order.average_ranks(order.average_ranks(both.filter(rows), "a", "ra"), "t", "rt")
     rank = ranked.agg(F.when(F.count(F.lit(1)) >= 2, F.corr("ra", "rt")).alias("effect_rank_spearman"))
     out = both.agg(F.count(F.lit(1)).alias("shared_features"), F.avg(same).alias("direction_concordance"))
     return out.join(F.broadcast(rank)).select("shared_features", "direction_concordance", "effect_rank_spearman", F.col("direction_concordance").alias("replication_rate"))
@@ -90,28 +93,56 @@ def imputation_quality(df: DataFrame, columns: Sequence[str], mask: Column | Non
 
 def impute_iteratively(df: DataFrame, columns: Sequence[str], rounds: int = 3, ridge: float = 1e-3) -> DataFrame:
     """df with the columns' missing cells filled in: by the mean first, then ``rounds`` times by ridge regressions of
-    each column on the others, whose normal equations are sums over the rows. The driver gets their few numbers."""
-    import numpy as np
-
+    each column on the others. A round is one aggregate: tasks sum the normal equations of all columns over their
+    rows, and the driver gets their few numbers and solves them. Rows start from their means each time and go
+    through the weights so far, so no round's plan holds an earlier one's."""
     names = list(columns)
-    gaps = {c: F.col(c).isNull() for c in names}
+    n = len(names)
     means = df.agg(*(F.avg(c).alias(c) for c in names)).first()
-    out = df.withColumns({f"_gap_{c}": g for c, g in gaps.items()}).fillna({c: means[c] for c in names if means[c] is not None})
+    start = np.array([float(means[c]) if means[c] is not None else np.nan for c in names])
+
+    def filled(x: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix without gaps, a column of ones first, and where the gaps are."""
+        gap = np.isnan(x)
+        x = np.column_stack([np.ones(len(x)), np.where(gap, start, x)])
+        for w in weights:
+            x[:, 1:] = np.where(gap, x @ w, x[:, 1:])
+        return x, gap
+
+    def summing(weights: list[np.ndarray]):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((n, n + 1, n + 1))
+            for pdf in batches:
+                x, gap = filled(pdf.to_numpy(float), weights)
+                for j in range(n):
+                    own = x[~gap[:, j]]
+                    total[j] += own.T @ own
+            at = np.flatnonzero(total.ravel())
+            yield pd.DataFrame({"i": at, "s": total.ravel()[at]})
+
+        return run
+
+    cells = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)))
+    weights: list[np.ndarray] = []
     for _ in range(rounds):
-        x = [F.lit(1.0), *(F.col(c).cast("double") for c in names)]
-        n = len(x)
-        new = {}
-        for j, c in enumerate(names, 1):
-            use = [i for i in range(n) if i != j]
-            full = out.filter(~F.col(f"_gap_{c}"))
-            sums = full.agg(*(F.sum(x[a] * x[b]).alias(f"s{a}_{b}") for a in use for b in use if a <= b), *(F.sum(x[a] * x[j]).alias(f"y{a}") for a in use)).first()
-            m = np.array([[sums[f"s{min(a, b)}_{max(a, b)}"] or 0.0 for b in use] for a in use])
-            y = np.array([sums[f"y{a}"] or 0.0 for a in use])
-            w = np.linalg.solve(m + ridge * np.eye(len(use)) * max(1.0, np.trace(m) / len(use)), y)
-            guess = sum((F.lit(float(k)) * x[a] for k, a in zip(w, use, strict=True)), F.lit(0.0))
-            new[c] = F.when(F.col(f"_gap_{c}"), guess).otherwise(F.col(c).cast("double"))
-        out = out.withColumns(new)
-    return out.drop(*(f"_gap_{c}" for c in names))
+        sums = cells.mapInPandas(summing(weights), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+        total = np.zeros(n * (n + 1) ** 2)
+        for r in sums:
+            total[r.i] = r.s
+        total, w = total.reshape(n, n + 1, n + 1), np.zeros((n + 1, n))
+        for j in range(n):
+            use = [i for i in range(n + 1) if i != j + 1]
+            m, y = total[j][np.ix_(use, use)], total[j][use, j + 1]
+            w[use, j] = np.linalg.solve(m + ridge * np.eye(n) * max(1.0, np.trace(m) / n), y)
+        weights.append(w)
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, _ = filled(pdf[names].to_numpy(float), weights)
+            yield pdf.assign(**{c: x[:, i + 1] for i, c in enumerate(names)})
+
+    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in names else f.dataType) for f in df.schema])
+    return df.mapInPandas(fill, schema)
 
 
 def layer_counts(df: DataFrame, key: str) -> DataFrame:

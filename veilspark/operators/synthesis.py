@@ -134,19 +134,15 @@ def _stamp_at(seed: int, name: str, col: dict, place: Column) -> Column:
 def _timelines(spark: SparkSession, columns: dict[str, dict], n_rows: int, seed: int, subject: str, pool: list[str], primary: str) -> DataFrame:
     n = max(1, min(len(pool), n_rows // ROWS_PER_SUBJECT))
     each, more = divmod(n_rows, n)
-    place, cut = F.col("id"), more * (each + 1)
-    early = place < cut
-    rows = spark.range(n_rows).select(
-        "id",
-        F.when(early, F.floor(place / (each + 1))).otherwise(more + F.floor((place - cut) / max(each, 1))).alias("s"),
-        F.when(early, place % (each + 1)).otherwise((place - cut) % max(each, 1)).alias("p"),
-        F.when(early, F.lit(each + 1)).otherwise(F.lit(each)).cast("long").alias("w"),
-    )
+    # a subject's stamps are made and sorted once (a late session may run into the next), then dealt to its rows
+    subjects = spark.range(n).select(F.col("id").alias("s"), F.when(F.col("id") < more, each + 1).otherwise(each).cast("long").alias("w"))
     times = [n for n, c in columns.items() if _is_time(c)]
-    # stamps are sorted within the subject, as a late session may run into the next
-    for name in times:
-        own = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("w") - 1), partial(_stamp_at, seed, name, columns[name])))
-        rows = rows.withColumn(f"_t_{name}", F.timestamp_seconds(F.get(own, F.col("p").cast("int"))))
+    places = F.sequence(F.lit(0).cast("long"), F.col("w") - 1)
+    own = [F.sort_array(F.transform(places, partial(_stamp_at, seed, name, columns[name]))).alias(f"_t_{i}") for i, name in enumerate(times)]
+    first = F.col("s") * each + F.least(F.col("s"), F.lit(more))
+    subjects = subjects.filter("w > 0").select("s", first.alias("first"), F.arrays_zip(places.alias("p"), *own).alias("rows"))
+    rows = subjects.select("s", "first", F.explode("rows").alias("r"))
+    rows = rows.select((F.col("first") + F.col("r.p")).alias("id"), "s", *(F.timestamp_seconds(F.col(f"r._t_{i}")).alias(f"_t_{name}") for i, name in enumerate(times)))
     main = columns[primary].get("format") or DEFAULT_FORMAT
     minority = main.get("minority", [])
     out = {}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilspark.config import DEFAULTS, Thresholds
 from veilspark.functions import numeric as N
 from veilspark.functions.timestamps import cadence_label
+from veilspark.operators import order
 
 #: A delta above so many of the subject's medians starts a session, but none of a second or less; rows a subject up
 #: to which a column is a single event.
@@ -28,50 +29,69 @@ def month_bounds(events: DataFrame) -> DataFrame:
     return events.agg(month(F.min("us")).alias("min_month"), month(F.max("us")).alias("max_month"), F.count("us").alias("n_timestamps"))
 
 
+def _hour(us: Column) -> Column:
+    return F.floor(us / (3600 * MICROS)).cast("long")
+
+
+def _hours(rows: DataFrame, *subject: str) -> DataFrame:
+    """One row for each hour that has stamps (of each subject): hour, first, and last before it in earlier hours."""
+    hours = rows.groupBy(*subject, "hour").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    return hours.select(*subject, "hour", F.lag("last").over(Window.partitionBy(*subject).orderBy("hour")).alias("earlier"))
+
+
 def deltas(events: DataFrame) -> DataFrame:
-    """sid, us, delta: seconds since the subject's last stamp, null at the first. Rows without a subject are left out."""
-    last = F.lag("us").over(Window.partitionBy("sid").orderBy("us"))
-    return events.filter("sid IS NOT NULL").withColumn("delta", (F.col("us") - last) / MICROS)
+    """sid, us, delta: seconds since the subject's last stamp, null at the first. Rows without a subject are left out.
+
+    Stamps are put in order hour by hour, and an hour's first one meets the last one before it, so a subject with a
+    large share of all stamps is spread over its hours."""
+    rows = events.filter("sid IS NOT NULL").select("sid", "us", _hour(F.col("us")).alias("hour"))
+    rows = rows.withColumn("inside", F.lag("us").over(Window.partitionBy("sid", "hour").orderBy("us")))
+    rows = rows.join(_hours(rows, "sid"), ["sid", "hour"])
+    return rows.select("sid", "us", ((F.col("us") - F.coalesce("inside", "earlier")) / MICROS).alias("delta"))
 
 
 def subject_medians(steps: DataFrame) -> DataFrame:
     """sid, median of its deltas (subjects of two stamps or more)."""
-    return steps.filter("delta IS NOT NULL").groupBy("sid").agg(F.median("delta").alias("median"))
+    return order.medians(steps.filter("delta IS NOT NULL"), "delta", ["sid"])
 
 
 def cadence(events: DataFrame, by_subject: bool = True, positive: bool = False) -> DataFrame:
     """seconds, label: the median of the subjects' medians (of those above 0, if ``positive``), or of all deltas in
     order of time."""
     if by_subject:
-        medians = subject_medians(deltas(events))
-        found = medians.filter("median > 0") if positive else medians
-        found = found.agg(F.median("median").alias("seconds"))
+        found = subject_medians(deltas(events))
+        found = order.medians(found.filter("median > 0") if positive else found, "median", name="seconds")
     else:
-        found = global_deltas(events).agg(F.median("delta").alias("seconds"))
+        found = order.medians(global_deltas(events), "delta", name="seconds")
     return found.select("seconds", cadence_label(F.col("seconds")).alias("label"))
 
 
 def global_deltas(events: DataFrame) -> DataFrame:
-    """Deltas of all stamps in order of time, without one task that holds them all: each day's stamps are ordered by
-    themselves, and a day's first one meets the last of the day before it that has any."""
-    day = F.floor(F.col("us") / (DAY * MICROS)).alias("day")
-    rows = events.select("us", day)
-    inside = rows.select(((F.col("us") - F.lag("us").over(Window.partitionBy("day").orderBy("us"))) / MICROS).alias("delta"))
-    days = rows.groupBy("day").agg(F.min("us").alias("first"), F.max("us").alias("last"))  # one row a day
-    across = days.select(((F.col("first") - F.lag("last").over(Window.orderBy("day"))) / MICROS).alias("delta"))
+    """Deltas of all stamps in order of time, without one task that holds them all: each hour's stamps are ordered by
+    themselves, and an hour's first one meets the last of the hours before it."""
+    rows = events.select("us", _hour(F.col("us")).alias("hour"))
+    inside = rows.select(((F.col("us") - F.lag("us").over(Window.partitionBy("hour").orderBy("us"))) / MICROS).alias("delta"))
+    hours = rows.groupBy("hour").agg(F.min("us").alias("first"), F.max("us").alias("last"))  # one row an hour
+    across = hours.select(((F.col("first") - F.lag("last").over(Window.orderBy("hour"))) / MICROS).alias("delta"))
     return inside.unionByName(across).filter("delta IS NOT NULL")
 
 
 def sessions(events: DataFrame) -> DataFrame:
     """sid, metric, value: each session's length (session_minutes), each gap between two (gap_hours) and each
-    subject's span (coverage_days). A subject with one stamp has a span only."""
+    subject's span (coverage_days). A subject with one stamp has a span only.
+
+    Sessions are numbered by the gaps before a stamp: those of its hour, in order, and of the subject's earlier hours,
+    of which there is one row each."""
     steps = deltas(events)
-    own = steps.withColumn("median", F.median("delta").over(Window.partitionBy("sid")))
+    own = steps.join(subject_medians(steps), "sid", "left")
     limit = F.when(F.col("median") > 0, F.greatest(GAP_FACTOR * F.col("median"), F.lit(LEAST_GAP))).otherwise(float("inf"))
-    cut = own.withColumn("gap", F.coalesce(F.col("delta") > limit, F.lit(False)))
-    running = Window.partitionBy("sid").orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cut = cut.withColumn("session", F.sum(F.col("gap").cast("int")).over(running))
-    spans = cut.groupBy("sid", "session").agg(F.min("us").alias("start"), F.max("us").alias("end"), F.max(F.when(F.col("gap"), F.col("delta"))).alias("before"), F.count(F.lit(1)).alias("k"), F.first("median").alias("median"))
+    cut = own.withColumn("gap", F.coalesce(F.col("delta") > limit, F.lit(False))).withColumn("hour", _hour(F.col("us")))
+    running = Window.partitionBy("sid", "hour").orderBy("us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("sid").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = cut.groupBy("sid", "hour").agg(F.count_if("gap").alias("gaps")).select("sid", "hour", F.coalesce(F.sum("gaps").over(earlier), F.lit(0)).alias("gaps"))
+    cut = cut.withColumn("here", F.sum(F.col("gap").cast("int")).over(running)).join(hours, ["sid", "hour"])
+    cut = cut.withColumn("session", F.col("here") + F.col("gaps"))
+    spans = cut.groupBy("sid", "session").agg(F.min("us").alias("start"), F.max("us").alias("end"), F.max(F.when(F.col("gap"), F.col("delta"))).alias("before"), F.first("median").alias("median"))
     # the subject has two stamps if it has a median
     length = F.when(F.col("median").isNotNull(), (F.col("end") - F.col("start")) / MICROS / 60.0)
     parts = F.array(F.struct(F.lit("session_minutes").alias("metric"), length.alias("value")), F.struct(F.lit("gap_hours").alias("metric"), (F.col("before") / 3600.0).alias("value")))
@@ -104,7 +124,7 @@ def clipped_histogram(values: DataFrame, thresholds: Thresholds = DEFAULTS) -> D
     and 95th percentile, with at least bin_min_count values of at least k subjects."""
     rows = values.filter(N.is_finite(F.col("value")))
     # one row a metric, so these may be broadcast
-    ends = rows.groupBy("metric").agg(F.percentile("value", F.array(F.lit(LOW), F.lit(HIGH))).alias("q"), F.count(F.lit(1)).alias("n"))
+    ends = order.quantiles(rows, "value", [LOW, HIGH], ["metric"])
     ends = ends.filter((F.col("n") >= 2) & (F.col("q")[1] > F.col("q")[0])).select("metric", F.col("q")[0].alias("p_low"), F.col("q")[1].alias("p_high"))
     ends = ends.withColumn("edges", N.nice_edges(F.col("p_low"), F.col("p_high")))
     inside = rows.join(F.broadcast(ends), "metric").filter(F.col("value").between(F.col("p_low"), F.col("p_high")))

@@ -21,7 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name or f.__name__] = f
         if sql:
@@ -63,7 +63,7 @@ def _step(span: str) -> str:
 
 
 for _t in _TABLES:
-    _query(
+    query(
         f"""WITH u AS ({_unpivot(_t)})
         SELECT col AS "column", count(*) AS n, round(CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / count(*), 2) AS pct_missing,
                count(DISTINCT v) AS cardinality FROM u GROUP BY col""",
@@ -71,7 +71,7 @@ for _t in _TABLES:
     )(lambda spark, sf, t=_t: profile.column_summary(profile.value_counts(table(spark, sf, t), _TABLES[t], digests=True)))
 
 for _n, (_t, _c) in _NUMBERS.items():
-    _query(
+    query(
         f"""WITH r AS (SELECT min({_c}) AS a, max({_c}) AS b FROM {_t}), s AS (SELECT {_step("b - a")} AS step FROM r),
         g AS (SELECT floor({_c} / step) AS i, count(*) AS n, any_value(step) AS step FROM {_t}, s WHERE {_c} IS NOT NULL GROUP BY 1)
         SELECT '{_c}' AS "column", round(i * step, 6) AS lo, round((i + 1) * step, 6) AS hi, n AS "count" FROM g WHERE n >= 5""",
@@ -90,7 +90,7 @@ def _category_counts(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@_query(f"""WITH u AS ({_CATS_SQL}), k AS (SELECT col FROM u GROUP BY col HAVING count(*) <= 50)
+@query(f"""WITH u AS ({_CATS_SQL}), k AS (SELECT col FROM u GROUP BY col HAVING count(*) <= 50)
 SELECT u.col AS "column", v AS value, n AS "count" FROM u JOIN k ON u.col = k.col WHERE n >= 5""")
 def categories_kanon(spark, sf):
     counts = _category_counts(spark, sf)
@@ -98,18 +98,18 @@ def categories_kanon(spark, sf):
     return kept.join(counts.hint("merge"), ["column", "value"]).select("column", "value", "count")
 
 
-@_query(f"""WITH u AS ({_CATS_SQL}) SELECT col AS "column", CAST(sum(CASE WHEN n < 5 THEN 1 ELSE 0 END) AS BIGINT) AS rare
+@query(f"""WITH u AS ({_CATS_SQL}) SELECT col AS "column", CAST(sum(CASE WHEN n < 5 THEN 1 ELSE 0 END) AS BIGINT) AS rare
 FROM u GROUP BY col HAVING count(*) <= 50""")
 def rare_category_count(spark, sf):
     return profile.categories(_category_counts(spark, sf)).filter("NOT suppressed_high_cardinality").select("column", F.col("rare_categories_suppressed").alias("rare"))
 
 
-@_query(f"""WITH u AS ({_CATS_SQL}) SELECT col AS "column", count(*) AS cardinality, count(*) > 50 AS suppressed FROM u GROUP BY col""")
+@query(f"""WITH u AS ({_CATS_SQL}) SELECT col AS "column", count(*) AS cardinality, count(*) > 50 AS suppressed FROM u GROUP BY col""")
 def cardinality_cap(spark, sf):
     return profile.categories(_category_counts(spark, sf)).select("column", "cardinality", F.col("suppressed_high_cardinality").alias("suppressed"))
 
 
-@_query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS \"column\", count(DISTINCT {c}) / CAST(count(*) AS DOUBLE) > 0.9 AS near_unique FROM {t}" for t, cs in (("customer", ("c_name", "c_mktsegment")), ("part", ("p_name", "p_brand")), ("documents", ("text", "lang"))) for c in cs))
+@query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS \"column\", count(DISTINCT {c}) / CAST(count(*) AS DOUBLE) > 0.9 AS near_unique FROM {t}" for t, cs in (("customer", ("c_name", "c_mktsegment")), ("part", ("p_name", "p_brand")), ("documents", ("text", "lang"))) for c in cs))
 def near_unique_flags(spark, sf):
     out = None
     for t, cs in (("customer", ("c_name", "c_mktsegment")), ("part", ("p_name", "p_brand")), ("documents", ("text", "lang"))):
@@ -118,7 +118,7 @@ def near_unique_flags(spark, sf):
     return out
 
 
-@_query("""SELECT 'day' AS "column", avg(CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 1.0 ELSE 0.0 END) >= 0.6 AS date_valued
+@query("""SELECT 'day' AS "column", avg(CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 1.0 ELSE 0.0 END) >= 0.6 AS date_valued
 FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS v FROM orders ORDER BY o_orderkey LIMIT 200)
 UNION ALL SELECT 'o_orderstatus', avg(CASE WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 1.0 ELSE 0.0 END) >= 0.6
 FROM (SELECT o_orderstatus AS v FROM orders ORDER BY o_orderkey LIMIT 200)""")
@@ -130,7 +130,7 @@ def date_valued_flags(spark, sf):
 _ALL = ("events", "orders", "customer", "supplier", "part", "documents", "labels", "pages")
 
 
-@_query(f"""SELECT table_name AS "table", column_name AS "column",
+@query(f"""SELECT table_name AS "table", column_name AS "column",
 regexp_matches(lower(column_name), 'email|mrn|ssn|dob|birth|name|address|zip|phone|geo|date|time|timestamp|_at$|_id$|^id$') AS sensitive,
 regexp_matches(lower(column_name), 'email|mrn|ssn|dob|birth|name|address|zip|phone|geo|_id$|^id$') AS identifier,
 regexp_matches(lower(column_name), 'date|time|timestamp|_at$') AS datetime, regexp_matches(lower(column_name), 'dob|birth') AS birth
@@ -140,7 +140,7 @@ def name_flags(spark, sf):
     return spark.createDataFrame(rows, "table string, column string, sensitive boolean, identifier boolean, datetime boolean, birth boolean")
 
 
-@_query(f"""WITH w AS (SELECT table_name, column_name, ordinal_position AS p, unnest(string_split_regex(lower(column_name), '[^a-z0-9]+')) AS word
+@query(f"""WITH w AS (SELECT table_name, column_name, ordinal_position AS p, unnest(string_split_regex(lower(column_name), '[^a-z0-9]+')) AS word
 FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in _ALL)})),
 c AS (SELECT table_name, arg_min(column_name, p) AS count_column FROM w
       WHERE word IN ('count', 'cnt', 'n', 'freq', 'frequency', 'size', 'tally', 'num', 'total') GROUP BY 1),
@@ -151,7 +151,7 @@ def count_and_subject_columns(spark, sf):
     return spark.createDataFrame(rows, "table string, count_column string, subject_key string")
 
 
-@_query("SELECT count(DISTINCT user_id) AS cohort_n FROM events")
+@query("SELECT count(DISTINCT user_id) AS cohort_n FROM events")
 def cohort_size(spark, sf):
     return profile.cohort_size(table(spark, sf, "events"), "user_id")
 
@@ -175,38 +175,38 @@ bins AS (SELECT metric, round(i * step, 4) AS lo, round((i + 1) * step, 4) AS hi
          FROM w GROUP BY metric, i, step HAVING count(*) >= 5 AND count(DISTINCT sid) >= 5)"""
 
 
-@_query(f"WITH {_EV}, {_STEPS}, {_METRICS}, {_CLIPPED} SELECT * FROM bins")
+@query(f"WITH {_EV}, {_STEPS}, {_METRICS}, {_CLIPPED} SELECT * FROM bins")
 def temporal_histograms(spark, sf):
     return temporal.clipped_histogram(temporal.sessions(_events(spark, sf)))
 
 
 for _m in ("session_minutes", "gap_hours", "coverage_days"):
-    _query(f"WITH {_EV}, {_STEPS}, {_METRICS}, {_CLIPPED} SELECT * FROM bins WHERE metric = '{_m}'", f"{_m}_histogram")(
+    query(f"WITH {_EV}, {_STEPS}, {_METRICS}, {_CLIPPED} SELECT * FROM bins WHERE metric = '{_m}'", f"{_m}_histogram")(
         lambda spark, sf, m=_m: temporal.clipped_histogram(temporal.sessions(_events(spark, sf)).filter(F.col("metric") == m))
     )
 
 
-@_query(f"WITH {_EV}, {_STEPS}, {_METRICS} SELECT metric, count(*) AS n, count(DISTINCT sid) AS n_subjects, round(avg(value), 6) AS mean FROM v GROUP BY metric")
+@query(f"WITH {_EV}, {_STEPS}, {_METRICS} SELECT metric, count(*) AS n, count(DISTINCT sid) AS n_subjects, round(avg(value), 6) AS mean FROM v GROUP BY metric")
 def sessionization(spark, sf):
     return temporal.sessions(_events(spark, sf)).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("sid").alias("n_subjects"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-@_query("SELECT strftime(min(ts), '%Y-%m') AS min_month, strftime(max(ts), '%Y-%m') AS max_month, count(ts) AS n_timestamps FROM events")
+@query("SELECT strftime(min(ts), '%Y-%m') AS min_month, strftime(max(ts), '%Y-%m') AS max_month, count(ts) AS n_timestamps FROM events")
 def month_bounds(spark, sf):
     return temporal.month_bounds(_events(spark, sf))
 
 
-@_query(f"WITH {_OR}, {_STEPS}, m AS (SELECT quantile_cont(delta, 0.5) AS med FROM d WHERE delta IS NOT NULL GROUP BY sid), x AS (SELECT quantile_cont(med, 0.5) AS s FROM m) SELECT round(s, 6) AS seconds, {_LABEL} AS label FROM x")
+@query(f"WITH {_OR}, {_STEPS}, m AS (SELECT quantile_cont(delta, 0.5) AS med FROM d WHERE delta IS NOT NULL GROUP BY sid), x AS (SELECT quantile_cont(med, 0.5) AS s FROM m) SELECT round(s, 6) AS seconds, {_LABEL} AS label FROM x")
 def cadence_per_subject(spark, sf):
     return temporal.cadence(_orders(spark, sf)).withColumn("seconds", F.round("seconds", 6))
 
 
-@_query(f"WITH {_EV}, {_STEPS}, m AS (SELECT quantile_cont(delta, 0.5) AS med FROM d WHERE delta IS NOT NULL GROUP BY sid), x AS (SELECT quantile_cont(med, 0.5) AS s FROM m WHERE med > 0) SELECT round(s, 6) AS seconds, {_LABEL} AS label FROM x")
+@query(f"WITH {_EV}, {_STEPS}, m AS (SELECT quantile_cont(delta, 0.5) AS med FROM d WHERE delta IS NOT NULL GROUP BY sid), x AS (SELECT quantile_cont(med, 0.5) AS s FROM m WHERE med > 0) SELECT round(s, 6) AS seconds, {_LABEL} AS label FROM x")
 def cadence_cohort(spark, sf):
     return temporal.cadence(_events(spark, sf), positive=True).withColumn("seconds", F.round("seconds", 6))
 
 
-@_query(f"WITH {_EV}, g AS (SELECT (us - lag(us) OVER (ORDER BY us)) / 1e6 AS delta FROM e), x AS (SELECT quantile_cont(delta, 0.5) AS s FROM g WHERE delta IS NOT NULL) SELECT round(s, 6) AS seconds, {_LABEL} AS label FROM x")
+@query(f"WITH {_EV}, g AS (SELECT (us - lag(us) OVER (ORDER BY us)) / 1e6 AS delta FROM e), x AS (SELECT quantile_cont(delta, 0.5) AS s FROM g WHERE delta IS NOT NULL) SELECT round(s, 6) AS seconds, {_LABEL} AS label FROM x")
 def cadence_global(spark, sf):
     return temporal.cadence(_events(spark, sf), by_subject=False).withColumn("seconds", F.round("seconds", 6))
 
@@ -215,13 +215,13 @@ _BLOCKS = "k AS (SELECT ((us // 3600000000) % 24) // 4 AS block, count(*) AS n,
 _BLOCK_LABEL = "lpad(CAST(block * 4 AS VARCHAR), 2, '0') || '-' || lpad(CAST((block + 1) * 4 AS VARCHAR), 2, '0')"
 
 
-@_query(f"""WITH {_EV}, {_BLOCKS}, f AS (SELECT range AS block, coalesce(k.n, 0) AS n FROM range(6) LEFT JOIN k ON range = k.block AND k.s >= 5)
+@query(f"""WITH {_EV}, {_BLOCKS}, f AS (SELECT range AS block, coalesce(k.n, 0) AS n FROM range(6) LEFT JOIN k ON range = k.block AND k.s >= 5)
 SELECT {_BLOCK_LABEL} AS block, coalesce(round(n / CAST(nullif(sum(n) OVER (), 0) AS DOUBLE), 6), 0.0) AS weight FROM f""")
 def diurnal_blocks(spark, sf):
     return temporal.diurnal_profile(_events(spark, sf))
 
 
-@_query(f"WITH {_EV}, c AS (SELECT sid, (max(us) - min(us)) / 1e6 / 86400.0 AS days, count(DISTINCT us // 86400000000) AS a FROM e WHERE sid IS NOT NULL GROUP BY sid) SELECT round(avg(a / (days + 1.0)), 4) AS active_day_rate FROM c")
+@query(f"WITH {_EV}, c AS (SELECT sid, (max(us) - min(us)) / 1e6 / 86400.0 AS days, count(DISTINCT us // 86400000000) AS a FROM e WHERE sid IS NOT NULL GROUP BY sid) SELECT round(avg(a / (days + 1.0)), 4) AS active_day_rate FROM c")
 def active_day_rate(spark, sf):
     return temporal.active_day_rate(_events(spark, sf))
 
@@ -229,18 +229,18 @@ def active_day_rate(spark, sf):
 _GATES = "g AS (SELECT count(DISTINCT sid) AS n_contributors, count(*) AS n_timestamps FROM e) SELECT n_contributors, n_timestamps, n_contributors >= 5 AS k_safe, n_timestamps > 1.1 * n_contributors AS repeated, n_contributors >= 5 AND n_timestamps > 1.1 * n_contributors AS disclosed FROM g"
 
 
-@_query(f"WITH {_EV}, {_GATES}")
+@query(f"WITH {_EV}, {_GATES}")
 def contributors_gate(spark, sf):
     return temporal.longitudinal(temporal.contributors(_events(spark, sf)))
 
 
-@_query(f"WITH e AS (SELECT o_custkey AS sid, epoch_us(min(o_orderdate)) AS us FROM orders GROUP BY o_custkey), {_GATES}")
+@query(f"WITH e AS (SELECT o_custkey AS sid, epoch_us(min(o_orderdate)) AS us FROM orders GROUP BY o_custkey), {_GATES}")
 def single_event_guard(spark, sf):
     first = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("d"))
     return temporal.longitudinal(temporal.contributors(temporal.timeline(first, "o_custkey", "d")))
 
 
-@_query("""WITH x AS (SELECT 's' AS kind, quantile_cont(abs(epoch(ts)), 0.5) AS m FROM events UNION ALL SELECT 'ms', quantile_cont(abs(epoch_ms(ts)), 0.5) FROM events
+@query("""WITH x AS (SELECT 's' AS kind, quantile_cont(abs(epoch(ts)), 0.5) AS m FROM events UNION ALL SELECT 'ms', quantile_cont(abs(epoch_ms(ts)), 0.5) FROM events
 UNION ALL SELECT 'value', quantile_cont(abs(value), 0.5) FROM events)
 SELECT kind, CASE WHEN m >= 1e9 AND m < 1e11 THEN 's' WHEN m >= 1e12 AND m < 1e14 THEN 'ms' END AS unit FROM x""")
 def epoch_unit_detect(spark, sf):
@@ -264,17 +264,17 @@ def _stamps(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("user_id", text.alias("stamp"))
 
 
-@_query(f"WITH {_STAMPS_SQL} SELECT template, n AS \"count\", s AS n_subjects FROM c ORDER BY n DESC, template LIMIT 1")
+@query(f"WITH {_STAMPS_SQL} SELECT template, n AS \"count\", s AS n_subjects FROM c ORDER BY n DESC, template LIMIT 1")
 def format_dominant(spark, sf):
     return formats.disclosed_formats(formats.format_counts(_stamps(spark, sf), "stamp", "user_id")).filter("dominant").select("template", "count", "n_subjects")
 
 
-@_query(f"WITH {_STAMPS_SQL} SELECT template, n AS \"count\", s AS n_subjects FROM (SELECT *, row_number() OVER (ORDER BY n DESC, template) AS r FROM c) WHERE r > 1 AND s >= 5")
+@query(f"WITH {_STAMPS_SQL} SELECT template, n AS \"count\", s AS n_subjects FROM (SELECT *, row_number() OVER (ORDER BY n DESC, template) AS r FROM c) WHERE r > 1 AND s >= 5")
 def format_minority(spark, sf):
     return formats.disclosed_formats(formats.format_counts(_stamps(spark, sf), "stamp", "user_id")).filter("NOT dominant").select("template", "count", "n_subjects")
 
 
-@_query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
+@query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
 def mixed_timestamp_parse(spark, sf):
     t = F.col("ts").cast("timestamp")
     kinds = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'", "M/d/yyyy H:m:s", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
@@ -291,17 +291,17 @@ def _suppliers(spark, sf):
     return table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) >= 5")
+@query("SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1 HAVING count(*) >= 5")
 def sdc_small_cells(spark, sf):
     return disclosure.suppress_small_cells(_suppliers(spark, sf), "n")
 
 
-@_query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) >= 5")
+@query("SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2 HAVING count(*) >= 5")
 def sdc_lang_source(spark, sf):
     return disclosure.suppress_small_cells(table(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "n")
 
 
-@_query("""SELECT 'nations' AS name, CASE WHEN count(*) > 20 THEN 'block' ELSE 'allow' END AS status FROM (SELECT DISTINCT s_nationkey FROM supplier)
+@query("""SELECT 'nations' AS name, CASE WHEN count(*) > 20 THEN 'block' ELSE 'allow' END AS status FROM (SELECT DISTINCT s_nationkey FROM supplier)
 UNION ALL SELECT 'segments', CASE WHEN count(*) > 20 THEN 'block' ELSE 'allow' END FROM (SELECT DISTINCT c_mktsegment FROM customer)
 UNION ALL SELECT 'statuses', CASE WHEN min(n) < 5 THEN 'suppress' ELSE 'allow' END FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
 UNION ALL SELECT 'names', 'block'""")
@@ -318,7 +318,7 @@ def sdc_verdicts(spark, sf):
 _SCRUB = r"""regexp_replace(regexp_replace(regexp_replace(text, '''[^'']*''|"[^"]*"', '<Q>', 'g'), '[\w.+-]+@[\w-]+\.[\w.-]+', '<redacted>', 'g'), '(^|[^\w:])\d+\.\d+|(^|[^\w:.])\d{2,}', '\1\2<redacted>', 'g')"""
 
 
-@_query(rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(1), ''), chr(2), ''),
+@query(rf"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(1), ''), chr(2), ''),
 '''[^'']*''|("[^"]*")', CASE WHEN true THEN chr(1) || '\1' || chr(2) END, 'g'), chr(1) || '"[^"]*"' || chr(2), '"<redacted>"', 'g'), chr(1) || chr(2), '''<redacted>''', 'g'),
 '[\w.+-]+@[\w-]+\.[\w.-]+', '<redacted>', 'g').regexp_replace('(^|[^\w:])\d+\.\d+|(^|[^\w:.])\d{{2,}}', '\1\2<redacted>', 'g')) AS scrubbed FROM documents
 WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
@@ -327,7 +327,7 @@ def scrub_text(spark, sf):
     return table(spark, sf, "documents").filter(ascii_only).select("doc_id", F.sha2(X.scrub("text"), 256).alias("scrubbed"))
 
 
-@_query()  # RE2 has no Unicode word characters, so no SQL says the same; a test scrubs every row in Python
+@query()  # RE2 has no Unicode word characters, so no SQL says the same; a test scrubs every row in Python
 def scrub_text_all(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2(X.scrub("text"), 256).alias("scrubbed"))
 
@@ -335,7 +335,7 @@ def scrub_text_all(spark, sf):
 # ---- analysts' aggregates, joins and windows
 
 
-@_query("""WITH u AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders GROUP BY 1)
+@query("""WITH u AS (SELECT o_custkey, avg(o_totalprice) AS m FROM orders GROUP BY 1)
 SELECT c_mktsegment AS segment, count(m) AS n, round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS sd FROM u JOIN customer ON o_custkey = c_custkey GROUP BY 1""")
 def two_level_group_mean(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -343,19 +343,19 @@ def two_level_group_mean(spark, sf):
     return out.withColumns({"mean": F.round("mean", 4), "sd": F.round("sd", 4)})
 
 
-@_query("SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_subjects FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_subjects FROM events GROUP BY 1")
 def group_counts(spark, sf):
     return groups.group_counts(table(spark, sf, "events"), "event_type", "user_id")
 
 
-@_query("""WITH c AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS k FROM orders GROUP BY 1),
+@query("""WITH c AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS k FROM orders GROUP BY 1),
 t AS (SELECT CAST(ntile(3) OVER (ORDER BY k, o_custkey) AS INTEGER) AS tertile, total FROM c) SELECT tertile, count(*) AS n, round(avg(total), 4) AS mean FROM t GROUP BY 1""")
 def tertile_means(spark, sf):
     own = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("k"))
     return groups.tertile_means(own, "k", "total", "o_custkey").withColumn("mean", F.round("mean", 4))
 
 
-@_query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
 def earliest_per_key(spark, sf):
     return groups.earliest_per_key(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_totalprice")
 
@@ -374,7 +374,7 @@ def _effect_tables(spark, sf):
 _LEFT, _RIGHT = (x.replace("avg(l_discount)", "round(avg(l_discount), 9)").replace("avg(l_tax)", "round(avg(l_tax), 9)") for x in (_LEFT, _RIGHT))
 
 
-@_query(f"""WITH {_LEFT}, {_RIGHT}, j AS (SELECT beta AS a, effect AS t FROM a JOIN t USING (feature)),
+@query(f"""WITH {_LEFT}, {_RIGHT}, j AS (SELECT beta AS a, effect AS t FROM a JOIN t USING (feature)),
 r AS (SELECT a, t, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS rt FROM j)
 SELECT count(*) AS shared_features, round(avg(CASE WHEN a * sign(t) > 0 THEN 1.0 ELSE 0.0 END), 6) AS direction_concordance, round(corr(ra, rt), 6) AS effect_rank_spearman,
 round(avg(CASE WHEN a * sign(t) > 0 THEN 1.0 ELSE 0.0 END), 6) AS replication_rate FROM r""")
@@ -382,13 +382,13 @@ def reconcile_effects(spark, sf):
     return groups.reconcile(*_effect_tables(spark, sf)).withColumns({c: F.round(c, 6) for c in ("direction_concordance", "effect_rank_spearman", "replication_rate")})
 
 
-@_query("SELECT p_brand AS feature, round(avg(l_discount), 6) AS beta, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY 1 HAVING count(*) >= 21")
+@query("SELECT p_brand AS feature, round(avg(l_discount), 6) AS beta, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY 1 HAVING count(*) >= 21")
 def minimum_cell_export(spark, sf):
     rows = table(spark, sf, "lineitem").filter("l_quantity > 49").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return groups.minimum_cell_export(rows.groupBy(F.col("p_brand").alias("feature")).agg(F.round(F.avg("l_discount"), 6).alias("beta"), F.count(F.lit(1)).alias("n")), 21)
 
 
-@_query(f"""WITH {_EV}, {_STEPS}, {_METRICS}, {_CLIPPED}
+@query(f"""WITH {_EV}, {_STEPS}, {_METRICS}, {_CLIPPED}
 SELECT bins.metric, lo, hi, count(DISTINCT v.sid) AS real_subjects FROM bins LEFT JOIN v ON v.metric = bins.metric AND value >= lo AND value < hi GROUP BY 1, 2, 3""")
 def range_join_subjects_per_bin(spark, sf):
     values = temporal.sessions(_events(spark, sf))
@@ -396,13 +396,13 @@ def range_join_subjects_per_bin(spark, sf):
     return temporal.tested_profile_bins(values, bins)
 
 
-@_query("""WITH x AS (SELECT s_nationkey AS element, min(s_suppkey) AS sid FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1)
+@query("""WITH x AS (SELECT s_nationkey AS element, min(s_suppkey) AS sid FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) = 1)
 SELECT sid, count(*) AS n_elements FROM x GROUP BY sid""")
 def sole_contributors(spark, sf):
     return assessment.sole_contributors(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("element"), F.col("s_suppkey").alias("sid")))
 
 
-@_query("""WITH a AS (SELECT hour(ts) // 4 AS b, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY 1),
+@query("""WITH a AS (SELECT hour(ts) // 4 AS b, count(*) / sum(count(*)) OVER () AS p FROM events GROUP BY 1),
 z AS (SELECT hour(ts) // 4 AS b, count(*) / sum(count(*)) OVER () AS q FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT round(sum(abs(coalesce(p, 0) - coalesce(q, 0))), 4) AS diurnal_l1 FROM a FULL JOIN z USING (b)""")
 def diurnal_l1(spark, sf):
@@ -410,7 +410,7 @@ def diurnal_l1(spark, sf):
     return assessment.diurnal_distance(_events(spark, sf), clicks)
 
 
-@_query("""SELECT c >= date_trunc('day', a) AND d <= CASE WHEN b = date_trunc('day', b) THEN b ELSE date_trunc('day', b) + INTERVAL 1 DAY END AS syn_in_real_range
+@query("""SELECT c >= date_trunc('day', a) AND d <= CASE WHEN b = date_trunc('day', b) THEN b ELSE date_trunc('day', b) + INTERVAL 1 DAY END AS syn_in_real_range
 FROM (SELECT min(ts) AS a, max(ts) AS b, min(ts) FILTER (event_type = 'click') AS c, max(ts) FILTER (event_type = 'click') AS d FROM events)""")
 def range_containment(spark, sf):
     some = temporal.timeline(table(spark, sf, "events").filter("event_type = 'click'"), "user_id", "ts")
@@ -420,32 +420,32 @@ def range_containment(spark, sf):
 _MASK = "(l_orderkey * 7 + l_linenumber) % 10 = 0"
 
 
-@_query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_masked, round(sqrt(avg(pow({c} - g, 2))), 6) AS rmse, round(1 - sum(pow({c} - g, 2)) / sum(pow({c} - o, 2)), 6) AS r2
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_masked, round(sqrt(avg(pow({c} - g, 2))), 6) AS rmse, round(1 - sum(pow({c} - g, 2)) / sum(pow({c} - o, 2)), 6) AS r2
 FROM lineitem, (SELECT avg({c}) FILTER (NOT {_MASK}) AS g, avg({c}) FILTER ({_MASK}) AS o FROM lineitem) WHERE {_MASK}""" for c in ("l_quantity", "l_discount", "l_tax")))
 def impute_mean_quality(spark, sf):
     out = groups.imputation_quality(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], F.expr(_MASK))
     return out.withColumns({"rmse": F.round("rmse", 6), "r2": F.round("r2", 6)})
 
 
-@_query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(100.0 * count(*) FILTER ({c} IS NULL OR {c} > {m}) / count(*), 6) AS pct_missing FROM lineitem" for c, m in (("l_quantity", 45), ("l_discount", 0.05))))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(100.0 * count(*) FILTER ({c} IS NULL OR {c} > {m}) / count(*), 6) AS pct_missing FROM lineitem" for c, m in (("l_quantity", 45), ("l_discount", 0.05))))
 def missing_rates(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).alias("l_quantity"), F.when(F.col("l_discount") <= 0.05, F.col("l_discount")).alias("l_discount"))
     return groups.missing_rates(rows, ["l_quantity", "l_discount"]).withColumn("pct_missing", F.round("pct_missing", 6))
 
 
-@_query("""SELECT 'r_name' AS "column", string_agg(r_name, '; ' ORDER BY r_name) AS "values" FROM region
+@query("""SELECT 'r_name' AS "column", string_agg(r_name, '; ' ORDER BY r_name) AS "values" FROM region
 UNION ALL SELECT 'n_name', string_agg(n_name, '; ' ORDER BY n_name) FROM nation""")
 def codebook_text(spark, sf):
     out = S.codebook_text(table(spark, sf, "region").select("r_name")).unionByName(S.codebook_text(table(spark, sf, "nation").select("n_name")))
     return out.select("column", F.array_join("values", "; ").alias("values"))
 
 
-@_query("SELECT count(DISTINCT o_custkey) AS n_persons, count(*) AS n_rows FROM orders")
+@query("SELECT count(DISTINCT o_custkey) AS n_persons, count(*) AS n_rows FROM orders")
 def layer_counts(spark, sf):
     return groups.layer_counts(table(spark, sf, "orders"), "o_custkey")
 
 
-@_query("""SELECT r_name AS region, count(DISTINCT c_custkey) AS n, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey
+@query("""SELECT r_name AS region, count(DISTINCT c_custkey) AS n, round(avg(o_totalprice), 4) AS mean FROM orders JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1 HAVING count(DISTINCT c_custkey) >= 5""")
 def cross_table_join(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -454,7 +454,7 @@ def cross_table_join(spark, sf):
     return disclosure.suppress_small_cells(out, "n")
 
 
-@_query("SELECT doc_id, sha256(text) AS sha256, substr(sha256(text), 1, 16) AS short FROM documents")
+@query("SELECT doc_id, sha256(text) AS sha256, substr(sha256(text), 1, 16) AS short FROM documents")
 def content_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.substring(F.sha2("text", 256), 1, 16).alias("short"))
 
@@ -462,7 +462,7 @@ def content_hash(spark, sf):
 # ---- made data: no SQL says which values come out; tests hold their shape
 
 
-@_query()
+@query()
 def synthetic_iid(spark, sf):
     from veilspark.operators import synthesis
     from veilspark.plans.dictionary import profile_dataframe
@@ -471,7 +471,7 @@ def synthetic_iid(spark, sf):
     return synthesis.synthesize(spark, profiled["columns"], 100, 0, ("c_custkey",), synthesis.id_pool())
 
 
-@_query()
+@query()
 def synthetic_timelines(spark, sf):
     from veilspark.operators import synthesis
     from veilspark.plans.dictionary import temporal_distribution
