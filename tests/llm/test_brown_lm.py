@@ -51,6 +51,76 @@ def test_class_model_sums_to_one(spark):
     assert np.allclose(total + B.ADDED / 10**m.below, 1)
 
 
+def by_definition(rows, model, table):
+    """Scores of (text, trained) rows by the model's formulas, from its classes alone."""
+    of, count, classes = {r.word: r["class"] for r in table}, {r.word: r.c for r in table}, len(model.transitions)
+    ends, buckets = sum(trained for _, trained in rows), model.of_unit[len(model.words) - 1 : -1]
+    of[B.END], count[B.END] = classes - 1, ends
+    class_of = lambda w: of[w] if w in of else buckets[B.bucket(w)]
+    tokens, kinds = np.zeros(classes), np.zeros(classes)
+    for w, c in of.items():
+        tokens[c] += count[w]
+        kinds[c] += 1
+    grid = np.zeros((classes, classes))
+    for text, trained in rows:
+        if trained:
+            path = [classes - 1, *map(class_of, B.tokens(text)), classes - 1]
+            np.add.at(grid, (path[:-1], path[1:]), 1)
+    own = (tokens + 1) / (tokens + 1).sum()
+    step = (grid + B.TRANSITION_PRIOR * own) / (grid.sum(1, keepdims=True) + B.TRANSITION_PRIOR)
+    out = []
+    for text, _ in rows:
+        before, logs = classes - 1, 0.0
+        for w in (*B.tokens(text), B.END):
+            c = class_of(w)
+            logs += math.log10(step[before, c]) + math.log10((count.get(w, 0) + B.ADDED) / (tokens[c] + B.ADDED * (kinds[c] + 1)))
+            before = c
+        out.append(logs)
+    return out
+
+
+@pytest.mark.parametrize("held", [B.HELD, 60])
+def test_score_by_its_definition(spark, monkeypatch, held):
+    from pyspark.sql import functions as F
+
+    from veilspark.llm import common as C
+
+    monkeypatch.setattr(B, "HELD", held)
+    monkeypatch.setattr(B, "CLUSTERED", 50)
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    out = {r.doc_id: r.score for r in B.op7_brown_lm(spark, sf).collect()}
+    rows = spark.createDataFrame([(r.doc_id, r.text) for r in docs], "doc_id long, text string").withColumns({"scored": F.lit(True), "trained": B.C.id_remainder(F.col("doc_id"), 10) != 0})
+    model, table, _ = B._learn(rows, C.Scratch(spark, "test"))
+    want = by_definition([(r.text, zlib.crc32(str(r.doc_id).encode()) % 10 != 0) for r in docs], model, table.collect())
+    assert np.allclose([out[r.doc_id] for r in docs], want, rtol=1e-9, atol=1e-6)
+
+
+def test_a_sweep_puts_every_word_where_it_is_likeliest(spark):
+    """Against trying all classes with the whole likelihood, each word by itself."""
+    from veilspark.llm import common as C
+
+    rng, classes = np.random.default_rng(8), 5
+    texts = [" ".join(f"w{rng.integers(0, 12)}" for _ in range(30)) for _ in range(40)]
+    words = [f"w{i}".encode() for i in range(12)]
+    of = {w: int(c) for w, c in zip(words, rng.integers(0, classes - 1, 12), strict=True)}
+    got = {r.word: r["class"] for r in B.sweep(documents(spark, list(enumerate(texts))), of, np.zeros(2 * B.ENDINGS, int), classes, C.Scratch(spark, "test"), "met").collect()}
+
+    def likelihood(of):
+        grid = np.zeros((classes, classes))
+        for t in texts:
+            path = [classes - 1, *(of[w] for w in B.tokens(t)), classes - 1]
+            np.add.at(grid, (path[:-1], path[1:]), 1)
+        f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return f(grid) - f(grid.sum(0)) - f(grid.sum(1))
+
+    near = 0
+    for w in words:
+        tried = [likelihood(of | {w: c}) for c in range(classes - 1)]
+        near += tried[got[w]] >= max(tried) - 3.0  # but for pairs of the word with itself
+    assert near == 12
+
+
 def test_exchange_finds_alternating_classes():
     a = np.array([0, 0, 1, 1, 2, 2, 3, 3])
     b = np.array([2, 3, 2, 3, 0, 1, 0, 1])
@@ -67,7 +137,8 @@ def test_every_training_word_has_the_class_of_its_neighbours(spark, monkeypatch)
     scratch = C.Scratch(spark, "test")
     m, others = B.train_classes(documents(spark, rows), scratch, classes=8)
     of = {r.word.decode(): r["class"] for r in others.collect()}
-    assert len(of) == 1000 and sum(r.c for r in others.collect()) == 1000
+    assert len(of) == 1004 and sum(r.c for r in others.collect()) == 3000
+    of = {w: c for w, c in of.items() if w[0] in "xy"}
     assert len({c for w, c in of.items() if w[0] == "x"}) == 1 == len({c for w, c in of.items() if w[0] == "y"}) and len(set(of.values())) == 2
     assert B.grown(B.CLASSES, 8 * B.DISTINCT) == 2 * B.CLASSES and B.grown(B.CLUSTERED, 8 * B.DISTINCT) == 2 * B.CLUSTERED
 

@@ -20,10 +20,11 @@ from veilspark.llm import common as C
 
 #: The end of a text, counted as a token; no word, as it holds white space.
 END = b" "
-#: Least number of words that are exchanged on the driver, buckets by ending (twice so many: with and without
-#: punctuation) that stand for all other words meanwhile and later for unseen ones, least number of classes, and sweeps.
-#: Exchanged words and classes grow with the cube root of the distinct words beyond DISTINCT.
-CLUSTERED, ENDINGS, CLASSES, SWEEPS = 2048, 256, 64, 4
+#: Least number of words that are exchanged one by one to begin with, buckets by ending (twice so many: with and without
+#: punctuation) that stand for all other words meanwhile and later for unseen ones, least number of classes, and sweeps;
+#: sweeps over every training word, in which tasks exchange their words at once. The first words and the classes grow
+#: with the cube root of the distinct words beyond DISTINCT.
+CLUSTERED, ENDINGS, CLASSES, SWEEPS, SWEEPS_OF_ALL = 2048, 256, 64, 4, 2
 DISTINCT = 262_144
 #: Most frequent words whose counts every task holds; the others' are joined.
 HELD = 65_536
@@ -145,69 +146,75 @@ def count_pairs(train: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nd
     return pair // n, pair % n, k
 
 
-class _Ids(dict):
-    """word: its place among the exchanged words, or -1 - its number among the others met."""
+class _Met(dict):
+    """word: its number among the words a task has met, with the classes they count as so far."""
 
-    def __init__(self, words: list[bytes], bucket_class: np.ndarray) -> None:
-        super().__init__(zip(words, range(len(words)), strict=True))
-        self.others: list[bytes] = []
+    def __init__(self, classes: dict[bytes, int], bucket_class: np.ndarray) -> None:
+        super().__init__()
+        self.words: list[bytes] = []
         self.classes: list[int] = []
-        self.bucket_class = bucket_class
+        self.known, self.bucket_class = classes, bucket_class
 
     def __missing__(self, word: bytes) -> int:
-        self.others.append(word)
-        self.classes.append(int(self.bucket_class[bucket(word)]))
-        self[word] = at = -len(self.others)
+        own = self.known.get(word)
+        self[word] = at = len(self.words)
+        self.words.append(word)
+        self.classes.append(int(self.bucket_class[bucket(word)]) if own is None else own)
         return at
 
 
-def assign(train: DataFrame, words: list[bytes], of: np.ndarray, grid: np.ndarray) -> DataFrame:
-    """word, c, class of every word that wasn't exchanged: the class that raises the likelihood most, by the word's own
-    counts of the classes after and before it, which are summed up by word."""
-    classes = len(grid)
-    shared = train.sparkSession.sparkContext.broadcast((words, of, grid))
+def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray, classes: int, scratch: C.Scratch, name: str) -> DataFrame:
+    """word, c, class of every training word: one exchange of all words, each given the classes of all others before
+    the sweep. class_of holds those of the frequent words, bucket_class those that the other words count as. A word's
+    counts of the classes after and before it are summed up by word; it is taken out of its own class and put where it
+    raises the likelihood of the class bigrams most. The last class is the end's alone."""
+    shared = train.sparkSession.sparkContext.broadcast((class_of, bucket_class))
+    end = classes - 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, of, _ = shared.value
-        core, core_class = len(words), of[: len(words)]
-        ids, keys, times = _Ids(words, of[core:-1]), [], []
+        met, keys, times, size = _Met(*shared.value), [], [], 0
+        grid = np.zeros(classes * classes, np.int64)
 
         def rows() -> pa.RecordBatch:
             at, k = _sum(np.concatenate(keys), np.concatenate(times)) if keys else (np.zeros(0, np.int64),) * 2
             own, first = np.unique(at // (2 * classes), return_index=True)
-            ends = pa.array(np.append(first, len(at)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (at % (2 * classes), k)]
-            return pa.RecordBatch.from_arrays([pa.array([ids.others[i] for i in own], pa.binary()), *lists], ["word", "code", "n"])
+            pair = np.flatnonzero(grid)
+            ends = pa.array([*first, len(at), len(at) + len(pair)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in ((at % (2 * classes), pair), (k, grid[pair]))]
+            grid[:] = 0
+            return pa.RecordBatch.from_arrays([pa.array([*(met.words[i] for i in own), None], pa.binary()), pa.array([*(met.classes[i] for i in own), None], pa.int32()), *lists], ["word", "own", "code", "n"])
 
-        size = 0
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
-                flat: list[int | None] = [core]
+                flat: list[int] = [-1]
                 for t in batch.column(0).slice(i, 200).to_pylist():
-                    flat += map(ids.__getitem__, tokens(t))
-                    flat.append(core)
+                    flat += map(met.__getitem__, tokens(t))
+                    flat.append(-1)
                 at = np.array(flat)
-                known = np.append(core_class, of[-1])
-                met = np.array(ids.classes + [0])
-                kinds = np.where(at >= 0, known[np.maximum(at, 0)], met[np.where(at < 0, -1 - at, 0)])
-                where = np.flatnonzero(at < 0)
-                own = (-1 - at[where]) * (2 * classes)
+                kinds = np.append(np.array(met.classes, np.int64), end)[at]  # -1 is an end
+                grid += np.bincount(kinds[:-1] * classes + kinds[1:], minlength=len(grid))
+                where = np.flatnonzero(at >= 0)
+                own = at[where] * (2 * classes)
                 key, k = np.unique(np.concatenate([own + kinds[where + 1], own + classes + kinds[where - 1]]), return_counts=True)
                 keys.append(key)
                 times.append(k)
                 size += len(key)
-                if size > 3_000_000 or len(ids.others) > AT_ONCE:
+                if size > 3_000_000 or len(met) > AT_ONCE:
                     yield rows()
-                    ids, keys, times, size = _Ids(words, of[core:-1]), [], [], 0
+                    met, keys, times, size = _Met(*shared.value), [], [], 0
         yield rows()
 
+    found = scratch.put(train.select("text").mapInArrow(meet, "word binary, own int, code array<long>, n array<long>"), name)
+    pairs = found.filter("word IS NULL").select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy("x.code").agg(F.sum("x.n").alias("n")).toArrow()
+    grid = np.bincount(pairs.column("code").to_numpy(), pairs.column("n").to_numpy(), classes * classes).reshape(classes, classes)
+    held = train.sparkSession.sparkContext.broadcast(grid)
+
     def f(x: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1.0))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grid = shared.value[2]
-        both = np.concatenate([grid.T, grid])
-        f_both, after, before = f(both), grid.sum(1), grid.sum(0)
+        grid = held.value
+        both, after, before = np.concatenate([grid.T, grid]), grid.sum(1), grid.sum(0)
 
         def done(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
@@ -219,12 +226,20 @@ def assign(train: DataFrame, words: list[bytes], of: np.ndarray, grid: np.ndarra
             key, n = _sum(np.repeat(of_row, lengths) * (2 * classes) + code, n)
             own, code = key // (2 * classes), key % (2 * classes)
             first = np.searchsorted(own, np.arange(of_row[-1] + 2))
+            start = t.column("own").to_numpy()[np.flatnonzero(new)].astype(np.int64)
             best, c = np.zeros(len(first) - 1, np.int32), np.bincount(own, n * (code >= classes), len(first) - 1)
             for i in range(0, len(best), 500):
                 j = min(i + 500, len(best))
                 part = slice(first[i], first[j])
-                gain = np.add.reduceat(f(both[code[part]] + n[part, None]) - f_both[code[part]], first[i:j] - first[i])
-                gain -= f(after + c[i:j, None]) + f(before + c[i:j, None]) - f(after) - f(before)
+                rest = both[code[part]]
+                rest[np.arange(len(rest)), start[own[part]]] -= n[part]  # the word's own class without it
+                rest = np.maximum(rest, 0.0)
+                gain = np.add.reduceat(f(rest + n[part, None]) - f(rest), first[i:j] - first[i])
+                words = np.arange(i, j)
+                for total in (after, before):
+                    others = np.repeat(total[None], j - i, 0)
+                    others[words - i, start[words]] -= c[words]
+                    gain -= f(others + c[words, None]) - f(others)
                 best[i:j] = np.argmax(gain[:, :-1], 1)
             at = np.flatnonzero(new)
             return pa.RecordBatch.from_arrays([pa.array([word[x] for x in at], pa.binary()), pa.array(c.astype(np.int64)), pa.array(best)], ["word", "c", "class"])
@@ -245,8 +260,7 @@ def assign(train: DataFrame, words: list[bytes], of: np.ndarray, grid: np.ndarra
         if left is not None:
             yield done(left)
 
-    met = train.select("text").mapInArrow(meet, "word binary, code array<int>, n array<int>")
-    return met.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int")
+    return found.filter("word IS NOT NULL").repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int")
 
 
 def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: int, sweeps: int) -> np.ndarray:
@@ -290,8 +304,8 @@ def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: i
 
 
 def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, sweeps: int = SWEEPS) -> tuple[Classes, DataFrame, DataFrame]:
-    """rows: doc_id, text, scored, trained. The model, the counts of words that weren't exchanged (word, c, class), and
-    all rows as sequences of classes."""
+    """rows: doc_id, text, scored, trained. The model, the counts and classes of all training words (word, c, class),
+    and all rows as sequences of classes."""
     train = rows.filter("trained")
     vocabulary = scratch.put(count_words(train), "vocabulary")
     row = vocabulary.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
@@ -303,30 +317,29 @@ def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, swee
     core = min(grown(CLUSTERED, distinct), len(words))
     a, b, k = count_pairs(train, words[:core])
     of = exchange(a, b, k, core + 2 * ENDINGS + 1, classes, sweeps)
-    grid = np.bincount(of[a] * classes + of[b], k, classes * classes).reshape(classes, classes)
-    others = scratch.put(assign(train, words[:core], of, grid), "others")
-    next_held = others.orderBy(F.desc("c"), "word").limit(len(words) - core).select("word", "class").toArrow() if len(words) > core else None
-    class_of = dict(zip(words, of[:core].tolist(), strict=False))
-    if next_held is not None:
-        class_of.update(zip(next_held.column("word").to_pylist(), next_held.column("class").to_pylist(), strict=True))
-    in_class, kinds = np.bincount(of[:core], counts[:core], classes), np.bincount(of[:core], minlength=classes).astype(float)
-    in_class[of[-1]] += ends
-    kinds[of[-1]] += ends > 0
-    for r in others.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
-        in_class[r["class"]] += r.c
-        kinds[r["class"]] += r.n
-    of_unit = np.array([*(class_of[w] for w in words), *of[core:]])
+    class_of, bucket_class = dict(zip(words, of[:core].tolist(), strict=False)), of[core:-1]
+    for i in range(SWEEPS_OF_ALL):
+        every = scratch.put(sweep(train, class_of, bucket_class, classes, scratch, f"met-{i}"), f"every-{i}")
+        frequent = every.orderBy(F.desc("c"), "word").limit(HELD - 1).select("word", "class").toArrow()
+        class_of = dict(zip(frequent.column("word").to_pylist(), frequent.column("class").to_pylist(), strict=True))
+        scratch.drop(f"met-{i}", f"every-{i - 1}")
+    in_class, kinds = np.zeros(classes), np.zeros(classes)
+    for r in every.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        in_class[r["class"]], kinds[r["class"]] = r.c, r.n
+    in_class[-1] += ends
+    kinds[-1] += ends > 0
+    of_unit = np.array([*(class_of[w] for w in words), *bucket_class, classes - 1])
     model = Classes([*words, END], np.append(counts, ends), total, distinct, of_unit, np.zeros((classes, classes)), np.log10(in_class + ADDED * (kinds + 1)))
-    sequences = scratch.put(_sequences(rows, model, others, scratch), "sequences")
+    sequences = scratch.put(_sequences(rows, model, every, scratch), "sequences")
     scratch.drop("held", "vocabulary")
-    grid = _transitions(sequences.filter("trained"), int(of[-1]), classes)
+    grid = _transitions(sequences.filter("trained"), classes - 1, classes)
     own = (in_class + 1) / (in_class + 1).sum()
     model.transitions = np.log10((grid + TRANSITION_PRIOR * own) / (grid.sum(1, keepdims=True) + TRANSITION_PRIOR))
-    return model, others, sequences
+    return model, every, sequences
 
 
 def train_classes(train: DataFrame, scratch: C.Scratch, classes: int | None = None, sweeps: int = SWEEPS) -> tuple[Classes, DataFrame]:
-    """The model, and the counts and classes of all words that weren't exchanged (word, c, class) as a table."""
+    """The model, and the counts and classes of all training words (word, c, class) as a table."""
     rows = train.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(False).alias("scored"), F.lit(True).alias("trained"))
     return _learn(rows, scratch, classes, sweeps)[:2]
 
@@ -429,7 +442,7 @@ def _transitions(sequences: DataFrame, end: int, classes: int) -> np.ndarray:
 def _score(rows: DataFrame) -> DataFrame:
     scratch = C.Scratch(rows.sparkSession, "brown-lm")
     model, _, sequences = _learn(rows, scratch)
-    scratch.drop("others")
+    scratch.keep("sequences")
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
