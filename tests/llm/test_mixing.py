@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import BIG, documents, odd
 from veilspark.llm import mixing as M
@@ -57,6 +58,24 @@ def test_mix_repeats_rows(spark):
     assert got == {k: v for k, v in plan.items() if v}
 
 
+def test_clashing_names_and_reruns(spark):
+    docs = documents(spark, [(i, f"t{i} " * (1 + i % 50), "ab"[i % 2]) for i in range(60)] * 2)
+    for c in ("mix_key", "mix_copies", "mix_copy", "key", "row", "place", "copies", "a.b", "size", "target"):
+        docs = docs.withColumn(c, F.col("doc_id").cast("string"))
+    docs = docs.withColumn("other", F.monotonically_increasing_id())
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    first, again = (sorted(map(str, M.mix(d).collect())) for d in (docs, docs.repartition(5, "other")))
+    assert first == again
+    for r in M.mix(docs).collect():
+        assert all(r[c] == str(r.doc_id) for c in ("mix_key", "mix_copies", "mix_copy", "key", "row", "place", "a.b"))
+
+
+def test_words_are_counted(spark):
+    texts = ["", " ", "a", " a b\tc\n\nd ", "x\x0by\x0cz", "a\u2003b c", None, "é ü", "w " * 5000]
+    df = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert [r.n for r in df.select(M.count_words(F.col("x")).alias("n")).collect()] == [len((x or "").encode().split()) for x in texts]
+
+
 def test_odd_rows(spark):
     out = M.allocate(odd(spark)).collect()
     assert len(out) == 10 and {r.size for r in out if r.doc_id in (2, 3, 4)} == {0} and {r.doc_id for r in out} >= {None, BIG}

@@ -20,8 +20,7 @@ RANKED_TOGETHER = 1000
 
 
 def count_words(text: Column) -> Column:
-    flat = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{C.SPACE_CLASS}+", " "), F.lit(" "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.char_length(flat) - F.char_length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"{C.WORD_CLASS}+")).cast("long")
 
 
 def _source_key(source: Column) -> Column:
@@ -139,13 +138,20 @@ def allocate(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, steps: int =
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """docs with each row as often as its copies. Rows alike in doc_id, text and source count together."""
-    names = docs.columns
+    """docs with each row as often as its copies; columns may have any name. Rows alike in doc_id, text and source
+    count together, and the one whose other columns have the least hash stands for them, so reruns agree.
+
+    Null or empty text: no words, and as many copies as its rate says, which for size 0 is one. Null source: a source
+    of its own. Null doc_id: a row like any other. An empty table gives no rows.
+    """
     plan = allocate(docs, weights).groupBy("doc_id", "t", "skey").agg(F.sum("copies").alias("copies")).filter("copies > 0")
-    plan = plan.select(F.struct(F.col("doc_id"), F.col("t"), F.col("skey")).alias("mix_key"), F.col("copies").cast("int").alias("mix_copies"))
+    plan = plan.select(F.struct("doc_id", "t", "skey").alias("key"), F.col("copies").cast("int").alias("copies"))
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("t"), _source_key(F.col("source")).alias("skey"))
-    rows = docs.withColumn("mix_key", key).dropDuplicates(["mix_key"]).join(plan.hint("merge"), "mix_key")
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_copies"))).select(*names)
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "source")]
+    place = F.xxhash64(F.to_json(F.struct(*others))) if others else F.lit(0)
+    rows = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), place.alias("place"))
+    rows = rows.groupBy("key").agg(F.min_by("row", "place").alias("row")).join(plan.hint("merge"), "key")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
