@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import BIG, documents, odd
 from veilspark.llm import common as C
@@ -85,6 +86,24 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in N.drop_near_duplicates(odd(spark).filter("doc_id IS NOT NULL")).select("doc_id").distinct().collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_dropping_keeps_rows_and_columns(spark):
+    docs = odd(spark)
+    for c in ("key", "keys", "digest", "rep", "n", "component", "a.b"):
+        docs = docs.withColumn(c, F.lit("kept"))
+    out = N.drop_near_duplicates(docs).collect()
+    assert [*docs.columns] == [*out[0].asDict()] and all(r["a.b"] == r["keys"] == "kept" for r in out)
+    assert sorted((r.doc_id is None, r.doc_id) for r in out if r.doc_id is not None) == [(False, i) for i in (1, 1, 2, 3, 4, 5, 6)]
+    assert sum(r.doc_id is None for r in out) == 2
+
+
+def test_one_bucket_of_half_the_rows(spark):
+    """A boilerplate text with small edits makes half the table, so its band keys are hot."""
+    base = [f"word{i}" for i in range(120)]
+    rows = [(i, " ".join(base[:100] + [f"own{i}"])) for i in range(600)] + [(1000 + i, " ".join(f"w{i}x{j}" for j in range(20))) for i in range(600)]
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(documents(spark, rows), 3, 85).collect()}
+    assert got == {i: 0 for i in range(600)} | {1000 + i: 1000 + i for i in range(600)}
+
+
 def test_few_words_are_one_shingle():
     a, b, c = N.shingle_sets(["One  two", "one\ttwo", "one"], 3)
     assert len(a) == len(b) == len(c) == 1 and a[0] == b[0] != c[0]

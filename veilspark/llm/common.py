@@ -126,6 +126,13 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, hot: Column, how: str =
     return left.join(few, on, "inner").unionByName(apart)
 
 
+def set_aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names renamed, so that an operator may add its own, and what gives docs' columns back."""
+    own = {c: f"{uuid.uuid4().hex}" for c in docs.columns if c.lower() in names}
+    columns = list(docs.columns)
+    return docs.withColumnsRenamed(own), lambda df: df.select(*(F.col(f"`{own.get(c, c)}`").alias(c) for c in columns))
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 

@@ -42,6 +42,8 @@ def bands_for(percent: int) -> tuple[int, int]:
     if s >= 1:
         return 1, 8
     best = (MOST_BANDS, 1)
+    if math.log(MISS) / math.log(1 - s) > MOST_BANDS:
+        raise ValueError(f"{MOST_BANDS} bands can't keep to MISS at {percent} per cent")
     for rows in range(1, 33):
         n = math.ceil(math.log(MISS) / math.log(1 - s**rows))
         if n > MOST_BANDS:
@@ -203,8 +205,10 @@ class _Linker:
         keys = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).filter("l <> h").select("key")
         return rows.join(keys.hint("merge"), "key", "left_semi")
 
-    def link(self, members: DataFrame, texts: DataFrame) -> None:
-        """members: key (of a bucket), rep, n. texts: rep, text.
+    def link(self, members: DataFrame, texts: DataFrame, n_members: int) -> None:
+        """members: key (of a bucket), rep, n; n_members rows. texts: rep, text. A bucket of a thousandth of all members
+        or more meets its centre and its pivot in the tasks its members are in; partitions of other joins that grow
+        far beyond the others, as one text in very many pairs can make them, are split by Spark (adaptive skew joins).
 
         First each bucket's smallest member meets all others, which settles most groups of copies of any size with
         one pair a member and bucket. Buckets with members that aren't linked with it go on. Of each member x, u
@@ -217,7 +221,8 @@ class _Linker:
         lost if only those pairs between components are verified that the bound allows. The greatest d - 2 u of a
         bucket tells beforehand which members can be in one."""
         centres = members.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        met = members.join(centres.select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na")).hint("merge"), "key")
+        centres, _ = self.put(centres.select("key", F.col("c.rep").alias("a"), F.col("c.n").alias("na"), "m"), "centres")
+        met = C.join_hot(members, centres, "key", F.col("m") >= C.HOT_SHARE * n_members, "inner").drop("m")
         met, n = self.put(met, "met")
         if not n:
             return
@@ -235,8 +240,9 @@ class _Linker:
         own = own_shingles(texts.join(left.select("rep").distinct().hint("merge"), "rep", "left_semi"), self.words)
         left = left.join(own.hint("merge"), "rep", "left").withColumn("u", F.coalesce("u", F.lit(0)))
         left, _ = self.put(left, "own")
-        pivots = left.groupBy("key").agg(F.min(F.struct("u", "rep", "n")).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("np"))
-        left, _ = self.put(left.join(pivots.hint("merge"), "key").withColumns({"a": F.least("p", "rep"), "b": F.greatest("p", "rep")}), "pivots")
+        pivots = left.groupBy("key").agg(F.min(F.struct("u", "rep", "n")).alias("p"), F.count(F.lit(1)).alias("m"))
+        pivots, _ = self.put(pivots.select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("np"), "m"), "pivot")
+        left, _ = self.put(C.join_hot(left, pivots, "key", F.col("m") >= C.HOT_SHARE * n, "inner").drop("m").withColumns({"a": F.least("p", "rep"), "b": F.greatest("p", "rep")}), "pivots")
         done, _ = self.test(left.filter("a <> b").select("a", "b").distinct(), texts)
         self.connect()
         left = self.mixed(self.labelled(left)).join(done.hint("merge"), ["a", "b"])
@@ -298,10 +304,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = scratch.put(whole.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "sets")
     # the rows that stand for the sets, with their band keys
     reps = rows.select(F.col("doc_id").alias("rep"), "digest", "n", "keys").join(sets.select("rep", "digest").hint("merge"), ["rep", "digest"], "left_semi").dropDuplicates(["rep", "digest"])
-    reps = scratch.put(reps.select("rep", "n", "keys"), "reps")
+    reps, n_reps = scratch.put_counted(reps.select("rep", "n", "keys"), "reps")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).filter("rep IS NOT NULL")
     linker = _Linker(scratch, words, percent)
-    linker.link(reps.select(F.explode("keys").alias("key"), "rep", "n"), texts)
+    linker.link(reps.select(F.explode("keys").alias("key"), "rep", "n"), texts, n_reps * bands_for(percent)[0])
     labelled = scratch.put(linker.labelled(sets.select("digest", "rep", "copies")), "labelled").select("digest", "component", "copies")
     scratch.keep("sketches", "labelled")
     slim = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
@@ -311,9 +317,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents that near_duplicates() does not keep."""
+    """docs without the documents that near_duplicates() does not keep; columns may have any name.
+
+    Null, empty and white-space texts, null ids: kept. Rows that repeat an id are one document, all kept or none. An
+    empty table gives no rows.
+    """
     gone = near_duplicates(docs, words, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
