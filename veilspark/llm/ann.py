@@ -23,11 +23,11 @@ from veilspark.llm import common as C
 #: Dimensions of the projection (even, for the closed form of the chi-square distribution), and the seed it is drawn with.
 DIMENSIONS, SEED = 32, 20240601
 #: A neighbour is missed with a probability of at most 1 - SURE.
-SURE = 0.96
-#: Points of a cell, about, and of a leaf; points verified between two tests; queries that go through a cell together.
-CELL, LEAF, CHUNK, BLOCK = 20_000, 128, 16, 2_000
+SURE = 0.95
+#: Points of a cell, about, and of a leaf; points verified between two tests (at first, then up to four times as many); queries that go through a cell together.
+CELL, LEAF, CHUNK, BLOCK = 20_000, 512, 32, 2_000
 #: Points that the cells' borders are fitted on, about.
-SAMPLE = 50_000
+SAMPLE = 10_000
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -126,26 +126,34 @@ class ProjectionTree:
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0.0)
         boxes = np.einsum("ij,ij->i", gap, gap)
         order = np.argsort(boxes, kind="stable")
-        best_ids, best, verified, far = np.empty(0, np.int64), np.empty(0), 0, bound
+        best_ids, best, verified, far, step = np.empty(0, np.int64), np.empty(0), 0, bound, CHUNK
         wait, wait_near = np.empty(0, np.int64), np.empty(0)
         for at, leaf in enumerate(order):
             if beyond(boxes[leaf], self.test, far) and not len(wait):
                 break
             own = self.leaves[leaf]
             off = self.points[own] - q
-            wait, wait_near = np.concatenate([wait, own]), np.concatenate([wait_near, np.einsum("ij,ij->i", off, off)])
-            by = np.argsort(wait_near, kind="stable")
-            wait, wait_near = wait[by], wait_near[by]
+            near = np.einsum("ij,ij->i", off, off)
+            hope = ~beyond(near, self.test, far)
+            wait, wait_near = np.concatenate([wait, own[hope]]), np.concatenate([wait_near, near[hope]])
             # those no farther than the next leaf's box come in their order now
-            ready = int(np.searchsorted(wait_near, boxes[order[at + 1]], "right")) if at + 1 < len(order) else len(wait)
-            for i in range(0, ready, CHUNK):
-                if beyond(wait_near[i], self.test, far):
+            now = wait_near <= (boxes[order[at + 1]] if at + 1 < len(order) else math.inf)
+            ready, ready_near = wait[now], wait_near[now]
+            wait, wait_near = wait[~now], wait_near[~now]
+            by = np.argsort(ready_near, kind="stable")
+            ready, ready_near = ready[by], ready_near[by]
+            i = 0
+            while i < len(ready):
+                if beyond(ready_near[i], self.test, far):
                     return best_ids, best, verified
-                some = wait[i : min(i + CHUNK, ready)]
+                some = ready[i : i + step]
+                i, step = i + step, min(2 * step, 4 * CHUNK)
                 off = self.vectors[some] - query
                 true = np.sqrt(np.einsum("ij,ij->i", off, off))
                 verified += len(some)
                 hope = true <= far
+                if not hope.any():
+                    continue
                 ids = np.concatenate([best_ids, *(self.ids[x] for x in some[hope])])
                 best = np.concatenate([best, np.repeat(true[hope], [len(self.ids[x]) for x in some[hope]])])
                 keep = np.flatnonzero(ids != own_id)
@@ -153,7 +161,6 @@ class ProjectionTree:
                 best_ids, best = ids[keep], best[keep]
                 if len(best) == k:
                     far = min(far, best[-1])
-            wait, wait_near = wait[ready:], wait_near[ready:]
         return best_ids, best, verified
 
 
