@@ -143,13 +143,17 @@ def map_text(df: DataFrame, column: str, fields: list[T.StructField], make: Call
     importable(df.sparkSession)
     keep = df.columns if keep is None else keep
     names = [*keep, *(f.name for f in fields)]
+    # under plain names, as mapInArrow looks columns up by name, and only those that are needed
+    used = list(dict.fromkeys([column, *keep]))
+    plain = {c: f"c{i}" for i, c in enumerate(used)}
+    rows = df.select(*(F.col(f"`{c}`").alias(plain[c]) for c in used))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work, kinds = make(), [to_arrow_type(f.dataType) for f in fields]
         for batch in batches:
             for i in range(0, batch.num_rows, rows_at_once):
                 part = batch.slice(i, rows_at_once)
-                got = work([x or "" for x in part.column(column).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(got[f.name], k) for f, k in zip(fields, kinds, strict=True))], names)
+                got = work([x or "" for x in part.column(plain[column]).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(part.column(plain[k]) for k in keep), *(pa.array(got[f.name], k) for f, k in zip(fields, kinds, strict=True))], names)
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[k] for k in keep), *fields]))
+    return rows.mapInArrow(run, T.StructType([*(df.schema[k] for k in keep), *fields]))
