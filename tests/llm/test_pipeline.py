@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tests.llm.helpers import BIG, odd
 from tests.llm.test_near_dedup import brute
 from veilspark.llm import bpe, mixing
 
@@ -69,6 +71,41 @@ def test_encoding(stages):
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
 
 
+NAMES = ("score", "predicted", "n_lines", "n_dropped", "kept_text", "gone", "key", "keys", "row", "copies", "mix_key", "size", "component_id", "n_tokens", "ids", "decoded", "a.b")
+
+
+@pytest.mark.parametrize("i", range(5))
+def test_odd_tables(spark, i):
+    """Null, empty, very long and repeated texts, null ids, clashing names, and no rows at all."""
+    name, stage = corpus_pipeline.STAGES[i]
+    docs = odd(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    for c in NAMES:
+        docs = docs.withColumn(c, F.lit("own"))
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    out = stage(spark, docs, SF).collect()
+    none = stage(spark, docs.limit(0), SF)
+    assert none.count() == 0
+    if name == "bpe":
+        assert len(out) == 10 and [r.n_tokens for r in out if not (r.decoded or "")] == [0] * 4
+        return
+    assert none.columns == docs.columns and list(out[0].asDict()) == docs.columns
+    assert all(r[c] == "own" for r in out for c in NAMES)
+    ids = sorted((r.doc_id for r in out if r.doc_id is not None))
+    assert {2, 3, 4} <= set(ids) and any(r.doc_id is None for r in out)
+    if name == "line_dedup":
+        assert len(out) == 10 and all(r.n_chars == len(r.text) for r in out)
+    if name == "toxicity":
+        assert len(out) == 10
+    if name == "near_dedup":
+        assert ids.count(1) == 2 and BIG not in ids
+
+
+def test_toxic_documents_go_whatever_their_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("predicted", F.lit(1)).withColumn("Score", F.lit("x"))
+    out = corpus_pipeline.drop_toxic(spark, docs, SF)
+    assert out.columns == docs.columns and {(r.predicted, r.Score) for r in out.select("predicted", "Score").distinct().collect()} == {(1, "x")}
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
