@@ -58,9 +58,20 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], groups: Sequen
 
 
 def medians(df: DataFrame, value: str, groups: Sequence[str] = (), name: str = "median") -> DataFrame:
-    """groups and the median of each; without groups always one row, null if there is no value."""
-    out = quantiles(df, value, [0.5], groups).select(*groups, F.col("q")[0].alias(name))
-    return out if groups else out.agg(F.max(name).alias(name))
+    """groups and the median of each; without groups always one row, null if there is no value.
+
+    With groups, as of subjects, values are counted first, so what is put in order is a group's distinct values; the
+    window over them runs through a table that spills, and keeps no group in memory."""
+    if not groups:
+        return quantiles(df, value, [0.5]).select(F.col("q")[0].alias(name)).agg(F.max(name).alias(name))
+    finite = F.coalesce(~F.isnan(F.col(value).cast("double")) & (F.abs(value) < float("inf")), F.lit(False))
+    counts = df.filter(finite).groupBy(*groups, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    own = Window.partitionBy(*groups).orderBy("v")
+    after = F.sum("k").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum("k").over(Window.partitionBy(*groups).orderBy(F.desc("v")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # the values that at least half of all are at or below, and at least half at or above
+    middle = counts.withColumns({"up": after, "down": before}).filter(F.abs(F.col("up") - F.col("down")) <= F.col("k"))
+    return middle.groupBy(*groups).agg(((F.min("v") + F.max("v")) / 2.0).alias(name))
 
 
 def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:

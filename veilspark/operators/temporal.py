@@ -11,6 +11,7 @@ from veilspark.config import DEFAULTS, Thresholds
 from veilspark.functions import numeric as N
 from veilspark.functions.timestamps import cadence_label
 from veilspark.operators import order
+from veilspark.sources.scratch import written
 
 #: A delta above so many of the subject's medians starts a session, but none of a second or less; rows a subject up
 #: to which a column is a single event.
@@ -81,8 +82,9 @@ def sessions(events: DataFrame) -> DataFrame:
     subject's span (coverage_days). A subject with one stamp has a span only.
 
     Sessions are numbered by the gaps before a stamp: those of its hour, in order, and of the subject's earlier hours,
-    of which there is one row each."""
-    steps = deltas(events)
+    of which there is one row each. Deltas and the result are written, as medians, sessions and what follows read
+    them again."""
+    steps = written(deltas(events))
     own = steps.join(subject_medians(steps), "sid", "left")
     limit = F.when(F.col("median") > 0, F.greatest(GAP_FACTOR * F.col("median"), F.lit(LEAST_GAP))).otherwise(float("inf"))
     cut = own.withColumn("gap", F.coalesce(F.col("delta") > limit, F.lit(False))).withColumn("hour", _hour(F.col("us")))
@@ -96,7 +98,7 @@ def sessions(events: DataFrame) -> DataFrame:
     length = F.when(F.col("median").isNotNull(), (F.col("end") - F.col("start")) / MICROS / 60.0)
     parts = F.array(F.struct(F.lit("session_minutes").alias("metric"), length.alias("value")), F.struct(F.lit("gap_hours").alias("metric"), (F.col("before") / 3600.0).alias("value")))
     inner = spans.select("sid", F.explode(parts).alias("p")).select("sid", "p.metric", "p.value").filter("value IS NOT NULL")
-    return inner.unionByName(coverage(events).select("sid", F.lit("coverage_days").alias("metric"), F.col("days").alias("value")))
+    return written(inner.unionByName(coverage(events).select("sid", F.lit("coverage_days").alias("metric"), F.col("days").alias("value"))))
 
 
 def coverage(events: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ written from the driver's tables first, as a user's files would be."""
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,15 +17,10 @@ from veilspark.plans.queries import _EV, _LABEL, _STAMPS_SQL, _STEPS, _events, _
 from veilspark.service import Routes
 from veilspark.session import table
 from veilspark.sources import files as S
+from veilspark.sources.scratch import new_folder
 from veilspark.sources.store import Store, join
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder where all executors see it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/veilspark-{uuid.uuid4().hex}"
-
-
 def _write_lines(lines: DataFrame, path: str) -> str:
     """lines: o, line. One text file, in the order of o."""
     store, parts = Store(lines.sparkSession), f"{path}.parts"
@@ -48,7 +42,7 @@ def _with_head(rows: DataFrame, *head: str) -> DataFrame:
 UNION ALL SELECT r_name, r_name || '/processed/data.TSV', 'processed', 'data' FROM region UNION ALL SELECT '', 'top.csv', '', 'data')
 SELECT row_number() OVER (ORDER BY relpath) AS place, relpath, source, stage, role, 2 AS size FROM f""")
 def files_discovered(spark, sf):
-    root, store = _folder(spark), Store(spark)
+    root, store = new_folder(spark), Store(spark)
     for r in table(spark, sf, "region").collect():
         for name in ("raw/questions.csv", "processed/data.TSV", ".ipynb_checkpoints/data.csv", "notes.txt"):
             store.write(join(root, r.r_name, name), "a\n")
@@ -70,12 +64,12 @@ _SUPPLIERS = "SELECT s_suppkey, s_name || chr(10) || '\"x\", y' AS s_name, s_nat
 
 @query(_SUPPLIERS)
 def annotated_table(spark, sf):
-    return S.infer_types(S.scan(spark, _supplier_file(spark, sf, join(_folder(spark), "supplier.csv"))))[0].drop(S.ORDINAL)
+    return S.infer_types(S.scan(spark, _supplier_file(spark, sf, join(new_folder(spark), "supplier.csv"))))[0].drop(S.ORDINAL)
 
 
 @query(f"{_SUPPLIERS} ORDER BY s_suppkey LIMIT 10")
 def annotated_head(spark, sf):
-    rows = S.infer_types(S.scan(spark, _supplier_file(spark, sf, join(_folder(spark), "supplier.csv"))))[0]
+    rows = S.infer_types(S.scan(spark, _supplier_file(spark, sf, join(new_folder(spark), "supplier.csv"))))[0]
     return rows.orderBy(S.ORDINAL).limit(10).drop(S.ORDINAL)
 
 
@@ -84,7 +78,7 @@ def header_descriptions(spark, sf):
     rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("o"), F.concat(F.lit("# c"), "n_nationkey", F.lit(": "), "n_name").alias("line"))
     names = "\t".join(f"c{r.n_nationkey}" for r in table(spark, sf, "nation").filter("n_nationkey % 2 = 0").orderBy("n_nationkey").collect())
     end = spark.createDataFrame([(10**9, ""), (10**9 + 1, names), (10**9 + 2, "x\ty")], "o long, line string")
-    header = S.read_header(spark, _write_lines(rows.select(F.col("o").cast("long"), "line").unionByName(end), join(_folder(spark), "head.txt.csv")))
+    header = S.read_header(spark, _write_lines(rows.select(F.col("o").cast("long"), "line").unionByName(end), join(new_folder(spark), "head.txt.csv")))
     return spark.createDataFrame([(n, header.descriptions[n], header.delimiter, header.skip) for n in header.names], "name string, description string, delimiter string, skip long")
 
 
@@ -108,7 +102,7 @@ def codebook_capped(spark, sf):
 
 @query("SELECT 'nations.csv' AS name, sha256(string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10)) AS sha256, sum(strlen(n_name) + 1) AS bytes FROM nation")
 def file_digests(spark, sf):
-    path = _write_lines(table(spark, sf, "nation").select(F.col("n_nationkey").alias("o"), F.col("n_name").alias("line")), join(_folder(spark), "nations.csv"))
+    path = _write_lines(table(spark, sf, "nation").select(F.col("n_nationkey").alias("o"), F.col("n_name").alias("line")), join(new_folder(spark), "nations.csv"))
     return S.file_hashes(spark, [path]).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256", "bytes")
 
 
@@ -141,7 +135,7 @@ UNION ALL SELECT 'manifest', 'raw/questions.csv', sha256('field,question' || chr
 UNION ALL SELECT 'sample', 'supplier.csv', '100' UNION ALL SELECT 'sample', 'balances.csv', '100'""")
 def dictionary_build(spark, sf):
     """A directory of a table and a codebook becomes a dictionary, to which a layer is added."""
-    root, out, store = _folder(spark), _folder(spark), Store(spark)
+    root, out, store = new_folder(spark), new_folder(spark), Store(spark)
     _supplier_file(spark, sf, join(root, "supplier.csv"))
     asked = table(spark, sf, "nation").select(F.col("n_nationkey").alias("o"), F.concat(F.lit("q"), "n_nationkey", F.lit(",What is "), "n_name", F.lit("?")).alias("line"))
     _write_lines(_with_head(asked, "field,question"), join(root, "raw/questions.csv"))
@@ -163,7 +157,7 @@ def dictionary_build(spark, sf):
 @query(f"""WITH {_EV} SELECT 'contributors' AS fact, CAST(count(DISTINCT sid) AS VARCHAR) AS said FROM e UNION ALL SELECT 'reid_pass', 'true' UNION ALL SELECT 'leaks', '0'
 UNION ALL SELECT 'blocks', '6' UNION ALL SELECT 'in range', 'true'""")
 def assessment_of_events(spark, sf):
-    root, out = _folder(spark), _folder(spark)
+    root, out = new_folder(spark), new_folder(spark)
     when = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     rows = table(spark, sf, "events").select(F.col("event_id").alias("o"), F.concat_ws(",", "user_id", when, "event_type").alias("line"))
     _write_lines(_with_head(rows, "user_id,event_time,kind"), join(root, "ring/events.csv"))
@@ -219,7 +213,7 @@ def _job(sf: str):
 ('f/g.csv', 'unclassifiable', false), (NULL, 'run', NULL)) AS t(artifact, verdict, delivered)""")
 def gate_verdicts(spark, sf):
     """One run of a job with outputs of all kinds, by its log."""
-    gated = _gate(spark, _folder(spark))
+    gated = _gate(spark, new_folder(spark))
     gated.submit(_job(sf))
     rows = [(e.get("artifact"), e["verdict"], ("delivered_to" in e) if "artifact" in e else None) for e in gated.audit.entries()]
     return spark.createDataFrame(rows, "artifact string, verdict string, delivered boolean")
@@ -228,7 +222,7 @@ def gate_verdicts(spark, sf):
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 5")
 def gate_release(spark, sf):
     """What of b.csv is delivered: the masked cells."""
-    gated = _gate(spark, _folder(spark))
+    gated = _gate(spark, new_folder(spark))
     result = gated.submit(lambda ctx: {"b.csv": _job(sf)(ctx)["b.csv"]})
     return spark.read.csv(result.outputs[0], header=True, schema="status string, n long")
 
@@ -239,7 +233,7 @@ def gate_sql(spark, sf):
     view = f"nations_{uuid.uuid4().hex}"
     table(spark, sf, "nation").createOrReplaceTempView(view)
     try:
-        result = _gate(spark, _folder(spark)).submit(f"SELECT n_regionkey AS region, count(*) AS nations FROM {view} GROUP BY n_regionkey")
+        result = _gate(spark, new_folder(spark)).submit(f"SELECT n_regionkey AS region, count(*) AS nations FROM {view} GROUP BY n_regionkey")
     finally:
         spark.catalog.dropTempView(view)
     return spark.read.csv(result.outputs[0], header=True, schema="region long, nations long")
@@ -248,7 +242,7 @@ def gate_sql(spark, sf):
 @query("SELECT * FROM (VALUES ('pending', '4'), ('approved', 'true'), ('left', '2'), ('last', 'review:reject'), ('released', '2'), ('queued', '4')) AS t(fact, said)")
 def gate_review(spark, sf):
     """Outputs kept back: one is approved, one rejected."""
-    gated, store = _gate(spark, _folder(spark)), Store(spark)
+    gated, store = _gate(spark, new_folder(spark)), Store(spark)
     gated.submit(_job(sf))
     waiting, run = gated.pending(), gated.audit.entries()[-1]
     to = gated.approve(next(n for n in waiting if n.endswith("e.txt")))
@@ -260,7 +254,7 @@ def gate_review(spark, sf):
 @query("""SELECT * FROM (VALUES ('command', 'error', 'only a single query is run'), ('file', 'error', 'only registered views are read'), ('failure', 'error', 'ValueError: no ''<redacted>'' of <redacted>'),
 ('sandbox', 'error', 'a sandbox is required and there is none'), ('nothing', 'released', '0 released, 0 queued'), ('timeouts', '120', '1 3600 7')) AS t("case", status, said)""")
 def gate_errors(spark, sf):
-    gated, rows = _gate(spark, _folder(spark)), []
+    gated, rows = _gate(spark, new_folder(spark)), []
 
     def fails(ctx):
         raise ValueError("no 'Ann Lee' of 12345")
@@ -276,7 +270,7 @@ def gate_errors(spark, sf):
 
 @query("""SELECT substr(sha256('{"a": ' || n_nationkey || ', "b": "' || n_name || '"}'), 1, 16) AS id, n_nationkey AS a FROM nation""")
 def audit_ids(spark, sf):
-    log = AuditLog(join(_folder(spark), "audit"), spark)
+    log = AuditLog(join(new_folder(spark), "audit"), spark)
     for r in table(spark, sf, "nation").collect():  # 25 rows
         log.record({"b": r.n_name, "a": int(r.n_nationkey)})
     return spark.createDataFrame([(e["id"], e["a"]) for e in log.entries()], "id string, a long")
@@ -286,7 +280,7 @@ def audit_ids(spark, sf):
 SELECT c_mktsegment AS segment, count(*) AS n, round(avg(score), 4) AS mean, 2 AS provenance, (SELECT count(*) FROM l) AS n_persons FROM l JOIN customer ON public_client_id = c_custkey GROUP BY 1""")
 def layer_kept(spark, sf):
     """A job's per-person table is kept as a layer, twice, and joined by a later job; its manifest counts persons."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     gated = _gate(spark, folder)
 
     def job(ctx):
@@ -304,7 +298,7 @@ def layer_kept(spark, sf):
 
 @query("SELECT * FROM (VALUES ('../x', 'derivation_rejected'), ('no_key', 'derivation_rejected'), ('no_rows', 'derivation_rejected'), ('nothing', 'derivation_rejected'), ('good', 'derivation')) AS t(layer, verdict)")
 def layer_refusals(spark, sf):
-    gated, rows = _gate(spark, _folder(spark)), []
+    gated, rows = _gate(spark, new_folder(spark)), []
     people = table(spark, sf, "customer").select(F.col("c_custkey").alias("public_client_id"))
     for name, df in (("../x", people), ("no_key", people.withColumnRenamed("public_client_id", "other")), ("no_rows", people.filter("false")), ("nothing", None), ("good", people)):
         gated.submit(lambda ctx, df=df: ctx.write_layer(df) or {} if df is not None else {}, layer_name=name)
@@ -315,7 +309,7 @@ def layer_refusals(spark, sf):
 @query("SELECT s_nationkey, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier GROUP BY 1")
 def tables_by_name(spark, sf):
     """A job reads a file of the data directory by its relative name."""
-    root = _folder(spark)
+    root = new_folder(spark)
     _supplier_file(spark, sf, join(root, "shop/supplier.csv"))
     rows = gate.Context(spark, root).table("shop/supplier.csv")
     return rows.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
@@ -324,7 +318,7 @@ def tables_by_name(spark, sf):
 @query("""SELECT * FROM (VALUES ('/dictionary.json', 200, 'application/json'), ('/dictionary.md', 200, 'text/markdown'), ('/synthetic', 200, 'application/json'), ('/synthetic/a%2Fx.csv', 200, 'text/csv'),
 ('/synthetic/..%2Fdictionary.json', 404, 'application/json'), ('/audit', 200, 'application/json'), ('/nothing', 404, 'application/json'), ('submit', 200, 'released'), ('submit nothing', 400, 'application/json')) AS t(path, status, kind)""")
 def http_routes(spark, sf):
-    folder, store = _folder(spark), Store(spark)
+    folder, store = new_folder(spark), Store(spark)
     for name, text in (("dictionary.json", "{}"), ("dictionary.md", "# x"), ("synthetic_samples/a/x.csv", "h\n1\n")):
         store.write(join(folder, "dict", name), text)
     gated = _gate(spark, folder)
@@ -462,7 +456,7 @@ def synthetic_values(spark, sf):
 @query("SELECT * FROM (VALUES ('files', 2), ('rows', 120), ('joins', 1)) AS t(fact, n)")
 def synthetic_joinable(spark, sf):
     """From a dictionary alone: data files get samples whose ids are of one pool, so they join; codebooks get none."""
-    folder, store = _folder(spark), Store(spark)
+    folder, store = new_folder(spark), Store(spark)
     columns = {"subject_id": {"dtype": "object"}, "v": {"dtype": "int64"}}
     files = {"a/x.csv": {"columns": columns}, "b/y.tsv": {"columns": columns}, "q.csv": {"columns": columns, "role": "codebook"}}
     store.write(join(folder, "dictionary.json"), json.dumps({"files": files, "sources": {}}))
