@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,9 @@ END = b" "
 #: punctuation) that stand for all other words meanwhile and later for unseen ones, least number of classes, and sweeps;
 #: sweeps over every training word, in which tasks exchange their words at once. The first words and the classes grow
 #: with the cube root of the distinct words beyond DISTINCT.
-CLUSTERED, ENDINGS, CLASSES, SWEEPS, SWEEPS_OF_ALL = 2048, 256, 64, 4, 2
+CLUSTERED, ENDINGS, CLASSES, SWEEPS, SWEEPS_OF_ALL = 2048, 256, 64, 4, 1
+#: Counts up to which gains are looked up.
+TABLED = 48
 DISTINCT = 262_144
 #: Most frequent words whose counts every task holds; the others' are joined.
 HELD = 65_536
@@ -172,15 +175,18 @@ def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray
     end = classes - 1
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, keys, times, size = _Met(*shared.value), [], [], 0
         grid = np.zeros(classes * classes, np.int64)
+        none = np.zeros(0, np.int64)
+        met, of, keys, times, raw, size = _Met(*shared.value), none, none, none, [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            return _sum(np.concatenate([keys, *raw]), np.concatenate([times, np.ones(sum(map(len, raw)), np.int64)]))
 
         def rows() -> pa.RecordBatch:
-            at, k = _sum(np.concatenate(keys), np.concatenate(times)) if keys else (np.zeros(0, np.int64),) * 2
-            own, first = np.unique(at // (2 * classes), return_index=True)
+            own, first = np.unique(keys // (2 * classes), return_index=True)
             pair = np.flatnonzero(grid)
-            ends = pa.array([*first, len(at), len(at) + len(pair)], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in ((at % (2 * classes), pair), (k, grid[pair]))]
+            ends = pa.array([*first, len(keys), len(keys) + len(pair)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in ((keys % (2 * classes), pair), (times, grid[pair]))]
             grid[:] = 0
             return pa.RecordBatch.from_arrays([pa.array([*(met.words[i] for i in own), None], pa.binary()), pa.array([*(met.classes[i] for i in own), None], pa.int32()), *lists], ["word", "own", "code", "n"])
 
@@ -191,21 +197,24 @@ def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray
                     flat += map(met.__getitem__, tokens(t))
                     flat.append(-1)
                 at = np.array(flat)
-                kinds = np.append(np.array(met.classes, np.int64), end)[at]  # -1 is an end
+                of = np.concatenate([of, np.array(met.classes[len(of) :], np.int64)])
+                kinds = np.where(at < 0, end, of[np.maximum(at, 0)]) if len(of) else np.full(len(at), end)
                 grid += np.bincount(kinds[:-1] * classes + kinds[1:], minlength=len(grid))
                 where = np.flatnonzero(at >= 0)
                 own = at[where] * (2 * classes)
-                key, k = np.unique(np.concatenate([own + kinds[where + 1], own + classes + kinds[where - 1]]), return_counts=True)
-                keys.append(key)
-                times.append(k)
-                size += len(key)
-                if size > 3_000_000 or len(met) > AT_ONCE:
-                    yield rows()
-                    met, keys, times, size = _Met(*shared.value), [], [], 0
+                raw += [own + kinds[where + 1], own + classes + kinds[where - 1]]
+                size += 2 * len(where)
+                if size > 2_000_000 or len(met) > AT_ONCE:
+                    keys, times = summed()
+                    raw, size = [], 0
+                    if len(keys) > 2_000_000 or len(met) > AT_ONCE:
+                        yield rows()
+                        met, of, keys, times = _Met(*shared.value), none, none, none
+        keys, times = summed()
         yield rows()
 
-    found = scratch.put(train.select("text").mapInArrow(meet, "word binary, own int, code array<long>, n array<long>"), name)
-    pairs = found.filter("word IS NULL").select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy("x.code").agg(F.sum("x.n").alias("n")).toArrow()
+    found = scratch.put(train.select("text").mapInArrow(meet, "word binary, own int, code array<int>, n array<int>"), name)
+    pairs = found.filter("word IS NULL").select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy("x.code").agg(F.sum(F.col("x.n").cast("long")).alias("n")).toArrow()
     grid = np.bincount(pairs.column("code").to_numpy(), pairs.column("n").to_numpy(), classes * classes).reshape(classes, classes)
     held = train.sparkSession.sparkContext.broadcast(grid)
 
@@ -215,14 +224,19 @@ def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = held.value
         both, after, before = np.concatenate([grid.T, grid]), grid.sum(1), grid.sum(0)
-
-        def done(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            word = t.column("word").to_pylist()
-            new = np.array([True, *(a != b for a, b in zip(word, word[1:], strict=False))])
+        # what n more in a cell gain, and what the last n of it gained
+        steps = np.arange(TABLED + 1)[:, None, None]
+        gained, lost = f(both + steps) - f(both), f(both) - f(np.maximum(both - steps, 0.0))
+        steps = steps[:, :, 0]
+        totals = [(x, f(x + steps) - f(x), f(x) - f(np.maximum(x - steps, 0.0))) for x in (after, before)]
+
+        def done(t: pa.RecordBatch) -> pa.RecordBatch:
+            word = t.column("word")
+            new = np.ones(len(word), bool)
+            new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
             of_row = np.cumsum(new) - 1
-            lengths = np.array([len(x) for x in t.column("n")])
-            code, n = (np.concatenate([x.flatten().to_numpy() for x in t.column(c).chunks]) for c in ("code", "n"))
+            lengths = np.diff(t.column("n").offsets.to_numpy())
+            code, n = (t.column(c).flatten().to_numpy().astype(np.int64) for c in ("code", "n"))
             key, n = _sum(np.repeat(of_row, lengths) * (2 * classes) + code, n)
             own, code = key // (2 * classes), key % (2 * classes)
             first = np.searchsorted(own, np.arange(of_row[-1] + 2))
@@ -231,25 +245,35 @@ def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray
             for i in range(0, len(best), 500):
                 j = min(i + 500, len(best))
                 part = slice(first[i], first[j])
-                rest = both[code[part]]
-                rest[np.arange(len(rest)), start[own[part]]] -= n[part]  # the word's own class without it
-                rest = np.maximum(rest, 0.0)
-                gain = np.add.reduceat(f(rest + n[part, None]) - f(rest), first[i:j] - first[i])
-                words = np.arange(i, j)
-                for total in (after, before):
-                    others = np.repeat(total[None], j - i, 0)
-                    others[words - i, start[words]] -= c[words]
-                    gain -= f(others + c[words, None]) - f(others)
+                times, at, home = n[part], code[part], start[own[part]]
+                few = np.minimum(times, TABLED)
+                one, rows = gained[few, at], np.arange(len(at))
+                one[rows, home] = lost[few, at, home]  # the word's own class without it
+                if len(many := np.flatnonzero(times > TABLED)):
+                    rest = both[at[many]]
+                    rest[np.arange(len(many)), home[many]] -= times[many]
+                    rest = np.maximum(rest, 0.0)
+                    one[many] = f(rest + times[many, None]) - f(rest)
+                gain = np.add.reduceat(one, first[i:j] - first[i])
+                some, own_class, rows = c[i:j].astype(np.int64), start[i:j], np.arange(j - i)
+                few, many = np.minimum(some, TABLED), np.flatnonzero(some > TABLED)
+                for total, more, less in totals:
+                    one = more[few]
+                    one[rows, own_class] = less[few, own_class]
+                    if len(many):
+                        rest = np.repeat(total[None], len(many), 0)
+                        rest[np.arange(len(many)), own_class[many]] -= some[many]
+                        one[many] = f(rest + some[many, None]) - f(rest)
+                    gain -= one
                 best[i:j] = np.argmax(gain[:, :-1], 1)
             at = np.flatnonzero(new)
-            return pa.RecordBatch.from_arrays([pa.array([word[x] for x in at], pa.binary()), pa.array(c.astype(np.int64)), pa.array(best)], ["word", "c", "class"])
+            return pa.RecordBatch.from_arrays([word.take(pa.array(at)), pa.array(c.astype(np.int64)), pa.array(best)], ["word", "c", "class"])
 
-        left: pa.Table | None = None
+        left: pa.RecordBatch | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = pa.Table.from_batches([batch])
-            t = t if left is None else pa.concat_tables([left, t])
+            t = batch if left is None else pa.concat_batches([left, batch])
             word, n = t.column("word"), t.num_rows
             k = n - 1
             while k and word[k - 1] == word[n - 1]:
