@@ -11,7 +11,8 @@ from veilspark.llm.line_dedup import OP2_SQL, op2_line_dedup
 from veilspark.llm.mixing import op10_mixing
 from veilspark.llm.near_dedup import op5_near_dedup
 from veilspark.llm.quality import op8_quality
+from veilspark.llm.quality_rules import OP11_SQL, op11_quality_rules
 from veilspark.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_html, op2_line_dedup, op3_toxicity, op4_bpe, op5_near_dedup, op6_exact_dedup, op7_brown_lm, op8_quality, op9_ann, op10_mixing)}
-ORACLES = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op1_html, op2_line_dedup, op3_toxicity, op4_bpe, op5_near_dedup, op6_exact_dedup, op7_brown_lm, op8_quality, op9_ann, op10_mixing, op11_quality_rules)}
+ORACLES = {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op11_quality_rules": OP11_SQL}
