@@ -95,9 +95,12 @@ def host_verdicts(rows: DataFrame, names: list[str], limit: float = HOST_LIMIT)
         alike = F.when(room > 0, (spread - chance * (F.col("hosts") - 1)) / room)
         weight = F.when(alike > 0, F.greatest(F.lit(LEAST_PRIOR), F.least(F.lit(MOST_PRIOR), 1 / alike - 1))).otherwise(F.lit(MOST_PRIOR))
         priors += [mean.alias(f"m_{r}"), weight.alias(f"w_{r}")]
-    prior = counts.agg(*sums).select(*priors)  # one row
-    shrunk = [((F.col(f"f_{r}") + F.col(f"m_{r}") * F.col(f"w_{r}")) / (n + F.col(f"w_{r}"))).alias(f"rate_{r}") for r in names]
-    hosts = counts.join(F.broadcast(prior)).select("host", "n", *shrunk)
+    prior = counts.agg(*sums).select(*priors).first()  # one row, whatever the number of hosts
+    shrunk = []
+    for r in names:
+        mean, weight = (F.lit(prior[f"{x}_{r}"]).cast("double") for x in "mw")
+        shrunk.append(((F.col(f"f_{r}") + mean * weight) / (n + weight)).alias(f"rate_{r}"))
+    hosts = counts.select("host", "n", *shrunk)
     return hosts.withColumn("host_failed", reduce(lambda a, b: a | b, (F.col(f"rate_{r}") > limit for r in names)))
 
 
