@@ -73,6 +73,26 @@ def annotated_head(spark, sf):
     return rows.orderBy(S.ORDINAL).limit(10).drop(S.ORDINAL)
 
 
+_PLAIN_SQL = "NOT regexp_matches(text, '[,\\n\\r]') AND NOT starts_with(text, chr(34))"
+
+
+@query(f"""SELECT doc_id, source, lang, md5(coalesce(text, '') || CASE WHEN {_PLAIN_SQL} THEN ' 5" x' WHEN doc_id % 3 = 1 THEN 'tail" ' ELSE '' END) AS text_md5
+FROM documents""")
+def quoted_documents(spark, sf):
+    """All documents as the rows of many annotated files and back: cells with line breaks and doubled quotes, text after
+    a closing quote, and stray quotes in cells without any."""
+    text = F.coalesce("text", F.lit(""))
+    plain = ~text.rlike("[,\n\r]") & ~text.startswith('"')
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'), F.when(F.col("doc_id") % 3 == 1, 'tail" ').otherwise(""))
+    line = F.concat_ws(",", "doc_id", "source", F.when(plain, F.concat(text, F.lit(' 5" x'))).otherwise(quoted), "lang")
+    rows = table(spark, sf, "documents").select(F.lit(2).alias("o"), F.pmod("doc_id", F.lit(16)).cast("int").alias("part"), line.alias("line"))
+    heads = spark.range(16).select(F.explode(F.array(*(F.struct(F.lit(i).alias("o"), F.col("id").cast("int").alias("part"), F.lit(x).alias("line")) for i, x in enumerate(("# documents", "doc_id,source,text,lang"))))).alias("r")).select("r.*")
+    path = join(new_folder(spark), "documents")
+    rows.unionByName(heads).repartition(16, "part").sortWithinPartitions("part", "o").drop("o").write.partitionBy("part").text(path)
+    got = S.scan(spark, path)
+    return got.select(F.col("doc_id").cast("long"), "source", "lang", F.md5("text").alias("text_md5"))
+
+
 @query("SELECT 'c' || n_nationkey AS name, n_name AS description, chr(9) AS delimiter, (SELECT count(*) + 2 FROM nation) AS skip FROM nation WHERE n_nationkey % 2 = 0")
 def header_descriptions(spark, sf):
     rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("o"), F.concat(F.lit("# c"), "n_nationkey", F.lit(": "), "n_name").alias("line"))

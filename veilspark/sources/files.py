@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilspark.functions import timestamps as TS
+from veilspark.sources import records
+from veilspark.sources.records import ORDINAL
 
 # fixed values: what is left out, stages, words of a codebook's name, texts that mean a missing value
 CHECKPOINTS = ".ipynb_checkpoints"
@@ -28,7 +30,6 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 HEADER_LINES, MORE = 2_000, 8
 #: Bytes up to which a file's hash is made from its content in one cell; larger files are read in blocks.
 ONE_CELL, HASH_BLOCK = 256 << 20, 1 << 20
-ORDINAL = "_ordinal"
 
 
 @dataclass(frozen=True)
@@ -110,46 +111,17 @@ def read_header(spark: SparkSession, path: str) -> Header:
         n *= MORE
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and the line's offset in order: a file's splits are numbered in order of their place."""
-    return spark.read.text(path).select("value", F.monotonically_increasing_id().alias(ORDINAL))
-
-
-def _records(lines: DataFrame) -> DataFrame:
-    """Lines of which a cell in quotes spans several become one record, with the first one's offset. Whether a line
-    begins inside quotes is the parity of the quotes before it: a split's own, and those of earlier splits, of which
-    there is one row each. Without such cells, or where quotes don't pair, lines are records."""
-    odd = F.regexp_count("value", F.lit('"')) % 2
-    found = lines.agg(F.sum(odd).alias("odd")).first()
-    if not found.odd or found.odd % 2:
-        return lines
-    split = F.shiftright(ORDINAL, 33)
-    rows = lines.select("value", ORDINAL, split.alias("split"), odd.alias("odd"))
-    before = Window.partitionBy("split").orderBy(ORDINAL).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy("split").orderBy(ORDINAL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
-    carried = rows.groupBy("split").agg(F.sum("odd").alias("own")).select("split", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("carried"))
-    inside = (F.coalesce(F.sum("odd").over(before), F.lit(0)) + F.col("carried")) % 2 == 1
-    rows = rows.join(F.broadcast(carried), "split").withColumn("begin", F.when(~inside, F.col(ORDINAL)))
-    rows = rows.withColumn("record", F.max("begin").over(so_far))
-    last = rows.groupBy("split").agg(F.max("begin").alias("own")).select("split", F.max("own").over(earlier).alias("open"))
-    rows = rows.join(F.broadcast(last), "split").withColumn("record", F.coalesce("record", "open"))
-    parts = F.sort_array(F.collect_list(F.struct(ORDINAL, "value")))
-    return rows.groupBy(F.col("record").alias(ORDINAL)).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "\n").alias("value")).select("value", ORDINAL)
-
-
 def scan(spark: SparkSession, path: str, header: Header | None = None) -> DataFrame:
-    """The file's rows as text columns, missing values as null, with ORDINAL, which grows in the order of the lines.
-    Only the header's own lines are skipped: later lines that begin with # are rows, and so are columns named so."""
+    """The file's rows as text columns, missing values as null, with ORDINAL, which grows in the order of the lines; of
+    a folder, the rows of all its files, which begin with the same head. Only the header's own lines are skipped: later
+    lines that begin with # are rows, and so are columns named so. Rows with fewer cells are filled up with nulls; cells
+    beyond the header's are left out. A file that ends inside quotes is refused."""
     header = header or read_header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType(), True, {"description": header.descriptions[n]} if n in header.descriptions else {}) for n in header.names])
     if not header.names:
         return spark.createDataFrame([], schema.add(ORDINAL, T.LongType()))
-    # a file's first lines are the first of its first split
-    rows = _records(_lines(spark, path).filter(F.col(ORDINAL) >= header.skip)).filter(F.trim("value") != "")
-    parsed = F.from_csv("value", F.lit(", ".join(f"`c{i}` STRING" for i in range(len(header.names)))), {"sep": header.delimiter, "mode": "PERMISSIVE", "multiLine": "true", "escape": '"'})
-    cells = rows.select(parsed.alias("r"), ORDINAL)
-    value = lambda i: F.when(~F.col(f"r.c{i}").isin(*MISSING), F.col(f"r.c{i}"))
+    cells = records.cells_of(spark, path, header.delimiter, header.skip)
+    value = lambda i: F.when(~F.get("cells", i).isin(*MISSING), F.get("cells", i))
     return cells.select(*(value(i).alias(n, metadata=schema[n].metadata) for i, n in enumerate(header.names)), ORDINAL)
 
 
