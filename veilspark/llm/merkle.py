@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from veilspark.llm import common as C
 
 ARITY = 8
-#: Steps from a block's leaves to its root, and its leaves.
+#: Steps from a block's leaves to its root.
 HEIGHT = 4
-SPAN = ARITY**HEIGHT
 _DIGEST = 64  # hexadecimal characters
 
 
@@ -143,43 +142,48 @@ _BLOCK = pa.schema([("tree", pa.string()), ("block", pa.int64()), ("n", pa.int64
 _BLOCK_SQL = "tree string, block long, n long, height int, leaves int, nodes binary, root binary, ids array<long>, changed array<binary>"
 
 
-def _build(own: pa.Table) -> pa.Table:
-    own = own.sort_by("pos")
-    n = own.column("n")[0].as_py()
-    height = height_of(n) if n <= SPAN else HEIGHT
-    nodes = build_block([x.hex() for x in own.column("digest").to_pylist()], height)
-    # the root comes first in the order
-    one = [own.column("tree")[0].as_py(), own.column("block")[0].as_py(), n, height, own.num_rows, nodes, nodes[:32], own.column("id").to_pylist(), own.column("changed").to_pylist()]
-    return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(one, _BLOCK, strict=True)], schema=_BLOCK)
+def _forest(scratch: C.Scratch, rows: DataFrame, name: str, height: int) -> list[DataFrame]:
+    """rows: tree, pos, n, digest, id, changed. The blocks of all trees, from the leaves up, one table a level."""
+    span = ARITY**height
 
+    def build(own: pa.Table) -> pa.Table:
+        own = own.sort_by("pos")
+        n = own.column("n")[0].as_py()
+        steps = height_of(n) if n <= span else height
+        nodes = build_block([x.hex() for x in own.column("digest").to_pylist()], steps)
+        # the root comes first in the order
+        one = [own.column("tree")[0].as_py(), own.column("block")[0].as_py(), n, steps, own.num_rows, nodes, nodes[:32], own.column("id").to_pylist(), own.column("changed").to_pylist()]
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(one, _BLOCK, strict=True)], schema=_BLOCK)
 
-def _forest(scratch: C.Scratch, rows: DataFrame, name: str) -> list[DataFrame]:
-    """rows: tree, pos, n, digest, id, changed. The blocks of all trees, from the leaves up, one table a level."""
     levels = []
     while True:
-        rows = rows.withColumn("block", F.expr(f"pos div {SPAN}"))
-        blocks = rows.groupBy("tree", "block").applyInArrow(_build, _BLOCK_SQL)
+        rows = rows.withColumn("block", F.expr(f"pos div {span}"))
+        blocks = rows.groupBy("tree", "block").applyInArrow(build, _BLOCK_SQL)
         levels.append(scratch.put(blocks, f"{name}-{len(levels)}"))
-        above = levels[-1].filter(F.col("n") > SPAN)
+        above = levels[-1].filter(F.col("n") > span)
         if above.isEmpty():
             return levels
-        rows = above.select("tree", F.col("block").alias("pos"), F.expr(f"(n + {SPAN - 1}) div {SPAN}").alias("n"), F.col("root").alias("digest"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("changed"))
+        rows = above.select("tree", F.col("block").alias("pos"), F.expr(f"(n + {span - 1}) div {span}").alias("n"), F.col("root").alias("digest"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("changed"))
 
 
 _UPPER = "tree string, block long, left array<string>, right array<string>"
 
 
-def _down(own: pa.Table) -> pa.Table:
-    """Siblings of each leaf of an upper block, up to the root of all: a leaf is a block of the level below."""
-    row = own.to_pylist()[0]
-    block = Block(row["nodes"], row["leaves"], row["height"])
-    paths = [block.siblings(i) for i in range(row["leaves"])]
-    return pa.table({
-        "tree": pa.array([row["tree"]] * len(paths), pa.string()),
-        "block": pa.array([row["block"] * SPAN + i for i in range(len(paths))], pa.int64()),
-        "left": pa.array([[x for x, _ in p] + row["left"] for p in paths], pa.list_(pa.string())),
-        "right": pa.array([[x for _, x in p] + row["right"] for p in paths], pa.list_(pa.string())),
-    })
+def _down(blocks: DataFrame, upper: DataFrame, span: int) -> DataFrame:
+    """Siblings of each leaf of upper blocks, up to the root of all: a leaf is a block of the level below."""
+
+    def down(own: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        block = Block(row["nodes"], row["leaves"], row["height"])
+        paths = [block.siblings(i) for i in range(row["leaves"])]
+        return pa.table({
+            "tree": pa.array([row["tree"]] * len(paths), pa.string()),
+            "block": pa.array([row["block"] * span + i for i in range(len(paths))], pa.int64()),
+            "left": pa.array([[x for x, _ in p] + row["left"] for p in paths], pa.list_(pa.string())),
+            "right": pa.array([[x for _, x in p] + row["right"] for p in paths], pa.list_(pa.string())),
+        })
+
+    return blocks.join(upper, ["tree", "block"]).groupBy("tree", "block").applyInArrow(down, _UPPER)
 
 
 @dataclass
@@ -192,26 +196,26 @@ class Manifest:
     over: list[DataFrame]
     subroots: DataFrame
     root: str | None
+    height: int
 
     def _paths(self) -> DataFrame:
         """Siblings above each block of documents: tree, block, left, right."""
-        spark = self.scratch.spark
+        spark, span = self.scratch.spark, ARITY**self.height
         upper = spark.createDataFrame([("", 0, [], [])], _UPPER)
         for blocks in reversed(self.over):
-            upper = blocks.join(upper, ["tree", "block"]).groupBy("tree", "block").applyInArrow(_down, _UPPER)
+            upper = _down(blocks, upper, span)
         upper = upper.select(F.col("block").alias("pos"), "left", "right").join(self.subroots, "pos").select("tree", F.lit(0).cast("long").alias("block"), "left", "right")
         upper = self.scratch.put(upper, "paths-over")
         # trees end at different levels: a level's blocks are reached from the one above, or are their tree's only one
         found = None
         for level in range(len(self.groups) - 1, -1, -1):
             blocks = self.groups[level]
-            here = upper.join(blocks.filter(F.col("n") <= SPAN).select("tree", "block"), ["tree", "block"], "left_semi")
+            here = upper.join(blocks.filter(F.col("n") <= span).select("tree", "block"), ["tree", "block"], "left_semi")
             if found is not None:
                 here = here.unionByName(found)
             if level == 0:
                 return here
-            found = blocks.join(here, ["tree", "block"]).groupBy("tree", "block").applyInArrow(_down, _UPPER)
-            found = self.scratch.put(found, f"paths-{level}")
+            found = self.scratch.put(_down(blocks, here, span), f"paths-{level}")
         raise AssertionError("a forest has a level")
 
     def proofs(self, whole: bool = False) -> DataFrame:
@@ -245,8 +249,9 @@ class Manifest:
         return C.join_hot(found, subroots, "tree", F.col("n") >= C.HOT_SHARE * found.count(), "inner").drop("n")
 
 
-def manifest(docs: DataFrame, group: str = "lang", changed: Column | None = None) -> Manifest:
-    """Builds the trees of docs. ``changed`` marks rows that a checker later finds with A-Z lower-cased in their text.
+def manifest(docs: DataFrame, group: str = "lang", changed: Column | None = None, height: int = HEIGHT) -> Manifest:
+    """Builds the trees of docs. ``changed`` marks rows that a checker later finds with A-Z lower-cased in their text;
+    ``height``: steps from a block's leaves to its root.
 
     A leaf is the digest of doc_id, source, lang, n_chars and text. A group's leaves ascend by doc_id; a null id comes
     first, and rows of one id by their digests, so repeated rows are leaves next to each other. Groups ascend by name,
@@ -264,17 +269,17 @@ def manifest(docs: DataFrame, group: str = "lang", changed: Column | None = None
         (F.when(changed, other) if changed is not None else F.lit(None).cast("binary")).alias("changed"),
     )
     rows = scratch.put(rows, "leaves")
-    groups = _forest(scratch, _placed(scratch, rows, ["id", "digest"], "leaves"), "groups")
+    groups = _forest(scratch, _placed(scratch, rows, ["id", "digest"], "leaves"), "groups", height)
     # a tree is done at the level where it is one block
-    roots = C.union_all([blocks.filter(F.col("n") <= SPAN).select("tree", F.col("root").alias("subroot")) for blocks in groups])
+    roots = C.union_all([blocks.filter(F.col("n") <= ARITY**height).select("tree", F.col("root").alias("subroot")) for blocks in groups])
     sizes = groups[0].groupBy("tree").agg(F.max("n").alias("n"))
     roots = scratch.put(roots.join(sizes, "tree").select(F.col("tree").alias("name"), F.lit("").alias("tree"), "subroot", F.col("n").alias("of_tree")), "roots")
     ordered = scratch.put(_placed(scratch, roots, ["name"], "roots"), "roots-placed")
-    over = _forest(scratch, ordered.select("tree", "pos", "n", F.col("subroot").alias("digest"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("changed")), "over")
+    over = _forest(scratch, ordered.select("tree", "pos", "n", F.col("subroot").alias("digest"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("changed")), "over", height)
     top = over[-1].select("root").head(1)
     scratch.drop("leaves", "leaves-ranged", "roots", "roots-ranged")
     subroots = ordered.select(F.col("name").alias("tree"), "pos", "subroot", F.col("of_tree").alias("n"))
-    return Manifest(scratch, groups, over, subroots, bytes(top[0][0]).hex() if top else None)
+    return Manifest(scratch, groups, over, subroots, bytes(top[0][0]).hex() if top else None, height)
 
 
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,18 +59,14 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def rules() -> dict[str, Column]:
-    """Whether a document fails, by rule. The first two reject the document itself; all count against its host."""
-    c = F.col
-    return {
-        "few_words": c("n_words") < LEAST_WORDS,
-        "repeated_words": 100 * c("n_repeat_words") > MOST_REPEATED * c("n_words"),
-        "symbols": 100 * c("n_symbols") > MOST_SYMBOLS * c("n_words"),
-        "dup_lines": 100 * c("n_dup_lines") > MOST_DUP_LINES * c("n_lines"),
-        "long_words": c("word_chars") > LONGEST_MEAN_WORD * c("n_words"),
-    }
-
-
+#: When a document fails, by rule, in SQL. The first two reject the document itself; all count against its host.
+RULES = {
+    "few_words": f"n_words < {LEAST_WORDS}",
+    "repeated_words": f"100 * n_repeat_words > {MOST_REPEATED} * n_words",
+    "symbols": f"100 * n_symbols > {MOST_SYMBOLS} * n_words",
+    "dup_lines": f"100 * n_dup_lines > {MOST_DUP_LINES} * n_lines",
+    "long_words": f"word_chars > {LONGEST_MEAN_WORD} * n_words",
+}
 BASE = ("few_words", "repeated_words")
 
 
@@ -122,9 +118,8 @@ def apply_rules(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT
         F.when(F.col(host).isNull(), F.lit("b")).otherwise(F.concat(F.lit("a"), F.col(host).cast("string"))).alias("host"),
     )
     tried = measured(rows).drop("text")
-    failed = rules()
-    tried, n = scratch.put_counted(tried.select("*", *(c.alias(f"fails_{r}") for r, c in failed.items())), "measured")
-    verdicts = host_verdicts(tried.select("host", *(F.col(f"fails_{r}").alias(r) for r in failed)), list(failed), limit)
+    tried, n = scratch.put_counted(tried.select("*", *(F.expr(c).alias(f"fails_{r}") for r, c in RULES.items())), "measured")
+    verdicts = host_verdicts(tried.select("host", *(F.col(f"fails_{r}").alias(r) for r in RULES)), list(RULES), limit)
     verdicts = scratch.put(verdicts, "hosts")
     base = reduce(lambda a, b: a | b, (F.col(f"fails_{r}") for r in BASE))
     out = C.join_hot(tried, verdicts.select("host", "host_failed", F.col("n").alias("of_host")), "host", F.col("of_host") >= C.HOT_SHARE * n, "inner")
@@ -139,15 +134,7 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    names = list(rules())
-    space = r"[\x20\x09-\x0D]"
-    fails = {
-        "few_words": f"n_words < {LEAST_WORDS}",
-        "repeated_words": f"100 * n_repeat_words > {MOST_REPEATED} * n_words",
-        "symbols": f"100 * n_symbols > {MOST_SYMBOLS} * n_words",
-        "dup_lines": f"100 * n_dup_lines > {MOST_DUP_LINES} * n_lines",
-        "long_words": f"word_chars > {LONGEST_MEAN_WORD} * n_words",
-    }
+    names, space = list(RULES), r"[\x20\x09-\x0D]"
     alike = lambda r: f"(q_{r} - s_{r} * s_{r} / docs - s_{r} / docs * (1 - s_{r} / docs) * (hosts - 1)) / nullif(s_{r} / docs * (1 - s_{r} / docs) * (docs - squares / docs - (hosts - 1)), 0)"
     room = lambda r: f"s_{r} / docs * (1 - s_{r} / docs) * (docs - squares / docs - (hosts - 1))"
     weight = lambda r: f"CASE WHEN {room(r)} > 0 AND {alike(r)} > 0 THEN greatest({LEAST_PRIOR}, least({MOST_PRIOR}, 1 / {alike(r)} - 1)) ELSE {MOST_PRIOR} END"
@@ -164,7 +151,7 @@ lines AS (SELECT row, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_
 m AS (SELECT row, doc_id, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM t LEFT JOIN by_word USING (row) LEFT JOIN chars USING (row) LEFT JOIN lines USING (row)),
-f AS (SELECT *, {", ".join(f"{fails[r]} AS {r}" for r in names)} FROM m),
+f AS (SELECT *, {", ".join(f"{c} AS {r}" for r, c in RULES.items())} FROM m),
 hosts AS (SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count_if({r})::DOUBLE AS f_{r}" for r in names)} FROM f GROUP BY source),
 sums AS (SELECT count(*)::DOUBLE AS hosts, sum(n) AS docs, sum(n * n) AS squares, {", ".join(f"sum(f_{r}) AS s_{r}, sum(f_{r} * f_{r} / n) AS q_{r}" for r in names)} FROM hosts),
 prior AS (SELECT {", ".join(f"s_{r} / docs AS m_{r}, {weight(r)} AS w_{r}" for r in names)} FROM sums),
