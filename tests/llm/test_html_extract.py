@@ -70,7 +70,7 @@ def test_names_are_graded():
     assert "Reader" not in main_text(f"<article><p>{LONG}</p><section class=comments>{f'<div><p>Reader: {LONG}</p></div>' * 12}</section></article>")
 
 
-@pytest.mark.parametrize("piece", ["<p ", "<p '", '<p "a=\'', "<div>", "<b>", "<script>", "<!--", "<td>x", "</i><b>", "<a href=x>y</a>. <p>", "&amp;<", "<div></section>"])
+@pytest.mark.parametrize("piece", ["<p ", "<p '", '<p "a=\'', "<div>", "<b>", "<script>", "<!--", "<td>x", "</i><b>", "<a href=x>y</a>. <p>", "&amp;<", "<div></section>", "<button>", "<p a=\"", "<p a='<p b=\""])
 def test_long_broken_pages_take_linear_time(piece):
     page = piece * (1_000_000 // len(piece))
     start = time.perf_counter()
@@ -82,6 +82,54 @@ def test_costs_are_graded():
     assert all(abs(c) < 15 for c in content_costs(blocks_of(PAGE)[0]))
 
 
+ONE = " ".join(LONG.split())
+
+
+@pytest.mark.parametrize("k", [1, 12])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><form id=f>{}</form></body>",
+        "<body><form id=f><article>{}</article></form></body>",
+        "<form id=f><main>{}</main></form>",
+        '<div class="layout sidebar-right">{}</div>',
+        '<div class="layout sidebar-right"><article>{}</article><div class=sidebar><p>Some other words.</p></div></div>',
+        '<div class="page has-navigation nav">{}</div>',
+        '<div class="form-group menu-open"><div>{}</div></div>',
+        '<form><div class="nav-page"><nav><a href=/>x</a></nav><article>{}</article></div></form>',
+        "<article><script>x</script x>{}</article>",
+        "<article><!-->{}<!--- x --!></article>",
+        "<article>{}<button><b>Go</b></button></article>",
+        "<article><div data-x=it's>{}</div></article>",
+        "<article>{}</article><section class=comments>" + f"<p>{LONG}</p>" * 20 + "</section>",
+        "<main>{}</main><div id=comments>" + f"<article class=comment><p>{LONG}</p></article>" * 20 + "</div>",
+    ],
+)
+def test_layouts_are_no_regions(page, k):
+    assert main_text(page.replace("{}", f"<p>{LONG}</p>" * k)) == "\n\n".join([ONE] * k)
+
+
+def test_attributes_end_where_html_says():
+    assert main_text(f"<article><p data-x=it's>{LONG}</p><p>Don't.</p></article>") == f"{ONE}\n\nDon't."
+    assert main_text(f'<article><p title="x>{LONG}</p><p>B.</p></article>') == f"{ONE}\n\nB."
+    assert main_text(f'<article><p a = "1>2" b=>{LONG}</p></article>') == ONE
+
+
+def test_formulas_and_lists_of_links_are_an_articles_text():
+    page = f"<article><p>{LONG}</p><p>The <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math>.</p><ul><li><a href=/a>One of them</a></li></ul><p>{LONG}</p></article>"
+    assert main_text(page) == f"{ONE}\n\nThe x+1.\n\nOne of them\n\n{ONE}"
+
+
+@pytest.mark.parametrize("wrap", ["<form id=f>{}</form>", '<div class="layout has-sidebar">{}</div>'])
+def test_wrapped_pages_of_the_table(spark, wrap):
+    """The table's pages within a layout of a region's name have the same text."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for page in filter(None, pages):
+        if page.count("<body") == page.count("</body>") == 1:
+            start = page.index(">", page.index("<body")) + 1
+            assert main_text(page[:start] + wrap.replace("{}", page[start : page.index("</body>")]) + "</body></html>") == main_text(page)
+
+
 def test_broken_markup():
     assert main_text("<main>plain < text & more") == "plain < text & more"
     assert main_text("<article><p>open <b>never <i>closed") == "open never closed"

@@ -26,11 +26,14 @@ ACROSS = 0.3
 ARTICLE, NAMED, BLOCKS = 3.0, 1.0, 3
 #: What speaks against all that lies in a region: by its tag or a telling name, by a weaker name, by one on a text's own element.
 REGION, WEAK, WEAK_TEXT, HIDDEN = 5.0, 3.0, 1.5, 8.0
+#: What links speak against a block that is nothing else, in an article and elsewhere.
+LINKS_OF_ARTICLE, LINKS = 1.0, 4.0
 #: Characters of a block that speak neither way, and how far a block's length counts.
 NEUTRAL, SHORTEST, LONGEST = 40.0, -2.0, 2.5
 
 # fixed values: what HTML calls elements of text alone, blocks, and elements without content
-_RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title".split())
+_RAW = frozenset("script style noscript noframes noembed template svg iframe textarea select title annotation annotation-xml".split())
+_CONTROLS = frozenset("button datalist".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -41,24 +44,36 @@ _TELLING = frozenset("ad ads advert adverts advertisement advertisements adverti
 _WEAKER = frozenset("related notice header masthead widget reply replies respond share sharing social recommended recommendations recommend promo banner toolbar subscribe signup login alert skip copyright pager".split())
 _GOOD = frozenset("article content post entry story main body text".split())
 
+#: Words and tags of what readers or others add to a page; only an article in it makes a layout of it.
+_ADDED = frozenset("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors footer cookie cookies consent gdpr comment comments disqus reply replies respond newsletter popup copyright contentinfo".split())
+_ADDED_TAGS = frozenset("nav footer aside dialog menu".split())
+#: Share of the page's unlinked text that makes a region of it a layout.
+LAYOUT = 0.6
+
 _NAME = re.compile(r"[a-zA-Z][\w:-]*")
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_STOP = re.compile(r"[>\"']")
+# an attribute's value begins after =; it ends at its quote, or else at white space or >
+_ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>][^\s>]*+)))?")
+_REST_OF_TAG = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?)*+>")
+_END_OF_COMMENT = re.compile(r"--!?>")
 _WORD = re.compile(r"[a-z0-9]+")
 _NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
+_CLOSE = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in _RAW | _CONTROLS}
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
-    #: What speaks against all that lies in it, the article or named container it lies in, how many elements lie above, and its parent's place.
-    against: float
-    member: int
+    #: How many elements lie above, and its parent's place.
     depth: int
     up: int
-    #: What speaks for it, if it is an article or a container named like one.
+    #: What its tag, class, id and role speak against it, and for it, if it is an article or named like one.
+    against_own: float = 0.0
     own: float = 0.0
+    #: Whether it can be a layout without an article in it.
+    wraps: bool = True
+    #: What speaks against all that lies in it, and the article or named container it lies in.
+    against: float = 0.0
+    member: int = 0
 
 
 @dataclass(slots=True)
@@ -67,15 +82,19 @@ class Block:
     tag: str
     node: int
     linked: int
-    against: float
-    member: int
+    #: The innermost element it ends in.
+    top: int
+    against: float = 0.0
+    member: int = 0
+    #: Whether it lies in an article, by its tag.
+    article: bool = False
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
     """("", text, False) for text and (tag, attributes, closing) for a tag; comments, declarations and elements
-    of raw text are left out. Each character is looked at a fixed number of times, however broken the markup: where a
-    quote never ends, quotes mean nothing from there on; what begins like a tag but never ends is left out."""
-    at, n, quotes = 0, len(page), True
+    of raw text are left out, as are form controls that end. Each character is looked at a fixed number of times, however
+    broken the markup: a quote that never ends is a character; what begins like a tag but never ends is left out."""
+    at, n, endless = 0, len(page), set()
     while at < n:
         open_ = page.find("<", at)
         if open_ < 0:
@@ -88,8 +107,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             return
         c = page[open_ + 1]
         if page.startswith("<!--", open_):
-            end = page.find("-->", open_ + 4)
-            at = end + 3 if end >= 0 else n
+            if page.startswith((">", "->"), open_ + 4):
+                at = page.find(">", open_) + 1
+            else:
+                end = _END_OF_COMMENT.search(page, open_ + 4)
+                at = end.end() if end else n
             continue
         closing = c == "/"
         name = _NAME.match(page, open_ + 1 + closing)
@@ -101,13 +123,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
                 yield "", "<", False
                 at = open_ + 1
             continue
-        end = _tag_end(page, name.end()) if quotes else page.find(">", name.end())
-        if end < 0 and quotes:
-            quotes, end = False, page.find(">", name.end())
-        if end < 0:
+        rest = _REST_OF_TAG.match(page, name.end())
+        if not rest:
             return
-        tag, said = name[0].lower(), page[name.end() : end]
-        at = end + 1
+        tag, said = name[0].lower(), page[name.end() : rest.end() - 1]
+        at = rest.end()
+        if tag in _CONTROLS:
+            if not closing and tag not in endless:
+                close = _CLOSE[tag].search(page, at)
+                if close:
+                    at = close.end()
+                    yield "", " ", False
+                else:
+                    endless.add(tag)
+            continue
         if tag in _RAW:
             if not closing and not said.endswith("/"):
                 close = _CLOSE[tag].search(page, at)
@@ -116,41 +145,33 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
         yield tag, said, closing
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Where the tag's > is, or -1; one between quotes is none."""
-    while m := _STOP.search(page, at):
-        if m[0] == ">":
-            return m.start()
-        at = page.find(m[0], m.end()) + 1
-        if not at:
-            return -1
-    return -1
-
-
-def evidence(tag: str, said: str) -> tuple[float, float]:
-    """What an element's tag, class, id and role speak against and for what lies in it."""
-    against, good = (REGION if tag in _REGIONS else WEAK if tag == "header" else 0.0), ARTICLE if tag in ("article", "main") else 0.0
+def evidence(tag: str, said: str) -> tuple[float, float, bool]:
+    """What an element's tag, class, id and role speak against and for what lies in it, and whether it may be a layout."""
+    against, good, wraps = (REGION if tag in _REGIONS else WEAK if tag == "header" else 0.0), ARTICLE if tag in ("article", "main") else 0.0, tag not in _ADDED_TAGS
     if not said or tag in ("html", "body"):
-        return against, good
+        return against, good, wraps
     weak = WEAK_TEXT if tag in _TEXTS else WEAK
     for name, *values in _ATTR.findall(said):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name == "hidden" or name == "style" and _NOT_SHOWN.search(value):
-            against = max(against, HIDDEN)
+            against, wraps = max(against, HIDDEN), False
         elif name in ("class", "id", "role"):
             words = _WORD.findall(value.lower())
+            wraps = wraps and _ADDED.isdisjoint(words)
             if not _TELLING.isdisjoint(words):
                 against = max(against, REGION)
             elif not _WEAKER.isdisjoint(words):
                 against = max(against, weak)
             elif not _GOOD.isdisjoint(words) and tag not in _TEXTS:
                 good = max(good, NAMED)
-    return against, good
+    if good == ARTICLE and against < HIDDEN and (wraps or tag == "main"):
+        against = 0.0  # an article's kind says more than its name, unless the name says it is a reader's
+    return against, good if against < REGION else 0.0, wraps
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
     """The page's text blocks in order. Any block-level tag ends a block; other tags don't, and <br> is white space."""
-    nodes = [Node("", 0.0, 0, 0, 0)]
+    nodes = [Node("", 0, 0)]
     stack, out, words, linked, in_link = [0], [], [], 0, 0
     opened: Counter = Counter()  # block elements on the stack
     inline: Counter = Counter()  # other elements above the last of them
@@ -165,8 +186,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
                 text = html.unescape(text)
             text = " ".join(text.split())
             if text:
-                top = nodes[stack[-1]]
-                out.append(Block(text, nodes[block_at[-1]].tag, block_at[-1], min(linked, len(text)), top.against, top.member))
+                out.append(Block(text, nodes[block_at[-1]].tag, block_at[-1], min(linked, len(text)), stack[-1]))
         linked = 0
 
     def pop() -> str:
@@ -205,16 +225,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
             in_link = 0
             while len(stack) > 1 and ((top := nodes[stack[-1]].tag) == "p" or top not in _BLOCK or top == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
                 pop()
-        up = nodes[stack[-1]]
-        against, good = evidence(tag, said)
-        if tag == "header" and up.member and against == WEAK or good == ARTICLE and against < HIDDEN:
-            against = 0.0  # a header is an article's own; an article's kind says more than its name
-        node = Node(tag, max(up.against, against), up.member, up.depth + 1, stack[-1], good)
-        nodes.append(node)
-        if against >= WEAK:
-            node.member = 0  # a region of its own
-        elif good and (good == ARTICLE or not up.member):
-            node.member = len(nodes) - 1
+        against, good, wraps = evidence(tag, said)
+        nodes.append(Node(tag, nodes[stack[-1]].depth + 1, stack[-1], against, good, wraps))
         stack.append(len(nodes) - 1)
         if block:
             opened[tag] += 1
@@ -222,9 +234,42 @@ def blocks_of(page: str) -> tuple[list[Block], list[Node]]:
         else:
             inline[tag] += 1
     flush()
+    _settle(out, nodes)
     return out, nodes
 
 
+def _settle(blocks: list[Block], nodes: list[Node]) -> None:
+    """What speaks against each element and block, and the article each lies in. A region that holds most of the page's
+    unlinked text is the page's layout and not a region of it, if no article lies elsewhere, and if an article lies in it
+    or it isn't what readers and others add."""
+    text, articles = [0] * len(nodes), [0] * len(nodes)
+    for b in blocks:
+        text[b.top] += len(b.text) - b.linked
+    for i in range(len(nodes) - 1, 0, -1):
+        good = nodes[i].own and text[i] and nodes[i].against_own < HIDDEN
+        articles[i] += 1 if good else 0
+        text[nodes[i].up] += text[i]
+        articles[nodes[i].up] += articles[i]
+    above = [0] * len(nodes)  # articles that an element lies in
+    for i, node in enumerate(nodes[1:], 1):
+        up = nodes[node.up]
+        above[i] = above[node.up] + bool(up.own and node.up)
+        against = node.against_own
+        if node.tag == "header" and up.member and against == WEAK:
+            against = 0.0  # an article's own header
+        inside = articles[i] - bool(node.own and text[i])
+        if 0 < against < HIDDEN and text[i] > LAYOUT * text[0] and articles[0] == articles[i] + above[i] and (node.wraps or inside):
+            against = 0.0
+        node.against, node.member = max(up.against, against), up.member
+        if against >= WEAK:
+            node.member = 0  # a region of its own
+        elif node.own and (node.own == ARTICLE or not up.member):
+            node.member = i
+    for b in blocks:
+        top = nodes[b.top]
+        b.against, b.member, b.article = top.against, top.member, bool(top.member) and nodes[top.member].tag == "article"
+
+
 def content_costs(blocks: list[Block]) -> list[float]:
     """For each block, what labelling it boilerplate costs less what labelling it content does: over 0, the classifier
     by itself holds it for content. Length, tag, punctuation, links, and what its regions speak against it."""
@@ -234,7 +279,7 @@ def content_costs(blocks: list[Block]) -> list[float]:
         u = 0.3 if b.tag in _HEADINGS else max(SHORTEST, min(LONGEST, math.log(n / NEUTRAL)))
         u += 0.7 if b.tag in ("p", "pre", "blockquote") else 0.0
         u += 0.3 if b.text[-1] in ".!?…:" else -0.3
-        u -= 4.0 * b.linked / n + b.against
+        u -= (LINKS_OF_ARTICLE if b.article else LINKS) * b.linked / n + b.against
         if not b.member and n < 120 and ("©" in b.text or "all rights reserved" in b.text.lower()):
             u -= 3.0
         out.append(u)
