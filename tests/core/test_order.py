@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilspark.operators import groups, order, temporal
+from veilspark.operators import order, temporal
 
 
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 50, list(range(-40, 60)), [0.0, -0.5, 1e-9, 1e12, 7.25, -3e5] * 7, list(np.random.default_rng(1).lognormal(3, 2, 500)), [float("nan"), 1.0, float("inf"), 4.0, None]])
@@ -88,17 +88,3 @@ def test_no_window_over_a_whole_subject(spark):
     events = spark.range(100).selectExpr("id % 3 AS sid", "id * 1000000 AS us")
     plan = temporal.deltas(events)._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(us" in plan and "[sid#" in plan and all("hour" in line or "last" in line for line in plan.splitlines() if "windowspecdefinition" in line)
-
-
-def test_imputation_of_related_columns(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 3))
-    full = np.column_stack([x, x @ [1.0, -2.0, 0.5] + 0.01 * rng.normal(size=400)])
-    held = rng.random(full.shape) < 0.1
-    rows = [(i, *(None if m else float(v) for v, m in zip(row, gaps, strict=True)), "kept") for i, (row, gaps) in enumerate(zip(full, held, strict=True))]
-    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, note string")
-    out = groups.impute_iteratively(df, ["a", "b", "c", "d"], rounds=3).orderBy("id").collect()
-    got = np.array([[r.a, r.b, r.c, r.d] for r in out])
-    assert np.isfinite(got).all() and np.allclose(got[~held], full[~held]) and {r.note for r in out} == {"kept"}
-    error = ((got[:, 3] - full[:, 3])[held[:, 3]] ** 2).mean()
-    assert error < 0.4 * full[:, 3].var()

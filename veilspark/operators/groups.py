@@ -1,14 +1,11 @@
-"""Group aggregates, effect tables and imputation that analysts' jobs use."""
+"""Group aggregates, effect tables and gaps of columns, as analysts' jobs use them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from veilspark.functions import numeric as N
 from veilspark.operators import order
@@ -79,7 +76,7 @@ def masked(seed: int, share: float, *keys: Column | str) -> Column:
     return N.hashed_uniform(seed, *keys) < share
 
 
-def imputation_quality(df: DataFrame, columns: Sequence[str], mask: Column | None = None, share: float = 0.1, key: str | None = None, least: int = 5) -> DataFrame:
+def mean_quality(df: DataFrame, columns: Sequence[str], mask: Column | None = None, share: float = 0.1, key: str | None = None, least: int = 5) -> DataFrame:
     """column, n_masked, rmse, r2 of mean imputation on held-out cells: each column's mean is over the cells that
     aren't masked, and r2 is against the mean of those that are; columns of fewer than ``least`` masked cells are left out."""
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))
@@ -91,59 +88,5 @@ def imputation_quality(df: DataFrame, columns: Sequence[str], mask: Column | Non
     return out.filter(F.col("n_masked") >= least).select("column", "n_masked", F.sqrt(F.col("e") / F.col("n_masked")).alias("rmse"), (1 - F.col("e") / F.col("t")).alias("r2"))
 
 
-def impute_iteratively(df: DataFrame, columns: Sequence[str], rounds: int = 3, ridge: float = 1e-3) -> DataFrame:
-    """df with the columns' missing cells filled in: by the mean first, then ``rounds`` times by ridge regressions of
-    each column on the others. A round is one aggregate: tasks sum the normal equations of all columns over their
-    rows, and the driver gets their few numbers and solves them. Rows start from their means each time and go
-    through the weights so far, so no round's plan holds an earlier one's."""
-    names = list(columns)
-    n = len(names)
-    means = df.agg(*(F.avg(c).alias(c) for c in names)).first()
-    start = np.array([float(means[c]) if means[c] is not None else np.nan for c in names])
-
-    def filled(x: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The matrix without gaps, a column of ones first, and where the gaps are."""
-        gap = np.isnan(x)
-        x = np.column_stack([np.ones(len(x)), np.where(gap, start, x)])
-        for w in weights:
-            x[:, 1:] = np.where(gap, x @ w, x[:, 1:])
-        return x, gap
-
-    def summing(weights: list[np.ndarray]):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((n, n + 1, n + 1))
-            for pdf in batches:
-                x, gap = filled(pdf.to_numpy(float), weights)
-                for j in range(n):
-                    own = x[~gap[:, j]]
-                    total[j] += own.T @ own
-            at = np.flatnonzero(total.ravel())
-            yield pd.DataFrame({"i": at, "s": total.ravel()[at]})
-
-        return run
-
-    cells = df.select(*(F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(names)))
-    weights: list[np.ndarray] = []
-    for _ in range(rounds):
-        sums = cells.mapInPandas(summing(weights), "i long, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
-        total = np.zeros(n * (n + 1) ** 2)
-        for r in sums:
-            total[r.i] = r.s
-        total, w = total.reshape(n, n + 1, n + 1), np.zeros((n + 1, n))
-        for j in range(n):
-            use = [i for i in range(n + 1) if i != j + 1]
-            m, y = total[j][np.ix_(use, use)], total[j][use, j + 1]
-            w[use, j] = np.linalg.solve(m + ridge * np.eye(n) * max(1.0, np.trace(m) / n), y)
-        weights.append(w)
-
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, _ = filled(pdf[names].to_numpy(float), weights)
-            yield pdf.assign(**{c: x[:, i + 1] for i, c in enumerate(names)})
-
-    schema = T.StructType([T.StructField(f.name, T.DoubleType() if f.name in names else f.dataType) for f in df.schema])
-    return df.mapInPandas(fill, schema)
-
-
 def layer_counts(df: DataFrame, key: str) -> DataFrame:
     return df.agg(F.countDistinct(key).alias("n_persons"), F.count(F.lit(1)).alias("n_rows"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions import timestamps as TS
-from veilspark.operators import formats, groups, profile, synthesis, temporal
+from veilspark.operators import formats, groups, imputation, profile, synthesis, temporal
 from veilspark.plans import assessment, dictionary, gate, layers
 from veilspark.plans.audit import AuditLog
 from veilspark.plans.queries import _EV, _LABEL, _STAMPS_SQL, _STEPS, _events, _stamps, query
@@ -417,7 +417,7 @@ def best_detected_columns(spark, sf):
 def imputed_matrix(spark, sf):
     """No gap is left, and cells that were known are as they were."""
     names = list(_GAPPY)
-    both = groups.impute_iteratively(_gappy(spark, sf).withColumns({f"k_{c}": F.col(c).isNotNull() for c in names}), names, rounds=2)
+    both = imputation.impute(_gappy(spark, sf).withColumns({f"k_{c}": F.col(c).isNotNull() for c in names}), names)
     gaps = sum((F.count_if(F.col(c).isNull() | F.isnan(c)) for c in names), F.lit(0))
     return both.agg(F.count(F.lit(1)).alias("n"), gaps.alias("gaps"), *(F.round(F.sum(F.when(F.col(f"k_{c}"), F.col(c))), 2).alias(c) for c in names))
 

@@ -12,7 +12,7 @@ from veilspark.functions import numeric as N
 from veilspark.functions import text as X
 from veilspark.functions import timestamps as TS
 from veilspark.functions.names import find_count_column, find_subject_key, is_birth_name, is_datetime_name, is_identifier_name, is_sensitive_name
-from veilspark.operators import disclosure, formats, groups, profile, temporal
+from veilspark.operators import disclosure, formats, groups, imputation, profile, temporal
 from veilspark.plans import assessment
 from veilspark.session import table
 from veilspark.sources import files as S
@@ -425,10 +425,32 @@ _MASK = "(l_orderkey * 7 + l_linenumber) % 10 = 0"
 @query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_masked, round(sqrt(avg(pow({c} - g, 2))), 6) AS rmse, round(1 - sum(pow({c} - g, 2)) / sum(pow({c} - o, 2)), 6) AS r2
 FROM lineitem, (SELECT avg({c}) FILTER (NOT {_MASK}) AS g, avg({c}) FILTER ({_MASK}) AS o FROM lineitem) WHERE {_MASK}""" for c in ("l_quantity", "l_discount", "l_tax")))
 def impute_mean_quality(spark, sf):
-    out = groups.imputation_quality(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], F.expr(_MASK))
+    out = groups.mean_quality(table(spark, sf, "lineitem"), ["l_quantity", "l_discount", "l_tax"], F.expr(_MASK))
     return out.withColumns({"rmse": F.round("rmse", 6), "r2": F.round("r2", 6)})
 
 
+# where all gaps lie in rows that know the quantity alone, the likeliest fit is the regression over the other rows
+_FROM_QUANTITY = {"l_extendedprice": 1, "l_discount": 5, "l_tax": 5}  # with the digits that count
+_REGRESSED = ", ".join(f"regr_slope({c}, l_quantity) FILTER (NOT {_MASK}) AS b_{c}, regr_intercept({c}, l_quantity) FILTER (NOT {_MASK}) AS a_{c}, avg({c}) FILTER (NOT {_MASK}) AS m_{c}" for c in _FROM_QUANTITY)
+
+
+@query(f"""WITH p AS (SELECT {_REGRESSED} FROM lineitem),
+e AS ({" UNION ALL ".join(f"SELECT sum(pow({c} - a_{c} - b_{c} * l_quantity, 2)) AS e, sum(pow({c} - m_{c}, 2)) AS t FROM lineitem, p WHERE {_MASK}" for c in _FROM_QUANTITY)})
+SELECT 'cv_r2_pooled' AS metric, round(1 - sum(e) / sum(t), 4) AS value FROM e UNION ALL SELECT 'cv_r2_per_feature_median', round(median(1 - e / t), 4) FROM e
+UNION ALL SELECT 'n_features', 4.0 UNION ALL SELECT 'n_persons', count(*)::DOUBLE FROM lineitem UNION ALL SELECT 'pct_missing_before', 0.0""")
+def imputation_quality(spark, sf):
+    mask = F.array(F.lit(False), *(F.expr(_MASK) for _ in _FROM_QUANTITY))
+    return imputation.quality(table(spark, sf, "lineitem"), ["l_quantity", *_FROM_QUANTITY], mask, shrink=False, tolerance=1e-9)
+
+
+@query(f"""WITH p AS (SELECT {_REGRESSED} FROM lineitem)
+SELECT l_orderkey, l_linenumber, {", ".join(f"round(CASE WHEN {_MASK} THEN a_{c} + b_{c} * l_quantity ELSE {c} END, {d}) AS {c}" for c, d in _FROM_QUANTITY.items())} FROM lineitem, p""")
+def imputed_cells(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", *(F.when(~F.expr(_MASK), F.col(c)).alias(c) for c in _FROM_QUANTITY))
+    out = imputation.impute(rows, ["l_quantity", *_FROM_QUANTITY], shrink=False, tolerance=1e-10)
+    return out.select("l_orderkey", "l_linenumber", *(F.round(c, d).alias(c) for c, d in _FROM_QUANTITY.items()))
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(100.0 * count(*) FILTER ({c} IS NULL OR {c} > {m}) / count(*), 6) AS pct_missing FROM lineitem" for c, m in (("l_quantity", 45), ("l_discount", 0.05))))
 def missing_rates(spark, sf):
     rows = table(spark, sf, "lineitem").select(F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).alias("l_quantity"), F.when(F.col("l_discount") <= 0.05, F.col("l_discount")).alias("l_discount"))
