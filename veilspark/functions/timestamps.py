@@ -1,10 +1,12 @@
-"""Timestamps: parsing of mixed formats, epoch units, cadence labels, value-free format descriptors and rendering."""
+"""Timestamps: epoch units, cadence labels, value-free format descriptors and rendering."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilspark.functions.dates import parse_mixed  # noqa: F401  (one of what is said of timestamps)
+
 # fixed values: longest seconds between stamps, label
 CADENCES = (
     (60, "~1/min or finer"),
@@ -21,18 +23,6 @@ CADENCE_SECONDS = dict((label, s) for s, label in CADENCES) | {COARSEST: 1209600
 # fixed values: cells that mean nothing
 NULLISH = ("", "nan", "nat", "none", "null")
 
-#: Patterns tried in order where Spark's own cast fails; month first, then day first.
-PATTERNS = ("M/d/yyyy H:m:s", "M/d/yyyy H:m", "M/d/yyyy", "d/M/yyyy", "yyyyMMdd", "MMM d yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyy/M/d H:m:s", "yyyy/M/d")
-
-
-def parse_mixed(c: Column) -> Column:
-    """UTC timestamp of a text in any of the known formats, else null. A bare time has no date, so it is null."""
-    text = F.trim(c.cast("string"))
-    dated = F.when(~text.rlike(r"^\d{1,2}:\d{2}") & ~text.rlike(r"^\d{1,7}$"), text)
-    iso = F.when(dated.rlike(r"^\d{4}-"), dated.try_cast("timestamp"))
-    return F.coalesce(iso, *(F.try_to_timestamp(dated, F.lit(p)) for p in PATTERNS))
-
-
 def epoch_unit(median_abs: Column) -> Column:
     """Unit of an epoch whose median size is given: s, ms, or null if it is no epoch."""
     m = median_abs

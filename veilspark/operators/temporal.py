@@ -25,9 +25,10 @@ def timeline(df: DataFrame, subject: Column | str, ts: Column | str) -> DataFram
     return df.select(subject.alias("sid"), F.unix_micros(ts.cast("timestamp")).alias("us")).filter("us IS NOT NULL")
 
 
-def month_bounds(events: DataFrame) -> DataFrame:
+def month_bounds(events: DataFrame, *more: Column) -> DataFrame:
+    """min_month, max_month, n_timestamps, and what else is asked of the rows in the same pass."""
     month = lambda c: F.date_format(F.timestamp_micros(c), "yyyy-MM")
-    return events.agg(month(F.min("us")).alias("min_month"), month(F.max("us")).alias("max_month"), F.count("us").alias("n_timestamps"))
+    return events.agg(month(F.min("us")).alias("min_month"), month(F.max("us")).alias("max_month"), F.count("us").alias("n_timestamps"), *more)
 
 
 def _hour(us: Column) -> Column:

@@ -276,6 +276,25 @@ def format_minority(spark, sf):
     return formats.disclosed_formats(formats.format_counts(_stamps(spark, sf), "stamp", "user_id")).filter("NOT dominant").select("template", "count", "n_subjects")
 
 
+# how a stamp is written, and what of it that keeps
+_WRITTEN = (
+    ("yyyy-MM-dd HH:mm:ss", "second"), ("yyyy-MM-dd'T'HH:mm:ss'Z'", "second"), ("M/d/yyyy H:m:s", "second"), ("MM-dd-yyyy", "day"), ("MMM d yyyy HH:mm", "minute"), ("d MMMM yyyy", "day"),
+    ("EEE, dd MMM yyyy HH:mm:ss '+0000'", "second"), ("yyyyMMdd'T'HHmmss", "second"), ("M/d/yyyy h:mm a", "minute"), ("MMMM d, yyyy h:mm:ss a", "second"), ("EEE MMM d HH:mm:ss yyyy", "second"),
+    ("yyyy.MM.dd", "day"), ("dd-MMM-yyyy", "day"), ("yyyy-MM-dd HH:mm:ss.SSSSSS'+00:00'", "microsecond"), ("'no date'", None),
+)
+_KEPT = " ".join(f"WHEN {i} THEN epoch_us(date_trunc('{unit}', ts))" for i, (_, unit) in enumerate(_WRITTEN) if unit)
+
+
+@query(f"SELECT event_id, CASE event_id % {len(_WRITTEN)} {_KEPT} END AS us FROM events")
+def written_dates(spark, sf):
+    """Stamps of all events in fourteen forms, and one that is none, read back cell by cell."""
+    t = F.col("ts").cast("timestamp")
+    text = F
+    for i, (pattern, _) in enumerate(_WRITTEN):
+        text = text.when(F.col("event_id") % len(_WRITTEN) == i, F.date_format(t, pattern))
+    return table(spark, sf, "events").select("event_id", F.unix_micros(TS.parse_mixed(text)).alias("us"))
+
+
 @query("SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
 def mixed_timestamp_parse(spark, sf):
     t = F.col("ts").cast("timestamp")
