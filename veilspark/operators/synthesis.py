@@ -3,6 +3,9 @@ neither partitions nor order."""
 
 from __future__ import annotations
 
+import calendar
+import datetime
+import math
 import re
 from collections.abc import Sequence
 from functools import partial
@@ -106,29 +109,61 @@ def synthesize(spark: SparkSession, columns: dict[str, dict], n_rows: int = 100,
     return spark.range(n_rows).select(*(c.alias(n) for n, c in out.items()))
 
 
-def stamps(seed: int, name: str, col: dict, subject: Column, place: Column, want: Column) -> Column:
-    """The place-th of a subject's ``want`` timestamps in order: two to four sessions on different days, each from an
-    hour of the diurnal profile on, in steps of the cadence, none after the range's end. The i-th session's day lies in
-    the i-th of equal parts of the range, so days differ and are in order without being sorted."""
+def permuted(place: Column, n: int, *keys: Column) -> Column:
+    """Where a permutation of 0 to n - 1 that the keys draw puts a place: a Feistel network over pairs from Z_a x Z_b,
+    the smallest rectangle that holds n numbers. It is walked on from numbers that aren't among them, of which there are
+    fewer than a, so the walk ends."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def shuffled(x: Column) -> Column:
+        left, right = F.floor(x / b).cast("long"), (x % b).cast("long")
+        for i in range(2):
+            left = F.pmod(left + _whole(hashed_uniform(2 * i, right, *keys), a), F.lit(a))
+            right = F.pmod(right + _whole(hashed_uniform(2 * i + 1, left, *keys), b), F.lit(b))
+        return left * b + right
+
+    once = shuffled(place.cast("long"))
+    if a * b == n:
+        return once
+    return F.aggregate(F.sequence(F.lit(1), F.lit(a * b - n)), once, lambda x, _: F.when(x < n, x).otherwise(shuffled(x)))
+
+
+def days_of(coverage: dict | None) -> int:
+    """Days from the first of the range to its last."""
+    low, high = (coverage["min_month"], coverage["max_month"]) if coverage and coverage.get("min_month") else DEFAULT_MONTHS
+    first, last = (datetime.date(int(m[:4]), int(m[5:7]), 1) for m in (low, high))
+    return (last - first).days + calendar.monthrange(last.year, last.month)[1] - 1
+
+
+def session_days(seed: int, name: str, col: dict, subject: Column, want: Column) -> Column:
+    """The days of a subject's sessions, from the range's first one on, in order: two to four, fewer if the range has
+    fewer or the subject wants fewer stamps; drawn without replacement, any days as likely as any others."""
+    days = days_of(col.get("temporal_coverage")) + 1
+    n = F.least(_whole(_u(seed, name, "sessions", subject), 3) + 2, F.lit(days), want)
+    return F.array_sort(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: permuted(i, days, F.lit(seed), F.lit(f"{name}/day"), subject)))
+
+
+def stamps(seed: int, name: str, col: dict, subject: Column, days: Column, place: Column, want: Column) -> Column:
+    """The place-th of a subject's ``want`` timestamps in order: a session on each of ``days``, each from an hour of the
+    diurnal profile on, in steps of the cadence, none after the range's end."""
     dist, coverage = col.get("temporal_distribution") or {}, col.get("temporal_coverage")
     start, end = month_range(coverage)
     first, last = F.unix_seconds(start), F.unix_seconds(end)
-    days = F.greatest(F.floor((last - first) / 86_400), F.lit(1))
-    n = F.least(_whole(_u(seed, name, "sessions", subject), 3) + 2, days + 1, want)
+    n = F.size(days).cast("long")
     each, more = F.floor(want / n), want % n
     # the first ``more`` sessions have one stamp more
     session = F.when(place < more * (each + 1), F.floor(place / (each + 1))).otherwise(more + F.floor((place - more * (each + 1)) / each))
     inside = F.when(place < more * (each + 1), place % (each + 1)).otherwise((place - more * (each + 1)) % each)
-    low, high = F.floor((days + 1) * session / n), F.floor((days + 1) * (session + 1) / n)
-    day = low + _whole(_u(seed, name, "day", subject, session), F.greatest(high - low, F.lit(1)))
+    day = F.get(days, session.cast("int"))
     hour = pick_hour(_u(seed, name, "block", subject, session), _u(seed, name, "hour", subject, session), dist.get("diurnal_blocks"))
     minute = _whole(_u(seed, name, "minute", subject, session), 60)
     step = CADENCE_SECONDS.get(dist.get("cadence"), CADENCE_SECONDS[UNKNOWN])
     return F.least(first + day * 86_400 + hour * 3_600 + minute * 60 + inside * step, last)
 
 
-def _stamp_at(seed: int, name: str, col: dict, place: Column) -> Column:
-    return stamps(seed, name, col, F.col("s"), place, F.col("w"))
+def _stamp_at(seed: int, name: str, col: dict, days: str, place: Column) -> Column:
+    return stamps(seed, name, col, F.col("s"), F.col(days), place, F.col("w"))
 
 
 def _timelines(spark: SparkSession, columns: dict[str, dict], n_rows: int, seed: int, subject: str, pool: list[str], primary: str) -> DataFrame:
@@ -138,9 +173,10 @@ def _timelines(spark: SparkSession, columns: dict[str, dict], n_rows: int, seed:
     subjects = spark.range(n).select(F.col("id").alias("s"), F.when(F.col("id") < more, each + 1).otherwise(each).cast("long").alias("w"))
     times = [n for n, c in columns.items() if _is_time(c)]
     places = F.sequence(F.lit(0).cast("long"), F.col("w") - 1)
-    own = [F.sort_array(F.transform(places, partial(_stamp_at, seed, name, columns[name]))).alias(f"_t_{i}") for i, name in enumerate(times)]
+    subjects = subjects.filter("w > 0").withColumns({f"_d_{i}": session_days(seed, name, columns[name], F.col("s"), F.col("w")) for i, name in enumerate(times)})
+    own = [F.sort_array(F.transform(places, partial(_stamp_at, seed, name, columns[name], f"_d_{i}"))).alias(f"_t_{i}") for i, name in enumerate(times)]
     first = F.col("s") * each + F.least(F.col("s"), F.lit(more))
-    subjects = subjects.filter("w > 0").select("s", first.alias("first"), F.arrays_zip(places.alias("p"), *own).alias("rows"))
+    subjects = subjects.select("s", first.alias("first"), F.arrays_zip(places.alias("p"), *own).alias("rows"))
     rows = subjects.select("s", "first", F.explode("rows").alias("r"))
     rows = rows.select((F.col("first") + F.col("r.p")).alias("id"), "s", *(F.timestamp_seconds(F.col(f"r._t_{i}")).alias(f"_t_{name}") for i, name in enumerate(times)))
     main = columns[primary].get("format") or DEFAULT_FORMAT

@@ -11,6 +11,7 @@ from veilspark.config import DEFAULTS, Thresholds
 from veilspark.functions import numeric as N
 from veilspark.functions.timestamps import cadence_label
 from veilspark.operators import order
+from veilspark.operators.intervals import interval_join
 from veilspark.sources.scratch import written
 
 #: A delta above so many of the subject's medians starts a session, but none of a second or less; rows a subject up
@@ -163,8 +164,8 @@ def diurnal_profile(events: DataFrame, thresholds: Thresholds = DEFAULTS) -> Dat
 
 
 def tested_profile_bins(values: DataFrame, bins: DataFrame) -> DataFrame:
-    """Range join: metric, lo, hi, real_subjects, for each disclosed bin (they are few, as bins of a round grid) the
-    subjects with a value in it."""
-    v, b = values.alias("v"), F.broadcast(bins).alias("b")
-    inside = (F.col("v.metric") == F.col("b.metric")) & (F.col("v.value") >= F.col("b.lo")) & (F.col("v.value") < F.col("b.hi"))
-    return b.join(v, inside, "left").groupBy("b.metric", "b.lo", "b.hi").agg(F.countDistinct("v.sid").alias("real_subjects"))
+    """metric, lo, hi, real_subjects: for each disclosed bin the subjects with a value in it. Bins may overlap, but differ."""
+    bins = written(bins.select("metric", "lo", "hi"))  # few, and read more than once
+    inside = interval_join(values.select("metric", "sid", "value"), "value", bins, "lo", "hi", ["metric"])
+    seen = inside.groupBy("metric", "lo", "hi").agg(F.countDistinct("sid").alias("n"))
+    return bins.join(seen, ["metric", "lo", "hi"], "left").select("metric", "lo", "hi", F.coalesce("n", F.lit(0)).alias("real_subjects"))
