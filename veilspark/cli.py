@@ -38,7 +38,7 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--derived-dir")
         p.add_argument("--dict")
         if name == "submit":
-            p.add_argument("sql_file")
+            p.add_argument("job", help="a file of SQL, or a Python script (.py)")
             p.add_argument("--timeout", type=int)
             p.add_argument("--layer-name")
         if name == "review":
@@ -65,7 +65,10 @@ def main(argv: list[str] | None = None) -> int:
         report = assess(spark, a.data_dir, a.out, a.report)
         print(f"reid_pass={report['reid_pass']} leaks={len(report['reid_leaks'])}")
     elif a.command == "submit":
-        result = _gate(spark, a).submit(Store(spark).read(a.sql_file), a.timeout, a.layer_name)
+        from veilspark.plans.scripts import Script
+
+        job = Script.read(spark, a.job) if a.job.endswith(".py") else Store(spark).read(a.job)
+        result = _gate(spark, a).submit(job, a.timeout, a.layer_name)
         print(result.message)
         return int(result.status == "error")
     elif a.command == "review":

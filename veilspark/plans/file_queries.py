@@ -13,6 +13,7 @@ from veilspark.functions import timestamps as TS
 from veilspark.operators import formats, groups, imputation, profile, synthesis, temporal
 from veilspark.plans import assessment, dictionary, gate, layers
 from veilspark.plans.audit import AuditLog
+from veilspark.plans.scripts import Script
 from veilspark.plans.queries import _EV, _LABEL, _STAMPS_SQL, _STEPS, _events, _stamps, query
 from veilspark.service import Routes
 from veilspark.session import table
@@ -210,8 +211,8 @@ def temporal_facets(spark, sf):
 # ---- gate, log and layers
 
 
-def _gate(spark, folder: str) -> gate.Gate:
-    return gate.Gate(spark, folder, join(folder, "results"), join(folder, "queue"), join(folder, "audit"), join(folder, "derived"))
+def _gate(spark, folder: str, data_dir: str | None = None) -> gate.Gate:
+    return gate.Gate(spark, data_dir or folder, join(folder, "results"), join(folder, "queue"), join(folder, "audit"), join(folder, "derived"))
 
 
 def _job(sf: str):
@@ -247,6 +248,26 @@ def gate_release(spark, sf):
     return spark.read.csv(result.outputs[0], header=True, schema="status string, n long")
 
 
+_SCRIPT = """
+import os
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.getOrCreate()
+orders = spark.read.parquet(os.environ["DATA_DIR"] + "/orders.parquet")
+counts = orders.groupBy("o_orderpriority", "o_orderstatus").count()
+counts.coalesce(1).write.csv(os.environ["OUTPUT_DIR"] + "/counts.csv", header=True)
+with open(os.path.join(os.environ["OUTPUT_DIR"].removeprefix("file:"), "notes.txt"), "w") as f:
+    f.write("not a table")
+"""
+
+
+@query("""SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, 1 AS queued FROM orders GROUP BY 1, 2 HAVING count(*) >= 5""")
+def gate_script(spark, sf):
+    """What a script's process counts with a Spark application of its own, as the gate releases it; its notes wait."""
+    gated = _gate(spark, new_folder(spark), sf)
+    result = gated.submit(Script(_SCRIPT))
+    return spark.read.csv(result.outputs[0], header=True, schema="priority string, status string, n long").withColumn("queued", F.lit(len(gated.pending())))
+
+
 @query("SELECT n_regionkey AS region, count(*) AS nations FROM nation GROUP BY 1")
 def gate_sql(spark, sf):
     """A submitted SQL query over a registered view."""

@@ -57,6 +57,10 @@ class Store:
             raise OSError(f"can't move {source} to {to}")
         return to
 
+    def make(self, folder: str) -> None:
+        at, fs = self._at(folder)
+        fs.mkdirs(at)
+
     def delete(self, path: str) -> None:
         at, fs = self._at(path)
         fs.delete(at, True)
