@@ -104,7 +104,13 @@ def test_a_sweep_puts_every_word_where_it_is_likeliest(spark):
     texts = [" ".join(f"w{rng.integers(0, 12)}" for _ in range(30)) for _ in range(40)]
     words = [f"w{i}".encode() for i in range(12)]
     of = {w: int(c) for w, c in zip(words, rng.integers(0, classes - 1, 12), strict=True)}
-    got = {r.word: r["class"] for r in B.sweep(documents(spark, list(enumerate(texts))), of, np.zeros(2 * B.ENDINGS, int), classes, C.Scratch(spark, "test"), "met").collect()}
+    docs = documents(spark, list(enumerate(texts))).selectExpr("doc_id", "text", "true AS scored", "true AS trained")
+    # half of the words are held; the others count as the class of their bucket
+    held = [*words[:6], B.END]
+    of = {w: c if w in held else 2 for w, c in of.items()}
+    encoded = B.encode(docs, held, np.ones(7))
+    swept, before = B.sweep(encoded, held, np.array([*(of[w] for w in held[:-1]), classes - 1]), np.full(2 * B.ENDINGS, 2), classes, C.Scratch(spark, "test"), "met")
+    got = {r.word: r["class"] for r in swept.collect()}
 
     def likelihood(of):
         grid = np.zeros((classes, classes))
@@ -114,6 +120,7 @@ def test_a_sweep_puts_every_word_where_it_is_likeliest(spark):
         f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
         return f(grid) - f(grid.sum(0)) - f(grid.sum(1))
 
+    assert before == pytest.approx(likelihood(of) / sum(len(B.tokens(t)) + 1 for t in texts))
     near = 0
     for w in words:
         tried = [likelihood(of | {w: c}) for c in range(classes - 1)]
@@ -121,6 +128,15 @@ def test_a_sweep_puts_every_word_where_it_is_likeliest(spark):
     assert near == 12
 
 
+def test_the_sweep_over_all_words_raises_the_likelihood(spark):
+    from veilspark.llm import common as C
+
+    model, _ = B.train_classes(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), C.Scratch(spark, "test"))
+    before, after = model.likelihoods
+    print("likelihood of a token by classes, before and after:", before, after)
+    assert after > before + 0.05
+
+
 def test_exchange_finds_alternating_classes():
     a = np.array([0, 0, 1, 1, 2, 2, 3, 3])
     b = np.array([2, 3, 2, 3, 0, 1, 0, 1])

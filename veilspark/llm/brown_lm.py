@@ -63,7 +63,8 @@ class Classes:
     #: log10 of P(class | class before), and of a class's denominator.
     transitions: np.ndarray
     below: np.ndarray
-    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+    #: What the classes make of a training token's log likelihood before each sweep over all words, and after the last.
+    likelihoods: list[float] = field(default_factory=list)
 
     @property
     def base_below(self) -> float:
@@ -112,25 +113,74 @@ def _sum(at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.bincount(place, k, len(keys)).astype(np.int64)
 
 
-def count_pairs(train: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often a unit follows another, for those that do; before a text's first token stands an end."""
-    core = len(words)
-    n = core + 2 * ENDINGS + 1
-    shared = train.sparkSession.sparkContext.broadcast(words)
+_HERE: dict[str, _Places] = {}
+_ENCODED = "doc_id long, scored boolean, trained boolean, rid long, n_tokens long, n_held long, logs double, path array<int>, rare array<binary>, times array<long>, bucket array<int>"
+
+
+def encode(rows: DataFrame, words: list[bytes], counts: np.ndarray) -> DataFrame:
+    """Each row's tokens as places among ``words`` (the held ones, the end last), or -1 - i for its i-th other word;
+    those words with their counts and buckets; and what the held words' own counts give. Texts are cut into words here
+    for the last time: all that follows reads numbers."""
+    key = uuid.uuid4().hex
+    shared = rows.sparkSession.sparkContext.broadcast((words, np.log10(counts + ADDED), counts > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, pairs, times, size = _places(shared.value), [], [], 0
+        words, logs, seen = shared.value
+        held = len(words)
+        if key not in _HERE:
+            _HERE.clear()
+            _HERE[key] = _places(words)
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            if len(places) > AT_ONCE:
-                places = _places(shared.value)
             for i in range(0, batch.num_rows, 200):
-                flat: list[int] = [n - 1]
-                for t in batch.column(0).slice(i, 200).to_pylist():
-                    flat += map(places.__getitem__, tokens(t))
-                    flat.append(n - 1)
-                units = np.array(flat)
-                units = np.where(units < 0, core - 1 - units, units)
-                at, k = np.unique(units[:-1] * n + units[1:], return_counts=True)
+                part = batch.slice(i, 200)
+                if len(_HERE[key]) > held + AT_ONCE:
+                    _HERE[key] = _places(words)
+                places = _HERE[key]
+                out: dict[str, list] = {x: [] for x in ("rid", "n_tokens", "n_held", "logs", "path", "rare", "times", "bucket")}
+                for t in part.column("text").to_pylist():
+                    own = tokens(t)
+                    at = np.array([*map(places.__getitem__, own), held - 1], np.int32)
+                    known = at >= 0
+                    safe = np.where(known, at, 0)
+                    others: dict[bytes, int] = {}
+                    where = np.flatnonzero(~known)
+                    nth = np.array([others.setdefault(own[j], len(others)) for j in where], np.int64)
+                    at[where] = -1 - nth
+                    for name, value in (("rid", task << 40 | row), ("n_tokens", len(at)), ("n_held", int((known & seen[safe]).sum())), ("logs", float(logs[safe[known]].sum())), ("path", at), ("rare", list(others)), ("times", np.bincount(nth, minlength=len(others))), ("bucket", [-1 - places[w] for w in others])):
+                        out[name].append(value)
+                    row += 1
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "scored", "trained")), *(pa.array(out[x], kind) for x, kind in zip(out, kinds, strict=True))], ["doc_id", "scored", "trained", *out])
+
+    return rows.select("doc_id", "text", "scored", "trained").mapInArrow(run, _ENCODED)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Places of all texts in a row, each text's ending with the end; which of the other words a token under 0 is; those
+    words and their buckets."""
+    path, rare = batch.column("path"), batch.column("rare")
+    flat, begin = path.flatten().to_numpy(), rare.offsets.to_numpy()
+    of_text = np.repeat(np.arange(len(path)), np.diff(path.offsets.to_numpy()))
+    return flat, np.where(flat < 0, (begin[:-1] - begin[0])[of_text] - 1 - flat, 0), rare.flatten(), batch.column("bucket").flatten().to_numpy()
+
+
+def count_pairs(encoded: DataFrame, words: list[bytes], core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often a unit follows another, for those that do; before a text's first token stands an end. Units are the
+    first ``core`` words, buckets, and the end."""
+    n = core + 2 * ENDINGS + 1
+    units = np.array([*range(core), *(core + bucket(w) for w in words[core:-1]), n - 1])
+    shared = encoded.sparkSession.sparkContext.broadcast(units)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, pairs, times, size = shared.value, [], [], 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                flat, which, _, buckets = _flat(batch.slice(i, 1000))
+                own = units[np.maximum(flat, 0)]
+                if len(buckets):
+                    own = np.where(flat < 0, core + buckets[which], own)
+                at, k = np.unique(np.append(n - 1, own[:-1]) * n + own, return_counts=True)
                 pairs.append(at)
                 times.append(k)
                 size += len(at)
@@ -144,40 +194,46 @@ def count_pairs(train: DataFrame, words: list[bytes]) -> tuple[np.ndarray, np.nd
             at, k = _sum(np.concatenate(pairs), np.concatenate(times))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(k, pa.int64())], ["pair", "n"])
 
-    got = train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = encoded.select("path", "rare", "bucket").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, k = got.column("pair").to_numpy(), got.column("n").to_numpy().astype(float)
     return pair // n, pair % n, k
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
+def likelihood(grid: np.ndarray) -> float:
+    """What the classes make of the log likelihood of a token, by their bigrams; the rest is the same for any classes."""
+    return float((_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum()) / max(grid.sum(), 1))
+
+
 class _Met(dict):
-    """word: its number among the words a task has met, with the classes they count as so far."""
+    """word: its number among the words beyond the held ones that a task has met."""
 
-    def __init__(self, classes: dict[bytes, int], bucket_class: np.ndarray) -> None:
+    def __init__(self) -> None:
         super().__init__()
         self.words: list[bytes] = []
-        self.classes: list[int] = []
-        self.known, self.bucket_class = classes, bucket_class
 
     def __missing__(self, word: bytes) -> int:
-        own = self.known.get(word)
         self[word] = at = len(self.words)
         self.words.append(word)
-        self.classes.append(int(self.bucket_class[bucket(word)]) if own is None else own)
         return at
 
 
-def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray, classes: int, scratch: C.Scratch, name: str) -> DataFrame:
+def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_class: np.ndarray, classes: int, scratch: C.Scratch, name: str) -> tuple[DataFrame, float]:
     """word, c, class of every training word: one exchange of all words, each given the classes of all others before
-    the sweep. class_of holds those of the frequent words, bucket_class those that the other words count as. A word's
-    counts of the classes after and before it are summed up by word; it is taken out of its own class and put where it
-    raises the likelihood of the class bigrams most. The last class is the end's alone."""
-    shared = train.sparkSession.sparkContext.broadcast((class_of, bucket_class))
-    end = classes - 1
+    the sweep; and the likelihood by those classes. class_of holds the classes of ``words``, bucket_class those that the
+    other words count as. A word's counts of the classes after and before it are summed up by word; it is taken out of
+    its own class and put where it raises the likelihood of the class bigrams most. The last class is the end's alone."""
+    shared = encoded.sparkSession.sparkContext.broadcast((words, class_of, bucket_class))
+    end, held_words = classes - 1, len(words)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, class_of, bucket_class = shared.value
         grid = np.zeros(classes * classes, np.int64)
         none = np.zeros(0, np.int64)
-        met, of, keys, times, raw, size = _Met(*shared.value), none, none, none, [], 0
+        met, keys, times, raw, size = _Met(), none, none, [], 0
 
         def summed() -> tuple[np.ndarray, np.ndarray]:
             return _sum(np.concatenate([keys, *raw]), np.concatenate([times, np.ones(sum(map(len, raw)), np.int64)]))
@@ -188,38 +244,40 @@ def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray
             ends = pa.array([*first, len(keys), len(keys) + len(pair)], pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in ((keys % (2 * classes), pair), (times, grid[pair]))]
             grid[:] = 0
-            return pa.RecordBatch.from_arrays([pa.array([*(met.words[i] for i in own), None], pa.binary()), pa.array([*(met.classes[i] for i in own), None], pa.int32()), *lists], ["word", "own", "code", "n"])
+            named = [words[i] if i < held_words else met.words[i - held_words] for i in own.tolist()]
+            kinds = [int(class_of[i]) if i < held_words else int(bucket_class[bucket(w)]) for i, w in zip(own.tolist(), named, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([*named, None], pa.binary()), pa.array([*kinds, None], pa.int32()), *lists], ["word", "own", "code", "n"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                flat: list[int] = [-1]
-                for t in batch.column(0).slice(i, 200).to_pylist():
-                    flat += map(met.__getitem__, tokens(t))
-                    flat.append(-1)
-                at = np.array(flat)
-                of = np.concatenate([of, np.array(met.classes[len(of) :], np.int64)])
-                kinds = np.where(at < 0, end, of[np.maximum(at, 0)]) if len(of) else np.full(len(at), end)
-                grid += np.bincount(kinds[:-1] * classes + kinds[1:], minlength=len(grid))
-                where = np.flatnonzero(at >= 0)
-                own = at[where] * (2 * classes)
-                raw += [own + kinds[where + 1], own + classes + kinds[where - 1]]
+            for i in range(0, batch.num_rows, 500):
+                flat, which, rare, buckets = _flat(batch.slice(i, 500))
+                kinds, ids = class_of[np.maximum(flat, 0)], flat.astype(np.int64)
+                if len(rare):
+                    other = flat < 0
+                    numbers = np.array([*map(met.__getitem__, rare.to_pylist())], np.int64)
+                    kinds = np.where(other, bucket_class[buckets][which], kinds)
+                    ids = np.where(other, held_words + numbers[which], ids)
+                before = np.append(end, kinds[:-1])
+                grid += np.bincount(before * classes + kinds, minlength=len(grid))
+                where = np.flatnonzero(flat != held_words - 1)
+                own = ids[where] * (2 * classes)
+                raw += [own + kinds[where + 1], own + classes + before[where]]
                 size += 2 * len(where)
                 if size > 2_000_000 or len(met) > AT_ONCE:
                     keys, times = summed()
                     raw, size = [], 0
                     if len(keys) > 2_000_000 or len(met) > AT_ONCE:
                         yield rows()
-                        met, of, keys, times = _Met(*shared.value), none, none, none
+                        met, keys, times = _Met(), none, none
         keys, times = summed()
         yield rows()
 
-    found = scratch.put(train.select("text").mapInArrow(meet, "word binary, own int, code array<int>, n array<int>"), name)
+    found = scratch.put(encoded.select("path", "rare", "bucket").mapInArrow(meet, "word binary, own int, code array<int>, n array<int>"), name)
     pairs = found.filter("word IS NULL").select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy("x.code").agg(F.sum(F.col("x.n").cast("long")).alias("n")).toArrow()
     grid = np.bincount(pairs.column("code").to_numpy(), pairs.column("n").to_numpy(), classes * classes).reshape(classes, classes)
-    held = train.sparkSession.sparkContext.broadcast(grid)
+    held = encoded.sparkSession.sparkContext.broadcast(grid)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
+    f = _f
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid = held.value
@@ -284,7 +342,7 @@ def sweep(train: DataFrame, class_of: dict[bytes, int], bucket_class: np.ndarray
         if left is not None:
             yield done(left)
 
-    return found.filter("word IS NOT NULL").repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int")
+    return found.filter("word IS NOT NULL").repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int"), likelihood(grid)
 
 
 def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: int, sweeps: int) -> np.ndarray:
@@ -299,9 +357,7 @@ def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: i
     after, after_k, before, before_k = b[order_a], k[order_a], a[order_b], k[order_b]
     grid = np.bincount(of[a] * classes + of[b], k, classes * classes).reshape(classes, classes)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
-
+    f = _f
     for _ in range(sweeps):
         moved = 0
         for u in np.argsort(-weight[:-1], kind="stable"):
@@ -330,33 +386,39 @@ def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: i
 def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, sweeps: int = SWEEPS) -> tuple[Classes, DataFrame, DataFrame]:
     """rows: doc_id, text, scored, trained. The model, the counts and classes of all training words (word, c, class),
     and all rows as sequences of classes."""
-    train = rows.filter("trained")
-    vocabulary = scratch.put(count_words(train), "vocabulary")
+    vocabulary = scratch.put(count_words(rows.filter("trained")), "vocabulary")
     row = vocabulary.agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = int(row.total or 0), int(row.distinct or 0)
     classes = classes or grown(CLASSES, distinct)
     ends = vocabulary.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
     held = vocabulary.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(HELD - 1).select("word", "c").toArrow()
-    words, counts = held.column("word").to_pylist(), held.column("c").to_numpy().astype(float)
-    core = min(grown(CLUSTERED, distinct), len(words))
-    a, b, k = count_pairs(train, words[:core])
-    of = exchange(a, b, k, core + 2 * ENDINGS + 1, classes, sweeps)
-    class_of, bucket_class = dict(zip(words, of[:core].tolist(), strict=False)), of[core:-1]
+    words, counts = [*held.column("word").to_pylist(), END], np.append(held.column("c").to_numpy().astype(float), ends)
+    encoded = scratch.put(encode(rows, words, counts), "encoded")
+    train = encoded.filter("trained")
+    core = min(grown(CLUSTERED, distinct), len(words) - 1)
+    of = exchange(*count_pairs(train, words, core), core + 2 * ENDINGS + 1, classes, sweeps)
+    bucket_class = of[core:-1]
+    class_of = np.array([*of[:core], *(bucket_class[bucket(w)] for w in words[core:-1]), classes - 1])
+    likelihoods = []
     for i in range(SWEEPS_OF_ALL):
-        every = scratch.put(sweep(train, class_of, bucket_class, classes, scratch, f"met-{i}"), f"every-{i}")
+        every, now = sweep(train, words, class_of, bucket_class, classes, scratch, f"met-{i}")
+        every = scratch.put(every, f"every-{i}")
+        likelihoods.append(now)
         frequent = every.orderBy(F.desc("c"), "word").limit(HELD - 1).select("word", "class").toArrow()
-        class_of = dict(zip(frequent.column("word").to_pylist(), frequent.column("class").to_pylist(), strict=True))
+        found = dict(zip(frequent.column("word").to_pylist(), frequent.column("class").to_pylist(), strict=True))
+        class_of = np.array([*(found[w] for w in words[:-1]), classes - 1])
         scratch.drop(f"met-{i}", f"every-{i - 1}")
     in_class, kinds = np.zeros(classes), np.zeros(classes)
     for r in every.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         in_class[r["class"]], kinds[r["class"]] = r.c, r.n
     in_class[-1] += ends
     kinds[-1] += ends > 0
-    of_unit = np.array([*(class_of[w] for w in words), *bucket_class, classes - 1])
-    model = Classes([*words, END], np.append(counts, ends), total, distinct, of_unit, np.zeros((classes, classes)), np.log10(in_class + ADDED * (kinds + 1)))
-    sequences = scratch.put(_sequences(rows, model, every, scratch), "sequences")
-    scratch.drop("held", "vocabulary")
+    of_unit = np.array([*class_of[:-1], *bucket_class, classes - 1])
+    model = Classes(words, counts, total, distinct, of_unit, np.zeros((classes, classes)), np.log10(in_class + ADDED * (kinds + 1)))
+    sequences = scratch.put(_sequences(encoded, model, every), "sequences")
+    scratch.drop("encoded", "vocabulary")
     grid = _transitions(sequences.filter("trained"), classes - 1, classes)
+    model.likelihoods = [*likelihoods, likelihood(grid)]
     own = (in_class + 1) / (in_class + 1).sum()
     model.transitions = np.log10((grid + TRANSITION_PRIOR * own) / (grid.sum(1, keepdims=True) + TRANSITION_PRIOR))
     return model, every, sequences
@@ -368,70 +430,31 @@ def train_classes(train: DataFrame, scratch: C.Scratch, classes: int | None = No
     return _learn(rows, scratch, classes, sweeps)[:2]
 
 
-_HERE: dict[str, _Places] = {}
-
-
-def _score_held(rows: DataFrame, model: Classes) -> DataFrame:
-    """For each row what the held words give, its classes, with -1 - i for its i-th other word, and those words with
-    their counts and the classes of their buckets."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        logs, held = np.log10(m.counts + ADDED), len(m.words)
-        class_of, bucket_class = np.append(m.of_unit[: held - 1], m.of_unit[-1]), m.of_unit[held - 1 : -1]
-        if m.key not in _HERE:
-            _HERE.clear()
-            _HERE[m.key] = _places(m.words)
-        task, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                if len(_HERE[m.key]) > AT_ONCE:
-                    _HERE[m.key] = _places(m.words)
-                places = _HERE[m.key]
-                out: dict[str, list] = {x: [] for x in ("rid", "n_tokens", "n_held", "logs", "path", "rare", "times", "instead")}
-                for t in part.column("text").to_pylist():
-                    words = tokens(t)
-                    at = np.array([*map(places.__getitem__, words), held - 1])
-                    known = at >= 0
-                    safe = np.where(known, at, 0)
-                    path = class_of[safe]
-                    others: dict[bytes, int] = {}
-                    where = np.flatnonzero(~known)
-                    nth = np.array([others.setdefault(words[j], len(others)) for j in where], np.int64)
-                    path[where] = -1 - nth
-                    seen = known & (m.counts[safe] > 0)
-                    for name, value in (("rid", task << 40 | row), ("n_tokens", len(at)), ("n_held", int(seen.sum())), ("logs", float(logs[safe[known]].sum())), ("path", path), ("rare", list(others)), ("times", np.bincount(nth, minlength=len(others))), ("instead", [bucket_class[-1 - places[w]] for w in others])):
-                        out[name].append(value)
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "scored", "trained")), *(pa.array(out[x], kind) for x, kind in zip(out, kinds, strict=True))], ["doc_id", "scored", "trained", *out])
-
-    return rows.mapInArrow(run, "doc_id long, scored boolean, trained boolean, rid long, n_tokens long, n_held long, logs double, path array<int>, rare array<binary>, times array<long>, instead array<int>")
-
-
-def _sequences(rows: DataFrame, model: Classes, others: DataFrame, scratch: C.Scratch) -> DataFrame:
+def _sequences(encoded: DataFrame, model: Classes, others: DataFrame) -> DataFrame:
     """Each row's classes and what its words' own counts give. A text's words that aren't held meet theirs in a join,
     once for each text and word, and are gathered by text."""
-    held = scratch.put(_score_held(rows, model), "held")
-    rare = held.select("rid", F.posexplode(F.arrays_zip("rare", "times", "instead")).alias("i", "x")).select("rid", "i", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.instead").alias("instead"))
-    if len(model.counts) >= HELD:
+    held = len(model.words)
+    shared = encoded.sparkSession.sparkContext.broadcast(np.append(model.of_unit[: held - 1], model.of_unit[-1]))
+    rare = encoded.select("rid", F.posexplode(F.arrays_zip("rare", "times", "bucket")).alias("i", "x")).select("rid", "i", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.bucket").alias("bucket"))
+    if held >= HELD:
         others = others.filter(F.col("c") <= int(model.counts[-2]))
     c = F.coalesce("c", F.lit(0))
-    met = rare.join(others.hint("merge"), "word", "left").select("rid", "i", F.coalesce("class", "instead").alias("class"), (F.col("times") * F.log10(c + ADDED)).alias("part"), F.when(c > 0, F.col("times")).otherwise(0).alias("k"))
+    instead = F.get(F.lit([int(x) for x in model.of_unit[held - 1 : -1]]), F.col("bucket"))  # of words that training lacks
+    met = rare.join(others.hint("merge"), "word", "left").select("rid", "i", F.coalesce("class", instead).alias("class"), (F.col("times") * F.log10(c + ADDED)).alias("part"), F.when(c > 0, F.col("times")).otherwise(0).alias("k"))
     sums = met.groupBy("rid").agg(F.sum("part").alias("part"), F.sum("k").alias("k"), F.collect_list("i").alias("nth"), F.collect_list("class").alias("classes"))
-    full = held.drop("rare", "times", "instead").join(sums.hint("merge"), "rid", "left")
+    full = encoded.drop("rare", "times", "bucket").join(sums.hint("merge"), "rid", "left")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of = shared.value
         for batch in batches:
             paths = []
             for path, nth, classes in zip(*(batch.column(x) for x in ("path", "nth", "classes")), strict=True):
-                at = np.array(path.values.to_numpy())
+                places = path.values.to_numpy()
+                at = class_of[np.maximum(places, 0)]
                 if nth.is_valid:
                     own = np.empty(len(nth), np.int32)
                     own[nth.values.to_numpy()] = classes.values.to_numpy()
-                    at[at < 0] = own[-1 - at[at < 0]]
+                    at[places < 0] = own[-1 - places[places < 0]]
                 paths.append(at)
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "scored", "trained", "n_tokens", "n_known", "logs")), pa.array(paths, pa.list_(pa.int32()))], ["doc_id", "scored", "trained", "n_tokens", "n_known", "logs", "path"])
 
