@@ -3,6 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 
 from veilspark.config import Thresholds
+from pyspark.sql import functions as F
+
 from veilspark.operators import disclosure, formats, groups, profile, temporal
 from veilspark.plans.dictionary import profile_columns, temporal_distribution
 from veilspark.sources.files import ORDINAL
@@ -42,6 +44,21 @@ def test_cardinality_cap(spark):
     assert profile.categories(profile.value_counts(df), Thresholds(cardinality_cap=51)).first().categories[0] == "v0"
 
 
+def test_first_values_of_many_columns(spark):
+    """As taken column by column; columns with few values, or late ones, and stretches of the order."""
+    rows = [(i // 40 << 33 | i, *(None if (i * 7 + c) % (c + 1) or (c == 5 and i < 300) else f"{c}-{i}" for c in range(8)), None) for i in range(400)]
+    df = spark.createDataFrame(rows, "o long, " + ", ".join(f"`v.{c}` string" for c in range(8)) + ", none string").repartition(6)
+    names = [c for c in df.columns if c != "o"]
+    got = {}
+    for r in profile.first_values(df, names, "o", 30).collect():
+        got.setdefault(r.column, set()).add(r.value)
+    want = {n: {x for x in [r[i] for r in rows if r[i] is not None][:30]} for i, n in enumerate(names, 1)}
+    assert got == {n: v for n, v in want.items() if v} and len(got) == 7
+    wide = spark.range(50).select(F.col("id").alias("o"), *(F.when(F.col("id") > c % 7, F.lit("2024-01-01")).alias(f"c{c}") for c in range(600)))
+    plan = profile.date_valued(wide, wide.columns[1:], "o")
+    assert plan.filter("date_valued").count() == 600 and plan._jdf.queryExecution().executedPlan().toString().count("Range (0, 50") <= 4
+
+
 def test_date_valued_looks_at_the_first_rows(spark):
     rows = [(i, "2024-01-01" if i < 150 else "x") for i in range(5000)]
     df = spark.createDataFrame(rows[::-1], "o long, v string")

@@ -5,9 +5,9 @@ values and no plan with thousands of expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,17 +69,33 @@ def near_unique(summary: DataFrame) -> DataFrame:
     return summary.select("column", (F.col("cardinality") / F.greatest("n", F.lit(1)) > NEAR_UNIQUE).alias("near_unique"))
 
 
+def first_values(df: DataFrame, columns: Sequence[str], ordinal: str | Column, n: int, of: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """column, value: the first n non-null values of each column in the rows' order, each as ``of`` makes it.
+
+    Two passes, whatever the number of columns. The first counts values by column and stretch of the order (a split of
+    the scan, by its ordinals), so the second takes each column's from those stretches alone that its first n lie in;
+    there, every task keeps n of a column before anything is shuffled."""
+    o = (F.col(ordinal) if isinstance(ordinal, str) else ordinal).cast("long")
+    stretch = F.shiftright(o, 33)
+    there = F.array(*(F.col(f"`{c}`").isNotNull().cast("long") for c in columns))
+    counts = df.select(stretch.alias("stretch"), F.posexplode(there).alias("i", "n")).groupBy("stretch", "i").agg(F.sum("n").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a stretch
+    needed = counts.withColumn("before", before).filter((F.col("before") < n) & (F.col("n") > 0)).groupBy("i").agg(F.max("stretch").alias("last"))
+    cells = F.array(*(of(F.col(f"`{c}`").cast("string")) for c in columns))
+    rows = df.select(o.alias("o"), stretch.alias("stretch"), F.posexplode(cells).alias("i", "value")).filter("value IS NOT NULL")
+    rows = rows.join(F.broadcast(needed), "i").filter(F.col("stretch") <= F.col("last"))  # one row a column
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy("o"))).filter(F.col("r") <= n)
+    return first.select(F.get(F.lit(list(columns)), F.col("i")).alias("column"), "value")
+
+
 def date_valued(df: DataFrame, columns: Sequence[str], ordinal: str | Column) -> DataFrame:
-    """column, date_valued: whether most of the first DATE_ROWS non-null values, in the rows' order, begin with a
-    date. Each column is a top-k of its own rows, never a sort of them all."""
-    out = None
-    for name in columns:
-        c = F.col(f"`{name}`").cast("string")
-        first = df.select(c.alias("v"), (F.col(ordinal) if isinstance(ordinal, str) else ordinal).alias("o")).filter("v IS NOT NULL").orderBy("o").limit(DATE_ROWS)
-        share = F.avg(F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}").cast("double"))
-        one = first.agg(F.coalesce(share >= DATE_SHARE, F.lit(False)).alias("date_valued")).select(F.lit(name).alias("column"), "date_valued")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """column, date_valued: whether most of the first DATE_ROWS non-null values, in the rows' order, begin with a date;
+    of columns without values, no."""
+    first = first_values(df, columns, ordinal, DATE_ROWS, lambda c: F.substring(c, 1, 10))
+    share = F.avg(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}").cast("double"))
+    found = first.groupBy("column").agg((share >= DATE_SHARE).alias("date_valued"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(F.broadcast(found), "column", "left").select("column", F.coalesce("date_valued", F.lit(False)).alias("date_valued"))
 
 
 def grid_histogram(df: DataFrame, columns: Sequence[str], thresholds: Thresholds = DEFAULTS) -> DataFrame:
