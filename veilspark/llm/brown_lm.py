@@ -30,7 +30,7 @@ CLUSTERED, ENDINGS, CLASSES, SWEEPS, SWEEPS_OF_ALL = 2048, 256, 64, 4, 1
 TABLED = 48
 DISTINCT = 262_144
 #: Most frequent words whose counts every task holds; the others' are joined.
-HELD = 65_536
+HELD = 131_072
 #: Added to counts of words, and weight of the class's own frequency in a transition.
 ADDED, TRANSITION_PRIOR = 0.1, 20.0
 #: Distinct words that a task counts, or remembers the places of, at a time.
@@ -393,6 +393,7 @@ def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, swee
     ends = vocabulary.filter(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0] or 0
     held = vocabulary.filter(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(HELD - 1).select("word", "c").toArrow()
     words, counts = [*held.column("word").to_pylist(), END], np.append(held.column("c").to_numpy().astype(float), ends)
+    scratch.drop("vocabulary")
     encoded = scratch.put(encode(rows, words, counts), "encoded")
     train = encoded.filter("trained")
     core = min(grown(CLUSTERED, distinct), len(words) - 1)
@@ -416,7 +417,7 @@ def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, swee
     of_unit = np.array([*class_of[:-1], *bucket_class, classes - 1])
     model = Classes(words, counts, total, distinct, of_unit, np.zeros((classes, classes)), np.log10(in_class + ADDED * (kinds + 1)))
     sequences = scratch.put(_sequences(encoded, model, every), "sequences")
-    scratch.drop("encoded", "vocabulary")
+    scratch.drop("encoded")
     grid = _transitions(sequences.filter("trained"), classes - 1, classes)
     model.likelihoods = [*likelihoods, likelihood(grid)]
     own = (in_class + 1) / (in_class + 1).sum()
@@ -488,7 +489,8 @@ def _transitions(sequences: DataFrame, end: int, classes: int) -> np.ndarray:
 
 def _score(rows: DataFrame) -> DataFrame:
     scratch = C.Scratch(rows.sparkSession, "brown-lm")
-    model, _, sequences = _learn(rows, scratch)
+    with C.shuffles_dropped(rows.sparkSession):
+        model, _, sequences = _learn(rows, scratch)
     scratch.keep("sequences")
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
