@@ -17,7 +17,7 @@ from veilspark.functions.names import is_datetime_name
 from veilspark.functions.numeric import hashed_uniform
 from veilspark.functions.timestamps import CADENCE_SECONDS, UNKNOWN, render
 
-#: Rows a synthetic subject has, about; the format where none was disclosed; months where none are known.
+# fixed values: rows a synthetic subject has, about; the format where none was disclosed; months where none are known
 ROWS_PER_SUBJECT = 30
 DEFAULT_FORMAT = {"representation": "iso8601", "granularity": "datetime", "separator": "T", "timezone": "utc"}
 DEFAULT_MONTHS = ("2015-01", "2020-12")
