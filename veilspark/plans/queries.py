@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,11 +13,13 @@ from veilspark.functions import numeric as N
 from veilspark.functions import text as X
 from veilspark.functions import timestamps as TS
 from veilspark.functions.names import find_count_column, find_subject_key, is_birth_name, is_datetime_name, is_identifier_name, is_sensitive_name
-from veilspark.operators import disclosure, formats, groups, imputation, profile, temporal
+from veilspark.operators import disclosure, formats, groups, imputation, profile, state, temporal
 from veilspark.operators.intervals import interval_join
 from veilspark.plans import assessment
+from veilspark.plans.profile_state import ProfileState
 from veilspark.session import table
 from veilspark.sources import files as S
+from veilspark.sources.scratch import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,7 +74,7 @@ for _t in _TABLES:
         SELECT col AS "column", count(*) AS n, round(CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / count(*), 2) AS pct_missing,
                count(DISTINCT v) AS cardinality FROM u GROUP BY col""",
         f"col_summary_{_t}",
-    )(lambda spark, sf, t=_t: profile.column_summary(profile.value_counts(table(spark, sf, t), _TABLES[t], digests=True)))
+    )(lambda spark, sf, t=_t: profile.column_summary(profile.distinct_state(table(spark, sf, t), _TABLES[t])))
 
 for _n, (_t, _c) in _NUMBERS.items():
     query(
@@ -81,6 +84,48 @@ for _n, (_t, _c) in _NUMBERS.items():
         f"hist_{_n}",
     )(lambda spark, sf, t=_t, c=_c: profile.grid_histogram(table(spark, sf, t), [c]).withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)}))
 
+_RETURNS = ("A", "N", "R")
+
+
+@query(f"""WITH u AS ({_unpivot("lineitem")})
+SELECT col AS "column", count(*) AS n, round(CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / count(*), 2) AS pct_missing,
+       count(DISTINCT v) AS cardinality FROM u GROUP BY col""")
+def merged_summary(spark, sf):
+    """lineitem's summary from the written states of its parts by l_returnflag, and of what is in none of them."""
+    rows = table(spark, sf, "lineitem")
+    flag = F.col("l_returnflag")
+    own = [flag == f for f in _RETURNS] + [flag.isNull() | ~flag.isin(*_RETURNS)]
+    states = reduce(DataFrame.unionByName, (profile.distinct_state(rows.filter(c), _TABLES["lineitem"]) for c in own))
+    return profile.column_summary(profile.merge_distinct(written(states)))
+
+
+_BINNED = ("l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_orderkey")
+
+
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", round(i * step, 6) AS lo, round((i + 1) * step, 6) AS hi, n AS "count" FROM (
+SELECT floor({c} / step) AS i, count(*) AS n, any_value(step) AS step FROM lineitem, (SELECT {_step("b - a")} AS step FROM (SELECT min({c}) AS a, max({c}) AS b FROM lineitem)) WHERE {c} IS NOT NULL GROUP BY 1) WHERE n >= 5""" for c in _BINNED))
+def merged_histograms(spark, sf):
+    """lineitem's histograms from the written cells of its parts by quantity, whose ranges, and so whose grids, differ."""
+    rows, size = table(spark, sf, "lineitem"), F.col("l_quantity")
+    own = [size < 3, (size >= 3) & (size < 40), (size >= 40) | size.isNull()]
+    cells = reduce(DataFrame.unionByName, (state.cells(rows.filter(c), _BINNED) for c in own))
+    return state.histogram(state.merge_cells(written(cells))).withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
+
+
+@query("""WITH u AS (SELECT 'event_type' AS col, event_type AS v FROM events UNION ALL SELECT 'props', props FROM events UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM events),
+c AS (SELECT col, v, count(*) AS n FROM u WHERE v IS NOT NULL GROUP BY col, v)
+SELECT col AS "column", count(*) AS cardinality, count(*) > 50 AS suppressed, CASE WHEN count(*) <= 50 THEN sum(CASE WHEN n >= 5 THEN 1 ELSE 0 END) END::BIGINT AS shown FROM c WHERE col <> 'user_id' GROUP BY col
+UNION ALL SELECT col, count(*), NULL, NULL FROM c WHERE col = 'user_id' GROUP BY col""")
+def profile_of_parts(spark, sf):
+    """What the kept state of events says, put together from parts by type of event."""
+    rows = table(spark, sf, "events").select("user_id", "event_type", "props")
+    kept = ProfileState(spark, new_folder(spark))
+    kept.add("clicks", rows.filter("event_type = 'click'"))
+    kept.add("others", rows.filter("event_type <> 'click' OR event_type IS NULL"))
+    named = kept.categories().select("column", F.col("suppressed_high_cardinality").alias("suppressed"), F.size("categories").cast("long").alias("shown"))
+    return kept.summary().select("column", "cardinality").join(F.broadcast(named), "column", "left")  # one row a column
+
+
 _CATS = {"orders": ("o_orderstatus", "o_orderpriority"), "part": ("p_brand", "p_type"), "documents": ("lang", "source"), "events": ("event_type", "props")}
 _CATS_SQL = " UNION ALL ".join(f"SELECT '{t}.{c}' AS col, CAST({c} AS VARCHAR) AS v, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for t, cs in _CATS.items() for c in cs)
 
@@ -116,7 +161,7 @@ def cardinality_cap(spark, sf):
 def near_unique_flags(spark, sf):
     out = None
     for t, cs in (("customer", ("c_name", "c_mktsegment")), ("part", ("p_name", "p_brand")), ("documents", ("text", "lang"))):
-        one = profile.near_unique(profile.column_summary(profile.value_counts(table(spark, sf, t), cs, digests=True))).withColumn("column", F.concat(F.lit(f"{t}."), "column"))
+        one = profile.near_unique(profile.column_summary(profile.distinct_state(table(spark, sf, t), cs))).withColumn("column", F.concat(F.lit(f"{t}."), "column"))
         out = one if out is None else out.unionByName(one)
     return out
 
