@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -171,6 +172,50 @@ def test_restored_text(trained):
     assert X.Restorer(trained[2]).restore("You 1d10t, i d i o t!") == "you idiot, idiot!"
 
 
+def test_scores_are_those_of_the_restored_texts(spark, trained):
+    """By the definition: plain words of the restored text, looked up in the lexicon, and the logistic function."""
+    docs, labels, model = trained
+    hidden = ["you 1d10t and st*pid ba lera", "l.o.s.e.r bara tuti", "so w0rthless tura scuuum", "idiot scum loser", "bara leti mora", ""]
+    more = documents(spark, [(10_000 + i, t) for i, t in enumerate(hidden)])
+    columns = ["doc_id", "text"]
+    rows = X.score_toxicity(docs.select(columns).unionByName(more.select(columns)), labels, restored=True).collect()
+    model = X.learn(docs.select(columns).unionByName(more.select(columns)), labels)
+    assert len(rows) == 906
+    for r in rows:
+        found = {}
+        for w in r.restored.split():
+            if weight := X.word_weight(model, X.core(w)):
+                found[X.core(w)] = weight
+        top = sorted(found.values(), reverse=True) + [0.0, 0.0]
+        z = float(np.dot(model.weights, [top[0], top[1], np.log1p(len(found)), 1.0]))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9), r.restored
+        assert r.predicted == int(r.score >= X.THRESHOLD)
+    said = {r.doc_id: r.restored for r in rows}
+    assert all(w in said[10_000] for w in ("idiot", "stupid")) and "loser" in said[10_001] and "worthless" in said[10_002]
+
+
+def test_every_entry_that_passes_is_in_the_lexicon(spark):
+    """Against a count by Python, with more entries than a fixed number of the strongest would hold."""
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(23_000)]
+    common = words[:1000]
+    rows = [(i, " ".join(rng.sample(words, len(words)))) for i in range(8)]
+    rows += [(100 + i, " ".join(rng.choice(common) for _ in range(200))) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, y int")
+    model = X.learn(documents(spark, rows), labels, lattice=False)
+    n0, n1 = 60, 8
+    clean = Counter(w for i, t in rows if i >= 100 for w in set(t.split()))
+    weight = {}
+    for w in set(words):
+        a, b = 8, clean[w]
+        v = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+        if v >= X.LEAST_WEIGHT and a > 2 * b:
+            weight[w] = v
+    assert len(weight) > 20_000 and set(model.lexicon) == set(weight)
+    assert all(model.lexicon[w] == pytest.approx(v) for w, v in weight.items())
+
+
 def test_odd_rows_and_missing_labels(spark, trained):
     out = X.score_toxicity(odd(spark), trained[1]).collect()
     assert len(out) == 10 and all(0 <= r.score < 0.7 and r.predicted == 0 for r in out)

@@ -21,8 +21,8 @@ from veilspark.llm import common as C
 THRESHOLD = 0.7
 #: Labelled rows that the lexicon and the logistic model are fitted on, about, picked by a hash of the id.
 LABELLED_ROWS = 30_000
-#: Most entries of the lexicon; the least toxic documents a word, or a beginning of words, must be in.
-LEXICON, LEAST_DOCS, LEAST_DOCS_PREFIX = 20_000, 4, 8
+#: The least toxic labelled documents that a word, or a beginning of words, of the lexicon must be in.
+LEAST_DOCS, LEAST_DOCS_PREFIX = 4, 8
 #: How much likelier an entry must be in toxic documents, as a logarithm.
 LEAST_WEIGHT = 2.0
 #: Lengths of the beginnings of words that are entries too, for inflected and compound forms.
@@ -515,7 +515,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, lattice
     words = own.mapInPandas(count, "w string, n1 long, n0 long").groupBy("w").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     words = words.filter(F.col("n1") >= least).withColumn("weight", weight).filter((F.col("weight") >= LEAST_WEIGHT) & (F.col("n1") > 2 * F.col("n0")))
     lexicon, prefixes = {}, {}
-    for r in words.orderBy(F.desc(F.col("weight") * F.log1p("n1")), "w").limit(LEXICON).collect():
+    # every entry that passes: each is in several of the labelled texts, whose number is bounded
+    for r in words.orderBy("w").collect():
         if r.w.endswith("*"):
             prefixes[r.w[:-1]] = r.weight
         else:
@@ -536,17 +537,20 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, lattice
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None, lattice: bool = True) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: list[str] | None = None, lattice: bool = True, restored: bool = False) -> DataFrame:
     """docs (or its columns in keep) with score (0 to 1, probability of label 1) and predicted added; columns of docs with these names are
-    replaced. labels: doc_id, y; rows with null in either are left out, of several labels of an id the higher counts.
+    replaced. ``restored`` adds a column of that name: the lower-cased text with hidden words in their place. labels: doc_id, y; rows with null in either are left out, of several labels of an id the higher counts.
 
     ``lattice`` off leaves hidden words hidden, to measure what restoring them is worth.
 
     Null or empty text: no hit, and the score of a text without hits. Null doc_id: scored, never trained on.
-    Repeated rows: the same score. Without labels of both classes the lexicon is empty and every score is low. An
+    Repeated rows: the same score. Very long texts are read whole, in time linear in their length. Without labels of both classes the lexicon is empty and every score is low. An
     empty table gives no rows.
     """
-    docs = docs.drop("score", "predicted")
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    if restored:
+        added.append(T.StructField("restored", T.StringType()))
+    docs = docs.drop(*(f.name for f in added))
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, lattice=lattice))
 
     def score() -> Callable:
@@ -556,11 +560,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
         def run(texts: list[str]) -> dict[str, list]:
             z = [float(np.dot(model.weights, features(restorer.hits(t)))) for t in texts]
             p = [1 / (1 + math.exp(-max(-500.0, min(500.0, v)))) for v in z]
-            return {"score": p, "predicted": [int(v >= threshold) for v in p]}
+            out = {"score": p, "predicted": [int(v >= threshold) for v in p]}
+            return out | {"restored": [restorer.restore(t) for t in texts]} if restored else out
 
         return run
 
-    return C.map_text(docs, "text", [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())], score, keep)
+    return C.map_text(docs, "text", added, score, keep)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
