@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veilspark.config import Thresholds
 from veilspark.operators import profile, state
+from veilspark.plans import dictionary as D
 from veilspark.plans.dictionary import profile_columns
 from veilspark.plans.profile_state import ProfileState
 from veilspark.sources.files import ORDINAL
@@ -98,6 +99,13 @@ def test_profile_of_parts_is_the_profile_of_the_whole(spark, tmp_path):
         kept.add(part, spark.createDataFrame(_rows(a, b), SCHEMA))
     assert kept.parts() == ["0 ä%", "0b", "1/late"] and kept.columns() == whole
     assert whole["essay"]["categories"] == ["x" * 100, "y" * 200] and whole["day"]["sensitive"] and not whole["late"]["sensitive"]
+    # into a dictionary, as a layer of all rows is
+    D.save(spark, str(tmp_path), {"data_dir": "", "sources": {}, "files": {}})
+    path = str(tmp_path / "dictionary.json")
+    kept.put(path, str(tmp_path), "kept")
+    D.add_layer(spark, path, str(tmp_path), "whole", spark.createDataFrame(_rows(0, 400), SCHEMA))
+    files = D.load(path, spark)["files"]
+    assert files["kept"] == files["whole"] and (tmp_path / "synthetic_samples" / "kept.csv").read_bytes() == (tmp_path / "synthetic_samples" / "whole.csv").read_bytes()
     # a part in place of an older one, an empty part, and one less
     kept.add("0b", spark.createDataFrame(_rows(90, 95), SCHEMA))
     kept.add("2", spark.createDataFrame([], SCHEMA))

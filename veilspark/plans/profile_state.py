@@ -138,3 +138,9 @@ class ProfileState:
             summary.unpersist()
         bins, named = self.histogram(), self.categories()
         return D.describe(kinds, numeric, facts, sensitive, self.thresholds, lambda few: bins.filter(F.col("column").isin(few)), lambda few: named.filter(F.col("column").isin(few)))
+
+    def put(self, dict_path: str, out_dir: str, name: str, join_keys: Sequence[str] = ("public_client_id",)) -> dict:
+        """The dictionary's entry of that name from the kept parts, as dictionary.add_layer writes it from all rows."""
+        columns = self.columns()
+        rows = max((c["n"] for c in columns.values()), default=0)
+        return D.put_profile(self.spark, dict_path, out_dir, name, {"file_metadata": [], "row_count": rows, "columns": columns}, join_keys)
