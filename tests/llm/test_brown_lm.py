@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import documents, odd
@@ -159,6 +160,50 @@ def test_every_training_word_has_the_class_of_its_neighbours(spark, monkeypatch)
     assert B.grown(B.CLASSES, 8 * B.DISTINCT) == 2 * B.CLASSES and B.grown(B.CLUSTERED, 8 * B.DISTINCT) == 2 * B.CLUSTERED
 
 
+def test_words_and_buckets_of_whole_columns():
+    """Columns of texts are cut, and words put into buckets, as each by itself."""
+    rng = np.random.default_rng(3)
+    texts = [None, "", " \n", "\x1cA\x0bB\u00a0b ", "\u00c9T\u00c9 !..", "a", "..x?!", "\u4e2d.", *("".join(rng.choice(list("aBz.,!?\u00e9 \n\t")) for _ in range(60)) for _ in range(300))]
+    for part in (pa.array(texts), pa.array(texts).slice(5), pa.array([], pa.string())):
+        words, n = B.cut(part)
+        want = [B.tokens(t) for t in part.to_pylist()]
+        assert n.tolist() == [len(w) for w in want] and words.to_pylist() == [x for w in want for x in w]
+        assert B.buckets_of(words).tolist() == [B.bucket(w) for w in words.to_pylist()]
+    at, k = rng.integers(0, 40, 500), rng.integers(1, 9, 500)
+    for more in (1, 1 << 52):  # with keys and numbers in 64 bits, and beyond them
+        keys, sums = B._sum(at * 1000, k * more)
+        assert keys.tolist() == [1000 * x for x in np.flatnonzero(np.bincount(at))] and (sums == np.bincount(at, k)[keys // 1000].astype(int) * more).all()
+
+
+def test_numbers_of_a_text_are_one_cell(spark):
+    """Steps hand on a text's words as one binary, not as arrays that Spark moves number by number; no words are lost."""
+    rows = documents(spark, [(0, "b a c a C d"), (1, None), (2, "a c")]).selectExpr("doc_id", "text", "true AS scored", "true AS trained")
+    got = B.encode(rows, [b"a", B.END], np.array([3.0, 3.0]))
+    assert not [f.name for f in got.schema if f.dataType.typeName() == "array"]
+    texts = []
+    for r in sorted(got.collect(), key=lambda r: r.doc_id):
+        rare = bytes(r.rare).split(b" ") if r.rare is not None else []
+        path, times, bucket = (np.frombuffer(x, np.int32).tolist() for x in (r.path, r.times, r.bucket))
+        assert bucket == [B.bucket(w) for w in rare] and times == [sum(p == -1 - i for p in path) for i in range(len(rare))]
+        texts.append(b" ".join([b"a", b"|"][p] if p >= 0 else rare[-1 - p] for p in path))
+        assert (r.n_tokens, r.n_held) == (len(path), sum(p >= 0 for p in path)) and abs(r.logs - r.n_held * math.log10(3 + B.ADDED)) < 1e-9
+    assert texts == [b"b a c a c d |", b"|", b"a c |"]
+
+
+def test_what_tasks_sum_at_once_changes_nothing(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(B, "HELD", 300)
+    want = {r.doc_id: tuple(r) for r in B.op7_brown_lm(spark, sf).collect()}
+    monkeypatch.setattr(B, "AT_ONCE", 40)
+    monkeypatch.setattr(B, "PAIRS_AT_ONCE", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: tuple(r) for r in B.op7_brown_lm(spark, sf).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and all(got[i][:5] == want[i][:5] and np.allclose(got[i][5:], want[i][5:], rtol=1e-9) for i in want)
+
+
 def test_odd_rows(spark):
     docs = odd(spark)
     out = B.score(docs, docs).collect()

@@ -4,9 +4,7 @@ is that of its class transitions and of each word in its class, both smoothed.""
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,8 +31,8 @@ DISTINCT = 262_144
 HELD = 131_072
 #: Added to counts of words, and weight of the class's own frequency in a transition.
 ADDED, TRANSITION_PRIOR = 0.1, 20.0
-#: Distinct words that a task counts, or remembers the places of, at a time.
-AT_ONCE = 300_000
+#: Distinct words that a task counts, or remembers, at a time, bytes of words, and pairs of a word and a class beside it.
+AT_ONCE, BYTES_AT_ONCE, PAIRS_AT_ONCE = 300_000, 1 << 28, 4_000_000
 
 _PUNCTUATION = b".,;:!?"
 
@@ -71,37 +69,54 @@ class Classes:
         return math.log10(self.total + ADDED * (self.distinct + 1))
 
 
-class _Places(dict):
-    """word: its place among the held words, or -1 - bucket."""
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts in a row, and how many each has; null counts as empty."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    lists = pc.ascii_split_whitespace(bare)
+    words, n, some = lists.flatten(), np.diff(lists.offsets.to_numpy()), pc.binary_length(bare).to_numpy() > 0
+    return (words if some.all() else words.filter(pc.greater(pc.binary_length(words), 0))).view(pa.binary()), np.where(some, n, 0)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = -1 - bucket(word)
-        return at
 
+#: The step of crc32 by a byte.
+_CRC = np.array([zlib.crc32(bytes([i ^ 0xFF])) ^ 0xFF000000 for i in range(256)], np.uint32)
 
-def _places(words: list[bytes]) -> _Places:
-    return _Places(zip(words, range(len(words)), strict=True))
+
+def buckets_of(words: pa.Array) -> np.ndarray:
+    """The bucket of each word."""
+    bare = pc.ascii_rtrim(words.view(pa.string()), _PUNCTUATION.decode())
+    length, data = pc.binary_length(bare).to_numpy(), np.frombuffer(bare.buffers()[2] or b"", np.uint8)
+    end, crc = np.frombuffer(bare.buffers()[1], np.int32)[bare.offset + 1 : bare.offset + 1 + len(bare)], np.full(len(bare), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        at = np.flatnonzero(length >= back)
+        crc[at] = _CRC[(crc[at] ^ data[end[at] - back]) & 0xFF] ^ (crc[at] >> 8)
+    return ((~crc) % ENDINGS + np.where(length < pc.binary_length(words).to_numpy(), ENDINGS, 0)).astype(np.int32)
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """word, bucket, c over all texts; tasks sum what they can hold before anything is shuffled."""
+    """word, c over all texts; tasks sum what they can hold before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(sums: Counter) -> pa.RecordBatch:
-            words = list(sums)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(bucket, words), pa.int32()), pa.array(sums.values(), pa.int64())], ["word", "bucket", "c"])
+        def summed(parts: list[pa.RecordBatch]) -> pa.Table:
+            return pa.Table.from_batches(parts).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
 
-        sums: Counter = Counter()
+        parts, rows, texts = [], 0, 0
         for batch in batches:
-            for t in batch.column(0):
-                sums.update(tokens(t.as_py()))
-                sums[END] += 1
-                if len(sums) > AT_ONCE:
-                    yield rows(sums)
-                    sums.clear()
-        yield rows(sums)
-
-    return train.select("text").mapInArrow(run, "word binary, bucket int, c long").groupBy("word", "bucket").agg(F.sum("c").alias("c"))
+            texts += batch.num_rows
+            for i in range(0, batch.num_rows, 1000):
+                found = cut(batch.column(0).slice(i, 1000))[0].value_counts()
+                parts.append(pa.RecordBatch.from_arrays(found.flatten(), ["word", "c"]))
+                rows += len(found)
+                if rows > 2 * AT_ONCE or sum(x.nbytes for x in parts) > BYTES_AT_ONCE:
+                    parts = summed(parts).to_batches()
+                    rows = sum(map(len, parts))
+                    if rows > AT_ONCE or sum(x.nbytes for x in parts) > BYTES_AT_ONCE // 2:
+                        yield from parts
+                        parts, rows = [], 0
+        if parts:
+            yield from summed(parts).to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], ["word", "c"])
+
+    return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def grown(least: int, distinct: int) -> int:
@@ -109,77 +124,98 @@ def grown(least: int, distinct: int) -> int:
 
 
 def _sum(at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(at, return_inverse=True)
-    return keys, np.bincount(place, k, len(keys)).astype(np.int64)
+    """Distinct natural keys in order, and the sums of their natural numbers."""
+    if not len(at):
+        return at, k
+    bits = int(k.max()).bit_length()
+    if int(at.max()).bit_length() + bits < 64:
+        both = np.sort(at.astype(np.int64) << bits | k)  # plain numbers are sorted many times faster than by an index
+        keys, k = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(at)
+        keys, k = at[order], k[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(k, first)
+
+
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A row's numbers as 32-bit ones in a binary: Spark moves it as one cell, not number by number."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, np.int32))])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows in a row, and where rows begin and the last one ends. No row is null."""
+    _, ends, data = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.int32), np.zeros(1, np.int64)
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
+    return np.frombuffer(data or b"", np.int32, ends[-1])[ends[0] :], ends - ends[0]
 
 
-_HERE: dict[str, _Places] = {}
-_ENCODED = "doc_id long, scored boolean, trained boolean, rid long, n_tokens long, n_held long, logs double, path array<int>, rare array<binary>, times array<long>, bucket array<int>"
+_ENCODED = "doc_id long, scored boolean, trained boolean, rid long, n_tokens long, n_held long, logs double, path binary, rare binary, times binary, bucket binary"
 
 
 def encode(rows: DataFrame, words: list[bytes], counts: np.ndarray) -> DataFrame:
     """Each row's tokens as places among ``words`` (the held ones, the end last), or -1 - i for its i-th other word;
-    those words with their counts and buckets; and what the held words' own counts give. Texts are cut into words here
-    for the last time: all that follows reads numbers."""
-    key = uuid.uuid4().hex
+    those words, with a space between them, with their counts and buckets; and what the held words' own counts give.
+    Texts are cut into words here for the last time: all that follows reads numbers."""
     shared = rows.sparkSession.sparkContext.broadcast((words, np.log10(counts + ADDED), counts > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, logs, seen = shared.value
-        held = len(words)
-        if key not in _HERE:
-            _HERE.clear()
-            _HERE[key] = _places(words)
+        end, held = len(words) - 1, pa.array(words, pa.binary())
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
-                if len(_HERE[key]) > held + AT_ONCE:
-                    _HERE[key] = _places(words)
-                places = _HERE[key]
-                out: dict[str, list] = {x: [] for x in ("rid", "n_tokens", "n_held", "logs", "path", "rare", "times", "bucket")}
-                for t in part.column("text").to_pylist():
-                    own = tokens(t)
-                    at = np.array([*map(places.__getitem__, own), held - 1], np.int32)
-                    known = at >= 0
-                    safe = np.where(known, at, 0)
-                    others: dict[bytes, int] = {}
-                    where = np.flatnonzero(~known)
-                    nth = np.array([others.setdefault(own[j], len(others)) for j in where], np.int64)
-                    at[where] = -1 - nth
-                    for name, value in (("rid", task << 40 | row), ("n_tokens", len(at)), ("n_held", int((known & seen[safe]).sum())), ("logs", float(logs[safe[known]].sum())), ("path", at), ("rare", list(others)), ("times", np.bincount(nth, minlength=len(others))), ("bucket", [-1 - places[w] for w in others])):
-                        out[name].append(value)
-                    row += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "scored", "trained")), *(pa.array(out[x], kind) for x, kind in zip(out, kinds, strict=True))], ["doc_id", "scored", "trained", *out])
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                own, n = cut(part.column("text"))
+                at = pc.index_in(own, value_set=held).fill_null(-1).to_numpy().copy()
+                of_text, texts = np.repeat(np.arange(len(n)), n), len(n)
+                known = at >= 0
+                n_held = np.bincount(of_text, known & seen[at], texts) + seen[end]
+                own_logs = np.bincount(of_text, np.where(known, logs[at], 0.0), texts) + logs[end]
+                where = np.flatnonzero(~known)
+                others = own.take(pa.array(where)).dictionary_encode()
+                kinds = max(len(others.dictionary), 1)
+                key, nth, times = np.unique(of_text[where] * kinds + others.indices.to_numpy(), return_inverse=True, return_counts=True)
+                first = np.searchsorted(key, np.arange(texts + 1) * kinds)
+                at[where] = first[of_text[where]] - 1 - nth
+                path = np.full(len(at) + texts, end, np.int32)
+                path[np.arange(len(at)) + of_text] = at
+                rare = pc.binary_join(pa.ListArray.from_arrays(pa.array(first, pa.int32()), others.dictionary.take(pa.array(key % kinds))), b" ")
+                lists = (_packed(path, np.append(0, np.cumsum(n + 1))), pc.if_else(pa.array(np.diff(first) > 0), rare, None), _packed(times, first), _packed(buckets_of(others.dictionary)[key % kinds], first))
+                numbers = (pa.array(np.arange(row, row + texts) + (task << 40)), pa.array(n + 1, pa.int64()), pa.array(n_held.astype(np.int64)), pa.array(own_logs))
+                row += texts
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "scored", "trained")), *numbers, *lists], ["doc_id", "scored", "trained", "rid", "n_tokens", "n_held", "logs", "path", "rare", "times", "bucket"])
 
     return rows.select("doc_id", "text", "scored", "trained").mapInArrow(run, _ENCODED)
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-    """Places of all texts in a row, each text's ending with the end; which of the other words a token under 0 is; those
-    words and their buckets."""
-    path, rare = batch.column("path"), batch.column("rare")
-    flat, begin = path.flatten().to_numpy(), rare.offsets.to_numpy()
-    of_text = np.repeat(np.arange(len(path)), np.diff(path.offsets.to_numpy()))
-    return flat, np.where(flat < 0, (begin[:-1] - begin[0])[of_text] - 1 - flat, 0), rare.flatten(), batch.column("bucket").flatten().to_numpy()
+def _rare(batch: pa.RecordBatch) -> pa.Array:
+    """All texts' words that aren't held in a row."""
+    return pc.split_pattern(batch.column("rare").view(pa.string()), " ").flatten().view(pa.binary())
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of all texts in a row, each text's ending with the end; which of the other words a token under 0 is; and
+    those words' buckets."""
+    (flat, ends), (buckets, begin) = _unpacked(batch.column("path")), _unpacked(batch.column("bucket"))
+    return flat, np.where(flat < 0, np.repeat(begin[:-1], np.diff(ends)) - 1 - flat, 0), buckets
 
 
-def count_pairs(encoded: DataFrame, words: list[bytes], core: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often a unit follows another, for those that do; before a text's first token stands an end. Units are the
-    first ``core`` words, buckets, and the end."""
-    n = core + 2 * ENDINGS + 1
-    units = np.array([*range(core), *(core + bucket(w) for w in words[core:-1]), n - 1])
-    shared = encoded.sparkSession.sparkContext.broadcast(units)
+def count_pairs(encoded: DataFrame, of_word: np.ndarray, of_bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often a unit follows another, for those that do; before a text's first token stands an end. There are n units:
+    of_word has the held words' and, as the last one, the end's; of_bucket has those of the other words by bucket."""
+    shared = encoded.sparkSession.sparkContext.broadcast((of_word, of_bucket))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, pairs, times, size = shared.value, [], [], 0
+        (of_word, of_bucket), pairs, times, size = shared.value, [], [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                flat, which, _, buckets = _flat(batch.slice(i, 1000))
-                own = units[np.maximum(flat, 0)]
+                flat, which, buckets = _flat(batch.slice(i, 1000))
+                own = of_word[np.maximum(flat, 0)]
                 if len(buckets):
-                    own = np.where(flat < 0, core + buckets[which], own)
+                    own = np.where(flat < 0, of_bucket[buckets][which], own)
                 at, k = np.unique(np.append(n - 1, own[:-1]) * n + own, return_counts=True)
                 pairs.append(at)
                 times.append(k)
@@ -194,7 +230,7 @@ def count_pairs(encoded: DataFrame, words: list[bytes], core: int) -> tuple[np.n
             at, k = _sum(np.concatenate(pairs), np.concatenate(times))
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(k, pa.int64())], ["pair", "n"])
 
-    got = encoded.select("path", "rare", "bucket").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    got = encoded.select("path", "bucket").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, k = got.column("pair").to_numpy(), got.column("n").to_numpy().astype(float)
     return pair // n, pair % n, k
 
@@ -208,73 +244,67 @@ def likelihood(grid: np.ndarray) -> float:
     return float((_f(grid).sum() - _f(grid.sum(0)).sum() - _f(grid.sum(1)).sum()) / max(grid.sum(), 1))
 
 
-class _Met(dict):
-    """word: its number among the words beyond the held ones that a task has met."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.words: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.words)
-        self.words.append(word)
-        return at
-
-
-def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_class: np.ndarray, classes: int, scratch: C.Scratch, name: str) -> tuple[DataFrame, float]:
-    """word, c, class of every training word: one exchange of all words, each given the classes of all others before
-    the sweep; and the likelihood by those classes. class_of holds the classes of ``words``, bucket_class those that the
-    other words count as. A word's counts of the classes after and before it are summed up by word; it is taken out of
-    its own class and put where it raises the likelihood of the class bigrams most. The last class is the end's alone."""
+def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_class: np.ndarray, classes: int, scratch: C.Scratch, name: str, grid: np.ndarray | None = None) -> tuple[DataFrame, float]:
+    """word, c, class of every training word, written under name: one exchange of all words, each given the classes of
+    all others before the sweep; and the likelihood by those classes. class_of holds the classes of ``words``,
+    bucket_class those that the other words count as, grid (counted, if not given) how often a class follows another. A
+    word's counts of the classes after and before it are summed up by word; it is taken out of its own class and put
+    where it raises the likelihood of the class bigrams most. The last class is the end's alone."""
+    if grid is None:
+        a, b, k = count_pairs(encoded, class_of, bucket_class, classes)
+        grid = np.bincount(a * classes + b, k, classes * classes).reshape(classes, classes)
     shared = encoded.sparkSession.sparkContext.broadcast((words, class_of, bucket_class))
     end, held_words = classes - 1, len(words)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, class_of, bucket_class = shared.value
-        grid = np.zeros(classes * classes, np.int64)
-        none = np.zeros(0, np.int64)
-        met, keys, times, raw, size = _Met(), none, none, [], 0
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            return _sum(np.concatenate([keys, *raw]), np.concatenate([times, np.ones(sum(map(len, raw)), np.int64)]))
+        words, none = pa.array(words, pa.binary()), np.zeros(0, np.int64)
+        # words met beyond the held ones, what they and the held ones have met, and what is yet to be added to that
+        met, keys, times = words.slice(0, 0), none, none
+        raw, rares, size, others, bytes_ = [], [], 0, 0, 0
+
+        def add() -> None:
+            nonlocal met, keys, times, raw, rares, size, others, bytes_
+            all_met = pa.concat_arrays([met, *rares]).dictionary_encode()
+            met = all_met.dictionary
+            number = np.append(np.arange(held_words), held_words + all_met.indices.to_numpy())
+            new = [number[ids] * (2 * classes) + code for ids, code in raw]
+            keys, times = _sum(np.concatenate([keys, *new]), np.append(times, np.ones(sum(map(len, new)), np.int64)))
+            raw, rares, size, others, bytes_ = [], [], 0, 0, 0
 
         def rows() -> pa.RecordBatch:
-            own, first = np.unique(keys // (2 * classes), return_index=True)
-            pair = np.flatnonzero(grid)
-            ends = pa.array([*first, len(keys), len(keys) + len(pair)], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in ((keys % (2 * classes), pair), (times, grid[pair]))]
-            grid[:] = 0
-            named = [words[i] if i < held_words else met.words[i - held_words] for i in own.tolist()]
-            kinds = [int(class_of[i]) if i < held_words else int(bucket_class[bucket(w)]) for i, w in zip(own.tolist(), named, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([*named, None], pa.binary()), pa.array([*kinds, None], pa.int32()), *lists], ["word", "own", "code", "n"])
+            own, code = np.divmod(keys, 2 * classes)
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            own, ends = own[first], 2 * np.append(first, len(own))
+            kinds = np.append(class_of, bucket_class[buckets_of(met)])[own]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([words, met]).take(pa.array(own)), pa.array(kinds, pa.int32()), _packed(np.stack([code, times], 1), ends)], ["word", "own", "cells"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                flat, which, rare, buckets = _flat(batch.slice(i, 500))
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                flat, which, buckets = _flat(part)
                 kinds, ids = class_of[np.maximum(flat, 0)], flat.astype(np.int64)
-                if len(rare):
+                if len(buckets):
+                    rares.append(_rare(part))
                     other = flat < 0
-                    numbers = np.array([*map(met.__getitem__, rare.to_pylist())], np.int64)
                     kinds = np.where(other, bucket_class[buckets][which], kinds)
-                    ids = np.where(other, held_words + numbers[which], ids)
+                    ids = np.where(other, held_words + len(met) + others + which, ids)
+                    others += len(buckets)
+                    bytes_ += rares[-1].nbytes
                 before = np.append(end, kinds[:-1])
-                grid += np.bincount(before * classes + kinds, minlength=len(grid))
                 where = np.flatnonzero(flat != held_words - 1)
-                own = ids[where] * (2 * classes)
-                raw += [own + kinds[where + 1], own + classes + before[where]]
+                raw += [(ids[where], kinds[where + 1]), (ids[where], classes + before[where])]
                 size += 2 * len(where)
-                if size > 2_000_000 or len(met) > AT_ONCE:
-                    keys, times = summed()
-                    raw, size = [], 0
-                    if len(keys) > 2_000_000 or len(met) > AT_ONCE:
+                if size > PAIRS_AT_ONCE or bytes_ > BYTES_AT_ONCE:
+                    add()
+                    if len(keys) > PAIRS_AT_ONCE // 2 or len(met) > AT_ONCE or met.nbytes > BYTES_AT_ONCE:
                         yield rows()
-                        met, keys, times = _Met(), none, none
-        keys, times = summed()
-        yield rows()
+                        met, keys, times = words.slice(0, 0), none, none
+        if raw:
+            add()
+        if len(keys):
+            yield rows()
 
-    found = scratch.put(encoded.select("path", "rare", "bucket").mapInArrow(meet, "word binary, own int, code array<int>, n array<int>"), name)
-    pairs = found.filter("word IS NULL").select(F.explode(F.arrays_zip("code", "n")).alias("x")).groupBy("x.code").agg(F.sum(F.col("x.n").cast("long")).alias("n")).toArrow()
-    grid = np.bincount(pairs.column("code").to_numpy(), pairs.column("n").to_numpy(), classes * classes).reshape(classes, classes)
     held = encoded.sparkSession.sparkContext.broadcast(grid)
 
     f = _f
@@ -293,9 +323,8 @@ def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_c
             new = np.ones(len(word), bool)
             new[1:] = pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)
             of_row = np.cumsum(new) - 1
-            lengths = np.diff(t.column("n").offsets.to_numpy())
-            code, n = (t.column(c).flatten().to_numpy().astype(np.int64) for c in ("code", "n"))
-            key, n = _sum(np.repeat(of_row, lengths) * (2 * classes) + code, n)
+            cells, ends = _unpacked(t.column("cells"))
+            key, n = _sum(np.repeat(of_row, np.diff(ends) // 2) * (2 * classes) + cells[::2], cells[1::2].astype(np.int64))
             own, code = key // (2 * classes), key % (2 * classes)
             first = np.searchsorted(own, np.arange(of_row[-1] + 2))
             start = t.column("own").to_numpy()[np.flatnonzero(new)].astype(np.int64)
@@ -342,7 +371,8 @@ def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_c
         if left is not None:
             yield done(left)
 
-    return found.filter("word IS NOT NULL").repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int"), likelihood(grid)
+    found = encoded.select("path", "rare", "bucket").mapInArrow(meet, "word binary, own int, cells binary")
+    return scratch.put(found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, c long, class int"), name), likelihood(grid)
 
 
 def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: int, sweeps: int) -> np.ndarray:
@@ -397,18 +427,22 @@ def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, swee
     encoded = scratch.put(encode(rows, words, counts), "encoded")
     train = encoded.filter("trained")
     core = min(grown(CLUSTERED, distinct), len(words) - 1)
-    of = exchange(*count_pairs(train, words, core), core + 2 * ENDINGS + 1, classes, sweeps)
-    bucket_class = of[core:-1]
-    class_of = np.array([*of[:core], *(bucket_class[bucket(w)] for w in words[core:-1]), classes - 1])
+    units = core + 2 * ENDINGS + 1
+    # first words stand for themselves, the others for their buckets, which come after the first words
+    unit_of = np.array([*range(core), *(core + buckets_of(pa.array(words[core:-1], pa.binary()))), units - 1])
+    a, b, k = count_pairs(train, unit_of, np.arange(core, units - 1), units)
+    of = exchange(a, b, k, units, classes, sweeps)
+    bucket_class, class_of = of[core:-1], of[unit_of]
+    grid = np.bincount(of[a] * classes + of[b], k, classes * classes).reshape(classes, classes)
     likelihoods = []
     for i in range(SWEEPS_OF_ALL):
-        every, now = sweep(train, words, class_of, bucket_class, classes, scratch, f"met-{i}")
-        every = scratch.put(every, f"every-{i}")
+        every, now = sweep(train, words, class_of, bucket_class, classes, scratch, f"every-{i}", grid)
+        grid = None
         likelihoods.append(now)
         frequent = every.orderBy(F.desc("c"), "word").limit(HELD - 1).select("word", "class").toArrow()
         found = dict(zip(frequent.column("word").to_pylist(), frequent.column("class").to_pylist(), strict=True))
         class_of = np.array([*(found[w] for w in words[:-1]), classes - 1])
-        scratch.drop(f"met-{i}", f"every-{i - 1}")
+        scratch.drop(f"every-{i - 1}")
     in_class, kinds = np.zeros(classes), np.zeros(classes)
     for r in every.groupBy("class").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         in_class[r["class"]], kinds[r["class"]] = r.c, r.n
@@ -435,42 +469,73 @@ def _sequences(encoded: DataFrame, model: Classes, others: DataFrame) -> DataFra
     """Each row's classes and what its words' own counts give. A text's words that aren't held meet theirs in a join,
     once for each text and word, and are gathered by text."""
     held = len(model.words)
-    shared = encoded.sparkSession.sparkContext.broadcast(np.append(model.of_unit[: held - 1], model.of_unit[-1]))
-    rare = encoded.select("rid", F.posexplode(F.arrays_zip("rare", "times", "bucket")).alias("i", "x")).select("rid", "i", F.col("x.rare").alias("word"), F.col("x.times").alias("times"), F.col("x.bucket").alias("bucket"))
+    shared = encoded.sparkSession.sparkContext.broadcast((np.append(model.of_unit[: held - 1], model.of_unit[-1]), model.of_unit[held - 1 : -1]))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for j in range(0, batch.num_rows, 1000):
+                part = batch.slice(j, 1000)
+                n = np.diff(_unpacked(part.column("times"))[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("rid").to_numpy(), n)), pa.array(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), pa.int32()), _rare(part)], ["rid", "i", "word"])
+
+    rare = encoded.filter("rare IS NOT NULL").select("rid", "rare", "times").mapInArrow(spread, "rid long, i int, word binary")
     if held >= HELD:
         others = others.filter(F.col("c") <= int(model.counts[-2]))
-    c = F.coalesce("c", F.lit(0))
-    instead = F.get(F.lit([int(x) for x in model.of_unit[held - 1 : -1]]), F.col("bucket"))  # of words that training lacks
-    met = rare.join(others.hint("merge"), "word", "left").select("rid", "i", F.coalesce("class", instead).alias("class"), (F.col("times") * F.log10(c + ADDED)).alias("part"), F.when(c > 0, F.col("times")).otherwise(0).alias("k"))
-    sums = met.groupBy("rid").agg(F.sum("part").alias("part"), F.sum("k").alias("k"), F.collect_list("i").alias("nth"), F.collect_list("class").alias("classes"))
-    full = encoded.drop("rare", "times", "bucket").join(sums.hint("merge"), "rid", "left")
+    met = rare.join(others.hint("merge"), "word", "left").select("rid", "i", F.coalesce("class", F.lit(-1)).alias("class"), F.coalesce("c", F.lit(0)).alias("c"))
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of = shared.value
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(t: pa.RecordBatch) -> pa.RecordBatch:
+            rid, i, kind, c = (t.column(x).to_numpy() for x in ("rid", "i", "class", "c"))
+            first = np.flatnonzero(np.append(True, rid[1:] != rid[:-1]))
+            ends = np.append(first, len(rid))
+            place = np.repeat(first, np.diff(ends)) + i
+            own, counts = np.empty(len(rid), np.int32), np.empty(len(rid), np.int64)
+            own[place], counts[place] = kind, c
+            return pa.RecordBatch.from_arrays([pa.array(rid[first]), _packed(own, ends), _packed(counts.view(np.int32), 2 * ends)], ["rid", "classes", "counts"])
+
+        left: list[pa.RecordBatch] = []
         for batch in batches:
-            paths = []
-            for path, nth, classes in zip(*(batch.column(x) for x in ("path", "nth", "classes")), strict=True):
-                places = path.values.to_numpy()
-                at = class_of[np.maximum(places, 0)]
-                if nth.is_valid:
-                    own = np.empty(len(nth), np.int32)
-                    own[nth.values.to_numpy()] = classes.values.to_numpy()
-                    at[places < 0] = own[-1 - places[places < 0]]
-                paths.append(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "scored", "trained", "n_tokens", "n_known", "logs")), pa.array(paths, pa.list_(pa.int32()))], ["doc_id", "scored", "trained", "n_tokens", "n_known", "logs", "path"])
+            if batch.num_rows:
+                rid = batch.column("rid").to_numpy()
+                k = int(np.searchsorted(rid, rid[-1]))
+                if k or (left and left[-1].column("rid")[0].as_py() != rid[0]):
+                    yield done(pa.concat_batches([*left, batch.slice(0, k)]))
+                    left = []
+                left.append(batch.slice(k))
+        if left:
+            yield done(pa.concat_batches(left))
+
+    gathered = met.repartition("rid").sortWithinPartitions("rid").mapInArrow(gather, "rid long, classes binary, counts binary")
+    full = encoded.drop("rare").join(gathered.hint("merge"), "rid", "left")
 
-    full = full.select("doc_id", "scored", "trained", "n_tokens", (F.col("n_held") + F.coalesce("k", F.lit(0))).alias("n_known"), (F.col("logs") + F.coalesce("part", F.lit(0.0))).alias("logs"), "path", "nth", "classes")
-    return full.mapInArrow(fill, "doc_id long, scored boolean, trained boolean, n_tokens long, n_known long, logs double, path array<int>")
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class_of, instead = shared.value
+        for batch in batches:
+            for j in range(0, batch.num_rows, 1000):
+                part = batch.slice(j, 1000)
+                flat, which, buckets = _flat(part)
+                ends, (times, begin) = _unpacked(part.column("path"))[1], _unpacked(part.column("times"))
+                at, n_known, logs = class_of[np.maximum(flat, 0)], part.column("n_held").to_numpy(), part.column("logs").to_numpy()
+                if len(times):
+                    own, c = (_unpacked(part.column(x).fill_null(b""))[0] for x in ("classes", "counts"))
+                    c = c.view(np.int64)
+                    own = np.where(own < 0, instead[buckets], own)  # of words that training lacks
+                    at = np.where(flat < 0, own[which], at)
+                    of_text = np.repeat(np.arange(len(part)), np.diff(begin))
+                    n_known = n_known + np.bincount(of_text, np.where(c > 0, times, 0), len(part)).astype(np.int64)
+                    logs = logs + np.bincount(of_text, times * np.log10(c + ADDED), len(part))
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in ("doc_id", "scored", "trained", "n_tokens")), pa.array(n_known), pa.array(logs), _packed(at, ends)], ["doc_id", "scored", "trained", "n_tokens", "n_known", "logs", "path"])
+
+    return full.mapInArrow(fill, "doc_id long, scored boolean, trained boolean, n_tokens long, n_known long, logs double, path binary")
 
 
 def _steps(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Classes, those before them (an end before each text's first), and where texts begin."""
-    now = column.flatten().to_numpy()
-    first = np.asarray(column.offsets)[:-1] - np.asarray(column.offsets)[0]
+    now, ends = _unpacked(column)
     before = np.empty_like(now)
     before[1:] = now[:-1]
-    before[first] = end
-    return now, before, first
+    before[ends[:-1]] = end
+    return now, before, ends[:-1]
 
 
 def _transitions(sequences: DataFrame, end: int, classes: int) -> np.ndarray:
