@@ -232,7 +232,7 @@ def count_pairs(encoded: DataFrame, of_word: np.ndarray, of_bucket: np.ndarray,
 
     got = encoded.select("path", "bucket").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pair, k = got.column("pair").to_numpy(), got.column("n").to_numpy().astype(float)
-    return pair // n, pair % n, k
+    return (pair // n).astype(np.int32), (pair % n).astype(np.int32), k
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -258,6 +258,7 @@ def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_c
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, class_of, bucket_class = shared.value
+        class_of, bucket_class = class_of.astype(np.int32), bucket_class.astype(np.int32)
         words, none = pa.array(words, pa.binary()), np.zeros(0, np.int64)
         # words met beyond the held ones, what they and the held ones have met, and what is yet to be added to that
         met, keys, times = words.slice(0, 0), none, none
@@ -268,7 +269,7 @@ def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_c
             all_met = pa.concat_arrays([met, *rares]).dictionary_encode()
             met = all_met.dictionary
             number = np.append(np.arange(held_words), held_words + all_met.indices.to_numpy())
-            new = [number[ids] * (2 * classes) + code for ids, code in raw]
+            new = [number[ids] * (2 * classes) + code for ids, after, before in raw for code in (after, before)]
             keys, times = _sum(np.concatenate([keys, *new]), np.append(times, np.ones(sum(map(len, new)), np.int64)))
             raw, rares, size, others, bytes_ = [], [], 0, 0, 0
 
@@ -283,17 +284,16 @@ def sweep(encoded: DataFrame, words: list[bytes], class_of: np.ndarray, bucket_c
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 flat, which, buckets = _flat(part)
-                kinds, ids = class_of[np.maximum(flat, 0)], flat.astype(np.int64)
+                kinds, ids = class_of[np.maximum(flat, 0)], flat
                 if len(buckets):
                     rares.append(_rare(part))
                     other = flat < 0
                     kinds = np.where(other, bucket_class[buckets][which], kinds)
-                    ids = np.where(other, held_words + len(met) + others + which, ids)
+                    ids = np.where(other, (held_words + len(met) + others + which).astype(np.int32), ids)
                     others += len(buckets)
                     bytes_ += rares[-1].nbytes
-                before = np.append(end, kinds[:-1])
                 where = np.flatnonzero(flat != held_words - 1)
-                raw += [(ids[where], kinds[where + 1]), (ids[where], classes + before[where])]
+                raw.append((ids[where], kinds[where + 1], classes + np.append(np.int32(end), kinds[:-1])[where]))
                 size += 2 * len(where)
                 if size > PAIRS_AT_ONCE or bytes_ > BYTES_AT_ONCE:
                     add()
@@ -385,6 +385,7 @@ def exchange(a: np.ndarray, b: np.ndarray, k: np.ndarray, units: int, classes: i
     order_a, order_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     from_a, from_b = np.searchsorted(a[order_a], np.arange(units + 1)), np.searchsorted(b[order_b], np.arange(units + 1))
     after, after_k, before, before_k = b[order_a], k[order_a], a[order_b], k[order_b]
+    del order_a, order_b
     grid = np.bincount(of[a] * classes + of[b], k, classes * classes).reshape(classes, classes)
 
     f = _f
@@ -434,6 +435,7 @@ def _learn(rows: DataFrame, scratch: C.Scratch, classes: int | None = None, swee
     of = exchange(a, b, k, units, classes, sweeps)
     bucket_class, class_of = of[core:-1], of[unit_of]
     grid = np.bincount(of[a] * classes + of[b], k, classes * classes).reshape(classes, classes)
+    del a, b, k
     likelihoods = []
     for i in range(SWEEPS_OF_ALL):
         every, now = sweep(train, words, class_of, bucket_class, classes, scratch, f"every-{i}", grid)
