@@ -190,17 +190,18 @@ def test_numbers_of_a_text_are_one_cell(spark):
     assert texts == [b"b a c a c d |", b"|", b"a c |"]
 
 
-def test_what_tasks_sum_at_once_changes_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("key,value", [("maxRecordsPerBatch", "7"), ("useLargeVarTypes", "true")])
+def test_what_tasks_sum_at_once_changes_nothing(spark, monkeypatch, key, value):
     sf = "/root/testdata/sf0.001"
     monkeypatch.setattr(B, "HELD", 300)
     want = {r.doc_id: tuple(r) for r in B.op7_brown_lm(spark, sf).collect()}
     monkeypatch.setattr(B, "AT_ONCE", 40)
     monkeypatch.setattr(B, "PAIRS_AT_ONCE", 100)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
     try:
         got = {r.doc_id: tuple(r) for r in B.op7_brown_lm(spark, sf).collect()}
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
     assert got.keys() == want.keys() and all(got[i][:5] == want[i][:5] and np.allclose(got[i][5:], want[i][5:], rtol=1e-9) for i in want)
 
 

@@ -71,7 +71,7 @@ class Classes:
 
 def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The tokens of all texts in a row, and how many each has; null counts as empty."""
-    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string()).fill_null("")))
     lists = pc.ascii_split_whitespace(bare)
     words, n, some = lists.flatten(), np.diff(lists.offsets.to_numpy()), pc.binary_length(bare).to_numpy() > 0
     return (words if some.all() else words.filter(pc.greater(pc.binary_length(words), 0))).view(pa.binary()), np.where(some, n, 0)
@@ -145,6 +145,7 @@ def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all rows in a row, and where rows begin and the last one ends. No row is null."""
+    column = column.cast(pa.binary())  # sessions may have larger offsets
     _, ends, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -193,7 +194,7 @@ def encode(rows: DataFrame, words: list[bytes], counts: np.ndarray) -> DataFrame
 
 def _rare(batch: pa.RecordBatch) -> pa.Array:
     """All texts' words that aren't held in a row."""
-    return pc.split_pattern(batch.column("rare").view(pa.string()), " ").flatten().view(pa.binary())
+    return pc.split_pattern(batch.column("rare").cast(pa.binary()).view(pa.string()), " ").flatten().view(pa.binary())
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
