@@ -112,6 +112,17 @@ def test_dictionary(built):
     assert d["files"]["survey/raw/questions.csv"]["role"] == "codebook" and d["files"]["survey/raw/response_options_people.csv"]["role"] == "data"
 
 
+def test_the_cadence_is_that_of_all_rows(spark):
+    """Of 100 subjects with a stamp a second in the first 200,000 rows, and 300 with one an hour after them."""
+    fast = spark.range(200_000).select((F.col("id") % 100).alias("subject_id"), F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") / 100)).alias("timestamp"), F.col("id").alias(files.ORDINAL))
+    slow = spark.range(1200).select((100 + F.col("id") % 300).alias("subject_id"), F.timestamp_seconds(1_700_000_000 + 3600 * F.floor(F.col("id") / 300)).alias("timestamp"), (200_000 + F.col("id")).alias(files.ORDINAL))
+    rows = fast.unionByName(slow)
+    for asked, cadence in ((None, "~1/hour"), (200_000, "~1/min or finer")):
+        columns = {n: {"dtype": "datetime64[us]" if n == "timestamp" else "int64"} for n in ("subject_id", "timestamp")}
+        dictionary.attach_facets(rows, rows, columns, "subject_id", sample_rows=asked)
+        assert columns["timestamp"]["temporal_coverage"] == {"min_month": "2023-11", "max_month": "2023-11", "n_timestamps": 201_200, "cadence": cadence}
+
+
 def test_nothing_leaks(built):
     out, _ = built
     for folder, _, names in os.walk(out):

@@ -12,10 +12,10 @@ class Thresholds:
     row_cap: int = 20
     cardinality_cap: int = 50
     bin_min_count: int = 5
-    cadence_sample_rows: int = 200_000
+    cadence_sample_rows: int | None = None  # all
     diurnal_block_hours: int = 4
 
-    def as_dict(self) -> dict[str, int]:
+    def as_dict(self) -> dict[str, int | None]:
         return asdict(self)
 
 
